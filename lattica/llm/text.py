@@ -30,17 +30,24 @@ _TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def byte_tables(lower: bool, words: str) -> tuple[np.ndarray, np.ndarray]:
-    """(value of each byte, byte is a separator). words: 'space' or 'alnum'."""
+    """(value of each byte, its class); a word is a run of bytes of one class, class 0 separates.
+
+    words: 'space' cuts at ASCII white space; 'alnum' keeps digits, letters and all beyond
+    ASCII; 'marks' also takes runs of other visible characters as words.
+    """
     key = f"{lower}{words}"
     if key not in _TABLES:
         codes = np.arange(256)
         kept = np.where(lower & (codes >= 65) & (codes <= 90), codes + 32, codes)
+        space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+        letter = ((codes >= 48) & (codes <= 57)) | ((codes >= 65) & (codes <= 90)) | ((codes >= 97) & (codes <= 122)) | (codes >= 128)
         if words == "space":
-            cut = (codes == 32) | ((codes >= 9) & (codes <= 13))
-        else:  # digits, letters and everything beyond ASCII
-            digit, letter = (kept >= 48) & (kept <= 57), (kept >= 97) & (kept <= 122)
-            cut = ~(digit | letter | (codes >= 128))
-        _TABLES[key] = mix(kept.astype(U64), 77), cut
+            kind = ~space
+        elif words == "alnum":
+            kind = letter
+        else:
+            kind = np.where(letter, 1, np.where((codes > 32) & (codes < 127), 2, 0))
+        _TABLES[key] = mix(kept.astype(U64), 77), kind.astype(np.uint8)
     return _TABLES[key]
 
 
@@ -67,24 +74,32 @@ class Words:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, words: str = "space"):
-        value, cut = byte_tables(lower, words)
+        value, kinds = byte_tables(lower, words)
         n = len(data)
-        inside = ~cut[data]
+        kind = kinds[data]
+        inside = kind > 0
         first = np.zeros(n + 1, bool)
         first[offsets] = True
         opens, closes = inside.copy(), inside.copy()
         if n:
-            opens[1:] &= ~inside[:-1] | first[1:n]
-            closes[:-1] &= ~inside[1:] | first[1:n]
+            edge = (kind[1:] != kind[:-1]) | first[1:n]
+            opens[1:] &= edge
+            closes[:-1] &= edge
         self.start = np.flatnonzero(opens)
         self.end = np.flatnonzero(closes) + 1
         up, down = powers(n + 1)
         total = np.zeros(n + 1, U64)
         np.cumsum(value[data] * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
+        self._total, self._down = total, down
+        self.hash = self.head(n + 1)
         self.ptr = np.searchsorted(self.start, offsets)
         self.data, self.offsets = data, offsets
 
+    def head(self, size: int) -> np.ndarray:
+        """Hash of the first ``size`` bytes of each word."""
+        end = np.minimum(self.end, self.start + size)
+        return mix((self._total[end] - self._total[self.start]) * self._down[self.start] + (end - self.start).astype(U64))
+
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, ptr): windows of ``width`` words; fewer words form one shingle, none form none."""
         counts = np.diff(self.ptr)
