@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import jaccard, packing, quality, tokenstore, toxicity
+from lattica.llm import jaccard, langid, packing, quality, tokenstore, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +36,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity_chain, op4_jaccard_join, op6_quality_ftrl, op8_retrieval_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_hyperdimensional_langid, op3_toxicity_chain, op4_jaccard_join, op6_quality_ftrl, op8_retrieval_packing, op10_token_files)}
 
 SQL: dict[str, str] = {}
