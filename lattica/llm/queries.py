@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import jaccard, langid, licenses, packing, quality, tokenstore, toxicity
+from lattica.llm import decontam, jaccard, langid, licenses, packing, quality, rules, tokenstore, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,14 +32,22 @@ def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, window=4096)
 
 
+def op9_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op2_hyperdimensional_langid, op3_toxicity_chain, op4_jaccard_join, op5_license_automaton, op6_quality_ftrl, op8_retrieval_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_hyperdimensional_langid, op3_toxicity_chain, op4_jaccard_join, op5_license_automaton, op6_quality_ftrl, op7_ngram_ratio_rules, op8_retrieval_packing, op9_wand_decontamination, op10_token_files)}
 
 SQL: dict[str, str] = {}
