@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontam, jaccard, langid, licenses, packing, quality, rules, tokenstore, toxicity
+from lattica.llm import decontam, jaccard, langid, licenses, packing, quality, rules, sharding, tokenstore, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_balanced_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), sharding.equal_texts(), shards=24)
+
+
 def op2_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op2_hyperdimensional_langid, op3_toxicity_chain, op4_jaccard_join, op5_license_automaton, op6_quality_ftrl, op7_ngram_ratio_rules, op8_retrieval_packing, op9_wand_decontamination, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_balanced_propagation, op2_hyperdimensional_langid, op3_toxicity_chain, op4_jaccard_join, op5_license_automaton, op6_quality_ftrl, op7_ngram_ratio_rules, op8_retrieval_packing, op9_wand_decontamination, op10_token_files)}
 
 SQL: dict[str, str] = {}
