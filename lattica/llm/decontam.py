@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import U64, Words, chunks, mix, utf8
+from lattica.llm.text import U64, Words, chunks, filter_rows, joined, mix, utf8
 
 # The usual BM25 constants.
 K1, B = 1.2, 0.75
@@ -176,25 +176,28 @@ def passages(words: Words, index: ItemIndex, window: int, threshold: float) -> I
         yield d, start, np.unique(term[low:high]).tolist()
 
 
+def find(data: np.ndarray, offsets: np.ndarray, index: ItemIndex, window: int, threshold: float, overlap: float) -> dict[tuple[int, int], tuple]:
+    """(document, item) -> (score, question overlap, answer overlap, -first word) of the best verified passage."""
+    best: dict[tuple[int, int], tuple] = {}
+    words = Words(data, offsets, words="alnum")
+    for d, start, terms in passages(words, index, window, threshold):
+        for item, score in index.search(terms, threshold):
+            size = len(index.words[item])
+            low, high = words.ptr[d] + max(start - size, 0), min(words.ptr[d] + start + window + size, words.ptr[d + 1])
+            asked, answered = index.verify(item, words.hash[low:high].tolist())
+            if asked >= overlap and answered >= overlap:
+                best[d, item] = max(best.get((d, item), (-1.0,)), (score, asked, answered, -start))
+    return best
+
+
 def _scan(shared, window: int, threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared.value
         for batch in batches:
-            best: dict[tuple[int, int], tuple] = {}
-            done = 0
+            out = []
             for rows, data, offsets in chunks(batch, "text"):
-                words = Words(data, offsets, words="alnum")
-                for d, start, terms in passages(words, index, window, threshold):
-                    for item, score in index.search(terms, threshold):
-                        size = len(index.words[item])
-                        low, high = words.ptr[d] + max(start - size, 0), min(words.ptr[d] + start + window + size, words.ptr[d + 1])
-                        asked, answered = index.verify(item, words.hash[low:high].tolist())
-                        if asked >= overlap and answered >= overlap:
-                            key = (done + d, item)
-                            best[key] = max(best.get(key, (-1.0,)), (score, asked, answered, -start))
-                done += rows.num_rows
-            names = batch.column(0).to_pylist()
-            out = [(names[d], index.ids[i], *x[:3], -x[3]) for (d, i), x in best.items()]
+                names = rows.column(0).to_pylist()
+                out += [(names[d], index.ids[i], *x[:3], -x[3]) for (d, i), x in find(data, offsets, index, window, threshold, overlap).items()]
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
@@ -202,6 +205,35 @@ def _scan(shared, window: int, threshold: float, overlap: float):
     return run
 
 
+def _indexes(items: DataFrame, item_col: str, item_text: str, grams: int, index_items: int) -> Iterator[ItemIndex]:
+    """Indexes of at most ``index_items`` items each."""
+    held: list[tuple[int, str]] = []
+    for row in items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).orderBy("i", "t").toLocalIterator():
+        if row["t"] and len(_hashes(row["t"])) > 1:
+            held.append((row["i"], row["t"]))
+        if len(held) == index_items:
+            yield ItemIndex(held, grams)
+            held = []
+    if held:
+        yield ItemIndex(held, grams)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 64, threshold: float = 0.4, overlap: float = 0.5, grams: int = 3, index_items: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no test item."""
+
+    def judge(shared):
+        def passes(texts: list[str]) -> np.ndarray:
+            keep = np.ones(len(texts), bool)
+            keep[[d for d, _ in find(*joined(texts), shared.value, window, threshold, overlap)]] = False
+            return keep
+
+        return lambda: passes
+
+    for index in _indexes(items, item_col, item_text, grams, index_items):
+        docs = filter_rows(docs, text_col, judge(docs.sparkSession.sparkContext.broadcast(index)))
+    return docs
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 64, threshold: float = 0.4, overlap: float = 0.5, grams: int = 3, index_items: int = 20_000) -> DataFrame:
     """A row per contaminated pair: doc_id, item_id, score, question_overlap, answer_overlap, first_word (of the best passage).
 
@@ -213,21 +245,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     kinds = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    parts: list[DataFrame] = []
-    held: list[tuple[int, str]] = []
-
-    def scan() -> None:
-        shared = spark.sparkContext.broadcast(ItemIndex(held, grams))
-        parts.append(inputs.mapInArrow(_scan(shared, window, threshold, overlap), kinds))
-
-    for row in items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).orderBy("i", "t").toLocalIterator():
-        if row["t"] and len(_hashes(row["t"])) > 1:
-            held.append((row["i"], row["t"]))
-        if len(held) == index_items:
-            scan()
-            held = []
-    if held:
-        scan()
+    parts = [inputs.mapInArrow(_scan(spark.sparkContext.broadcast(index), window, threshold, overlap), kinds) for index in _indexes(items, item_col, item_text, grams, index_items)]
     out = parts[0] if parts else spark.createDataFrame([], kinds)
     for part in parts[1:]:
         out = out.unionAll(part)

@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import U64, crc_mod, mix
-from lattica.llm.tokenstore import text_runs
+from lattica.llm.text import U64, crc_mod, filter_rows, mix, text_runs
 
 DIM = 1024
 CACHE = 16_384
@@ -156,6 +155,22 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langua
     return names, (made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def predict(text: str, names: list[str], prototypes: np.ndarray, dim: int) -> tuple[str, float]:
+    """(language, cosine) of one text."""
+    made = space(dim).profile(text) if names else None
+    if made is None:
+        return UNKNOWN, 0.0
+    near = prototypes @ made / max(float(np.linalg.norm(made)), 1e-9)
+    best = int(near.argmax())
+    return names[best], float(min(max(near[best], 0.0), 1.0))
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, dim: int = DIM) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language: not null, and with a letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, per_language, dim))
+    return filter_rows(docs, text_col, lambda: lambda texts: np.array([predict(t, *shared.value, dim)[0] != UNKNOWN for t in texts], bool))
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, dim: int = DIM) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score (the cosine, 0 to 1).
 
@@ -171,17 +186,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         names, prototypes = shared.value
         for batch in batches:
             for first, texts in text_runs(batch.column(1)):
-                found, score = [], []
-                for text in texts:
-                    made = space(dim).profile(text) if names else None
-                    if made is None:
-                        found.append(UNKNOWN)
-                        score.append(0.0)
-                        continue
-                    near = prototypes @ made / max(float(np.linalg.norm(made)), 1e-9)
-                    best = int(near.argmax())
-                    found.append(names[best])
-                    score.append(float(min(max(near[best], 0.0), 1.0)))
+                found, score = zip(*[predict(t, names, prototypes, dim) for t in texts], strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(found), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

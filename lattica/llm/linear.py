@@ -152,6 +152,17 @@ def fit_chain(sample: DataFrame, links: int, folds: int = 3, epochs: int = 5, st
     return out
 
 
+def probabilities(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, stems: tuple[int, ...]) -> np.ndarray:
+    """A row per text, a column per link."""
+    links = len(model)
+    out = np.zeros((len(offsets) - 1, links))
+    for i, own in enumerate(features(data, offsets, stems)):
+        for k in range(links):
+            sums = float(model[k][own].sum(dtype=np.float64)) + float(model[k][-1])
+            out[i, k] = sigmoid(sums + sum(float(model[k][SLOTS + j]) * out[i, j] for j in range(k)))
+    return out
+
+
 def score_chain(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str, names: list[str], stems: tuple[int, ...] = ()) -> DataFrame:
     """doc_id and a probability per link for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
@@ -161,11 +172,7 @@ def score_chain(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str
         model = shared.value
         for batch in batches:
             for rows, data, offsets in chunks(batch, "text"):
-                out = np.zeros((rows.num_rows, links))
-                for i, own in enumerate(features(data, offsets, stems)):
-                    for k in range(links):
-                        sums = float(model[k][own].sum(dtype=np.float64)) + float(model[k][-1])
-                        out[i, k] = sigmoid(sums + sum(float(model[k][SLOTS + j]) * out[i, j] for j in range(k)))
+                out = probabilities(data, offsets, model, stems)
                 yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array(out[:, k]) for k in range(links)]], ["doc_id", *names])
 
     inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))

@@ -6,11 +6,11 @@ for a word. Memory follows ``CHUNK_BYTES``, or the longest single text if that i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
@@ -151,6 +151,42 @@ def utf8(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
 
 
+def filter_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text passes. judge: makes, once a task, a function from texts (null as empty) to a mask."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = judge()
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for first, texts in text_runs(batch.column(at)):
+                keep[first : first + len(texts)] = passes(texts)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def text_runs(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of about ``limit`` characters; null is empty."""
+    run: list[str] = []
+    size = first = 0
+    for row, scalar in enumerate(texts):
+        text = scalar.as_py() or ""
+        run.append(text)
+        size += len(text)
+        if size >= limit:
+            yield first, run
+            run, size, first = [], 0, row + 1
+    if run:
+        yield first, run
+
+
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts laid end to end."""
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+
+
 def crc_mod(id_column: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; the split of labelled rows."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus

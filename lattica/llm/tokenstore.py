@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.encode import CachedEncoder
+from lattica.llm.text import text_runs
 from lattica.session import scratch_path
 
 # Fixed values of the zstd seekable format.
@@ -58,21 +59,6 @@ def encoded_with_end(texts: list[str], path: str, end_id: int) -> Iterator[np.nd
         yield np.append(ids[ptr[i] : ptr[i + 1]], np.uint32(end_id)).astype(np.uint32)
 
 
-def text_runs(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of runs of about ``limit`` characters; null is empty."""
-    run: list[str] = []
-    size = first = 0
-    for row, scalar in enumerate(texts):
-        text = scalar.as_py() or ""
-        run.append(text)
-        size += len(text)
-        if size >= limit:
-            yield first, run
-            run, size, first = [], 0, row + 1
-    if run:
-        yield first, run
-
-
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI, or of a plain local path."""
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") or ":/" not in uri else uri.replace(":/", ":///", 1))

@@ -10,11 +10,25 @@ low quality (which marks spam and noise), then toxic.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.linear import fit_chain, labelled_sample, score_chain
-from lattica.llm.text import crc_mod
+from lattica.llm.linear import fit_chain, labelled_sample, probabilities, score_chain
+from lattica.llm.text import crc_mod, filter_rows, joined
+
+
+def _categories(given: dict[str, Column] | None) -> dict[str, Column]:
+    return given or {"low_quality": F.lit(1) - F.col("quality"), "toxic": F.col("toxic")}
+
+
+def keep_harmless(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = 8192, folds: int = 3, epochs: int = 5, stems: tuple[int, ...] = (4, 5), threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose last category's probability is below ``threshold``."""
+    chain = _categories(categories)
+    fitted = fit_chain(labelled_sample(docs, labels, list(chain.values()), id_col, text_col, sample), len(chain), folds, epochs, stems)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted.astype(np.float32))
+    # without labels every probability is a half and nothing is rejected
+    return filter_rows(docs, text_col, lambda: lambda texts: probabilities(*joined(texts), shared.value, stems)[:, -1] < threshold) if fitted.any() else docs
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = 8192, folds: int = 3, epochs: int = 5, stems: tuple[int, ...] = (4, 5)) -> DataFrame:
@@ -26,7 +40,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
     are scored row by row, null ids are kept, an empty table gives no rows, and other
     columns are ignored.
     """
-    categories = categories or {"low_quality": F.lit(1) - F.col("quality"), "toxic": F.col("toxic")}
+    categories = _categories(categories)
     names = [f"p_{n}" for n in categories]
     fitted = fit_chain(labelled_sample(docs, labels, list(categories.values()), id_col, text_col, sample), len(names), folds, epochs, stems)
     scored = score_chain(docs, fitted, id_col, text_col, names, stems)
