@@ -9,6 +9,8 @@ or trailing) are encoded whole, so the ids always equal those of a plain ``encod
 from __future__ import annotations
 
 import json
+import unicodedata
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -27,18 +29,34 @@ class _Index(dict):
         return at
 
 
+def _byte_letters() -> list[str]:
+    """The byte-level alphabet: visible Latin-1 bytes stand for themselves, the rest follow from code point 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
+
+
 class CachedEncoder:
     """Encodes lists of texts. ``path``: a tokenizer file; ``entries``: bound of the cache."""
 
-    def __init__(self, path: str, entries: int = 800_000):
+    def __init__(self, path: str, entries: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.entries = entries
         with open(path, encoding="utf-8") as f:
-            pre = json.load(f)["pre_tokenizer"] or {}
+            told = json.load(f)
+        pre = told["pre_tokenizer"] or {}
         parts = pre.get("pretokenizers", [pre])
         kinds = [p.get("type") for p in parts]
-        #: spaced: a piece carries the space before it; dropped: white space has no ids; else nothing is cached.
-        self.style = "spaced" if kinds == ["ByteLevel"] and parts[0].get("use_regex") and not parts[0].get("add_prefix_space") else "dropped" if kinds[:1] == ["Split"] and parts[0].get("behavior") == "Removed" else "whole"
+        clean = told["normalizer"] or {}
+        steps = [x.get("type") for x in clean.get("normalizers", [clean] if clean else [])]
+        #: spaced: a piece carries the space before it; dropped: white space has no ids and case is lowered; else nothing is cached.
+        self.style = "whole"
+        if kinds == ["ByteLevel"] and parts[0].get("use_regex") and not parts[0].get("add_prefix_space") and not steps:
+            self.style = "spaced"
+        elif kinds == ["Split", "ByteLevel"] and parts[0].get("behavior") == "Removed" and steps == ["NFC", "Replace", "Lowercase"]:
+            self.style = "dropped"
+        self.letters = _byte_letters()
+        self.tails = {t: self.tokenizer.encode(t, add_special_tokens=False).ids for t in (".", ",")}
         self._clear()
 
     def _clear(self) -> None:
@@ -62,17 +80,55 @@ class CachedEncoder:
         self.first, self.size, self.seen = filled, size, seen[keep] // 2
         self.chars = sum(map(len, self.index))
 
+    def _stem(self, piece: str) -> tuple[str, str] | None:
+        """(stem, tail) of a piece that is one run of letters and at most a full stop or comma, else None."""
+        stem, tail = (piece[:-1], piece[-1]) if piece[-1] in ".," else (piece, "")
+        word = stem[1:] if self.style == "spaced" and stem[:1] == " " else stem
+        if not word.isalpha():
+            return None
+        if self.style == "dropped":
+            if not stem.isascii() and ("\u03a3" in stem or not unicodedata.is_normalized("NFC", stem)):
+                return None
+            stem = stem.lower()
+            if not stem.isalpha():  # a lower case with combining marks
+                return None
+        return stem, tail
+
     def _learn(self) -> None:
+        """Ids of the fresh pieces. Plain words go to the model itself, as the other steps leave them as they are."""
         fresh, self.index.fresh = self.index.fresh, []
         if not fresh:
             return
         self.chars += sum(map(len, fresh))
-        made = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(made.ids, np.uint32)
-        owner = np.fromiter(made.word_ids, np.int64, len(ids))
-        size = np.bincount(owner, minlength=len(fresh))
+        base, known, model = len(self.size), self.index, self.tokenizer.model
+        made: list[list[int] | None] = [None] * len(fresh)
+        memo: dict[str, list[int]] = {}
+        odd = []
+        for i, piece in enumerate(fresh):
+            split = self._stem(piece) if self.style != "whole" and piece else None
+            if split is None:
+                odd.append(i)
+                continue
+            stem, tail = split
+            ids = memo.get(stem)
+            if ids is None:
+                at = known.get(stem, base)
+                if at < base:
+                    ids = self.ids[self.first[at] : self.first[at] + self.size[at]].tolist()
+                else:
+                    ids = [t.id for t in model.tokenize("".join([self.letters[b] for b in stem.encode()]))]
+                memo[stem] = ids
+            made[i] = ids + self.tails[tail] if tail else ids
+        if odd:
+            out = self.tokenizer.encode([fresh[i] for i in odd], is_pretokenized=True, add_special_tokens=False)
+            for i in odd:
+                made[i] = []
+            for number, owner in zip(out.ids, out.word_ids, strict=True):
+                made[odd[owner]].append(number)
+        size = np.fromiter(map(len, made), np.int64, len(made))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
-        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum()))])
 
     def _pieces(self, text: str) -> list[str] | None:
         if self.style == "spaced":
@@ -82,7 +138,8 @@ class CachedEncoder:
             # one space or line feed before each word, and no other white space
             return own if len(text.split()) == len(own) and own[0] else None
         if self.style == "dropped" and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return text.split()
+            # lower case comes first, so that fewer pieces differ; two letters lower-case by context or to several
+            return text.split() if "\u03a3" in text or "\u0130" in text else text.lower().split()
         return None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

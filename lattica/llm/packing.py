@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lattica.llm.text import U64, mix
-from lattica.llm.tokenstore import encoded_with_end, text_runs
+from lattica.llm.text import U64, mix, text_runs
+from lattica.llm.tokenstore import encoded_with_end
 from lattica.session import write_and_reread
 
 # The usual BM25 constants.
@@ -47,16 +47,17 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], terms: int):
         self.size, self.terms = len(docs), terms
-        own = [np.unique(x, return_counts=True) for x in docs]
-        lens = np.array([len(t) for t, _ in own])
-        term = np.concatenate([t for t, _ in own]).astype(np.int64)
-        tf = np.concatenate([c for _, c in own]).astype(np.float64)
-        doc = np.repeat(np.arange(self.size), lens)
-        length = np.array([len(x) for x in docs], np.float64)
-        names, self.term = np.unique(term, return_inverse=True)
-        df = np.bincount(self.term, minlength=len(names))
-        idf = np.log1p((self.size - df + 0.5) / (df + 0.5))
-        weight = (idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (length / length.mean())[doc]))).astype(np.float32)
+        length = np.array([len(x) for x in docs])
+        kind = docs[0].dtype
+        keys, count = np.unique((np.repeat(np.arange(self.size, dtype=np.int64), length) << 32) | np.concatenate(docs), return_counts=True)
+        doc = keys >> 32
+        self.term = (keys & 0xFFFFFFFF).astype(kind)  # 16 bits, where they suffice, sort fastest
+        tf = count.astype(np.float32)
+        lens = np.bincount(doc, minlength=self.size)
+        df = np.bincount(self.term)
+        idf = np.log1p((self.size - df + 0.5) / (df + 0.5)).astype(np.float32)
+        norm = (K1 * (1 - B + B * length / length.mean())).astype(np.float32)
+        weight = idf[self.term] * tf * np.float32(K1 + 1) / (tf + norm[doc])
         self.own = np.concatenate([[0], np.cumsum(lens)])
         self.weight = weight
         order = np.argsort(self.term, kind="stable")
@@ -67,7 +68,7 @@ class Index:
         """Unused documents by falling score for the seed's strongest terms, ties by position."""
         low, high = self.own[seed], self.own[seed + 1]
         strong = np.argsort(-self.weight[low:high], kind="stable")[: self.terms]
-        terms = self.term[low:high][strong]
+        terms = self.term[low:high][strong].astype(np.int64)
         first, last = self.post[terms], self.post[terms + 1]
         size = last - first
         at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
