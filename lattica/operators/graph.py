@@ -11,10 +11,11 @@ from lattica.session import write_and_reread
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
-    Each round every node adopts its smallest neighbour, the adopted labels are followed
-    once more, and the edges are rewritten to labels; edges inside a component vanish.
-    Labels only decrease and a component's smallest node keeps its own, so the last label
-    is the smallest node. Rounds grow with the logarithm of a component's diameter. Each
+    Each round every node adopts its smallest neighbour, if that is smaller; the adopted
+    labels are followed to their roots, halving the way each time; and the edges are
+    rewritten to labels, so edges inside a component vanish. Labels only decrease and a
+    component's smallest node keeps its own, so the last label is the smallest node. Each
+    round at least halves the labels of a component, so rounds and steps are logarithmic. Each
     round's tables are written to the shared folder, so a lost executor costs one round.
     Null ends and loops are ignored; an empty table gives no rows.
     """
@@ -25,8 +26,13 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
         least = write_and_reread(least, "cc-least")
-        up = least.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        jump = write_and_reread(least.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p")), "cc-jump")
+        jump = least
+        for _ in range(max_rounds):  # to the roots of the adopted labels; the distance halves each time
+            up = jump.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+            jump = write_and_reread(jump.join(up, "p").select("u", F.col("pp").alias("p"), (F.col("pp") < F.col("p")).alias("moved")), "cc-jump")
+            if jump.filter("moved").isEmpty():
+                break
+            jump = jump.select("u", "p")
         follow = jump.select(F.col("u").alias("component"), "p")
         labels = write_and_reread(labels.join(follow, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "cc-labels")
         ends = links.join(jump, "u").select(F.col("p").alias("a"), "v").join(jump.select(F.col("u").alias("v"), F.col("p").alias("b")), "v")
@@ -34,3 +40,68 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
         if links.isEmpty():
             return labels
     raise RuntimeError(f"connected_components did not converge in {max_rounds} rounds")
+
+
+def undirected(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
+    """Both directions of each distinct edge, without loops."""
+    one = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v")
+    return one.unionAll(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+
+
+def k_rings(edges: DataFrame, sources: DataFrame, max_ring: int, node: str = "node") -> DataFrame:
+    """(center, node, ring): nodes at graph distance 0..max_ring from each source.
+
+    A ring is what its last ring's neighbours add, less the last two rings.
+    """
+    links = write_and_reread(undirected(edges), "rings-links")
+    last = sources.select(F.col(node).alias("center"), F.col(node).alias("node")).distinct()
+    rings = [last.withColumn("ring", F.lit(0))]
+    before = last.limit(0)
+    for k in range(1, max_ring + 1):
+        grown = last.join(links.withColumnRenamed("u", "node"), "node").select("center", F.col("v").alias("node")).distinct()
+        fresh = grown.join(last, ["center", "node"], "left_anti").join(before, ["center", "node"], "left_anti")
+        before, last = last, write_and_reread(fresh, "rings")
+        if last.isEmpty():
+            break
+        rings.append(last.withColumn("ring", F.lit(k)))
+    out = rings[0]
+    for ring in rings[1:]:
+        out = out.unionByName(ring)
+    return out
+
+
+def shortest_paths(edges: DataFrame, source, max_rounds: int = 200) -> DataFrame:
+    """(node, cost, parent): cheapest cost from ``source`` over undirected weighted edges (u, v, w).
+
+    Frontier relaxation: only nodes whose cost fell pass it on. Ties of a cost keep the
+    smallest parent. Weights must not be negative.
+    """
+    spark = edges.sparkSession
+    one = edges.select("u", "v", "w").filter("u <> v")
+    links = one.unionAll(one.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).groupBy("u", "v").agg(F.min("w").alias("w"))
+    links = write_and_reread(links, "path-links")
+    kind, cost = links.schema["u"].dataType.simpleString(), links.schema["w"].dataType.simpleString()
+    state = spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.lit(0).cast(cost).alias("cost"), F.lit(None).cast(kind).alias("parent"))
+    frontier = state = write_and_reread(state, "path-state")
+    for _ in range(max_rounds):
+        offers = frontier.join(links.withColumnRenamed("u", "node"), "node").select(F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("node").alias("parent"))
+        best = offers.groupBy("node").agg(F.min(F.struct("cost", "parent")).alias("o"))
+        held = state.select("node", F.col("cost").alias("old"), F.col("parent").alias("old_parent"))
+        better = best.join(held, "node", "left").filter("old is null or o.cost < old or (o.cost = old and o.parent < old_parent)")
+        frontier = write_and_reread(better.select("node", "o.cost", "o.parent"), "path-frontier")
+        if frontier.isEmpty():
+            return state
+        state = write_and_reread(state.join(frontier.select("node"), "node", "left_anti").unionByName(frontier), "path-state")
+    raise RuntimeError("shortest_paths did not converge")
+
+
+def path_to(paths: DataFrame, target) -> list:
+    """Nodes from the target back to the source; empty if it cannot be reached. A path's length of lookups."""
+    out, at = [], target
+    while at is not None:
+        row = paths.filter(F.col("node") == F.lit(at)).first()
+        if row is None:
+            return []
+        out.append(row["node"])
+        at = row["parent"]
+    return out

@@ -42,10 +42,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def write_and_reread(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder as Parquet and read it again."""
+def write_and_reread(df: DataFrame, name: str, row_group_mb: int = 32) -> DataFrame:
+    """Cut the lineage: write to the shared folder as Parquet and read it again.
+
+    Row groups are small, as each writing task holds one in memory.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", row_group_mb << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
