@@ -15,6 +15,8 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
+from lattica.llm.text import Words
+
 
 class _Index(dict):
     """Piece -> number; unknown pieces get the next number and are listed in ``fresh``."""
@@ -39,7 +41,7 @@ def _byte_letters() -> list[str]:
 class CachedEncoder:
     """Encodes lists of texts. ``path``: a tokenizer file; ``entries``: bound of the cache."""
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.entries = entries
         with open(path, encoding="utf-8") as f:
@@ -80,49 +82,43 @@ class CachedEncoder:
         self.first, self.size, self.seen = filled, size, seen[keep] // 2
         self.chars = sum(map(len, self.index))
 
-    def _stem(self, piece: str) -> tuple[str, str] | None:
-        """(stem, tail) of a piece that is one run of letters and at most a full stop or comma, else None."""
-        stem, tail = (piece[:-1], piece[-1]) if piece[-1] in ".," else (piece, "")
-        word = stem[1:] if self.style == "spaced" and stem[:1] == " " else stem
-        if not word.isalpha():
-            return None
-        if self.style == "dropped":
-            if not stem.isascii() and ("\u03a3" in stem or not unicodedata.is_normalized("NFC", stem)):
-                return None
-            stem = stem.lower()
-            if not stem.isalpha():  # a lower case with combining marks
-                return None
-        return stem, tail
-
     def _learn(self) -> None:
-        """Ids of the fresh pieces. Plain words go to the model itself, as the other steps leave them as they are."""
+        """Ids of the fresh pieces.
+
+        A piece that is one run of letters, and at most a full stop or comma, is left as it
+        is by all steps before the model, so it goes to the model itself; the others take
+        the whole way.
+        """
         fresh, self.index.fresh = self.index.fresh, []
         if not fresh:
             return
         self.chars += sum(map(len, fresh))
-        base, known, model = len(self.size), self.index, self.tokenizer.model
-        made: list[list[int] | None] = [None] * len(fresh)
+        base, known, tokenize, tails = len(self.size), self.index, self.tokenizer.model.tokenize, self.tails
+        plain, spaced, letters = self.style != "whole", self.style == "spaced", self.letters
+        made: list[list[int]] = []
         memo: dict[str, list[int]] = {}
         odd = []
         for i, piece in enumerate(fresh):
-            split = self._stem(piece) if self.style != "whole" and piece else None
-            if split is None:
-                odd.append(i)
-                continue
-            stem, tail = split
+            end = tails.get(piece[-1:])
+            stem = piece[:-1] if end else piece
             ids = memo.get(stem)
             if ids is None:
-                at = known.get(stem, base)
+                gap = spaced and stem[:1] == " "
+                word = stem[1:] if gap else stem
+                if not plain or not word.isalpha() or not (spaced or word.isascii() or unicodedata.is_normalized("NFC", word)):
+                    odd.append(i)
+                    made.append([])
+                    continue
+                at = known.get(stem, base) if end else base
                 if at < base:
                     ids = self.ids[self.first[at] : self.first[at] + self.size[at]].tolist()
                 else:
-                    ids = [t.id for t in model.tokenize("".join([self.letters[b] for b in stem.encode()]))]
+                    shown = word if word.isascii() else "".join([letters[b] for b in word.encode()])
+                    ids = [t.id for t in tokenize(letters[32] + shown if gap else shown)]
                 memo[stem] = ids
-            made[i] = ids + self.tails[tail] if tail else ids
+            made.append(ids + end if end else ids)
         if odd:
             out = self.tokenizer.encode([fresh[i] for i in odd], is_pretokenized=True, add_special_tokens=False)
-            for i in odd:
-                made[i] = []
             for number, owner in zip(out.ids, out.word_ids, strict=True):
                 made[odd[owner]].append(number)
         size = np.fromiter(map(len, made), np.int64, len(made))
@@ -139,7 +135,7 @@ class CachedEncoder:
             return own if len(text.split()) == len(own) and own[0] else None
         if self.style == "dropped" and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
             # lower case comes first, so that fewer pieces differ; two letters lower-case by context or to several
-            return text.split() if "\u03a3" in text or "\u0130" in text else text.lower().split()
+            return None if "\u03a3" in text or "\u0130" in text else text.lower().split()
         return None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,3 +170,91 @@ class CachedEncoder:
                 total[i] = len(parts[-1])
             ids = np.concatenate(parts) if parts else ids
         return ids, np.concatenate([[0], np.cumsum(total)])
+
+
+#: Bytes after which a text is encoded whole: control characters and the apostrophe of contractions.
+_PLAIN = np.array([not (b == 39 or b == 127 or b < 9 or 13 < b < 32) for b in range(256)])
+
+
+class RunEncoder:
+    """Ids of texts given as UTF-8 buffers, for a tokenizer that drops white space and lowers case.
+
+    Such a tokenizer cuts a text into runs of letters, digits and marks, and the ids of a
+    run don't depend on what is around it. Runs are hashed as whole buffers, so a Python
+    string is made only for a run that the cache (by 64-bit hash) doesn't know. Texts with
+    control characters, contractions, or letters beyond ASCII that aren't plain, are encoded whole.
+    """
+
+    def __init__(self, path: str, entries: int = 1_000_000):
+        base = CachedEncoder(path)
+        if base.style != "dropped":
+            raise ValueError("the tokenizer keeps white space or case")
+        self.tokenizer, self.letters, self.entries = base.tokenizer, base.letters, entries
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index, self.ids = _Index(), np.zeros(0, np.uint32)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.odd = np.zeros(0, bool)
+
+    def _run_ids(self, raw: bytes) -> list[int] | None:
+        """Ids of one run, None if its text has to be encoded whole."""
+        if raw.isalpha():  # ASCII letters
+            return [t.id for t in self.tokenizer.model.tokenize(raw.decode().lower())]
+        if raw[0] < 128 and raw.isascii():
+            run = raw.decode()
+            return self.tokenizer.encode(run.lower(), add_special_tokens=False).ids if not any(c.isalpha() for c in run) else None
+        word = raw.decode()
+        if "\u03a3" in word or "\u0130" in word:
+            return None
+        word = word.lower()
+        if not word.isalpha() or not unicodedata.is_normalized("NFC", word):
+            return None
+        return [t.id for t in self.tokenizer.model.tokenize("".join([self.letters[b] for b in word.encode()]))]
+
+    def _learn(self, runs: list[bytes]) -> None:
+        made = [self._run_ids(r) for r in runs]
+        size = np.fromiter((len(m) if m else 0 for m in made), np.int64, len(made))
+        self.odd = np.concatenate([self.odd, np.fromiter((m is None for m in made), bool, len(made))])
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(m for m in made if m), np.uint32, int(size.sum()))])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ptr): text i has ``ids[ptr[i]:ptr[i + 1]]``."""
+        if len(self.index) > self.entries:
+            self._clear()
+        n = len(offsets) - 1
+        words = Words(data, offsets, words="runs")
+        seen = np.unique(words.hash)
+        inverse = np.searchsorted(seen, words.hash)
+        known = len(self.index)
+        number = np.fromiter(map(self.index.__getitem__, seen.tolist()), np.int64, len(seen))
+        self.index.fresh = []
+        fresh = np.flatnonzero(number >= known)
+        if len(fresh):
+            example = np.zeros(len(seen), np.int64)
+            example[inverse] = np.arange(len(inverse))
+            raw = data.tobytes()
+            self._learn([raw[s:e] for s, e in zip(words.start[example[fresh]].tolist(), words.end[example[fresh]].tolist(), strict=True)])
+        at = number[inverse]
+        whole = np.zeros(n, bool)
+        whole[np.searchsorted(offsets, np.flatnonzero(~_PLAIN[data]), "right") - 1] = True
+        whole[np.searchsorted(words.ptr, np.flatnonzero(self.odd[at]), "right") - 1] = True
+        size = self.size[at]
+        if whole.any():
+            size[np.repeat(whole, np.diff(words.ptr))] = 0
+        filled = np.concatenate([[0], np.cumsum(size)])
+        shift = np.repeat(self.first[at] - filled[:-1], size)
+        ids, ptr = self.ids[shift + np.arange(len(shift))], filled[words.ptr]
+        if whole.any():
+            rows = np.flatnonzero(whole).tolist()
+            raw = data.tobytes()
+            made = self.tokenizer.encode_batch([raw[offsets[i] : offsets[i + 1]].decode() for i in rows], add_special_tokens=False)
+            total = np.diff(ptr)
+            parts = np.split(ids, ptr[1:-1])
+            for i, m in zip(rows, made, strict=True):
+                parts[i] = np.array(m.ids, np.uint32)
+                total[i] = len(parts[i])
+            ids, ptr = np.concatenate(parts), np.concatenate([[0], np.cumsum(total)])
+        return ids, ptr

@@ -21,23 +21,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lattica.llm.text import U64, mix, text_runs
-from lattica.llm.tokenstore import encoded_with_end
+from lattica.llm.encode import CachedEncoder, RunEncoder
+from lattica.llm.text import U64, bound_batches, chunks, mix, utf8
+from lattica.llm.tokenstore import encoder, with_end
 from lattica.session import write_and_reread
 
 # The usual BM25 constants.
 K1, B = 1.2, 0.75
 
 
-def _encode(path: str, end_id: int, kind: str):
+def _encode(path: str, end_id: int, kind: str, runs: bool):
     """(doc_id, n, key, ids): the ids with the end id, and the minimum hash of their pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in text_runs(batch.column(1)):
-                ids = list(encoded_with_end(texts, path, end_id))
-                keys = [int(mix((x[:-1].astype(U64) << U64(32)) + x[1:], 31).min().astype(np.int64)) if len(x) > 1 else 0 for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([len(x) for x in ids], pa.int64()), pa.array(keys, pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], ["doc_id", "n", "key", "ids"])
+            for rows, data, offsets in chunks(batch, "text", 1 << 20):
+                if runs:
+                    ids, ptr = encoder(path, RunEncoder).encode(data, offsets)
+                else:
+                    ids, ptr = encoder(path).encode([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+                ids, ptr = with_end(ids, ptr, end_id)
+                pairs = mix((ids[:-1].astype(U64) << U64(32)) + ids[1:], 31) if len(ids) > 1 else np.zeros(1, U64)
+                pairs[ptr[1:-1] - 1] = np.iinfo(U64).max  # from one text to the next
+                keys = np.minimum.reduceat(np.append(pairs, np.iinfo(U64).max), ptr[:-1]).view(np.int64)
+                raw = ids.astype(kind).tobytes()
+                spots = (ptr * np.dtype(kind).itemsize).astype(np.int32)
+                held = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer(spots.tobytes()), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(ptr)), pa.array(keys), held], ["doc_id", "n", "key", "ids"])
 
     return run
 
@@ -143,9 +153,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: st
     and only the id and text columns are read. A shard holds ``shard_tokens`` ids on
     average, and has to hold its longest document whole.
     """
+    bound_batches(docs)
     kind = "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    encoded = write_and_reread(narrow.mapInArrow(_encode(tokenizer_path, end_id, kind), "doc_id long, n long, key long, ids binary"), "packing-ids")
+    runs = CachedEncoder(tokenizer_path).style == "dropped"
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    encoded = write_and_reread(narrow.mapInArrow(_encode(tokenizer_path, end_id, kind, runs), "doc_id long, n long, key long, ids binary"), "packing-ids")
     total = encoded.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     # copies share a key, so the hash of the id deals them out

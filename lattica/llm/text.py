@@ -6,6 +6,7 @@ for a word. Memory follows ``CHUNK_BYTES``, or the longest single text if that i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
+BATCH_BYTES = 1 << 20
 U64 = np.uint64
 _MUL = U64(0x9E3779B97F4A7C15)
 
@@ -33,7 +35,8 @@ def byte_tables(lower: bool, words: str) -> tuple[np.ndarray, np.ndarray]:
     """(value of each byte, its class); a word is a run of bytes of one class, class 0 separates.
 
     words: 'space' cuts at ASCII white space; 'alnum' keeps digits, letters and all beyond
-    ASCII; 'marks' also takes runs of other visible characters as words.
+    ASCII; 'marks' also takes runs of other visible characters as words; 'runs' takes
+    runs of letters, of digits and of everything else but white space.
     """
     key = f"{lower}{words}"
     if key not in _TABLES:
@@ -45,8 +48,10 @@ def byte_tables(lower: bool, words: str) -> tuple[np.ndarray, np.ndarray]:
             kind = ~space
         elif words == "alnum":
             kind = letter
-        else:
+        elif words == "marks":
             kind = np.where(letter, 1, np.where((codes > 32) & (codes < 127), 2, 0))
+        else:
+            kind = np.where((codes >= 48) & (codes <= 57), 2, np.where(letter, 1, np.where(space, 0, 3)))
         _TABLES[key] = mix(kept.astype(U64), 77), kind.astype(np.uint8)
     return _TABLES[key]
 
@@ -146,6 +151,15 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         row = last
 
 
+def bound_batches(docs: DataFrame) -> None:
+    """Have the session pass texts to Python in Arrow batches of about BATCH_BYTES, whatever their rows hold."""
+    conf = docs.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(name, None) or "")
+    if not now or int(now[1]) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+
 def utf8(text: Column | str) -> Column:
     """The text as UTF-8 bytes, null as none."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
@@ -153,6 +167,7 @@ def utf8(text: Column | str) -> Column:
 
 def filter_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
     """The rows of ``docs``, with all columns, whose text passes. judge: makes, once a task, a function from texts (null as empty) to a mask."""
+    bound_batches(docs)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +181,7 @@ def filter_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[li
     return docs.mapInArrow(run, docs.schema)
 
 
-def text_runs(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def text_runs(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of runs of about ``limit`` characters; null is empty."""
     run: list[str] = []
     size = first = 0

@@ -32,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.encode import CachedEncoder
-from lattica.llm.text import text_runs
+from lattica.llm.encode import CachedEncoder, RunEncoder
+from lattica.llm.text import bound_batches, text_runs
 from lattica.session import scratch_path
 
 # Fixed values of the zstd seekable format.
@@ -42,21 +42,24 @@ SEEK_MAGIC = 0x184D2A5E
 SEEK_FOOTER = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
-_ENCODERS: dict[str, CachedEncoder] = {}
+_ENCODERS: dict[tuple, CachedEncoder | RunEncoder] = {}
 
 
-def encoder(path: str) -> CachedEncoder:
-    """One cached encoder per worker process and tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = CachedEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, kind: type = CachedEncoder) -> CachedEncoder | RunEncoder:
+    """One encoder per worker process, tokenizer file and kind."""
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS[path, kind] = kind(path)
+    return _ENCODERS[path, kind]
 
 
-def encoded_with_end(texts: list[str], path: str, end_id: int) -> Iterator[np.ndarray]:
-    """Ids of each text followed by ``end_id``."""
-    ids, ptr = encoder(path).encode(texts)
-    for i in range(len(texts)):
-        yield np.append(ids[ptr[i] : ptr[i + 1]], np.uint32(end_id)).astype(np.uint32)
+def with_end(ids: np.ndarray, ptr: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ptr) with ``end_id`` after each text's ids."""
+    out = np.full(len(ids) + len(ptr) - 1, end_id, np.uint32)
+    keep = np.ones(len(out), bool)
+    ptr = ptr + np.arange(len(ptr))
+    keep[ptr[1:] - 1] = False
+    out[keep] = ids
+    return out, ptr
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -153,6 +156,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     a lost executor or a repeated task leaves an unlisted file at worst.
     """
     spark = docs.sparkSession
+    bound_batches(docs)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), narrow.rdd.getNumPartitions())
     ordered = narrow.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
@@ -167,9 +171,10 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
             writer = FrameWriter(sink, level, frame_tokens)
             for batch in batches:
                 names = batch.column(0).to_pylist()
-                for first, texts in text_runs(batch.column(1)):
-                    for i, ids in enumerate(encoded_with_end(texts, tokenizer_path, end_id)):
-                        writer.add(names[first + i], ids)
+                for first, texts in text_runs(batch.column(1), 1 << 20):
+                    ids, ptr = with_end(*encoder(tokenizer_path).encode(texts), end_id)
+                    for i in range(len(texts)):
+                        writer.add(names[first + i], ids[ptr[i] : ptr[i + 1]])
             writer.close()
         yield pa.RecordBatch.from_pylist([{"part": part, "file": path.rsplit("/", 1)[1], "n_docs": writer.n_docs, "n_tokens": writer.n_tokens}], pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
