@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import U64, Words, chunks, filter_rows, joined, mix, utf8
+from lattica.llm.text import U64, Words, bound_batches, chunks, filter_rows, joined, mix, utf8
 
 # The usual BM25 constants.
 K1, B = 1.2, 0.75
@@ -243,6 +243,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     score take the earlier passage. Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(docs)
     kinds = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     parts = [inputs.mapInArrow(_scan(spark.sparkContext.broadcast(index), window, threshold, overlap), kinds) for index in _indexes(items, item_col, item_text, grams, index_items)]

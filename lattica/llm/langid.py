@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import U64, crc_mod, filter_rows, mix, text_runs
+from lattica.llm.text import U64, bound_batches, crc_mod, filter_rows, mix, text_runs
 
 DIM = 1024
 CACHE = 16_384
@@ -64,7 +64,7 @@ class Space:
 
     def _clear(self) -> None:
         self.row: dict[int, int] = {}
-        self.vectors = np.zeros((1024, self.dim), np.float32)
+        self.vectors = np.zeros((1024, self.dim), np.int8)
 
     def _letter(self, code: int) -> np.ndarray:
         if code not in self.letter:
@@ -97,9 +97,9 @@ class Space:
         if not len(grams):
             return None
         out = np.zeros(self.dim, np.float32)
-        for at in range(0, len(grams), 4096):
-            rows = self.rows(grams[at : at + 4096])
-            out += counts[at : at + 4096].astype(np.float32) @ self.vectors[rows]
+        for at in range(0, len(grams), 1024):
+            rows = self.rows(grams[at : at + 1024])
+            out += counts[at : at + 1024].astype(np.float32) @ self.vectors[rows].astype(np.float32)
         return out
 
 
@@ -116,6 +116,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langua
     Documents with a language and crc32(doc_id) mod 3 other than 1 are taken in whole hash
     buckets of their id, so the bound holds and every run takes the same ones.
     """
+    bound_batches(docs)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull())
     known = known.filter(F.coalesce(crc_mod("id", 3), F.lit(0)) != 1).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)))
     last: dict[str, int] = {}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import U64, Words, chunks, crc_mod, mix, utf8
+from lattica.llm.text import U64, Words, bound_batches, chunks, crc_mod, mix, utf8
 
 BITS = 18
 SLOTS = 1 << BITS
@@ -123,6 +123,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: list[Column], i
             break
         taken, last = taken + row["count"], row["bucket"]
     some = known.filter(F.col("bucket") <= last).groupBy("id").agg(F.first("h").alias("h"), *[F.max(n).alias(n) for n in names])
+    bound_batches(docs)
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     return texts.join(F.broadcast(some), "id").select(F.col("h").alias("order"), "text", *names)
 
