@@ -4,7 +4,8 @@ Documents that share a link value (equal texts, in the registered query) form a
 the group stands for the links between its members, so that none is written out. The
 state is a row for each group and shard with the number of members there, never a row a
 link. A document starts in a shard by hash. Each round joins the state with each group's
-label, the shard that holds most of it, and members move there under quotas: for each
+label, the shard that holds most of it (a group larger than a shard has as many labels
+as it needs shards), and members move there under quotas: for each
 pair of shards the demand is summed, and the flows are scaled so that no shard leaves
 its capacity. At the end shards give up what exceeds their exact count, whole groups
 where they can, and singles and the released members fill the rest.
@@ -61,10 +62,13 @@ def _propagate(state: DataFrame, shards: int, targets: np.ndarray, sizes: np.nda
     """Rounds of label propagation over (grp, shard, n); the table has a row per group and shard."""
     low, high = np.zeros(shards), targets * (1 + slack)  # singles fill what the groups leave
     for turn in range(rounds):
-        # of equally strong shards the label is the one that the group's hash ranks first
-        strong = F.struct("n", F.xxhash64("grp", "shard").alias("h"), "shard")
-        label = state.groupBy("grp").agg(F.max(strong).alias("top")).select("grp", F.col("top.shard").alias("label"))
-        wish = write_and_reread(state.join(label, "grp"), "shard-wish")
+        # a group's labels are its strongest shards, as many as it needs; the group's hash breaks ties
+        own = Window.partitionBy("grp")
+        ranked = state.withColumn("r", F.row_number().over(own.orderBy(F.desc("n"), F.xxhash64("grp", "shard"), "shard")) - 1)
+        ranked = ranked.withColumn("k", F.ceil(F.sum("n").over(own) / F.lit(float(max(targets.min(), 1.0)))))
+        ranked = write_and_reread(ranked.withColumn("pick", F.when(F.col("r") < F.col("k"), F.col("r")).otherwise((F.col("r") + turn) % F.col("k"))), "shard-ranked")
+        label = ranked.filter("r < k").select("grp", F.col("r").alias("pick"), F.col("shard").alias("label"))
+        wish = write_and_reread(ranked.join(label, ["grp", "pick"]).select("grp", "shard", "n", "label"), "shard-wish")
         moved = np.zeros((shards, shards))
         for r in wish.filter("shard <> label").groupBy("shard", "label").agg(F.sum("n").alias("n")).collect():  # shards**2 rows
             moved[r["shard"], r["label"]] = r["n"]
