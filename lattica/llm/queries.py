@@ -54,4 +54,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_balanced_propagation, op2_hyperdimensional_langid, op3_toxicity_chain, op4_jaccard_join, op5_license_automaton, op6_quality_ftrl, op7_ngram_ratio_rules, op8_retrieval_packing, op9_wand_decontamination, op10_token_files)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_jaccard_join": r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT u, v FROM both_ JOIN size p ON p.doc_id = u JOIN size q ON q.doc_id = v WHERE 100 * c >= 75 * (p.n + q.n - c)),
+side AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach AS (SELECT DISTINCT u AS node, u AS low FROM side UNION SELECT side.v, reach.low FROM reach JOIN side ON side.u = reach.node),
+part AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
+SELECT doc.doc_id, coalesce(size.n, 0) AS n_shingles, coalesce(part.low, doc.doc_id) AS component_id
+FROM doc LEFT JOIN size ON size.doc_id = doc.doc_id LEFT JOIN part ON part.node = doc.doc_id
+""",
+}
