@@ -254,7 +254,7 @@ def test_license_base_and_labels(spark, sf, docs, odd):
         starts = [i for p in licenses.PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
         got = made[r.doc_id]
         assert (got.n_words, got.n_base, got.first_word, got.last_word) == (len(words), len(starts), min(starts, default=None), max(starts, default=None))
-    rows = spark.createDataFrame([(1, "x Permission is hereby granted, free of charge, to any person OBTAINING a copy of this software and some associated documentation files"), (2, "the mit license; MIT-License cc by cc by"), (3, None)], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, "x Permission is hereby granted, free of charge, to any person OBTAINING a copy of this software and some associated documentation files the software"), (2, "the mit license; MIT-License cc by cc by"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan_licenses(rows).collect()}
     assert got[1].labels == "mit-permission" and got[1].base_labels == "" and 0.6 <= got[1].score < 1 and got[1].spans[0].first_word == 1
     assert (got[2].n_base, got[2].base_labels, got[2].first_word, got[2].last_word) == (4, "cc-by,mit", 1, 7) and (got[3].n_words, got[3].labels, got[3].score) == (0, "", 0.0)
