@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.sampling import hash_sample
 from lattica.llm.text import U64, bound_batches, crc_mod, filter_rows, mix, text_runs
 
 DIM = 1024
 CACHE = 16_384
-BUCKETS = 1024
 UNKNOWN = "und"
 
 _BMP: list[np.ndarray] = []
@@ -114,27 +114,16 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langua
     """(languages, unit prototypes) from at most ``per_language`` documents a language.
 
     Documents with a language and crc32(doc_id) mod 3 other than 1 are taken in whole hash
-    buckets of their id, so the bound holds and every run takes the same ones.
+    buckets of their id, so the bound holds and every run takes the same ones. The driver
+    sees the languages' names and the prototypes.
     """
     bound_batches(docs)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull())
-    known = known.filter(F.coalesce(crc_mod("id", 3), F.lit(0)) != 1).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)))
-    last: dict[str, int] = {}
-    taken: dict[str, int] = {}
-    for row in known.groupBy("lang", "bucket").count().orderBy("bucket", "lang").collect():  # BUCKETS rows a language
-        name, n = row["lang"], row["count"]
-        if last.get(name, row["bucket"]) < 0:
-            continue
-        if name in taken and taken[name] + n > per_language:
-            taken[name] = per_language
-            last[name] = -1 - last[name]  # closed
-            continue
-        taken[name], last[name] = taken.get(name, 0) + n, row["bucket"]
-    if not last:
+    known = known.filter(F.coalesce(crc_mod("id", 3), F.lit(0)) != 1)
+    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # languages
+    if not names:
         return [], np.zeros((0, dim), np.float32)
-    bound = {n: (b if b >= 0 else -1 - b) for n, b in last.items()}
-    limit = F.create_map(*[F.lit(x) for pair in bound.items() for x in pair])
-    sample = known.filter(F.col("bucket") <= limit[F.col("lang")]).select("lang", "text")
+    sample = hash_sample(known, F.xxhash64("id"), per_language, "lang").select("lang", "text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -148,10 +137,9 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langua
                         sums[name] = sums.get(name, 0) + made.astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], ["lang", "sums"])
 
-    total = {name: np.zeros(dim) for name in bound}
+    total = {name: np.zeros(dim) for name in names}
     for row in sample.repartition(8).mapInArrow(bundle, "lang string, sums array<double>").collect():  # 8 rows a language
         total[row["lang"]] += np.array(row["sums"])
-    names = sorted(total)
     made = np.array([total[n] for n in names])
     return names, (made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 

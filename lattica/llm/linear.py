@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.sampling import hash_sample
 from lattica.llm.text import U64, Words, bound_batches, chunks, crc_mod, mix, utf8
 
 BITS = 18
 SLOTS = 1 << BITS
 REPEAT = U64(0x5EED)
 SHARES = (64, 16, 4)
-BUCKETS = 4096
 
 
 def features(data: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
@@ -116,13 +116,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: list[Column], i
     names = [f"y{i}" for i in range(len(targets))]
     known = labels.select(F.col(id_col).alias("id"), *[t.cast("int").alias(n) for t, n in zip(targets, names, strict=True)]).dropna()
     known = known.filter(crc_mod("id", 3) != 1).withColumn("h", F.xxhash64("id"))
-    known = known.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    taken, last = 0, -1
-    for row in known.groupBy("bucket").count().orderBy("bucket").collect():  # a row a bucket
-        if taken + row["count"] > most and taken:
-            break
-        taken, last = taken + row["count"], row["bucket"]
-    some = known.filter(F.col("bucket") <= last).groupBy("id").agg(F.first("h").alias("h"), *[F.max(n).alias(n) for n in names])
+    some = hash_sample(known, F.col("h"), most).groupBy("id").agg(F.first("h").alias("h"), *[F.max(n).alias(n) for n in names])
     bound_batches(docs)
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     return texts.join(F.broadcast(some), "id").select(F.col("h").alias("order"), "text", *names)

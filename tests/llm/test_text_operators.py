@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lattica.llm import decontam, encode, jaccard, langid, licenses, packing, quality, queries, rules, sharding, text, tokenstore, toxicity
+from lattica.llm import decontam, encode, jaccard, langid, licenses, packing, quality, queries, rules, sampling, sharding, text, tokenstore, toxicity
 from lattica.session import scratch_path
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long, _link string, n long, label int"
@@ -450,3 +450,13 @@ def test_words_and_shingles():
     data, offsets = text.joined(body)
     words = text.Words(data, offsets)
     assert np.diff(words.ptr).tolist() == [3, 0, 1, 6] and np.diff(words.shingles(5)[1]).tolist() == [1, 0, 1, 2]
+
+
+def test_samples_are_bounded_at_any_size(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 5 == 0, "a").otherwise("b").alias("g"))
+    for most in (1, 40, 900, 4000, 9000):
+        one = sampling.hash_sample(rows, F.xxhash64("id"), most)
+        assert one.count() <= most and (most < 5000 or one.count() == 5000) and (most < 40 or one.count() > most / 3 or one.count() == 5000)
+        assert {r.g: r["count"] for r in sampling.hash_sample(rows, F.xxhash64("id"), most, "g").groupBy("g").count().collect()}.get("b", 0) <= most
+    assert sampling.hash_sample(rows.limit(0), F.xxhash64("id"), 10).count() == 0
+    assert sampling.hash_sample(rows, F.lit(7), 10).count() == 0  # one hash value cannot be cut
