@@ -220,8 +220,7 @@ def _nearest_segment(positions: DataFrame, segs: DataFrame) -> DataFrame:
     p, a, b = vec.point("", 2), vec.point("a", 2), vec.point("b", 2)
     near = geom.closest_on_segment(p, a, b)
     extra = {f"p{c}": vec.round_half_up(v).cast("long") for c, v in zip("xy", near, strict=True)}
-    keyed = positions.withColumns({"qx": F.col("x"), "qy": F.col("y")}).select("x", "y")
-    return spatial.nearest(keyed, segs, geom.point_segment_distance2(p, a, b), ["x", "y"], p, (vec.least(a, b), vec.greatest(a, b)), "label", [], SIDE, extra)
+    return spatial.nearest(positions.select("x", "y"), segs, geom.point_segment_distance2(p, a, b), ["x", "y"], p, (vec.least(a, b), vec.greatest(a, b)), "label", [], SIDE, extra)
 
 
 @query(f"WITH {oracle.tree()}, {oracle.VERTICES}, {oracle.nearest('vert')} SELECT x, y, label, round(d2, 4) AS d2 FROM near")
