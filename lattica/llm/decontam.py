@@ -6,7 +6,10 @@ language. A passage's score for an item is the BM25 sum of the item's weights fo
 passage's distinct terms, divided by the same sum for all of the item's terms, so 1
 means that every term of the item is in the passage. All items that reach ``threshold`` are retrieved: a passage whose best
 possible sum is too small is passed over; for the others, WAND moves from pivot to pivot
-and the largest weight of each block of items rules out blocks. Retrieved pairs are
+and the largest weight of each block of items rules out blocks. An item longer than a
+passage is indexed as overlapping segments, each with its own sum, and its score is its best
+segment's: a segment of half a window and a word is whole in some passage wherever it
+stands, so a copy of an item of any length is retrieved. Retrieved pairs are
 verified on word n-grams of the passage with as many words around it as the item has:
 both the item's question and its answer have to be there. The question is the first
 three quarters of the words, the answer the rest.
@@ -43,10 +46,22 @@ def _grams(words: list[int], size: int) -> set[tuple[int, ...]]:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
 
 
+def segments(n: int, window: int, threshold: float) -> list[tuple[int, int]]:
+    """(first word, end) of the parts under which an item of ``n`` words is indexed; every pair of words is in one.
+
+    At most ``window`` words are held by two passages, so one of them holds half of the sum,
+    and they stay whole where half is enough.
+    """
+    size = window // 2 + 1
+    if n <= (window if threshold <= 0.5 else size):
+        return [(0, n)]
+    return [(at, at + size) for at in [*range(0, n - size, max(size // 2, 1)), n - size]]
+
+
 class ItemIndex:
-    """Postings of the items' terms with normalised BM25 weights, and their maxima by term and by block."""
+    """Postings of the items' segments' terms with normalised BM25 weights, and their maxima by term and by block."""
 
-    def __init__(self, items: list[tuple[int, str]], grams: int):
+    def __init__(self, items: list[tuple[int, str]], grams: int, window: int = 64, threshold: float = 0.4):
         self.ids = [i for i, _ in items]
         self.grams = grams
         self.words = [_hashes(t) for _, t in items]
@@ -56,17 +71,22 @@ class ItemIndex:
             self.question.append(_grams(own[:cut], grams))
             self.answer.append(_grams(own[cut:] or own, grams))
         n = len(items)
-        terms = [_pairs(np.array(own, U64)).tolist() for own in self.words]
-        mean = max(sum(map(len, terms)) / max(n, 1), 1)
+        self.item: list[int] = []  # of each segment
+        terms: list[list[int]] = []
         tf: list[dict[int, int]] = []
         df: dict[int, int] = {}
-        for own in terms:
-            count: dict[int, int] = {}
-            for w in own:
-                count[w] = count.get(w, 0) + 1
-            tf.append(count)
-            for w in count:
+        for i, own in enumerate(self.words):
+            pairs = _pairs(np.array(own, U64)).tolist()
+            for low, high in segments(len(own), window, threshold):
+                self.item.append(i)
+                terms.append(pairs[low : high - 1])
+                count: dict[int, int] = {}
+                for w in terms[-1]:
+                    count[w] = count.get(w, 0) + 1
+                tf.append(count)
+            for w in set(pairs):
                 df[w] = df.get(w, 0) + 1
+        mean = max(sum(map(len, terms)) / max(len(terms), 1), 1)
         self.vocabulary = np.array(sorted(df), np.uint64)
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.vocabulary >> U64(48)).astype(np.int64)] = True
@@ -89,7 +109,7 @@ class ItemIndex:
         return out
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All (item, score) with a score of at least ``threshold``, by block-max WAND over the distinct terms."""
+        """All (segment, score) with a score of at least ``threshold``, by block-max WAND over the distinct terms."""
         slack = threshold - 1e-9
         cursors = [[self.postings[t][0][0], 0, t] for t in terms]  # current item, position, term
         found = []
@@ -181,7 +201,11 @@ def find(data: np.ndarray, offsets: np.ndarray, index: ItemIndex, window: int, t
     best: dict[tuple[int, int], tuple] = {}
     words = Words(data, offsets, words="alnum")
     for d, start, terms in passages(words, index, window, threshold):
-        for item, score in index.search(terms, threshold):
+        scores: dict[int, float] = {}
+        for segment, score in index.search(terms, threshold):
+            item = index.item[segment]
+            scores[item] = max(scores.get(item, 0.0), score)
+        for item, score in scores.items():
             size = len(index.words[item])
             low, high = words.ptr[d] + max(start - size, 0), min(words.ptr[d] + start + window + size, words.ptr[d + 1])
             asked, answered = index.verify(item, words.hash[low:high].tolist())
@@ -205,17 +229,22 @@ def _scan(shared, window: int, threshold: float, overlap: float):
     return run
 
 
-def _indexes(items: DataFrame, item_col: str, item_text: str, grams: int, index_items: int) -> Iterator[ItemIndex]:
-    """Indexes of at most ``index_items`` items each."""
+def _indexes(items: DataFrame, item_col: str, item_text: str, grams: int, index_items: int, window: int, threshold: float) -> Iterator[ItemIndex]:
+    """Indexes of at most ``index_items`` segments each, or one item."""
     held: list[tuple[int, str]] = []
+    size = 0
     for row in items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).orderBy("i", "t").toLocalIterator():
-        if row["t"] and len(_hashes(row["t"])) > 1:
-            held.append((row["i"], row["t"]))
-        if len(held) == index_items:
-            yield ItemIndex(held, grams)
-            held = []
+        n = len(_hashes(row["t"])) if row["t"] else 0
+        if n < 2:
+            continue
+        more = len(segments(n, window, threshold))
+        if held and size + more > index_items:
+            yield ItemIndex(held, grams, window, threshold)
+            held, size = [], 0
+        held.append((row["i"], row["t"]))
+        size += more
     if held:
-        yield ItemIndex(held, grams)
+        yield ItemIndex(held, grams, window, threshold)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 64, threshold: float = 0.4, overlap: float = 0.5, grams: int = 3, index_items: int = 20_000) -> DataFrame:
@@ -229,7 +258,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
 
         return lambda: passes
 
-    for index in _indexes(items, item_col, item_text, grams, index_items):
+    for index in _indexes(items, item_col, item_text, grams, index_items, window, threshold):
         docs = filter_rows(docs, text_col, judge(docs.sparkSession.sparkContext.broadcast(index)))
     return docs
 
@@ -237,7 +266,8 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 64, threshold: float = 0.4, overlap: float = 0.5, grams: int = 3, index_items: int = 20_000) -> DataFrame:
     """A row per contaminated pair: doc_id, item_id, score, question_overlap, answer_overlap, first_word (of the best passage).
 
-    Items are indexed ``index_items`` at a time, so what is broadcast is bounded, and the
+    Items are indexed ``index_items`` segments at a time (an item of up to ``window`` words is
+    one), so what is broadcast is bounded, and the
     documents are read once per index. Null and empty texts, and items of less than two
     words, are in no pair. Rows that repeat a doc_id or an item_id give their own rows; ties of a
     score take the earlier passage. Empty tables give no rows; other columns are ignored.
@@ -246,7 +276,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     bound_batches(docs)
     kinds = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    parts = [inputs.mapInArrow(_scan(spark.sparkContext.broadcast(index), window, threshold, overlap), kinds) for index in _indexes(items, item_col, item_text, grams, index_items)]
+    parts = [inputs.mapInArrow(_scan(spark.sparkContext.broadcast(index), window, threshold, overlap), kinds) for index in _indexes(items, item_col, item_text, grams, index_items, window, threshold)]
     out = parts[0] if parts else spark.createDataFrame([], kinds)
     for part in parts[1:]:
         out = out.unionAll(part)

@@ -425,6 +425,24 @@ def test_decontamination_finds_whole_items_only(spark, sf, docs, odd):
     assert decontam.contaminated(odd, items).count() == 0 and decontam.contaminated(odd, items.limit(0)).count() == 0 and decontam.contaminated(odd.limit(0), items).count() == 0
 
 
+def test_long_items_are_found(spark):
+    rng = random.Random(9)
+    said = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(3000)}" for _ in range(n)]
+    texts = {n: said(n) for n in (65, 170, 300, 1000)}
+    planted = [(1000 * n + at, n, " ".join(said(at) + words + said(90))) for n, words in texts.items() for at in (0, 7, 31, 150)]
+    planted += [(n, None, " ".join(said(40) + words[: n // 2] + said(400))) for n, words in texts.items()]  # without the answer
+    rows = spark.createDataFrame([(i, t) for i, _, t in planted], "doc_id long, text string")
+    items = spark.createDataFrame([(n, " ".join(words)) for n, words in texts.items()], "item_id long, text string")
+    for most in (20_000, 3):
+        got = [(r.doc_id, r.item_id) for r in decontam.contaminated(rows, items, index_items=most).collect()]
+        assert sorted(got) == sorted((i, n) for i, n, _ in planted if n)
+        assert {r.doc_id for r in decontam.keep_clean(rows, items, index_items=most).collect()} == set(texts)
+    for n in (2, 33, 34, 64, 65, 81, 82, 500):
+        for threshold in (0.4, 0.9):
+            parts = decontam.segments(n, 64, threshold)
+            assert {p for low, high in parts for p in range(low, high - 1)} == set(range(n - 1)) and all(0 <= low < high <= n for low, high in parts)
+
+
 # the pipeline
 
 
