@@ -6,7 +6,9 @@ sample), the raw one over every document. Every second trusted document is left
 the target; those set the threshold, as the others score too well. A document's score is the sum of its buckets'
 log ratios divided by its number of n-grams. Ratios are whole millionths, so sums, scores
 and verdicts don't depend on the order of rows. A document passes when its score is not
-below the left-out trusted documents' mean less ``sigmas`` standard deviations.
+below a cut between the left-out trusted documents and those labelled quality 0: the
+cut that makes ``care`` times the share of the first that pass, plus the share of the second that
+fail, largest. Both shares count documents that pass the base.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from lattica.llm.text import crc_mod
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 UNIT = 1_000_000
+# Score units between two cuts that are tried: half a thousandth.
+STEP = 500
 
 
 def _let(value: Column, body) -> Column:
@@ -80,6 +84,26 @@ def trusted_ids(labels: DataFrame, id_col: str, label_col: str, most: int) -> Da
     return some.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("fold")).distinct()
 
 
+def left_out_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(doc_id, good): every labelled id that may set the threshold, trusted ones of fold 1 (good 1) and ids labelled 0 (good 0)."""
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("good"))
+    known = known.filter(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("good").cast("int").alias("good"))
+    return known.filter("good = 0 OR pmod(xxhash64(doc_id, 1), 2) = 1")
+
+
+def best_cut(good: dict[int, int], bad: dict[int, int], care: float) -> int:
+    """The cut for which ``care`` times the share of ``good`` (cut -> count) at or above it, plus the share of ``bad`` below it, is largest; the middle of the lowest range of such cuts."""
+    cuts = sorted(good.keys() | bad.keys())
+    all_good, all_bad = sum(good.values()), sum(bad.values())
+    gains = []
+    above, below = all_good, 0
+    for cut in cuts:
+        gains.append(care * above * all_bad + below * all_good)
+        above, below = above - good.get(cut, 0), below + bad.get(cut, 0)
+    best = gains.index(max(gains))
+    return (cuts[best - 1] + 1 + cuts[best]) // 2 if best else cuts[0]
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, slots: int) -> Column:
     """The model as an array literal of ``slots`` whole numbers: the log ratios in millionths."""
     flagged = docs.join(F.broadcast(trusted.filter("fold = 0").select("doc_id", F.lit(1).alias("target"))), "doc_id", "left")
@@ -94,11 +118,13 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, slots: int) -> Column:
     return F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<bigint>")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", slots: int = 16_384, trusted: int = 16_384, sigmas: float = 6.0) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", slots: int = 16_384, trusted: int = 16_384, sigmas: float = 6.0, care: float = 4.0) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
 
     base_failed: fewer than 10 words, or over a fifth of them in repeated windows. kept:
-    not base_failed and a score of the threshold at least. A null text counts as empty:
+    not base_failed and a score of the threshold at least, which weighs a share of good
+    documents lost ``care`` times as much as a share of bad ones kept. Without documents labelled 0
+    it lies ``sigmas`` standard deviations below the left-out trusted documents' mean. A null text counts as empty:
     no words, base_failed. Repeated ids are judged row by row; without trusted documents
     nothing is known and every document that passes the base is kept. Null ids are judged
     too, an empty table gives no rows, and other columns are ignored.
@@ -112,13 +138,26 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         n = F.greatest(2 * F.size("words") - 1, F.lit(1))
         return rows.withColumn("score_units", F.expr("0L") + F.floor(ratio / n).cast("long"))
 
-    good = plain.join(F.broadcast(known.filter("fold = 1")), "doc_id").select("doc_id", _words("text").alias("words"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    left_out = plain.join(left_out_ids(labels, id_col, label_col), "doc_id").select(F.col("good").alias("doc_id"), "text")  # base_counts carries one column along
     wide = F.col("score_units").cast("decimal(38,0)")
-    n, total, squares = scored(good).agg(F.count(F.lit(1)), F.sum(wide), F.sum(wide * wide)).first()
+    # a filter would be pushed into base_counts and repeat its work for every word
+    tried = scored(base_counts(left_out)).select(F.col("doc_id").alias("good"), failed.alias("failed"), F.floor(F.col("score_units") / STEP).alias("cut"), "score_units").groupBy("good", "failed", "cut")
+    sides: list[dict[int, int]] = [{}, {}]
+    total = squares = 0
+    for row in tried.agg(F.count(F.lit(1)).alias("n"), F.sum(wide).alias("total"), F.sum(wide * wide).alias("squares")).collect():  # at most two rows a side and cut
+        if row["failed"]:
+            continue
+        sides[row["good"]][row["cut"]] = row["n"]
+        if row["good"]:
+            total, squares = total + int(row["total"]), squares + int(row["squares"])
+    bad, good = sides
     least = -(1 << 62)
-    if n:
-        mean = float(total) / n
-        least = math.floor(mean - sigmas * math.sqrt(max(float(squares) / n - mean * mean, 0.0)))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    if good and bad:
+        least = STEP * best_cut(good, bad, care)
+    elif good:
+        n = sum(good.values())
+        mean = total / n
+        least = math.floor(mean - sigmas * math.sqrt(max(squares / n - mean * mean, 0.0)))
     judged = scored(base_counts(plain))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("score_units") >= least)).alias("kept"), (F.col("score_units") / UNIT).alias("score"))

@@ -286,6 +286,18 @@ def test_rule_counts_and_verdicts(spark, sf, docs, labels, odd, no_labels):
     assert rules.quality_rules(odd.limit(0), labels).count() == 0
 
 
+def test_bad_documents_are_rejected(spark):
+    sf = "/root/testdata/sf0.1"
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.op7_ngram_ratio_rules(spark, sf).collect() if r.doc_id in known and not r.base_failed]
+    for held in (False, True):  # held out: no part in the target or in the cut
+        judged = [(r.kept, known[r.doc_id]) for r in rows if (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) == held]
+        good, bad = ([kept for kept, label in judged if label == side] for side in (1, 0))
+        print(f"op7 held out {held}: good kept {sum(good)} of {len(good)}, bad rejected {len(bad) - sum(bad)} of {len(bad)}")
+        assert np.mean(good) > 0.99 and np.mean(bad) < 0.05
+    assert rules.best_cut({5: 8, 9: 2}, {-7: 5, 6: 1}, 4.0) == -1 and rules.best_cut({5: 1, 9: 9}, {-7: 5, 6: 5}, 0.5) == 8
+
+
 # 8 and 10: tokens
 
 
