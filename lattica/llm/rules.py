@@ -1,8 +1,8 @@
 """Quality rules in DataFrame functions only: hashed n-gram log-likelihood ratios and base counts.
 
 Words and word pairs are hashed into ``slots`` buckets. Two multinomials are estimated
-with add-one smoothing: the target over trusted documents (labelled quality 1, a bounded
-sample), the raw one over every document. Every second trusted document is left out of
+with add-one smoothing: the target over trusted documents (labelled quality 1), the raw
+one over every document. Every second trusted document is left out of
 the target; those set the threshold, as the others score too well. A document's score is the sum of its buckets'
 log ratios divided by its number of n-grams. Ratios are whole millionths, so sums, scores
 and verdicts don't depend on the order of rows. A document passes when its score is not
@@ -18,8 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.sampling import hash_sample
 from lattica.llm.text import crc_mod
+from lattica.session import write_and_reread
 
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -76,19 +76,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return counted.select("doc_id", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", _repeated_words(w, F.col("windows")).cast("long").alias("n_repeat_words"))
 
 
-def trusted_ids(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
-    """(doc_id, fold 0 or 1): at most ``most`` ids labelled 1, in whole hash buckets; bounded, so it may be broadcast."""
-    good = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"))
-    good = good.filter(crc_mod("doc_id", 3) != 1)
-    some = hash_sample(good, F.xxhash64("doc_id"), most)
-    return some.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("fold")).distinct()
-
-
-def left_out_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    """(doc_id, good): every labelled id that may set the threshold, trusted ones of fold 1 (good 1) and ids labelled 0 (good 0)."""
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("good"))
-    known = known.filter(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("good").cast("int").alias("good"))
-    return known.filter("good = 0 OR pmod(xxhash64(doc_id, 1), 2) = 1")
+def labelled_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(doc_id, side) of every labelled id that may be learnt from: 0 labelled 0, 1 trusted and left out, 2 trusted and in the target."""
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label"))
+    known = known.filter(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("label").alias("label"))
+    return known.select("doc_id", F.when(F.col("label") == 0, 0).otherwise(F.lit(2) - F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))).cast("int").alias("side"))
 
 
 def best_cut(good: dict[int, int], bad: dict[int, int], care: float) -> int:
@@ -104,21 +96,22 @@ def best_cut(good: dict[int, int], bad: dict[int, int], care: float) -> int:
     return (cuts[best - 1] + 1 + cuts[best]) // 2 if best else cuts[0]
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, slots: int) -> Column:
+def log_ratios(docs: DataFrame, target_docs: DataFrame, slots: int) -> Column:
     """The model as an array literal of ``slots`` whole numbers: the log ratios in millionths."""
-    flagged = docs.join(F.broadcast(trusted.filter("fold = 0").select("doc_id", F.lit(1).alias("target"))), "doc_id", "left")
-    counted = flagged.select(_words("text").alias("words"), F.coalesce("target", F.lit(0)).alias("target"))
-    grams = counted.select("target", F.explode(_grams(F.col("words"), slots)).alias("slot"))
-    raw, target = [1] * slots, [1] * slots
-    for row in grams.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("t")).collect():  # a row a slot
-        raw[row["slot"]] += row["n"]
-        target[row["slot"]] += row["t"]
+
+    def counts(rows: DataFrame) -> list[int]:
+        out = [1] * slots
+        for row in rows.select(_words("text").alias("words")).select(F.explode(_grams(F.col("words"), slots)).alias("slot")).groupBy("slot").count().collect():  # a row a slot
+            out[row["slot"]] += row["count"]
+        return out
+
+    raw, target = counts(docs), counts(target_docs)
     all_raw, all_target = sum(raw), sum(target)
     ratios = [round(UNIT * math.log((t / all_target) / (n / all_raw))) for n, t in zip(raw, target, strict=True)]
     return F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<bigint>")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", slots: int = 16_384, trusted: int = 16_384, sigmas: float = 6.0, care: float = 4.0) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", slots: int = 16_384, sigmas: float = 6.0, care: float = 4.0) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
 
     base_failed: fewer than 10 words, or over a fifth of them in repeated windows. kept:
@@ -130,8 +123,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     too, an empty table gives no rows, and other columns are ignored.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = trusted_ids(labels, id_col, label_col, trusted)
-    model = log_ratios(plain, known, slots)
+    # written once, as the target's counts and then the cut read it; the same join at any number of labels
+    known = write_and_reread(plain.join(labelled_ids(labels, id_col, label_col).hint("merge"), "doc_id").select("side", "text"), "rules-labelled")
+    model = log_ratios(plain, known.filter("side = 2"), slots)
 
     def scored(rows: DataFrame) -> DataFrame:
         ratio = F.aggregate(_grams(F.col("words"), slots), F.lit(0).cast("long"), lambda a, s: a + F.get(model, s))
@@ -139,7 +133,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         return rows.withColumn("score_units", F.expr("0L") + F.floor(ratio / n).cast("long"))
 
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    left_out = plain.join(left_out_ids(labels, id_col, label_col), "doc_id").select(F.col("good").alias("doc_id"), "text")  # base_counts carries one column along
+    left_out = known.filter("side < 2").select(F.col("side").alias("doc_id"), "text")  # base_counts carries one column along
     wide = F.col("score_units").cast("decimal(38,0)")
     # a filter would be pushed into base_counts and repeat its work for every word
     tried = scored(base_counts(left_out)).select(F.col("doc_id").alias("good"), failed.alias("failed"), F.floor(F.col("score_units") / STEP).alias("cut"), "score_units").groupBy("good", "failed", "cut")

@@ -298,6 +298,20 @@ def test_bad_documents_are_rejected(spark):
     assert rules.best_cut({5: 8, 9: 2}, {-7: 5, 6: 1}, 4.0) == -1 and rules.best_cut({5: 1, 9: 9}, {-7: 5, 6: 5}, 0.5) == 8
 
 
+def test_target_counts_all_trusted_documents(spark):
+    n = 54_000  # 36,000 that may be learnt from
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(5))) for k in range(11)]).alias("text"))
+    made = {r.doc_id: r.score for r in rules.quality_rules(docs, docs.select("doc_id", F.lit(1).alias("quality")), slots=256).collect()}
+    rows = docs.withColumn("words", rules._words("text")).select("doc_id", rules._grams(F.col("words"), 256).alias("slots"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("fold")).collect()
+    raw, target = np.ones(256), np.ones(256)
+    for r in rows:
+        np.add.at(raw, r.slots, 1)
+        if r.fold == 0 and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            np.add.at(target, r.slots, 1)
+    ratios = np.round(1e6 * np.log((target / target.sum()) / (raw / raw.sum())))
+    assert max(abs(made[r.doc_id] * 1e6 - ratios[r.slots].sum() / len(r.slots)) for r in rows) <= 2
+
+
 # 8 and 10: tokens
 
 
