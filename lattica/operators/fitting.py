@@ -23,18 +23,20 @@ def _closest(p, a, b):
     return a[0] + t * dx, a[1] + t * dy
 
 
-def march(a, b, c, d, least: float, most: int = 10_000) -> list[tuple[float, float, float]]:
+def march(a, b, c, d, least: float) -> list[tuple[float, float, float]]:
     """(x, y, size) of squares along the middle line of two segments, each as wide as the gap there.
 
     Squares start at the closest ends, step by their own size and are at least ``least``
-    wide, so the march ends; where the segments touch or cross, they have that least width.
+    wide, which has to be positive, so the march ends; where the segments touch or cross, they have that least width.
     """
+    if least <= 0:
+        raise ValueError("least has to be positive")
     if math.dist(a, c) + math.dist(b, d) > math.dist(a, d) + math.dist(b, c):
         c, d = d, c
     length = max(math.dist(a, b), math.dist(c, d))
     out: list[tuple[float, float, float]] = []
     at = 0.0
-    while at <= length and len(out) < most:
+    while at <= length:
         t = at / length if length else 0.0
         p = (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
         q = _closest(p, c, d)

@@ -221,3 +221,10 @@ def test_quantise_and_scans(spark):
     assert got == [sum(j % 7 for j in range(i)) for i in range(200)]
     nxt = {r.i: r.n for r in stats.next_in_order(rows.select("i"), "i", F.floor(F.col("i") / 13), "n").collect()}
     assert nxt == {i: i + 1 if i < 199 else None for i in range(200)}
+
+
+def test_long_march_is_whole():
+    boxes = fitting.march((0, 0), (30_000, 0), (0, 1), (30_000, 1), 1)
+    assert len(boxes) == 30_001 and boxes[-1][0] == 30_000
+    with pytest.raises(ValueError):
+        fitting.march((0, 0), (1, 0), (0, 0), (1, 0), 0)
