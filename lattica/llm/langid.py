@@ -155,8 +155,10 @@ def predict(text: str, names: list[str], prototypes: np.ndarray, dim: int) -> tu
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, dim: int = DIM) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language: not null, and with a letter."""
+    """The rows of ``docs``, all columns, whose text has a language: not null, and with a letter, also when no language can be learnt."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, per_language, dim))
+    if not shared.value[0]:
+        return filter_rows(docs, text_col, lambda: lambda texts: np.array([len(letters(t)) > 0 for t in texts], bool))
     return filter_rows(docs, text_col, lambda: lambda texts: np.array([predict(t, *shared.value, dim)[0] != UNKNOWN for t in texts], bool))
 
 

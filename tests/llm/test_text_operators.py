@@ -118,6 +118,11 @@ def test_languages_of_odd_rows(odd):
     assert langid.identify(odd.limit(0)).count() == 0
 
 
+def test_texts_stay_when_no_language_is_known(odd):
+    kept = langid.keep_identified(odd.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert len(kept) == sum(any(c.isalpha() for c in t or "") for _, t, _ in ODD) > 0
+
+
 # 3 and 6: classifiers
 
 
