@@ -115,8 +115,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: list[Column], i
     """
     names = [f"y{i}" for i in range(len(targets))]
     known = labels.select(F.col(id_col).alias("id"), *[t.cast("int").alias(n) for t, n in zip(targets, names, strict=True)]).dropna()
-    known = known.filter(crc_mod("id", 3) != 1).withColumn("h", F.xxhash64("id"))
-    some = hash_sample(known, F.col("h"), most).groupBy("id").agg(F.first("h").alias("h"), *[F.max(n).alias(n) for n in names])
+    known = known.filter(crc_mod("id", 3) != 1).groupBy("id").agg(*[F.max(n).alias(n) for n in names]).withColumn("h", F.xxhash64("id"))
+    some = hash_sample(known, F.col("h"), most)
     bound_batches(docs)
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     return texts.join(F.broadcast(some), "id").select(F.col("h").alias("order"), "text", *names)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lattica.llm import decontam, encode, jaccard, langid, licenses, packing, quality, queries, rules, sampling, sharding, text, tokenstore, toxicity
+from lattica.llm import decontam, encode, jaccard, langid, licenses, linear, packing, quality, queries, rules, sampling, sharding, text, tokenstore, toxicity
 from lattica.session import scratch_path
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long, _link string, n long, label int"
@@ -509,3 +509,13 @@ def test_samples_are_bounded_at_any_size(spark):
         assert {r.g: r["count"] for r in sampling.hash_sample(rows, F.xxhash64("id"), most, "g").groupBy("g").count().collect()}.get("b", 0) <= most
     assert sampling.hash_sample(rows.limit(0), F.xxhash64("id"), 10).count() == 0
     assert sampling.hash_sample(rows, F.lit(7), 10).count() == 0  # one hash value cannot be cut
+
+
+def test_hot_ids_do_not_end_a_sample(spark):
+    ids = spark.range(20_000).select("id").unionAll(spark.range(10_000).select(F.lit(3).cast("long").alias("id")))
+    for shift in range(3):  # the hot bucket is the first, the second, the third
+        hot = F.when(F.col("id") == 3, shift).otherwise(F.xxhash64("id"))
+        assert 8192 / 2 < sampling.hash_sample(ids, hot, 8192).count() <= 8192
+    docs = spark.range(5).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    sample = linear.labelled_sample(docs, ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")), [F.col("quality")], "doc_id", "text", 20_000)
+    assert sample.count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(5))
