@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +28,18 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, a
-    single machine) a temporary folder is created and set.
+    It is the cluster's ``spark.checkpoint.dir``; only where that is unset and the master is
+    ``local`` (tests, a single machine) a temporary folder is created and set. On a cluster
+    such a folder would be another one on every machine, so that is an error.
     """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not told and jvm_dir.isDefined():
+        told = jvm_dir.get()
     if not told:
-        told = jvm_dir.get() if jvm_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="lattica-")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        told = "file://" + tempfile.mkdtemp(prefix="lattica-")
     if not jvm_dir.isDefined():
         spark.sparkContext.setCheckpointDir(told)
     return told.rstrip("/")
@@ -42,14 +50,54 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+#: Scratch tables of the open scopes, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
 def write_and_reread(df: DataFrame, name: str, row_group_mb: int = 32) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read it again.
 
-    Row groups are small, as each writing task holds one in memory.
+    Row groups are small, as each writing task holds one in memory. Within a ``scratched``
+    function the table goes when the function is done, unless it is what it returns.
     """
     path = scratch_path(df.sparkSession, name)
+    if _SCOPES.get():
+        _SCOPES.get()[-1].append(path)
     df.write.option("parquet.block.size", row_group_mb << 20).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def scratched(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Deletes the scratch tables that the function's run wrote, once its result is written.
+
+    The result stays, as a table of the scope outside if there is one: the caller reads it
+    lazily. A run that fails deletes its tables too.
+    """
+
+    @functools.wraps(function)
+    def run(*args, **options) -> DataFrame:
+        outer, own = _SCOPES.get(), []
+        token = _SCOPES.set((*outer, own))
+        spark, kept = None, None
+        try:
+            out = function(*args, **options)
+            spark = out.sparkSession
+            if getattr(out, "scratch_path", None) not in own:
+                out = write_and_reread(out, function.__name__.replace("_", "-"))
+            kept = out.scratch_path
+            return out
+        finally:
+            _SCOPES.reset(token)
+            spark = spark or SparkSession.getActiveSession()
+            for path in own:
+                if path != kept and spark:
+                    remove_path(spark, path)
+            if kept and outer:
+                outer[-1].append(kept)
+
+    return run
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
