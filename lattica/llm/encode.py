@@ -1,9 +1,12 @@
 """Token ids of whole texts by the tokenizers library, with each distinct piece encoded once.
 
-A pre-tokenizer that cuts at white space makes the ids of a text the concatenation of
-the ids of its white-space pieces. Natural text repeats its pieces, so a bounded cache of
-pieces saves most of the work. Texts whose white space is irregular (runs, tabs, leading
-or trailing) are encoded whole, so the ids always equal those of a plain ``encode``.
+A byte-level pre-tokenizer cuts a text into runs of letters, of digits and of other marks,
+and the ids of a run don't depend on what is around it. Runs are found and looked up as
+whole byte buffers in a bounded table, so a Python string is made only for a run that the
+table doesn't know. A hit is compared byte for byte, so two runs of one hash don't mix.
+Texts in which a run may end elsewhere (control characters, contractions, added tokens,
+letters beyond ASCII that aren't plain) are encoded whole, so the ids always equal those
+of a plain ``encode``.
 """
 
 from __future__ import annotations
@@ -15,20 +18,7 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
-from lattica.llm.text import Words
-
-
-class _Index(dict):
-    """Piece -> number; unknown pieces get the next number and are listed in ``fresh``."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        at = self[piece] = len(self)
-        self.fresh.append(piece)
-        return at
+from lattica.llm.text import U64, Words
 
 
 def _byte_letters() -> list[str]:
@@ -38,223 +28,251 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
 
 
-class CachedEncoder:
-    """Encodes lists of texts. ``path``: a tokenizer file; ``entries``: bound of the cache."""
+def _style(told: dict) -> str:
+    """How a tokenizer file cuts texts.
 
-    def __init__(self, path: str, entries: int = 300_000):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.entries = entries
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        pre = told["pre_tokenizer"] or {}
-        parts = pre.get("pretokenizers", [pre])
-        kinds = [p.get("type") for p in parts]
-        clean = told["normalizer"] or {}
-        steps = [x.get("type") for x in clean.get("normalizers", [clean] if clean else [])]
-        #: spaced: a piece carries the space before it; dropped: white space has no ids and case is lowered; else nothing is cached.
-        self.style = "whole"
-        if kinds == ["ByteLevel"] and parts[0].get("use_regex") and not parts[0].get("add_prefix_space") and not steps:
-            self.style = "spaced"
-        elif kinds == ["Split", "ByteLevel"] and parts[0].get("behavior") == "Removed" and steps == ["NFC", "Replace", "Lowercase"]:
-            self.style = "dropped"
-        self.letters = _byte_letters()
-        self.tails = {t: self.tokenizer.encode(t, add_special_tokens=False).ids for t in (".", ",")}
-        self._clear()
+    spaced: runs carry the one space before them, other white space is cut as it stands;
+    dropped: white space has no ids, case is lowered, digits stand alone; whole: unknown.
+    """
+    pre, clean = told["pre_tokenizer"] or {}, told["normalizer"] or {}
+    parts = pre.get("pretokenizers", [pre])
+    kinds = [p.get("type") for p in parts]
+    steps = [x.get("type") for x in clean.get("normalizers", [clean] if clean else [])]
+    if kinds == ["ByteLevel"] and parts[0].get("use_regex") and not parts[0].get("add_prefix_space") and not steps:
+        return "spaced"
+    if kinds == ["Split", "ByteLevel"] and parts[0].get("behavior") == "Removed" and steps == ["NFC", "Replace", "Lowercase"]:
+        return "dropped"
+    return "whole"
 
-    def _clear(self) -> None:
-        self.index, self.chars = _Index(), 0
-        self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.seen = np.zeros(0, np.int64)
 
-    def _forget(self) -> None:
-        """Drop the pieces seen least often, so that half of the cache is free again."""
-        seen = self.seen
-        keep = np.sort(np.argsort(-seen, kind="stable")[: self.entries // 2])
-        if self.chars > 64 * self.entries:
-            return self._clear()
-        names = list(self.index)
-        self.index = _Index()
-        for at, k in enumerate(keep.tolist()):
-            self.index[names[k]] = at
-        size, first = self.size[keep], self.first[keep]
-        filled = np.cumsum(size) - size
-        self.ids = self.ids[np.repeat(first - filled, size) + np.arange(size.sum())]
-        self.first, self.size, self.seen = filled, size, seen[keep] // 2
-        self.chars = sum(map(len, self.index))
+class _Spaced(Words):
+    """Runs with white space: a space before another run joins it (``gap``), other white space gives pieces of its own.
 
-    def _learn(self) -> None:
-        """Ids of the fresh pieces.
+    White space before a run is one piece but for its last character; at a text's end it
+    is one piece.
+    """
 
-        A piece that is one run of letters, and at most a full stop or comma, is left as it
-        is by all steps before the model, so it goes to the model itself; the others take
-        the whole way.
-        """
-        fresh, self.index.fresh = self.index.fresh, []
-        if not fresh:
-            return
-        self.chars += sum(map(len, fresh))
-        base, known, tokenize, tails = len(self.size), self.index, self.tokenizer.model.tokenize, self.tails
-        plain, spaced, letters = self.style != "whole", self.style == "spaced", self.letters
-        made: list[list[int]] = []
-        memo: dict[str, list[int]] = {}
-        odd = []
-        for i, piece in enumerate(fresh):
-            end = tails.get(piece[-1:])
-            stem = piece[:-1] if end else piece
-            ids = memo.get(stem)
-            if ids is None:
-                gap = spaced and stem[:1] == " "
-                word = stem[1:] if gap else stem
-                if not plain or not word.isalpha() or not (spaced or word.isascii() or unicodedata.is_normalized("NFC", word)):
-                    odd.append(i)
-                    made.append([])
-                    continue
-                at = known.get(stem, base) if end else base
-                if at < base:
-                    ids = self.ids[self.first[at] : self.first[at] + self.size[at]].tolist()
-                else:
-                    shown = word if word.isascii() else "".join([letters[b] for b in word.encode()])
-                    ids = [t.id for t in tokenize(letters[32] + shown if gap else shown)]
-                memo[stem] = ids
-            made.append(ids + end if end else ids)
-        if odd:
-            out = self.tokenizer.encode([fresh[i] for i in odd], is_pretokenized=True, add_special_tokens=False)
-            for number, owner in zip(out.ids, out.word_ids, strict=True):
-                made[odd[owner]].append(number)
-        size = np.fromiter(map(len, made), np.int64, len(made))
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum()))])
+    def _cut(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> None:
+        white = kind == 4
+        inner = np.ones(len(white), bool)
+        ptr = np.searchsorted(self.start, offsets[1:])
+        inner[ptr[ptr > 0] - 1] = False  # a text's last run
+        last = data[self.end - 1] == 32
+        join = white & inner & last
+        gap = np.concatenate([[False], join[:-1]]) if len(join) else join
+        start, end = self.start, self.end - join
+        parted = np.flatnonzero(white & inner & ~last & (end - start > 1))
+        if len(parted):
+            middle = end[parted] - 1
+            start, end, gap = np.insert(start, parted + 1, middle), np.insert(end, parted, middle), np.insert(gap, parted, False)
+        keep = end > start
+        self.start, self.end, self.gap = start[keep], end[keep], gap[keep]
 
-    def _pieces(self, text: str) -> list[str] | None:
-        if self.style == "spaced":
-            if "\0" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                return None
-            own = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-            # one space or line feed before each word, and no other white space
-            return own if len(text.split()) == len(own) and own[0] else None
-        if self.style == "dropped" and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            # lower case comes first, so that fewer pieces differ; two letters lower-case by context or to several
-            return None if "\u03a3" in text or "\u0130" in text else text.lower().split()
-        return None
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, ptr): text i has ``ids[ptr[i]:ptr[i + 1]]``."""
-        if len(self.index) > self.entries or self.chars > 64 * self.entries:
-            self._forget()
-        pieces: list[str] = []
-        counts, whole = np.zeros(len(texts), np.int64), []
-        for i, text in enumerate(texts):
-            own = self._pieces(text) if text else []
-            if own is None:
-                whole.append(i)
-            else:
-                counts[i] = len(own)
-                pieces += own
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        self._learn()
-        self.seen = np.concatenate([self.seen, np.zeros(len(self.size) - len(self.seen), np.int64)])
-        self.seen += np.bincount(at, minlength=len(self.seen))
-        size = self.size[at]
-        total = np.zeros(len(texts), np.int64)
-        ends = np.cumsum(counts)
-        filled = np.concatenate([[0], np.cumsum(size)])
-        total = filled[ends] - filled[ends - counts]
-        shift = np.repeat(self.first[at] - filled[:-1], size)
-        ids = self.ids[shift + np.arange(len(shift))]
-        if whole:
-            done = dict(zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True))
-            parts, low = [], filled[ends - counts]
-            for i in range(len(texts)):
-                parts.append(np.array(done[i].ids, np.uint32) if i in done else ids[low[i] : low[i] + total[i]])
-                total[i] = len(parts[-1])
-            ids = np.concatenate(parts) if parts else ids
-        return ids, np.concatenate([[0], np.cumsum(total)])
+#: Bytes after which a text is encoded whole.
+_CONTROL = np.array([b == 127 or b < 9 or 13 < b < 32 for b in range(256)])
+#: Bytes of a run that a hit compares at once; longer ones are looked up by their bytes.
+_LONG = 16
+_GAP = U64(0xA24BAED4963EE407)
 
 
-#: Bytes after which a text is encoded whole: control characters and the apostrophe of contractions.
-_PLAIN = np.array([not (b == 39 or b == 127 or b < 9 or 13 < b < 32) for b in range(256)])
+def _room(held: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for ``n`` values at least."""
+    if n <= len(held):
+        return held
+    out = np.zeros(max(n, 2 * len(held)), held.dtype)
+    out[: len(held)] = held
+    return out
 
 
 class RunEncoder:
-    """Ids of texts given as UTF-8 buffers, for a tokenizer that drops white space and lowers case.
-
-    Such a tokenizer cuts a text into runs of letters, digits and marks, and the ids of a
-    run don't depend on what is around it. Runs are hashed as whole buffers, so a Python
-    string is made only for a run that the cache (by 64-bit hash) doesn't know. Texts with
-    control characters, contractions, or letters beyond ASCII that aren't plain, are encoded whole.
-    """
+    """Encodes texts given as UTF-8 buffers. ``path``: a tokenizer file; ``entries``: bound of the table, but for one call's new runs."""
 
     def __init__(self, path: str, entries: int = 400_000):
-        base = CachedEncoder(path)
-        if base.style != "dropped":
-            raise ValueError("the tokenizer keeps white space or case")
-        self.tokenizer, self.letters, self.entries = base.tokenizer, base.letters, entries
-        self._clear()
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.style, self.entries = _style(told), entries
+        self.added = [t["content"].encode() for t in told["added_tokens"]]
+        self.letters, self.model = _byte_letters(), self.tokenizer.model
+        self.digit = {48 + d: self.tokenizer.encode(str(d), add_special_tokens=False).ids for d in range(10)}
+        self._clear(entries)
 
-    def _clear(self) -> None:
-        self.index, self.ids = _Index(), np.zeros(0, np.uint32)
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.odd = np.zeros(0, bool)
+    def _clear(self, entries: int) -> None:
+        self.keys = np.zeros(1 << max(10, (2 * entries).bit_length()), U64)
+        self.slots = np.zeros(len(self.keys), np.int32)
+        self.long: dict[tuple[bytes, bool], int] = {}
+        self.n = self.n_ids = 0
+        self.key, self.low, self.high = (np.zeros(1024, U64) for _ in range(3))
+        self.gap, self.odd = np.zeros(1024, bool), np.zeros(1024, bool)
+        self.first, self.size, self.seen = (np.zeros(1024, np.int64) for _ in range(3))
+        self.ids = np.zeros(4096, np.uint32)
 
-    def _run_ids(self, raw: bytes) -> list[int] | None:
-        """Ids of one run, None if its text has to be encoded whole."""
-        if raw.isalpha():  # ASCII letters
-            return [t.id for t in self.tokenizer.model.tokenize(raw.decode().lower())]
-        if raw[0] < 128 and raw.isascii():
-            run = raw.decode()
-            return self.tokenizer.encode(run.lower(), add_special_tokens=False).ids if not any(c.isalpha() for c in run) else None
-        word = raw.decode()
-        if "\u03a3" in word or "\u0130" in word:
-            return None
-        word = word.lower()
-        if not word.isalpha() or not unicodedata.is_normalized("NFC", word):
+    def _forget(self) -> None:
+        """Keep the half of the table that was seen most often; long runs go."""
+        keep = np.argsort(-self.seen[: self.n], kind="stable")[: self.entries // 2]
+        keep = np.sort(keep[self.key[keep] > 0])
+        held = [x[keep] for x in (self.key, self.low, self.high, self.gap, self.odd, self.first, self.size, self.seen)]
+        first, size, ids = held[5], held[6], self.ids
+        self._clear(self.entries)
+        self.n, self.n_ids = len(keep), int(size.sum())
+        filled = np.cumsum(size) - size
+        self.ids = ids[np.repeat(first - filled, size) + np.arange(self.n_ids)]
+        self.key, self.low, self.high, self.gap, self.odd, self.first, self.size, self.seen = *held[:5], filled, size, held[7] // 2
+        self._place(self.key, np.arange(self.n))
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Number of each run's entry, -1 where there is none."""
+        mask = U64(len(self.keys) - 1)
+        slot = (key & mask).astype(np.int64)
+        here = self.keys[slot]
+        out = np.where(here == key, self.slots[slot], -1)
+        left = np.flatnonzero((here != key) & (here > 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & int(mask)
+            here = self.keys[slot[left]]
+            hit = here == key[left]
+            out[left[hit]] = self.slots[slot[left[hit]]]
+            left = left[~hit & (here > 0)]
+        return out
+
+    def _place(self, key: np.ndarray, number: np.ndarray) -> None:
+        """Enter distinct new keys."""
+        if 2 * self.n > len(self.keys):
+            kept = self.keys > 0
+            key, number = np.concatenate([self.keys[kept], key]), np.concatenate([self.slots[kept], number])
+            size = 1 << (4 * self.n).bit_length()
+            self.keys, self.slots = np.zeros(size, U64), np.zeros(size, np.int32)
+        slot = (key & U64(len(self.keys) - 1)).astype(np.int64)
+        left = np.arange(len(key))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            self.keys[slot[free]] = key[free]
+            self.slots[slot[free]] = number[free]
+            left = left[self.keys[slot[left]] != key[left]]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+
+    def _ids(self, run: bytes, gap: bool) -> list[int] | None:
+        """Ids of one run (lower-cased if the tokenizer does so), None if its text has to be encoded whole."""
+        spaced, letters = self.style == "spaced", self.letters
+        if run.isascii():
+            if spaced:
+                shown = run.decode() if run[0] > 32 else "".join([letters[b] for b in run])
+                return [t.id for t in self.model.tokenize(letters[32] + shown if gap else shown)]
+            if run[0] in self.digit:
+                return list(chain.from_iterable(self.digit[b] for b in run))
+            return [t.id for t in self.model.tokenize(run.decode())]
+        word = run.decode()
+        if not spaced:
+            if "Σ" in word or "İ" in word:  # lower-cased by context or to several letters
+                return None
+            word = word.lower()
+            if not unicodedata.is_normalized("NFC", word):
+                return None
+        if not word.isalpha():
             return None
-        return [t.id for t in self.tokenizer.model.tokenize("".join([self.letters[b] for b in word.encode()]))]
+        shown = "".join([letters[b] for b in word.encode()])
+        return [t.id for t in self.model.tokenize(letters[32] + shown if gap else shown)]
 
-    def _learn(self, runs: list[bytes]) -> None:
-        made = [self._run_ids(r) for r in runs]
+    def _learn(self, runs: list[tuple[bytes, bool]]) -> None:
+        """Append entries for new runs."""
+        tokenize, first, plain = self.model.tokenize, self.letters[32], self._ids
+        # runs of ASCII letters, the most common kind, without a call of their own
+        made = [[t.id for t in tokenize(first + run.decode() if gap else run.decode())] if run.isalpha() else plain(run, gap) for run, gap in runs]
         size = np.fromiter((len(m) if m else 0 for m in made), np.int64, len(made))
-        self.odd = np.concatenate([self.odd, np.fromiter((m is None for m in made), bool, len(made))])
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(m for m in made if m), np.uint32, int(size.sum()))])
+        n, n_ids = self.n + len(made), self.n_ids + int(size.sum())
+        self.key, self.low, self.high, self.gap, self.odd, self.first, self.size, self.seen = (_room(x, n) for x in (self.key, self.low, self.high, self.gap, self.odd, self.first, self.size, self.seen))
+        self.ids = _room(self.ids, n_ids)
+        self.odd[self.n : n] = [m is None for m in made]
+        self.key[self.n : n], self.seen[self.n : n] = 0, 0
+        self.first[self.n : n] = self.n_ids + np.cumsum(size) - size
+        self.size[self.n : n] = size
+        self.ids[self.n_ids : n_ids] = np.fromiter(chain.from_iterable(m for m in made if m), np.uint32, int(size.sum()))
+        self.n, self.n_ids = n, n_ids
+
+    def _numbers(self, words: Words, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entry of each run, whether another run has its hash)."""
+        folded = words.folded
+        key = np.maximum(words.hash ^ (gap * _GAP), U64(1))
+        long = words.size > _LONG
+        number = self._find(key)
+        number[long] = 0
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            new, example = np.unique(key[fresh], return_index=True)
+            at, raw = fresh[example], folded.tobytes()
+            n = self.n
+            self._learn([(raw[s:e], g) for s, e, g in zip(words.start[at].tolist(), words.end[at].tolist(), gap[at].tolist(), strict=True)])
+            made = np.arange(n, self.n)
+            self.key[made], self.low[made], self.high[made], self.gap[made] = new, words.lane(0, at), words.lane(1, at), gap[at]
+            self._place(new, made)
+            number[fresh] = n + np.searchsorted(new, key[fresh])
+        differs = ((self.low[number] != words.lane(0)) | (self.high[number] != words.lane(1)) | (self.gap[number] != gap)) & ~long
+        at = np.flatnonzero(long)
+        fresh_runs: list[tuple[bytes, bool]] = []
+        for i, s, e, g in zip(at.tolist(), words.start[at].tolist(), words.end[at].tolist(), gap[at].tolist(), strict=True):
+            run = folded[s:e].tobytes(), g
+            if run not in self.long:
+                self.long[run] = self.n + len(fresh_runs)
+                fresh_runs.append(run)
+            number[i] = self.long[run]
+        if fresh_runs:
+            self._learn(fresh_runs)
+        return number, differs
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray, folded: np.ndarray) -> np.ndarray:
+        """Texts that can't be cut into runs."""
+        n = len(data)
+        spots = [np.flatnonzero(np.take(_CONTROL, data, mode="clip"))]
+        mark = np.flatnonzero(data == 39)
+        if len(mark):
+            one, two = folded[mark + 1], folded[mark + 2]  # the buffer goes on with zeros
+            short = np.isin(one, list(b"stmd")) | ((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108))
+            spots.append(mark[short])
+        raw = data.tobytes()
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                spots.append(np.array([at]))
+                at = raw.find(content, at + 1)
+        out = np.zeros(len(offsets) - 1, bool)
+        held = np.concatenate(spots)
+        if n and len(held):
+            out[np.searchsorted(offsets, held, "right") - 1] = True
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ptr): text i has ``ids[ptr[i]:ptr[i + 1]]``."""
-        if len(self.index) > self.entries:
-            self._clear()
-        n = len(offsets) - 1
-        words = Words(data, offsets, words="runs")
-        seen = np.unique(words.hash)
-        inverse = np.searchsorted(seen, words.hash)
-        known = len(self.index)
-        number = np.fromiter(map(self.index.__getitem__, seen.tolist()), np.int64, len(seen))
-        self.index.fresh = []
-        fresh = np.flatnonzero(number >= known)
-        if len(fresh):
-            example = np.zeros(len(seen), np.int64)
-            example[inverse] = np.arange(len(inverse))
-            raw = data.tobytes()
-            self._learn([raw[s:e] for s, e in zip(words.start[example[fresh]].tolist(), words.end[example[fresh]].tolist(), strict=True)])
-        at = number[inverse]
-        whole = np.zeros(n, bool)
-        whole[np.searchsorted(offsets, np.flatnonzero(~_PLAIN[data]), "right") - 1] = True
-        whole[np.searchsorted(words.ptr, np.flatnonzero(self.odd[at]), "right") - 1] = True
+        if self.style == "whole":
+            ids, ptr = np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+            return self._mended(ids, ptr, np.diff(offsets) > 0, data, offsets)
+        if self.n > self.entries:
+            self._forget()
+        if self.style == "spaced":
+            words = _Spaced(data, offsets, lower=False, words="all")
+            gap = words.gap
+        else:
+            words = Words(data, offsets, words="runs")
+            gap = np.zeros(len(words.hash), bool)
+        at, differs = self._numbers(words, gap)
+        self.seen[: self.n] += np.bincount(at, minlength=self.n)
+        whole = self._whole(data, offsets, words.folded)
+        whole[np.searchsorted(words.ptr, np.flatnonzero(self.odd[at] | differs), "right") - 1] = True
         size = self.size[at]
         if whole.any():
             size[np.repeat(whole, np.diff(words.ptr))] = 0
         filled = np.concatenate([[0], np.cumsum(size)])
-        shift = np.repeat(self.first[at] - filled[:-1], size)
-        ids, ptr = self.ids[shift + np.arange(len(shift))], filled[words.ptr]
-        if whole.any():
-            rows = np.flatnonzero(whole).tolist()
-            raw = data.tobytes()
-            made = self.tokenizer.encode_batch([raw[offsets[i] : offsets[i + 1]].decode() for i in rows], add_special_tokens=False)
-            total = np.diff(ptr)
-            parts = np.split(ids, ptr[1:-1])
-            for i, m in zip(rows, made, strict=True):
-                parts[i] = np.array(m.ids, np.uint32)
-                total[i] = len(parts[i])
-            ids, ptr = np.concatenate(parts), np.concatenate([[0], np.cumsum(total)])
-        return ids, ptr
+        ids = self.ids[np.repeat(self.first[at] - filled[:-1], size) + np.arange(filled[-1])]
+        return self._mended(ids, filled[words.ptr], whole, data, offsets)
+
+    def _mended(self, ids: np.ndarray, ptr: np.ndarray, whole: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids with those of the ``whole`` texts, which had none, put in."""
+        if not whole.any():
+            return ids, ptr
+        rows = np.flatnonzero(whole).tolist()
+        made = self.tokenizer.encode_batch([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in rows], add_special_tokens=False)
+        parts, total = np.split(ids, ptr[1:-1]), np.diff(ptr)
+        for i, m in zip(rows, made, strict=True):
+            parts[i] = np.array(m.ids, np.uint32)
+            total[i] = len(parts[i])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(total)])

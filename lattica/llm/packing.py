@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lattica.llm.encode import CachedEncoder, RunEncoder
-from lattica.llm.text import U64, bound_batches, chunks, mix, utf8
+from lattica.llm.text import U64, bound_batches, chunks, in_batches, mix, utf8
 from lattica.llm.tokenstore import encoder, with_end
 from lattica.session import write_and_reread
 
@@ -30,17 +29,13 @@ from lattica.session import write_and_reread
 K1, B = 1.2, 0.75
 
 
-def _encode(path: str, end_id: int, kind: str, runs: bool):
+def _encode(path: str, end_id: int, kind: str):
     """(doc_id, n, key, ids): the ids with the end id, and the minimum hash of their pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in chunks(batch, "text", 1 << 20):
-                if runs:
-                    ids, ptr = encoder(path, RunEncoder).encode(data, offsets)
-                else:
-                    ids, ptr = encoder(path).encode([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-                ids, ptr = with_end(ids, ptr, end_id)
+                ids, ptr = with_end(*encoder(path).encode(data, offsets), end_id)
                 pairs = mix((ids[:-1].astype(U64) << U64(32)) + ids[1:], 31) if len(ids) > 1 else np.zeros(1, U64)
                 pairs[ptr[1:-1] - 1] = np.iinfo(U64).max  # from one text to the next
                 keys = np.minimum.reduceat(np.append(pairs, np.iinfo(U64).max), ptr[:-1]).view(np.int64)
@@ -108,14 +103,17 @@ def retrieval_order(docs: list[np.ndarray], window: int, terms: int, most: int)
         if filled == end:  # the seed just fills its window
             seed = -1
             continue
-        last = -1
-        for near in index.neighbours(seed, unused, most):
-            unused[near] = False
-            order.append(int(near))
-            filled += len(docs[near])
-            last = int(near)
-            if filled >= end:
-                break
+        last, asked = -1, most
+        while filled < end and asked == most:  # a full answer may not be all: the rest is asked for again
+            found = index.neighbours(seed, unused, most)
+            asked = len(found)
+            for near in found:
+                unused[near] = False
+                order.append(int(near))
+                filled += len(docs[near])
+                last = int(near)
+                if filled >= end:
+                    break
         # a cut document seeds the next window; without neighbours the next unused one does
         seed = last if last >= 0 and filled > end else -1
     return order
@@ -155,11 +153,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: st
     """
     bound_batches(docs)
     kind = "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
-    runs = CachedEncoder(tokenizer_path).style == "dropped"
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    encoded = write_and_reread(narrow.mapInArrow(_encode(tokenizer_path, end_id, kind, runs), "doc_id long, n long, key long, ids binary"), "packing-ids")
+    encoded = write_and_reread(in_batches(narrow, _encode(tokenizer_path, end_id, kind), "doc_id long, n long, key long, ids binary", "ids"), "packing-ids")
     total = encoded.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    # copies share a key, so the hash of the id deals them out
-    dealt = encoded.withColumn("deal", F.xxhash64("doc_id")).repartitionByRange(shards, "key", "deal").sortWithinPartitions("key", "deal", "ids")
-    return dealt.select("doc_id", "ids").mapInArrow(_pack(window, terms, most, kind), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    # copies share a key, so the hash of the id deals them out, and the position rows that repeat an id too
+    placed = encoded.withColumn("deal", F.xxhash64("doc_id")).withColumn("place", F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange(shards, "key", "deal", "place").sortWithinPartitions("key", "deal", "ids", "place")
+    return in_batches(dealt.select("doc_id", "ids"), _pack(window, terms, most, kind), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

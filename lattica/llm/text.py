@@ -6,11 +6,13 @@ for a word. Memory follows ``CHUNK_BYTES``, or the longest single text if that i
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +32,18 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 _TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
+#: Kept bytes of a lane that holds 0 to 8 bytes of a word.
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Words up to this many bytes are hashed lane by lane, all at once.
+SHORT = 64
+
 
 def byte_tables(lower: bool, words: str) -> tuple[np.ndarray, np.ndarray]:
     """(value of each byte, its class); a word is a run of bytes of one class, class 0 separates.
 
     words: 'space' cuts at ASCII white space; 'alnum' keeps digits, letters and all beyond
     ASCII; 'marks' also takes runs of other visible characters as words; 'runs' takes
-    runs of letters, of digits and of everything else but white space.
+    runs of letters, of digits and of everything else but white space; 'all' takes white space too.
     """
     key = f"{lower}{words}"
     if key not in _TABLES:
@@ -51,59 +58,61 @@ def byte_tables(lower: bool, words: str) -> tuple[np.ndarray, np.ndarray]:
         elif words == "marks":
             kind = np.where(letter, 1, np.where((codes > 32) & (codes < 127), 2, 0))
         else:
-            kind = np.where((codes >= 48) & (codes <= 57), 2, np.where(letter, 1, np.where(space, 0, 3)))
-        _TABLES[key] = mix(kept.astype(U64), 77), kind.astype(np.uint8)
+            kind = np.where((codes >= 48) & (codes <= 57), 2, np.where(letter, 1, np.where(space, 4 if words == "all" else 0, 3)))
+        _TABLES[key] = kept.astype(np.uint8), kind.astype(np.uint8)
     return _TABLES[key]
 
 
-_POWERS = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the multiplier and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        inverse = U64(pow(int(_MUL), -1, 1 << 64))
-        for i, base in enumerate((_MUL, inverse)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps)
-    return _POWERS[0], _POWERS[1]
-
-
 class Words:
     """Words of consecutive documents in one byte buffer.
 
     ``start`` and ``end`` are byte positions, ``hash`` identifies the word, and the
-    words of document i are ``ptr[i]:ptr[i + 1]``.
+    words of document i are ``ptr[i]:ptr[i + 1]``. A word is hashed eight bytes at a time,
+    each step a finaliser over the last, so that no word of up to eight bytes shares its
+    hash with another of its length and longer ones do by chance alone (64 bits); words
+    above SHORT bytes go through XXH3 one by one. ``folded`` is the text as it is hashed, with
+    zeros after it. About ten bytes are held for each byte of text.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, words: str = "space"):
         value, kinds = byte_tables(lower, words)
         n = len(data)
-        kind = kinds[data]
-        inside = kind > 0
-        first = np.zeros(n + 1, bool)
-        first[offsets] = True
-        opens, closes = inside.copy(), inside.copy()
-        if n:
-            edge = (kind[1:] != kind[:-1]) | first[1:n]
-            opens[1:] &= edge
-            closes[:-1] &= edge
-        self.start = np.flatnonzero(opens)
-        self.end = np.flatnonzero(closes) + 1
-        up, down = powers(n + 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(value[data] * up[:n], out=total[1:])
-        self._total, self._down = total, down
-        self.hash = self.head(n + 1)
+        kind = np.take(kinds, data, mode="clip")
+        edge = np.empty(n + 1, bool)
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:n])
+        edge[0] = edge[n] = True
+        edge[offsets] = True
+        bounds = np.flatnonzero(edge)
+        inside = kind[bounds[:-1]] > 0
+        self.start, self.end = bounds[:-1][inside], bounds[1:][inside]
+        self._cut(data, offsets, kind[self.start])
         self.ptr = np.searchsorted(self.start, offsets)
-        self.data, self.offsets = data, offsets
+        self.folded = np.zeros(n + 16, np.uint8)
+        self.folded[:n] = np.take(value, data, mode="clip")
+        self.size = self.end - self.start
+        self.hash = mix(self.lane(0) ^ (self.size.astype(U64) * _MUL))
+        longer = np.flatnonzero(self.size > 8)
+        for k in range(1, SHORT // 8):
+            if not len(longer):
+                break
+            self.hash[longer] = mix(self.hash[longer] * _MUL + self.lane(k, longer), k)
+            longer = longer[self.size[longer] > 8 * (k + 1)]
+        for i in longer.tolist():  # above SHORT bytes
+            self.hash[i] = xxhash.xxh3_64_intdigest(self.folded[self.start[i] : self.end[i]].data, int(self.hash[i]))
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> None:
+        """Place for another way to cut the runs, given the class of each."""
+
+    def lane(self, k: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Bytes 8 k to 8 k + 7 of words as one number, 0 beyond a word's end."""
+        every = np.lib.stride_tricks.as_strided(self.folded[:8].view(U64), (len(self.folded) - 8,), (1,))
+        held = np.clip(self.size[at] - 8 * k, 0, 8)
+        return every[np.minimum(self.start[at] + 8 * k, len(every) - 1)] & _LANE[held]
 
     def head(self, size: int) -> np.ndarray:
-        """Hash of the first ``size`` bytes of each word."""
-        end = np.minimum(self.end, self.start + size)
-        return mix((self._total[end] - self._total[self.start]) * self._down[self.start] + (end - self.start).astype(U64))
+        """Hash of the first ``size`` bytes of each word, 8 at most."""
+        held = np.minimum(self.size, size)
+        return mix((self.lane(0) & _LANE[held]) ^ (held.astype(U64) * _MUL))
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, ptr): windows of ``width`` words; fewer words form one shingle, none form none."""
@@ -160,12 +169,53 @@ def bound_batches(docs: DataFrame) -> None:
         conf.set(name, str(BATCH_BYTES))
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What a worker process keeps between the tasks of one operator."""
+    return _KEPT.setdefault(owner, {})
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, as workers of other operators run beside this one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def in_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, owner: str = "") -> DataFrame:
+    """``mapInArrow`` whose workers drop what other operators kept, and give memory back after each task.
+
+    Worker processes are used again by later stages, so without this a job's stages add up.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in [k for k in _KEPT if k != owner]:
+            del _KEPT[other]
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return rows.mapInArrow(task, schema)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, or a longer one if a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(text: Column | str) -> Column:
     """The text as UTF-8 bytes, null as none."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
 
 
-def filter_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+def filter_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[list[str]], np.ndarray]], owner: str = "") -> DataFrame:
     """The rows of ``docs``, with all columns, whose text passes. judge: makes, once a task, a function from texts (null as empty) to a mask."""
     bound_batches(docs)
     at = docs.columns.index(text_col)
@@ -178,7 +228,7 @@ def filter_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[li
                 keep[first : first + len(texts)] = passes(texts)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema, owner)
 
 
 def text_runs(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:

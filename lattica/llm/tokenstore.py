@@ -11,7 +11,8 @@ format, so ordinary zstd tools can decompress a file):
   ``u8 0x80``, ``u32 0x8F92EAB1``.
 
 Documents are in ascending doc_id order within and across files, null ids first. Ties of
-doc_id are ordered by text, repeated rows stay separate documents, a null or empty text
+doc_id are ordered by their text's hash, so that many rows of one id (or of none) spread
+over files; repeated rows stay separate documents, a null or empty text
 holds the end id alone, and an empty table gives no documents. Only the id and text
 columns are read, so other columns of any name don't matter. One text has to fit the
 memory of a worker; a frame holds one document at least.
@@ -32,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.encode import CachedEncoder, RunEncoder
-from lattica.llm.text import bound_batches, text_runs
+from lattica.llm.encode import RunEncoder
+from lattica.llm.text import bound_batches, chunks, in_batches, kept, utf8
 from lattica.session import scratch_path
 
 # Fixed values of the zstd seekable format.
@@ -42,14 +43,13 @@ SEEK_MAGIC = 0x184D2A5E
 SEEK_FOOTER = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
-_ENCODERS: dict[tuple, CachedEncoder | RunEncoder] = {}
 
-
-def encoder(path: str, kind: type = CachedEncoder) -> CachedEncoder | RunEncoder:
-    """One encoder per worker process, tokenizer file and kind."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = kind(path)
-    return _ENCODERS[path, kind]
+def encoder(path: str) -> RunEncoder:
+    """One encoder per worker process and tokenizer file."""
+    held = kept("ids")
+    if path not in held:
+        held[path] = RunEncoder(path)
+    return held[path]
 
 
 def with_end(ids: np.ndarray, ptr: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,9 +157,12 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     """
     spark = docs.sparkSession
     bound_batches(docs)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), narrow.rdd.getNumPartitions())
-    ordered = narrow.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # the text and then the position part the rows of a common id or of none
+    placed = narrow.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place"))
+    keys = [F.col("doc_id").asc_nulls_first(), "tie", "place"]
+    ordered = placed.repartitionByRange(parts, *keys).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text", "place").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -170,16 +173,15 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
         with system.open_output_stream(path, compression=None) as sink:
             writer = FrameWriter(sink, level, frame_tokens)
             for batch in batches:
-                names = batch.column(0).to_pylist()
-                for first, texts in text_runs(batch.column(1), 1 << 20):
-                    ids, ptr = with_end(*encoder(tokenizer_path).encode(texts), end_id)
-                    for i in range(len(texts)):
-                        writer.add(names[first + i], ids[ptr[i] : ptr[i + 1]])
+                for rows, data, offsets in chunks(batch, "text", 1 << 20):
+                    ids, ptr = with_end(*encoder(tokenizer_path).encode(data, offsets), end_id)
+                    for i, name in enumerate(rows.column(0).to_pylist()):
+                        writer.add(name, ids[ptr[i] : ptr[i + 1]])
             writer.close()
         yield pa.RecordBatch.from_pylist([{"part": part, "file": path.rsplit("/", 1)[1], "n_docs": writer.n_docs, "n_tokens": writer.n_tokens}], pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     manifest = f"{out_dir.rstrip('/')}/manifest.parquet"
-    ordered.mapInArrow(write, "part int, file string, n_docs long, n_tokens long").write.parquet(manifest)
+    in_batches(ordered, write, "part int, file string, n_docs long, n_tokens long", "ids").write.parquet(manifest)
     return spark.read.parquet(manifest).withColumn("path", F.concat(F.lit(out_dir.rstrip("/") + "/"), "file"))
 
 
@@ -203,7 +205,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array(starts), pa.array(sizes), pa.array([zlib.crc32(x.tobytes()) for _, x in docs], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return placed.select("path", "base").repartition(parts, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_batches(placed.select("path", "base").repartition(parts, "path"), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 0, out_dir: str | None = None, **options) -> DataFrame:

@@ -150,11 +150,11 @@ def test_classifiers_of_odd_rows(odd, labels, no_labels):
 # 4: Jaccard
 
 
-def brute_components(rows):
+def brute_components(rows, width=5, num=75, den=100):
     sets = defaultdict(set)
     for name, body in rows:
         words = (body or "").encode().lower().split()
-        own = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+        own = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else ({tuple(words)} if words else set())
         sets[name].add(frozenset(own))
     parent = {name: name for name in sets}
 
@@ -170,7 +170,7 @@ def brute_components(rows):
             inverted[s].add(k)
     for i, j in {(i, j) for held in inverted.values() for i in held for j in held if i < j}:
         both = len(flat[i][1] & flat[j][1])
-        if 100 * both >= 75 * (len(flat[i][1]) + len(flat[j][1]) - both):
+        if den * both >= num * (len(flat[i][1]) + len(flat[j][1]) - both):
             p, q = root(flat[i][0]), root(flat[j][0])
             parent[max(p, q)] = min(p, q)
     return {name: root(name) for name in sets}
@@ -229,6 +229,21 @@ def test_jaccard_of_odd_rows(odd):
     kept = Counter(r.doc_id for r in jaccard.keep_representatives(odd).collect())
     assert kept == Counter({1: 1, 3: 1, 4: 1, 5: 1, 6: 1, None: 2, 7: 1, -9: 1})
     assert jaccard.jaccard_components(odd.limit(0)).count() == 0
+    clash = odd.select("*", *[F.lit(1).alias(n) for n in ("other", "turn", "component_id", "_other", "_turn", "count")])
+    made = jaccard.keep_representatives(clash)
+    assert made.columns == clash.columns and Counter(r.doc_id for r in made.collect()) == kept
+    assert jaccard.keep_representatives(odd.limit(0)).count() == 0
+    for num, den in ((1, 2), (1, 3), (5, 4)):
+        with pytest.raises(ValueError):
+            jaccard.jaccard_components(odd, num=num, den=den)
+
+
+def test_other_thresholds_equal_brute_force(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(i % 7, i % 7 + 1 + i // 7))) for i in range(70)]  # sets of one shingle too
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    for num, den in ((51, 100), (9, 10), (1, 1)):
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(made, width=1, num=num, den=den).collect()}
+        assert got == brute_components(rows, 1, num, den)
 
 
 # 5: licences
@@ -325,14 +340,35 @@ def test_cached_ids_equal_the_librarys(docs, name):
     path = public_tokenizers.path(name)
     texts = [r.text for r in docs.collect()] + ["a  b", "x\ty", "  lead", " lead", "trail ", "a \n", "q\n b", "\n\nq", "it's <|endoftext|> x", "1234 12.5", "é́ ﬀ   z", "", "\x1c a", "日本語 テスト", "a　b", "Über ΣΑΣ İx Ǆ., naïve. café, ﬁn .,. ,a a.b A.B. a", "١٢ aª xʰ.", "\0 x", LONG]
     texts += ["— . “q” x—y a b", "it’s l’été", "###$$$ a|b !!", "ÄÖ Éà x", "a1b2 12.5", "\x85a b"]
-    own = [encode.CachedEncoder(path, entries=500)] + ([encode.RunEncoder(path, entries=500)] if name.startswith("word") else [])
+    texts += ["a <|endoftext|> b", "x<|startoftext|>", "\n\na\n\n\n b", "  \n", "a \n\n  b \t", "l'un d'eux 'tis y'all", "--'s", "", "\t", "a\x0bb\x0c c"]
+    for n in (512, 4096):  # words whose polynomial hashes modulo 2**64 are equal
+        a, b = "a", "b"
+        while len(a) < n:
+            a, b = a + b, b + a
+        texts += [a, b, f"{a} {b} {a}x"]
     plain = Tokenizer.from_file(path)
-    for at in range(0, len(texts), 7):
-        part = texts[at : at + 7]
-        for kind in own:
-            ids, ptr = kind.encode(part) if isinstance(kind, encode.CachedEncoder) else kind.encode(*text.joined(part))
+    for kind in (encode.RunEncoder(path, entries=500), encode.RunEncoder(path)):
+        for at in range(0, len(texts), 7):
+            part = texts[at : at + 7]
+            ids, ptr = kind.encode(*text.joined(part))
             for i, want in enumerate(plain.encode_batch(part, add_special_tokens=False)):
-                assert ids[ptr[i] : ptr[i + 1]].tolist() == want.ids
+                assert ids[ptr[i] : ptr[i + 1]].tolist() == want.ids, part[i][:80]
+
+
+def test_runs_of_one_hash_do_not_mix(monkeypatch):
+    """With a hash that is the same for all runs, the compared bytes still tell them apart."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = text.Words.__init__
+
+    def blunt(self, *args, **options):
+        whole(self, *args, **options)
+        self.hash = self.hash % 3
+
+    monkeypatch.setattr(text.Words, "__init__", blunt)
+    kind, plain = encode.RunEncoder(path), Tokenizer.from_file(path)
+    for part in (["alpha beta gamma delta", "one two three"], ["beta", "epsilon zeta one"]):
+        ids, ptr = kind.encode(*text.joined(part))
+        assert [ids[ptr[i] : ptr[i + 1]].tolist() for i in range(len(part))] == [x.ids for x in plain.encode_batch(part, add_special_tokens=False)]
 
 
 def check_pieces(rows, given, window=4096):
@@ -459,9 +495,11 @@ def test_decontamination_finds_whole_items_only(spark, sf, docs, odd):
 def test_long_items_are_found(spark):
     rng = random.Random(9)
     said = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(3000)}" for _ in range(n)]
-    texts = {n: said(n) for n in (65, 170, 300, 1000)}
+    texts = {n: said(n) for n in (2, 60, 65, 160, 170, 300, 600, 1000, 5000)}
     planted = [(1000 * n + at, n, " ".join(said(at) + words + said(90))) for n, words in texts.items() for at in (0, 7, 31, 150)]
     planted += [(n, None, " ".join(said(40) + words[: n // 2] + said(400))) for n, words in texts.items()]  # without the answer
+    texts[1] = ["singularword"]
+    planted += [(1000, 1, "a text with the SingularWord in it"), (1001, 1, "singularword"), (1, None, "singular word")]
     rows = spark.createDataFrame([(i, t) for i, _, t in planted], "doc_id long, text string")
     items = spark.createDataFrame([(n, " ".join(words)) for n, words in texts.items()], "item_id long, text string")
     for most in (20_000, 3):
@@ -494,6 +532,35 @@ def test_pipeline_stages_equal_their_operators(spark, sf, docs, labels):
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == ids[5]
 
 
+def test_words_of_one_polynomial_hash_stay_apart(spark):
+    rows = []
+    for n in (512, 1024, 2048, 8192):
+        a, b = "a", "b"
+        while len(a) < n:
+            a, b = a + b, b + a
+        rows += [(len(rows), a), (len(rows) + 1, b)]
+    made = text.Words(*text.joined([" ".join(t for _, t in rows)]))
+    assert len(set(made.hash.tolist())) == len(rows)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i, _ in rows}
+
+
+def test_words_equal_a_plain_split():
+    rng = random.Random(4)
+    kinds = {"space": rb"[^\x20\x09-\x0d]+", "alnum": rb"[0-9A-Za-z\x80-\xff]+", "marks": rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+"}
+    bodies = ["".join(rng.choice(" \n\tab01é.#A") * rng.randrange(1, 30) for _ in range(rng.randrange(0, 40))) for _ in range(60)] + ["", " ", "x" * 700, ""]
+    for kind, pattern in kinds.items():
+        held = text.Words(*text.joined(bodies), words=kind)
+        raw = "".join(bodies).encode()
+        names = {}
+        for i, body in enumerate(bodies):
+            spots = slice(held.ptr[i], held.ptr[i + 1])
+            want = re.findall(pattern, body.encode())
+            assert [raw[s:e] for s, e in zip(held.start[spots], held.end[spots])] == want
+            assert all(names.setdefault(w.lower(), h) == h for w, h in zip(want, held.hash[spots].tolist()))
+        assert len(set(names.values())) == len(names)
+
+
 def test_words_and_shingles():
     body = ["a b  c", "", "x", "one two three four five six"]
     data, offsets = text.joined(body)
