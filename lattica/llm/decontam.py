@@ -2,7 +2,7 @@
 
 A passage is a window of ``window`` words, half of it shared with the next. Terms are
 pairs of neighbouring words, as single words of a test item are in most passages of its
-language. A passage's score for an item is the BM25 sum of the item's weights for the
+language; only an item of one word has that word as its term. A passage's score for an item is the BM25 sum of the item's weights for the
 passage's distinct terms, divided by the same sum for all of the item's terms, so 1
 means that every term of the item is in the passage. All items that reach ``threshold`` are retrieved: a passage whose best
 possible sum is too small is passed over; for the others, WAND moves from pivot to pivot
@@ -17,14 +17,14 @@ three quarters of the words, the answer the rest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import U64, Words, bound_batches, chunks, filter_rows, joined, mix, utf8
+from lattica.llm.text import U64, Words, bound_batches, chunks, filter_rows, in_batches, joined, mix, utf8
 
 # The usual BM25 constants.
 K1, B = 1.2, 0.75
@@ -41,9 +41,18 @@ def _pairs(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes[:-1] * U64(0x9E3779B97F4A7C15) + hashes[1:], 51)
 
 
-def _grams(words: list[int], size: int) -> set[tuple[int, ...]]:
-    size = min(size, len(words))
-    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
+def _singles(hashes: np.ndarray) -> np.ndarray:
+    """A term for each word, for items of one word."""
+    return mix(hashes, 52)
+
+
+def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
+    n = max(len(hashes) - size + 1, 0)
+    value = np.zeros(n, U64)
+    for k in range(size):
+        value = mix(value * U64(0x9E3779B97F4A7C15) + hashes[k : k + n], 60 + k)
+    return value
 
 
 def segments(n: int, window: int, threshold: float) -> list[tuple[int, int]]:
@@ -65,21 +74,23 @@ class ItemIndex:
         self.ids = [i for i, _ in items]
         self.grams = grams
         self.words = [_hashes(t) for _, t in items]
-        self.question, self.answer = [], []
+        #: (n-gram size, distinct n-grams) of each item's question and of its answer
+        self.parts: list[tuple[tuple[int, np.ndarray], ...]] = []
         for own in self.words:
             cut = min(-(-3 * len(own) // 4), max(len(own) - 1, 1))
-            self.question.append(_grams(own[:cut], grams))
-            self.answer.append(_grams(own[cut:] or own, grams))
+            told = [np.array(x, U64) for x in (own[:cut], own[cut:] or own)]
+            self.parts.append(tuple((min(grams, len(x)), np.unique(_grams(x, min(grams, len(x))))) for x in told))
         n = len(items)
         self.item: list[int] = []  # of each segment
         terms: list[list[int]] = []
         tf: list[dict[int, int]] = []
         df: dict[int, int] = {}
         for i, own in enumerate(self.words):
-            pairs = _pairs(np.array(own, U64)).tolist()
+            held = np.array(own, U64)
+            pairs = (_pairs if len(own) > 1 else _singles)(held).tolist()
             for low, high in segments(len(own), window, threshold):
                 self.item.append(i)
-                terms.append(pairs[low : high - 1])
+                terms.append(pairs[low : max(high - 1, 1)])
                 count: dict[int, int] = {}
                 for w in terms[-1]:
                     count[w] = count.get(w, 0) + 1
@@ -87,6 +98,7 @@ class ItemIndex:
             for w in set(pairs):
                 df[w] = df.get(w, 0) + 1
         mean = max(sum(map(len, terms)) / max(len(terms), 1), 1)
+        self.singles = any(len(own) == 1 for own in self.words)
         self.vocabulary = np.array(sorted(df), np.uint64)
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.vocabulary >> U64(48)).astype(np.int64)] = True
@@ -150,31 +162,35 @@ class ItemIndex:
             cursors = [c for c in cursors if c[0] >= 0]
         return found
 
-    def verify(self, item: int, around: list[int]) -> tuple[float, float]:
-        """Shares of the question's and of the answer's n-grams in a stretch of words."""
-        out = []
-        for part in (self.question[item], self.answer[item]):
-            sizes = {len(g) for g in part}
-            here = set().union(*[_grams(around, s) for s in sizes]) if sizes else set()
-            out.append(len(part & here) / len(part) if part else 0.0)
-        return out[0], out[1]
+    def verify(self, item: int, around: Callable[[int], np.ndarray]) -> tuple[float, float]:
+        """Shares of the question's and of the answer's n-grams in a stretch of words; ``around``: its n-grams of a size."""
+        return tuple(float(np.isin(own, around(size)).mean()) for size, own in self.parts[item])
 
 
 def passages(words: Words, index: ItemIndex, window: int, threshold: float) -> Iterator[tuple[int, int, list[int]]]:
     """(document, first word in it, distinct index terms) of each passage whose bound reaches the threshold."""
-    if not len(index.vocabulary) or len(words.hash) < 2:
+    if not len(index.vocabulary) or not len(words.hash):
         return
     stride = window // 2
     counts = np.diff(words.ptr)
     pairs = _pairs(words.hash)
-    spot = np.flatnonzero(index.maybe[(pairs >> U64(48)).astype(np.int64)])
     last = np.zeros(len(pairs) + 1, bool)  # a document's last word has no next
     last[words.ptr[1:][counts > 0] - 1] = True
-    spot = spot[~last[spot]]
-    term = np.searchsorted(index.vocabulary, pairs[spot])
-    term[term == len(index.vocabulary)] = 0
-    hit = index.vocabulary[term] == pairs[spot]
-    term, spot = term[hit], spot[hit]
+
+    def known(hashes: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(term, word) of those in the index."""
+        spot = spot[index.maybe[(hashes[spot] >> U64(48)).astype(np.int64)]]
+        term = np.searchsorted(index.vocabulary, hashes[spot])
+        term[term == len(index.vocabulary)] = 0
+        hit = index.vocabulary[term] == hashes[spot]
+        return term[hit], spot[hit]
+
+    term, spot = known(pairs, np.flatnonzero(~last[:-1]))
+    if index.singles:
+        more = known(_singles(words.hash), np.arange(len(words.hash)))
+        term, spot = np.concatenate([term, more[0]]), np.concatenate([spot, more[1]])
+        order = np.argsort(spot, kind="stable")
+        term, spot = term[order], spot[order]
     doc = np.repeat(np.arange(len(counts)), counts)[spot]
     at = spot - words.ptr[doc]
     # the term's earlier place in its document; a term counts once in a passage
@@ -197,20 +213,35 @@ def passages(words: Words, index: ItemIndex, window: int, threshold: float) -> I
 
 
 def find(data: np.ndarray, offsets: np.ndarray, index: ItemIndex, window: int, threshold: float, overlap: float) -> dict[tuple[int, int], tuple]:
-    """(document, item) -> (score, question overlap, answer overlap, -first word) of the best verified passage."""
+    """(document, item) -> (score, question overlap, answer overlap, first word) of the best verified passage, the earliest of equal ones."""
     best: dict[tuple[int, int], tuple] = {}
     words = Words(data, offsets, words="alnum")
+    seen: dict[tuple[int, int], list[tuple[float, int]]] = {}
     for d, start, terms in passages(words, index, window, threshold):
         scores: dict[int, float] = {}
         for segment, score in index.search(terms, threshold):
             item = index.item[segment]
             scores[item] = max(scores.get(item, 0.0), score)
         for item, score in scores.items():
-            size = len(index.words[item])
-            low, high = words.ptr[d] + max(start - size, 0), min(words.ptr[d] + start + window + size, words.ptr[d + 1])
-            asked, answered = index.verify(item, words.hash[low:high].tolist())
+            seen.setdefault((d, item), []).append((-score, start))
+    grams: dict[int, np.ndarray] = {}  # of one document at a time, by size
+    of = -1
+    for (d, item), places in sorted(seen.items()):
+        if d != of:
+            of, grams = d, {}
+        whole, size = words.hash[words.ptr[d] : words.ptr[d + 1]], len(index.words[item])
+
+        def around(n: int, low: int, high: int, whole: np.ndarray = whole, grams: dict[int, np.ndarray] = grams) -> np.ndarray:
+            if n not in grams:
+                grams[n] = _grams(whole, n)
+            return grams[n][low : max(high - n + 1, low)]
+
+        for score, start in sorted(places):
+            low, high = max(start - size, 0), min(start + window + size, len(whole))
+            asked, answered = index.verify(item, lambda n: around(n, low, high))  # noqa: B023
             if asked >= overlap and answered >= overlap:
-                best[d, item] = max(best.get((d, item), (-1.0,)), (score, asked, answered, -start))
+                best[d, item] = (-score, asked, answered, start)
+                break
     return best
 
 
@@ -221,7 +252,7 @@ def _scan(shared, window: int, threshold: float, overlap: float):
             out = []
             for rows, data, offsets in chunks(batch, "text"):
                 names = rows.column(0).to_pylist()
-                out += [(names[d], index.ids[i], *x[:3], -x[3]) for (d, i), x in find(data, offsets, index, window, threshold, overlap).items()]
+                out += [(names[d], index.ids[i], *x) for (d, i), x in find(data, offsets, index, window, threshold, overlap).items()]
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
@@ -235,7 +266,7 @@ def _indexes(items: DataFrame, item_col: str, item_text: str, grams: int, index_
     size = 0
     for row in items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).orderBy("i", "t").toLocalIterator():
         n = len(_hashes(row["t"])) if row["t"] else 0
-        if n < 2:
+        if not n:
             continue
         more = len(segments(n, window, threshold))
         if held and size + more > index_items:
@@ -248,7 +279,12 @@ def _indexes(items: DataFrame, item_col: str, item_text: str, grams: int, index_
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 64, threshold: float = 0.4, overlap: float = 0.5, grams: int = 3, index_items: int = 20_000) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no test item."""
+    """The rows of ``docs``, all columns, that hold no test item.
+
+    Null and empty texts stay, as does every row where there are no items; items without a
+    word are ignored. Rows that repeat an id, and equal texts, are judged alike, each on its
+    own; an empty table gives no rows. Columns of any name are kept as they are.
+    """
 
     def judge(shared):
         def passes(texts: list[str]) -> np.ndarray:
@@ -268,15 +304,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     Items are indexed ``index_items`` segments at a time (an item of up to ``window`` words is
     one), so what is broadcast is bounded, and the
-    documents are read once per index. Null and empty texts, and items of less than two
-    words, are in no pair. Rows that repeat a doc_id or an item_id give their own rows; ties of a
+    documents are read once per index. Null and empty texts, and items without a word, are
+    in no pair; an item of one word is in every text with that word. Rows that repeat a doc_id or an item_id give their own rows; ties of a
     score take the earlier passage. Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     bound_batches(docs)
     kinds = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    parts = [inputs.mapInArrow(_scan(spark.sparkContext.broadcast(index), window, threshold, overlap), kinds) for index in _indexes(items, item_col, item_text, grams, index_items, window, threshold)]
+    parts = [in_batches(inputs, _scan(spark.sparkContext.broadcast(index), window, threshold, overlap), kinds) for index in _indexes(items, item_col, item_text, grams, index_items, window, threshold)]
     out = parts[0] if parts else spark.createDataFrame([], kinds)
     for part in parts[1:]:
         out = out.unionAll(part)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.sampling import hash_sample
-from lattica.llm.text import U64, bound_batches, crc_mod, filter_rows, mix, text_runs
+from lattica.llm.text import U64, bound_batches, crc_mod, filter_rows, in_batches, kept, mix, text_runs
 
 DIM = 1024
 CACHE = 16_384
@@ -103,11 +103,11 @@ class Space:
         return out
 
 
-_SPACES: dict[int, Space] = {}
-
-
 def space(dim: int) -> Space:
-    return _SPACES.setdefault(dim, Space(dim))
+    held = kept("space")
+    if dim not in held:
+        held[dim] = Space(dim)
+    return held[dim]
 
 
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, dim: int) -> tuple[list[str], np.ndarray]:
@@ -138,7 +138,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langua
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], ["lang", "sums"])
 
     total = {name: np.zeros(dim) for name in names}
-    for row in sample.repartition(8).mapInArrow(bundle, "lang string, sums array<double>").collect():  # 8 rows a language
+    for row in in_batches(sample.repartition(8), bundle, "lang string, sums array<double>", "space").collect():  # 8 rows a language
         total[row["lang"]] += np.array(row["sums"])
     made = np.array([total[n] for n in names])
     return names, (made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-9)).astype(np.float32)
@@ -158,8 +158,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs``, all columns, whose text has a language: not null, and with a letter, also when no language can be learnt."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, per_language, dim))
     if not shared.value[0]:
-        return filter_rows(docs, text_col, lambda: lambda texts: np.array([len(letters(t)) > 0 for t in texts], bool))
-    return filter_rows(docs, text_col, lambda: lambda texts: np.array([predict(t, *shared.value, dim)[0] != UNKNOWN for t in texts], bool))
+        return filter_rows(docs, text_col, lambda: lambda texts: np.array([len(letters(t)) > 0 for t in texts], bool), "space")
+    return filter_rows(docs, text_col, lambda: lambda texts: np.array([predict(t, *shared.value, dim)[0] != UNKNOWN for t in texts], bool), "space")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, dim: int = DIM) -> DataFrame:
@@ -181,5 +181,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(found), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = inputs.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    scored = in_batches(inputs, run, "doc_id long, lang_pred string, score double", "space")
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")

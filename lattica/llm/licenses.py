@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import bound_batches, utf8
+from lattica.llm.text import bound_batches, in_batches, utf8
 
 # Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -203,5 +203,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     bound_batches(docs)
     inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    made = inputs.mapInArrow(_scan((templates or TEMPLATES, phrases or PHRASES, min_match, gap, coverage)), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,last_word:long,coverage:double>>")
+    made = in_batches(inputs, _scan((templates or TEMPLATES, phrases or PHRASES, min_match, gap, coverage)), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,last_word:long,coverage:double>>")
     return made

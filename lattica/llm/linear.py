@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.sampling import hash_sample
-from lattica.llm.text import U64, Words, bound_batches, chunks, crc_mod, mix, utf8
+from lattica.llm.text import U64, Words, bound_batches, chunks, crc_mod, in_batches, mix, utf8
 
 BITS = 18
 SLOTS = 1 << BITS
@@ -142,7 +142,7 @@ def fit_chain(sample: DataFrame, links: int, folds: int = 3, epochs: int = 5, st
 
     one = sample.repartition(1).sortWithinPartitions("order", "text")  # bounded by the sample's parameter
     out = np.zeros((links, SLOTS + links + 1))
-    for row in one.mapInArrow(run, "link int, at int, weight double").collect():
+    for row in in_batches(one, run, "link int, at int, weight double").collect():
         out[row["link"], row["at"]] = row["weight"]
     return out
 
@@ -171,4 +171,4 @@ def score_chain(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str
                 yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array(out[:, k]) for k in range(links)]], ["doc_id", *names])
 
     inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    return inputs.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+    return in_batches(inputs, run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
