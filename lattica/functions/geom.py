@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import vec
@@ -66,24 +66,30 @@ def segment_box_overlap(a: Point, b: Point, low: Point, high: Point) -> Column:
     return boxed & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
 
 
-def triangle_box_overlap(t: tuple[Point, Point, Point], low: Point, high: Point) -> Column:
+def triangle_box_overlap(t: tuple[Point, Point, Point], low: Point, high: Point, size=None) -> Column:
     """Separating axes of a triangle and a box: three axes, the plane, nine edge crosses.
 
-    Coordinates are doubled and moved to the box's centre, so integers stay exact.
+    Coordinates are doubled around the box's centre, so integers stay exact. An edge's two
+    ends have one projection on the axes across it, so each of these looks at two points;
+    that also keeps the expression small enough to be compiled, as does ``size``, a cube's
+    known side.
     """
-    centre, half = vec.add(low, high), vec.sub(high, low)
-    a, b, c = (vec.sub(vec.scale(v, 2), centre) for v in t)
-    tests = [(F.least(p, q, r) <= h) & (F.greatest(p, q, r) >= -h) for p, q, r, h in zip(a, b, c, half, strict=True)]
-    edges = [vec.sub(b, a), vec.sub(c, b), vec.sub(a, c)]
-    normal = vec.cross(edges[0], edges[1])
+    if size is not None:
+        high = tuple(c + size for c in low)
+    centre, half = (vec.add(low, high), vec.sub(high, low)) if size is None else (tuple(c * 2 + size for c in low), (F.lit(size),) * 3)
+    moved = lambda v, i: v[i] * 2 - centre[i]
+    tests = [(F.least(*[v[i] for v in t]) <= high[i]) & (F.greatest(*[v[i] for v in t]) >= low[i]) for i in range(3)]
+    normal = vec.cross(vec.sub(t[1], t[0]), vec.sub(t[2], t[0]))
     reach = vec.component_sum(tuple(F.abs(n) * h for n, h in zip(normal, half, strict=True)))
-    tests.append(F.abs(vec.dot(normal, a)) <= reach)
-    zero = F.lit(0).cast("long")
-    for e in edges:
-        for axis in ((zero, -e[2], e[1]), (e[2], zero, -e[0]), (-e[1], e[0], zero)):
-            p, q, r = (vec.dot(axis, v) for v in (a, b, c))
-            reach = vec.component_sum(tuple(F.abs(n) * h for n, h in zip(axis, half, strict=True)))
-            tests.append((F.least(p, q, r) <= reach) & (F.greatest(p, q, r) >= -reach))
+    tests.append(F.abs(vec.component_sum(tuple(n * moved(t[0], i) for i, n in enumerate(normal)))) <= reach)
+    for k in range(3):
+        p, q, r = t[k], t[(k + 1) % 3], t[(k + 2) % 3]
+        for i in range(3):
+            j, m = (i + 1) % 3, (i + 2) % 3
+            ej, em = q[j] - p[j], q[m] - p[m]
+            one, two = (ej * moved(v, m) - em * moved(v, j) for v in (p, r))
+            reach = F.abs(ej) * half[m] + F.abs(em) * half[j]
+            tests.append((F.least(one, two) <= reach) & (F.greatest(one, two) >= -reach))
     return all_of(*tests)
 
 
@@ -115,6 +121,27 @@ def point_triangle_distance2(p: Point, a: Point, b: Point, c: Point) -> Column:
     return F.when(inside, height * height / F.nullif(n2, F.lit(0.0))).otherwise(edges)
 
 
+def closest_on_triangle(rows: DataFrame, p: Point, a: Point, b: Point, c: Point, to: str) -> DataFrame:
+    """Adds ``to``x, ``to``y, ``to``z: the point of a triangle nearest to p.
+
+    Outside the triangle's prism it is a point of the edges, the first of equally near ones.
+    The steps are columns of their own, as one expression would repeat them many times.
+    """
+    n = triangle_normal(a, b, c)
+    n2 = vec.length2(n).cast("double")
+    side = lambda u, v: vec.dot(vec.cross(vec.sub(v, u), vec.sub(p, u)), n)
+    sides = ((a, b), (b, c), (c, a))
+    inside = (n2 > 0) & (side(a, b) >= 0) & (side(b, c) >= 0) & (side(c, a) >= 0)
+    kept = [name for name in rows.columns if name not in {to + axis for axis in "xyz"}]
+    feet = [F.array(*[x.cast("double") for x in closest_on_segment(p, u, v)]).alias(f"_f{i}") for i, (u, v) in enumerate(sides)]
+    step = rows.select(*kept, inside.alias("_in"), (vec.dot(vec.sub(p, a), n).cast("double") / F.nullif(n2, F.lit(0.0))).alias("_lift"), F.array(*[x.cast("double") for x in n]).alias("_n"), *feet)
+    far = [sum((q * q for q in (x - F.get(f"_f{i}", k) for k, x in enumerate(p))), F.lit(0.0)).alias(f"_d{i}") for i in range(3)]
+    step = step.select("*", *far)
+    foot = F.when((F.col("_d0") <= F.col("_d1")) & (F.col("_d0") <= F.col("_d2")), F.col("_f0")).when(F.col("_d1") <= F.col("_d2"), F.col("_f1")).otherwise(F.col("_f2"))
+    made = [F.when(F.col("_in"), x - F.col("_lift") * F.get("_n", k)).otherwise(F.get(foot, k)).alias(to + axis) for k, (x, axis) in enumerate(zip(p, "xyz", strict=True))]
+    return step.select(*kept, *made)
+
+
 def segments_cross(a: Point, b: Point, c: Point, d: Point) -> Column:
     """Proper crossing: each segment's ends lie strictly on both sides of the other."""
     sign = lambda x: F.signum(x).cast("int")
@@ -173,7 +200,7 @@ def bisector_on_edge(a: Point, length: Column, axis: Column, pa: Point, pb: Poin
     d = vec.sub(pb, pa)
     along = F.nullif((2 * vec.component(d, axis)).cast("double"), F.lit(0.0))
     gap = vec.length2(vec.sub(a, pb)) - vec.length2(vec.sub(a, pa))
-    return F.greatest(F.lit(0.0), F.least(length.cast("double"), gap / along))
+    return F.when(along.isNotNull(), F.greatest(F.lit(0.0), F.least(length.cast("double"), gap / along)))  # least() passes over nulls
 
 
 def interpolate(v0: Point, v1: Point, d0: Column, d1: Column, f: Column) -> Point:
@@ -193,10 +220,41 @@ def angle_bin_2d(x: Column, y: Column, k: int) -> Column:
 
 
 def angle_bin_3d(x: Column, y: Column, z: Column, k: int) -> Column:
-    """Longitude and latitude bins, the square root of k of each."""
+    """Bins of longitude and latitude, the square root of k of each; both angles are binned over a full turn."""
     side = math.isqrt(k)
-    lat = F.least(F.floor(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z))) / math.pi * side), F.lit(side - 1))
-    return (lat * side + angle_bin(F.atan2(y, x), side)).cast("int")
+    return (angle_bin(F.atan2(z, F.sqrt(x * x + y * y)), side) * side + angle_bin(F.atan2(y, x), side)).cast("int")
+
+
+def is_square(low: Point, high: Point) -> Column:
+    """All extents of a box are equal."""
+    sizes = vec.sub(high, low)
+    return all_of(*[s == sizes[0] for s in sizes[1:]])
+
+
+def segment_axis(a: Point, b: Point) -> tuple[Point, Column, Column]:
+    """(unit normal, least and largest projection) of a segment, for separating-axis tests; null if it has no length."""
+    n = vec.normalize((-(b[1] - a[1]), b[0] - a[0]))
+    p, q = vec.dot(n, a), vec.dot(n, b)
+    return n, F.least(p, q), F.greatest(p, q)
+
+
+def v_segments(a: Point, b: Point, c: Point, d: Point) -> tuple[Point, Point, Point, Point]:
+    """Two segments as the arms of a V: (tip, end) of the first arm, (tip, end) of the second.
+
+    The tip of the first arm is the end that lies nearest to the other segment, its twin
+    there the tip of the second. The second arm goes on to the far end that points the way
+    of the first, else to the other one. Ties take the first of a, b, c, d.
+    """
+    tries = [(a, b, c, d), (b, a, c, d), (c, d, a, b), (d, c, a, b)]
+    rated = [(vec.length2(vec.sub(tip, closest_on_segment(tip, u, v))).cast("double"), tip, end, closest_on_segment(tip, u, v), u, v) for tip, end, u, v in tries]
+    made = None
+    for distance, tip, end, near, u, v in reversed(rated):
+        arm = vec.sub(end, tip)
+        onto = vec.dot(arm, vec.sub(v, near)) > 0
+        row = F.struct(*[x.cast("double").alias(n + axis) for n, p in (("a", tip), ("b", end), ("c", near), ("d", tuple(F.when(onto, y).otherwise(x) for x, y in zip(u, v, strict=True)))) for axis, x in zip("xy", p, strict=True)])
+        least = F.least(*[r[0] for r in rated])
+        made = row if made is None else F.when(distance == least, row).otherwise(made)
+    return tuple((made[f"{n}x"], made[f"{n}y"]) for n in "abcd")
 
 
 def ray_hit(origin: Point, ray: Point, a: Point, b: Point, c: Point) -> Column:

@@ -109,6 +109,33 @@ def edge_index(axis: Column, first: Column, second: Column) -> Column:
     return axis * 4 + first.cast("int") * 2 + second.cast("int")
 
 
+def direction_of_axis(axis: Column, positive: Column) -> tuple[Column, Column]:
+    """(pos, neg) masks of one step along an axis."""
+    bit = F.call_function("shiftleft", F.lit(1), axis)
+    return F.when(positive, bit).otherwise(0), F.when(positive, 0).otherwise(bit)
+
+
+def direction_of_corner(corner_index: Column, dim: int) -> tuple[Column, Column]:
+    """Up along the axes whose bit is set, down along the others."""
+    return corner_index, corner_index.bitwiseXOR(F.lit((1 << dim) - 1))
+
+
+def direction_of_sublattice(index: Column, dim: int) -> tuple[Column, Column]:
+    """The direction that ``sublattice_index`` numbers."""
+    digit = lambda j: F.pmod(F.floor(index / 3**j), F.lit(3))
+    mask = lambda d: sum((F.when(digit(j) == d, 1 << j).otherwise(0) for j in range(dim)), F.lit(0))
+    return mask(2), mask(0)
+
+
+def level_of_width(width: Column, root: int) -> Column:
+    """The level of cells of that width, a power of two, under a root of width ``root``."""
+    return (F.lit(root.bit_length()) - F.length(F.bin(width.cast("long")))).cast("int")
+
+
+def cell_centre(base: Point, width: Column) -> Point:
+    return tuple(c + F.floor(width / 2) for c in base)
+
+
 def reverse(pos: Column, neg: Column) -> tuple[Column, Column]:
     return neg, pos
 

@@ -2,16 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.session import write_and_reread
+from lattica.operators.stats import prefix_sum
+from lattica.session import scratched, write_and_reread
+
+
+#: Edges that one task handles alone, about 16 MB of them.
+FEW = 1 << 20
 
 
-def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60) -> DataFrame:
+def smallest_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the numbers 0 to n - 1 that each is linked with, by pairs u, v."""
+    label = np.arange(n)
+    while True:
+        one, two = label[u], label[v]
+        low, high = np.minimum(one, two), np.maximum(one, two)
+        apart = low < high
+        if not apart.any():
+            return label
+        np.minimum.at(label, high[apart], low[apart])
+        while True:  # to the roots
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
+
+
+def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of a bounded number of edges."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    both = pa.chunked_array([b.column(i) for i in (0, 1) for b in held])
+    values = both.to_numpy()
+    names, at = np.unique(values, return_inverse=True)
+    half = len(values) // 2
+    label = smallest_labels(at[:half], at[half:], len(names))
+    for low in range(0, len(names), 1 << 16):
+        part = slice(low, low + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(names[part], both.type), pa.array(names[label[part]], both.type)], ["node", "component"])
+
+
+@scratched
+def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60, few: int = FEW) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
-    Each round every node adopts its smallest neighbour, if that is smaller; the adopted
+    Up to ``few`` distinct edges go to one task. Beyond, each round every node adopts its smallest neighbour, if that is smaller; the adopted
     labels are followed to their roots, halving the way each time; and the edges are
     rewritten to labels, so edges inside a component vanish. Labels only decrease and a
     component's smallest node keeps its own, so the last label is the smallest node. Each
@@ -21,6 +63,9 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     """
     links = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null and u <> v")
     links = write_and_reread(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-edges")
+    if links.count() <= few:
+        kind = links.schema["u"].dataType.simpleString()
+        return write_and_reread(links.coalesce(1).mapInArrow(_one_task, f"node {kind}, component {kind}"), "cc-labels")
     labels = links.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("component", F.col("node"))
     for _ in range(max_rounds):
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -48,6 +93,21 @@ def undirected(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     return one.unionAll(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
+def graph_from_segments(segments: DataFrame, bucket: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(vertices id, x, y; edges u, v): equal points are one vertex, numbered by (x, y), and equal edges one edge."""
+    ends = segments.select(F.explode(F.array(*[F.struct(F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y")) for p in "ab"])).alias("e")).select("e.*").distinct()
+    vertices = prefix_sum(ends.withColumn("one", F.lit(1).cast("long")), "one", F.floor(F.col("x") / bucket), ["x", "y"], "id").select("id", "x", "y")
+    named = segments.select("ax", "ay", "bx", "by")
+    for p, to in (("a", "u"), ("b", "v")):
+        named = named.join(vertices.select(F.col("id").alias(to), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y")), [f"{p}x", f"{p}y"])
+    return vertices, named.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def network_differences(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Rows that only one of two networks has, counted as often as they are too many; none if they are equal."""
+    return one.exceptAll(two).unionAll(two.exceptAll(one))
+
+
 def k_rings(edges: DataFrame, sources: DataFrame, max_ring: int, node: str = "node") -> DataFrame:
     """(center, node, ring): nodes at graph distance 0..max_ring from each source.
 
@@ -70,11 +130,14 @@ def k_rings(edges: DataFrame, sources: DataFrame, max_ring: int, node: str = "no
     return out
 
 
-def shortest_paths(edges: DataFrame, source, max_rounds: int = 200) -> DataFrame:
+@scratched
+def shortest_paths(edges: DataFrame, source, max_rounds: int | None = None) -> DataFrame:
     """(node, cost, parent): cheapest cost from ``source`` over undirected weighted edges (u, v, w).
 
     Frontier relaxation: only nodes whose cost fell pass it on. Ties of a cost keep the
-    smallest parent. Weights must not be negative.
+    smallest parent. Weights must not be negative. A round passes costs on by one edge, so
+    there are as many as the longest cheapest path has edges; ``max_rounds`` is a bound for
+    callers that want one.
     """
     spark = edges.sparkSession
     one = edges.select("u", "v", "w").filter("u <> v")
@@ -83,7 +146,9 @@ def shortest_paths(edges: DataFrame, source, max_rounds: int = 200) -> DataFrame
     kind, cost = links.schema["u"].dataType.simpleString(), links.schema["w"].dataType.simpleString()
     state = spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.lit(0).cast(cost).alias("cost"), F.lit(None).cast(kind).alias("parent"))
     frontier = state = write_and_reread(state, "path-state")
-    for _ in range(max_rounds):
+    turn = 0
+    while max_rounds is None or turn < max_rounds:
+        turn += 1
         offers = frontier.join(links.withColumnRenamed("u", "node"), "node").select(F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("node").alias("parent"))
         best = offers.groupBy("node").agg(F.min(F.struct("cost", "parent")).alias("o"))
         held = state.select("node", F.col("cost").alias("old"), F.col("parent").alias("old_parent"))
@@ -92,7 +157,7 @@ def shortest_paths(edges: DataFrame, source, max_rounds: int = 200) -> DataFrame
         if frontier.isEmpty():
             return state
         state = write_and_reread(state.join(frontier.select("node"), "node", "left_anti").unionByName(frontier), "path-state")
-    raise RuntimeError("shortest_paths did not converge")
+    raise RuntimeError(f"shortest_paths did not converge in {max_rounds} rounds")
 
 
 def path_to(paths: DataFrame, target) -> list:

@@ -8,11 +8,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import geom, vec
 from lattica.operators.graph import connected_components
+from lattica.operators.stats import prefix_sum
 
 
 def edges(triangles: DataFrame) -> DataFrame:
@@ -74,6 +75,122 @@ def reindex(triangles: DataFrame, mapping: DataFrame) -> DataFrame:
     return triangles
 
 
+def translate(vertices: DataFrame, by: tuple[float, float, float]) -> DataFrame:
+    """Vertices moved by a vector; their box is a fold over the result."""
+    return vertices.withColumns({a: F.col(a) + s for a, s in zip("xyz", by, strict=True)})
+
+
+def invert(triangles: DataFrame) -> DataFrame:
+    """All faces with the other winding: the first and last vertex change places."""
+    return triangles.withColumns({"a": F.col("c"), "c": F.col("a")})
+
+
+def compact(triangles: DataFrame, bucket: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """(triangles with new ids, mapping vid -> to): the used vertices numbered from 0 in the order of their first use."""
+    slots = F.explode(F.array(*[F.struct(F.col(c).alias("vid"), (F.col("prim_id").cast("long") * 3 + i).alias("at")) for i, c in enumerate("abc")]))
+    used = triangles.select(slots.alias("s")).select("s.*").groupBy("vid").agg(F.min("at").alias("at"))
+    ranked = prefix_sum(used.withColumn("one", F.lit(1).cast("long")), "one", F.floor(F.col("at") / bucket), ["at"], "to")
+    mapping = ranked.select("vid", "to")
+    return reindex(triangles, mapping), mapping
+
+
+def triangle_slot(v: Column) -> Column:
+    """Place (0 to 2) of a vertex in the row's triangle, -1 if it isn't there."""
+    return F.when(v == F.col("a"), 0).when(v == F.col("b"), 1).when(v == F.col("c"), 2).otherwise(-1)
+
+
+def triangle_vertex(slot: Column) -> Column:
+    return F.get(F.array("a", "b", "c"), slot)
+
+
+def triangle_step(v: Column, step: int) -> Column:
+    """The vertex ``step`` places after v in the row's triangle (2: the one before); null if v isn't there."""
+    slot = triangle_slot(v)
+    return F.when(slot >= 0, triangle_vertex(F.pmod(slot + step, F.lit(3))))
+
+
+def triangle_opposite(v: Column) -> tuple[Column, Column]:
+    """The edge opposite a vertex, from the vertex before v to the one after it."""
+    return triangle_step(v, 2), triangle_step(v, 1)
+
+
+def triangle_has_edge(u: Column, v: Column) -> Column:
+    return (triangle_slot(u) >= 0) & (triangle_slot(v) >= 0)
+
+
+def triangle_key() -> Column:
+    """The row's vertex ids in ascending order."""
+    return F.array_sort(F.array("a", "b", "c"))
+
+
+def same_winding(other: tuple[Column, Column, Column]) -> Column:
+    """The row's triangle runs through the same vertices in the same cyclic order."""
+    p, q, r = other
+    own = F.array("a", "b", "c")
+    return (own == F.array(p, q, r)) | (own == F.array(q, r, p)) | (own == F.array(r, p, q))
+
+
+def opposite_triangles(triangles: DataFrame) -> DataFrame:
+    """(prim_id, vid, other): across the edge opposite each corner, where exactly two triangles share it."""
+    corner = F.when(F.col("side") == 0, F.col("c")).when(F.col("side") == 1, F.col("a")).otherwise(F.col("b"))
+    one = edges(triangles).join(triangles.select("prim_id", "a", "b", "c"), "prim_id").select("prim_id", "lo", "hi", corner.alias("vid"))
+    pairs = one.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min("prim_id").alias("p"), F.max("prim_id").alias("q")).filter("n = 2 and p <> q")
+    return one.join(pairs, ["lo", "hi"]).select("prim_id", "vid", F.when(F.col("prim_id") == F.col("p"), F.col("q")).otherwise(F.col("p")).alias("other"))
+
+
+def local_flips(triangles: DataFrame) -> DataFrame:
+    """(prim_id, n, flip): how many neighbours run a shared edge the same way; more than one calls for a flip.
+
+    All triangles are judged as they are given, so the order of rows doesn't matter.
+    """
+    one = edges(triangles)
+    other = one.select("lo", "hi", F.col("prim_id").alias("other"), F.col("u").alias("v_u"))
+    same = one.join(other, ["lo", "hi"]).filter("prim_id <> other and u = v_u").groupBy("prim_id").agg(F.count(F.lit(1)).alias("n"))
+    return triangles.select("prim_id").join(same, "prim_id", "left").select("prim_id", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) > 1).alias("flip"))
+
+
+def split_sheets(triangles: DataFrame, bucket: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """(triangles with new ids and their sheet, copies vid -> to of a sheet) with edges of more than two triangles taken apart.
+
+    A sheet is what hangs together by edges of exactly two triangles; its windings are made
+    equal where they can be. Each vertex of an edge with more triangles gets a copy for
+    every sheet but the one with the smallest triangle, numbered after all vertices.
+    """
+    every = edges(triangles)
+    shared = every.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    turned = orient(triangles)
+    made = triangles.join(turned, "prim_id").select("prim_id", F.when(F.col("flip"), F.col("c")).otherwise(F.col("a")).alias("a"), "b", F.when(F.col("flip"), F.col("a")).otherwise(F.col("c")).alias("c"), F.col("component").alias("sheet"))
+    broken = shared.filter("n > 2").select(F.explode(F.array("lo", "hi")).alias("vid")).distinct()
+    held = made.select("sheet", F.explode(F.array("a", "b", "c")).alias("vid")).distinct().join(broken, "vid", "left_semi")
+    first = held.groupBy("vid").agg(F.min("sheet").alias("first"))
+    more = held.join(first, "vid").filter("sheet <> first").select("vid", "sheet")
+    most = triangles.agg((F.max(F.greatest("a", "b", "c")) + 1).alias("most"))
+    copies = prefix_sum(more.withColumn("one", F.lit(1).cast("long")), "one", F.floor(F.col("vid") / bucket), ["vid", "sheet"], "rank")
+    copies = copies.crossJoin(F.broadcast(most)).select("vid", "sheet", (F.col("most") + F.col("rank")).alias("to"))  # one row
+    for c in "abc":
+        made = made.join(copies.select(F.col("vid").alias(c), "sheet", "to"), [c, "sheet"], "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    return made.select("prim_id", "sheet", "a", "b", "c"), copies
+
+
+def iso_triangles(triangles: DataFrame, cut: float) -> DataFrame:
+    """(prim_id, piece, p, q, r): the triangles that remain below the cut.
+
+    A vertex is (lo, hi): lo = hi for one that is kept, else the cut point of that edge
+    (see ``cut_points``). With two vertices kept there are two pieces, with one a corner.
+    """
+    good = [F.col(f"d{c}") < cut for c in "abc"]
+    kept = sum((g.cast("int") for g in good), F.lit(0))
+    own = lambda i: F.struct(F.col("abc"[i]).alias("lo"), F.col("abc"[i]).alias("hi"))
+    on = lambda i, j: F.struct(F.least("abc"[i], "abc"[j]).alias("lo"), F.greatest("abc"[i], "abc"[j]).alias("hi"))
+    made = lambda *corners: F.struct(*[c.alias(n) for c, n in zip(corners, "pqr", strict=True)])
+    pieces = F.when(kept == 3, F.array(made(own(0), own(1), own(2))))
+    for i in range(3):
+        j, k = (i + 1) % 3, (i + 2) % 3  # i is the odd one out
+        pieces = pieces.when((kept == 2) & ~good[i], F.array(made(own(j), own(k), on(k, i)), made(own(j), on(k, i), on(j, i))))
+        pieces = pieces.when((kept == 1) & good[i], F.array(made(own(i), on(i, j), on(i, k))))
+    return triangles.select("prim_id", F.posexplode(pieces).alias("piece", "t")).select("prim_id", "piece", "t.*")
+
+
 def iso_reduce(triangles: DataFrame, cut: float) -> DataFrame:
     """(prim_id, kept, pieces): vertices with value below the cut, and the triangles that remain after cutting."""
     kept = sum((F.when(F.col(f"d{c}") < cut, 1).otherwise(0) for c in "abc"), F.lit(0))

@@ -44,6 +44,10 @@ def find_leaf(codes: DataFrame, nodes: DataFrame, r: Resolution) -> DataFrame:
     return held.groupBy("z").agg((F.max("level") + 1).alias("leaf_level"))
 
 
+#: Cells of a level up to which they are broadcast.
+FEW = 1 << 14
+
+
 @dataclass(frozen=True)
 class OctreeOptions:
     """How far to split. ``width``: lattice width of the root, a power of two."""
@@ -67,9 +71,12 @@ def _box(o: OctreeOptions) -> tuple[vec.Point, vec.Point]:
     return tuple(F.col(c) * side for c in axes), tuple((F.col(c) + 1) * side for c in axes)
 
 
-def overlap(o: OctreeOptions):
-    """Closed overlap of the row's primitive (ax.. bx..[ cx..]) with the row's cell."""
+def overlap(o: OctreeOptions, level: int | None = None):
+    """Closed overlap of the row's primitive (ax.. bx..[ tx..]) with the row's cell, of a known level if it is given."""
     low, high = _box(o)
+    if level is not None and o.dim == 3:
+        size = o.width >> level
+        return geom.triangle_box_overlap((vec.point("a", 3), vec.point("b", 3), vec.point("t", 3)), tuple(F.col(f"c{a}") * size for a in "xyz"), high, size)
     if o.dim == 2:
         return geom.segment_box_overlap(vec.point("a", 2), vec.point("b", 2), low, high)
     return geom.triangle_box_overlap((vec.point("a", 3), vec.point("b", 3), vec.point("t", 3)), low, high)
@@ -86,7 +93,7 @@ def adaptive_leaves(prims: DataFrame, o: OctreeOptions) -> tuple[DataFrame, Data
     axes = [f"c{a}" for a in "xyz"[: o.dim]]
     key = ["level", *axes]
     front = prims.select(F.lit(0).alias("level"), *[F.lit(0).cast("long").alias(c) for c in axes], *prims.columns)
-    front = write_and_reread(front.filter(overlap(o)), "octree-front")
+    front = write_and_reread(front.filter(overlap(o, 0)), "octree-front")
     leaves, bridges = [], []
     for level in range(o.max_level + 1):
         labels = front.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_distinct("label").cast("int").alias("n_labels"))
@@ -94,12 +101,13 @@ def adaptive_leaves(prims: DataFrame, o: OctreeOptions) -> tuple[DataFrame, Data
         last = level == o.max_level
         done = labels if last else labels.filter(~split)
         leaves.append(done.select(*key, "n_labels"))
-        bridges.append(front.join(done.select(*key), key, "left_semi"))
+        few = F.broadcast if 1 << o.dim * level <= FEW else lambda rows: rows  # a level's cells are bounded
+        bridges.append(front.join(few(done.select(*key)), key, "left_semi"))
         if last:
             break
         open_cells = labels.filter(split).select(*key)
-        moved = children(front.join(open_cells, key, "left_semi"), o.dim)
-        front = write_and_reread(moved.filter(overlap(o)), "octree-front")
+        moved = children(front.join(few(open_cells), key, "left_semi"), o.dim)
+        front = write_and_reread(moved.filter(overlap(o, level + 1)), "octree-front")
         kids = children(open_cells, o.dim)
         leaves.append(kids.join(front.select(*key).distinct(), key, "left_anti").select(*key, F.lit(0).alias("n_labels")))
         if front.isEmpty():
@@ -130,7 +138,7 @@ def _touching(leaves: DataFrame, o: OctreeOptions) -> DataFrame:
     return look.join(other, ["q_level", *[f"q_{c}" for c in axes]])
 
 
-def _split(leaves: DataFrame, bridge: DataFrame, flagged: DataFrame, o: OctreeOptions) -> tuple[DataFrame, DataFrame]:
+def split_leaves(leaves: DataFrame, bridge: DataFrame, flagged: DataFrame, o: OctreeOptions) -> tuple[DataFrame, DataFrame]:
     """The tree after the flagged leaves are split once."""
     key = ["level", *[f"c{a}" for a in "xyz"[: o.dim]]]
     moved = children(bridge.join(flagged, key, "left_semi"), o.dim)
@@ -147,7 +155,7 @@ def _fixpoint(leaves: DataFrame, bridge: DataFrame, o: OctreeOptions, find) -> t
         flagged = write_and_reread(find(leaves, bridge), "octree-flagged")
         if flagged.isEmpty():
             return leaves, bridge
-        leaves, bridge = _split(leaves, bridge, flagged, o)
+        leaves, bridge = split_leaves(leaves, bridge, flagged, o)
     raise RuntimeError("the tree did not settle")
 
 
@@ -209,6 +217,13 @@ def leaf_edges(vertices: DataFrame, leaves: DataFrame, o: OctreeOptions) -> Data
     return parts
 
 
+def neighbour_distance(edges: DataFrame, o: OctreeOptions) -> DataFrame:
+    """(x, y[, z], alpha, degree): each vertex's distance to its nearest neighbour, and how many it has."""
+    axes = "xyz"[: o.dim]
+    far = [(F.col(a) + F.when(F.col("axis") == i, F.col("len")).otherwise(0)).alias(a) for i, a in enumerate(axes)]
+    return edges.select(*axes, "len").unionAll(edges.select(*far, "len")).groupBy(*axes).agg(F.min("len").alias("alpha"), F.count(F.lit(1)).alias("degree"))
+
+
 def incident_cells(vertices: DataFrame, leaves: DataFrame, o: OctreeOptions) -> DataFrame:
     """Pairs (x, y[, z]) and (level, cx, cy[, cz]) of each vertex and the leaves whose closed box holds it.
 

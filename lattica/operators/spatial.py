@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def triangle_cells(triangles: DataFrame, side: int, count: int) -> DataFrame:
         spread = spread.withColumn(f"c{axis}", F.explode(F.sequence(low, high)))
     corner = tuple(F.col(f"c{a}") * side for a in "xyz")
     corners = tuple(vec.point(p, 3) for p in "abt")
-    return spread.filter(geom.triangle_box_overlap(corners, corner, tuple(c + side for c in corner)))
+    return spread.filter(geom.triangle_box_overlap(corners, corner, corner, side))
 
 
 def cell_walk(segments: DataFrame, side: int, count: int, key: list[str]) -> DataFrame:
@@ -72,62 +74,87 @@ def label_conflicts(cells: DataFrame) -> DataFrame:
 def crossings(segments: DataFrame, side: int, count: int, key: list[str]) -> DataFrame:
     """Pairs of segments of different labels that cross properly: p_* < q_* by label.
 
-    Segments meet in grid cells; the pair is reported by the one cell that owns its
-    smallest common corner, so no distinct is needed.
+    Segments meet in grid cells, and a pair is reported by the one cell that holds its
+    crossing point (low sides belong to a cell), so nothing is made distinct. The point is
+    compared as a fraction of whole numbers, exact up to a lattice of 2**20.
     """
+    if side * count > 1 << 20:
+        raise ValueError("the lattice may be 2**20 wide at most")
     cells = segment_cells(segments, side, count)
     own = [*key, "ax", "ay", "bx", "by"]
     p = cells.select("cx", "cy", *[F.col(c).alias(f"p_{c}") for c in own])
     q = cells.select("cx", "cy", *[F.col(c).alias(f"q_{c}") for c in own])
     pa, pb, qa, qb = (tuple(F.col(f"{s}_{e}{a}") for a in "xy") for s, e in (("p", "a"), ("p", "b"), ("q", "a"), ("q", "b")))
-    met = p.join(q, ["cx", "cy"]).filter("p_label < q_label").filter(geom.segments_cross(pa, pb, qa, qb))
-    return met.select(*[c for c in met.columns if c[1] == "_" and c[2:] in own]).distinct()
+    boxes = geom.boxes_touch(vec.least(pa, pb), vec.greatest(pa, pb), vec.least(qa, qb), vec.greatest(qa, qb))
+    met = p.join(q, ["cx", "cy"]).filter(F.col("p_label") < F.col("q_label")).filter(boxes).filter(geom.segments_cross(pa, pb, qa, qb))
+    # the crossing is pa + (pb - pa) * up / down
+    up, down = geom.orientation(qa, qb, pa), geom.orientation(qa, qb, pa) - geom.orientation(qa, qb, pb)
+    for c, a, b in zip(("cx", "cy"), pa, pb, strict=True):
+        low = (a * F.abs(down) + (b - a) * up * vec.sign(down)) - F.col(c) * side * F.abs(down)
+        met = met.filter((low >= 0) & (low < side * F.abs(down)))
+    return met.select(*[c for c in met.columns if c[1] == "_" and c[2:] in own])
 
 
-def nearest(queries: DataFrame, features: DataFrame, distance2, query_key: list[str], position: vec.Point, feature_box: tuple[vec.Point, vec.Point], label: str, tie: list[str], side: int, extra: dict | None = None, rounds: int = 24) -> DataFrame:
+def nearest(queries: DataFrame, features: DataFrame, distance2, query_key: list[str], position: vec.Point, feature_box: tuple[vec.Point, vec.Point], label: str, tie: list[str], side: int, extra: dict | None = None, rounds: int = 24, place: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query key, label, d2, extra...): the nearest feature's label by squared distance; ties by ``tie``, then label.
 
-    ``extra``: name -> expression over query and feature, of the nearest one.
+    ``extra``: name -> expression over query and feature, of the nearest one. ``place``: adds
+    the cells (_gx, _gy[, _gz]) that a feature meets; by default those that its box meets.
 
-    Grid search in growing squares: in a round, a query looks up the cells within r of its
-    own, and it is settled once its best distance is within r cells; r doubles. A feature
-    is in every cell that its box meets. Each round's open queries are written.
+    Grid search in rings: in a round, a query looks up the cells that are within r of its
+    own and weren't before, keeps the best so far, and is settled once its best distance is
+    within r cells; r doubles. Each round's open queries are written.
     """
     dim = len(position)
     axes = "xyz"[:dim]
     low, high = feature_box
-    placed = features
-    for i, a in enumerate(axes):
-        placed = placed.withColumn(f"_g{a}", F.explode(F.sequence(F.floor(low[i] / side).cast("long"), F.floor(high[i] / side).cast("long"))))
+    if place is None:
+        placed = features
+        for i, a in enumerate(axes):
+            placed = placed.withColumn(f"_g{a}", F.explode(F.sequence(F.floor(low[i] / side).cast("long"), F.floor(high[i] / side).cast("long"))))
+    else:
+        placed = place(features)
     placed = write_and_reread(placed, "nearest-grid")
     spread = {f"_m{n}{a}": f(f"_g{a}") for a in axes for n, f in (("low", F.min), ("high", F.max))}
     extent = placed.agg(*[v.alias(k) for k, v in spread.items()]).first()
-    open_ = write_and_reread(queries.select(*query_key, *[F.floor(c / side).cast("long").alias(f"_q{a}") for a, c in zip(axes, position, strict=True)]), "nearest-open")
-    done = None
-    radius = 1
+    open_ = queries.select(*query_key, *[F.floor(c / side).cast("long").alias(f"_q{a}") for a, c in zip(axes, position, strict=True)])
     if extent[0] is None:
         return queries.select(*query_key).limit(0).crossJoin(features.select(F.col(label).alias("label"), F.lit(0.0).alias("d2")).limit(0))
+    more = [e.alias(n) for n, e in (extra or {}).items()]
+    done = held = None
+    seen, radius = -1, 1
     for _ in range(rounds):
         look = open_
         for a in axes:
             lo, hi = extent[f"_mlow{a}"], extent[f"_mhigh{a}"]
             start, stop = F.greatest(F.col(f"_q{a}") - radius, F.lit(lo)), F.least(F.col(f"_q{a}") + radius, F.lit(hi))
             look = look.withColumn(f"_g{a}", F.explode(F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<bigint>"))))
-        met = look.join(placed, [f"_g{a}" for a in axes]).withColumn("_d2", distance2)
-        more = [e.alias(n) for n, e in (extra or {}).items()]
-        best = met.groupBy(*query_key).agg(F.min(F.struct("_d2", *tie, F.col(label).alias("_label"), *more)).alias("b"))
-        best = best.select(*query_key, F.col("b._label").alias("label"), F.col("b._d2").alias("d2"), *[F.col(f"b.{n}").alias(n) for n in extra or {}])
-        best = write_and_reread(best, "nearest-best")
+        if seen >= 0:
+            steps = [F.abs(F.col(f"_g{a}") - F.col(f"_q{a}")) for a in axes]
+            look = look.filter(F.greatest(*steps) > seen)
+        met = look.drop(*[f"_q{a}" for a in axes], "_b").join(placed, [f"_g{a}" for a in axes]).withColumn("_d2", distance2)
+        best = met.groupBy(*query_key).agg(F.min(F.struct("_d2", *tie, F.col(label).alias("_label"), *more)).alias("_b"))
+        if held is not None:
+            best = best.unionByName(held).groupBy(*query_key).agg(F.min("_b").alias("_b"))
         # all within r cells of the query's own cell has been seen, whatever its place in the cell
-        settled = best.filter(F.col("d2") <= float(radius * side) ** 2)
+        best = write_and_reread(best.withColumn("_settled", F.col("_b._d2") <= float(radius * side) ** 2), "nearest-best")
+        settled = best.filter("_settled").select(*query_key, F.col("_b._label").alias("label"), F.col("_b._d2").alias("d2"), *[F.col(f"_b.{n}").alias(n) for n in extra or {}])
         done = settled if done is None else done.unionByName(settled)
+        held = best.filter("not _settled").select(*query_key, "_b")
         open_ = write_and_reread(open_.join(settled.select(*query_key), query_key, "left_anti"), "nearest-open")
         if open_.isEmpty():
             return done
-        radius *= 2
+        seen, radius = radius, radius * 2
     raise RuntimeError("nearest: search did not end")
 
 
+def pick(vertices: DataFrame, at: vec.Point, position: vec.Point, tie: list[str]) -> DataFrame:
+    """The row nearest to one point, ties by ``tie``: a partial minimum a task."""
+    d2 = vec.length2(vec.sub(position, at)).alias("d2")
+    best = vertices.agg(F.min(F.struct(d2, *tie, F.struct(*vertices.columns).alias("row"))).alias("b")).filter("b is not null")
+    return best.select("b.row.*", "b.d2")
+
+
 def ray_pick(triangles: DataFrame, origin: vec.Point, ray: vec.Point) -> DataFrame:
     """The triangle that a ray's line meets at the smallest parameter: prim_id, label, t."""
     hit = geom.ray_hit(origin, ray, vec.point("a", 3), vec.point("b", 3), vec.point("t", 3))

@@ -13,6 +13,16 @@ def population_stats(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     return out.withColumn("range", F.col("max") - F.col("min"))
 
 
+def count_flagged(rows: DataFrame, flag: Column, by: list[str]) -> DataFrame:
+    """Rows that have the flag, and all rows, of each group."""
+    return rows.groupBy(*by).agg(F.count_if(flag).alias("flagged"), F.count(F.lit(1)).alias("n"))
+
+
+def packed_size(faces: DataFrame, label: str, dim: int) -> DataFrame:
+    """size: numbers that packed geometries take; an offset and a head of two for each label, ``dim`` for each face."""
+    return faces.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg((F.coalesce(F.sum(F.lit(2) + dim * F.col("n")), F.lit(0)) + F.count(F.lit(1))).cast("long").alias("size"))
+
+
 def level_histogram(cells: DataFrame) -> DataFrame:
     return cells.groupBy("level").agg(F.count(F.lit(1)).alias("n_cells"))
 

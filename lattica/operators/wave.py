@@ -2,73 +2,115 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import geom, vec
 from lattica.operators.graph import connected_components
-from lattica.operators.octree import OctreeOptions
-from lattica.session import write_and_reread
+from lattica.operators.octree import OctreeOptions, incident_cells, leaf_edges, leaf_vertices, split_leaves
+from lattica.session import scratched, write_and_reread
 
 
 def seeds(bridge: DataFrame, o: OctreeOptions) -> DataFrame:
-    """(x, y, px, py, label, d2): for each corner of a leaf with primitives, the nearest point of the leaf's own ones.
+    """(x, y[, z], px, py[, pz], label, d2): for each corner of a leaf with primitives, the nearest point of the leaf's own ones.
 
     A vertex of several leaves takes the least distance; ties go to the smaller label, then point.
     Points are rounded half up to the lattice and d2 is the exact squared distance to them.
     """
+    axes = "xyz"[: o.dim]
     side = F.call_function("shiftright", F.lit(o.width).cast("long"), F.col("level").cast("int"))
-    corners = bridge.withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    at = corners.withColumn("x", (F.col("cx") + F.col("corner").bitwiseAND(F.lit(1))) * side).withColumn("y", (F.col("cy") + F.shiftright("corner", 1)) * side)
-    near = geom.closest_on_segment(vec.point("", 2), vec.point("a", 2), vec.point("b", 2))
-    found = at.select("x", "y", "label", *[vec.round_half_up(c).cast("long").alias(f"p{a}") for a, c in zip("xy", near, strict=True)])
-    found = found.withColumn("d2", vec.length2(vec.sub(vec.point("", 2), vec.point("p", 2))))
-    best = found.groupBy("x", "y").agg(F.min(F.struct("d2", "label", "px", "py")).alias("s"))
-    return best.select("x", "y", "s.px", "s.py", "s.label", "s.d2")
+    corners = bridge.withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit((1 << o.dim) - 1))))
+    for j, a in enumerate(axes):
+        corners = corners.withColumn(a, (F.col(f"c{a}") + F.shiftright("corner", j).bitwiseAND(F.lit(1))) * side)
+    at = vec.point("", o.dim)
+    if o.dim == 2:
+        near = geom.closest_on_segment(at, vec.point("a", 2), vec.point("b", 2))
+    else:
+        corners = geom.closest_on_triangle(corners, at, *(vec.point(p, 3) for p in "abt"), "foot")
+        near = vec.point("foot", 3)
+    found = corners.select(*axes, "label", *[vec.round_half_up(c).cast("long").alias(f"p{a}") for a, c in zip(axes, near, strict=True)])
+    found = found.withColumn("d2", vec.length2(vec.sub(at, vec.point("p", o.dim))))
+    best = found.groupBy(*axes).agg(F.min(F.struct("d2", "label", *[f"p{a}" for a in axes])).alias("s"))
+    return best.select(*axes, *[f"s.p{a}" for a in axes], "s.label", "s.d2")
 
 
-def relax(start: DataFrame, vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Closest points spread along edges until nothing improves: (x, y, px, py, label, d2) of every reached vertex.
+def _far_end(axes: str, name: str) -> list[Column]:
+    """Columns of the other end of an edge row (x, y[, z], axis, len)."""
+    return [(F.col(a) + F.when(F.col("axis") == i, F.col("len")).otherwise(0)).alias(name + a) for i, a in enumerate(axes)]
+
+
+@scratched
+def relax(start: DataFrame, vertices: DataFrame, edges: DataFrame, dim: int = 2, max_rounds: int | None = None) -> DataFrame:
+    """Closest points spread along edges until nothing improves: (x, y[, z], px.., label, d2) of every reached vertex.
 
     All vertices take the best offer of their neighbours at once; the order (d2, label,
-    px, py) decides, so the fixpoint does not depend on scheduling. Only vertices that
-    changed make offers in the next round.
+    px, ..) decides, so the fixpoint does not depend on scheduling. Only vertices that
+    changed make offers in the next round. A round passes every point on by an edge, and
+    distances only fall, so it ends; ``max_rounds`` is a bound for callers that want one.
     """
-    step = lambda i, name: F.col(name) + F.when(F.col("axis") == i, F.col("len")).otherwise(0)
-    one = edges.select(F.col("x").alias("ux"), F.col("y").alias("uy"), step(0, "x").alias("x"), step(1, "y").alias("y"))
-    links = one.unionAll(one.select(F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("ux").alias("x"), F.col("uy").alias("y")))
+    axes = "xyz"[:dim]
+    own = [f"p{a}" for a in axes]
+    one = edges.select(*[F.col(a).alias(f"u{a}") for a in axes], *_far_end(axes, ""))
+    links = one.unionAll(one.select(*[F.col(a).alias(f"u{a}") for a in axes], *[F.col(f"u{a}").alias(a) for a in axes]))
     links = write_and_reread(links.distinct(), "wave-links")
-    state = front = write_and_reread(start.join(vertices.select("x", "y"), ["x", "y"], "left_semi"), "wave-state")
-    for _ in range(max_rounds):
-        told = front.select(F.col("x").alias("ux"), F.col("y").alias("uy"), "px", "py", "label").join(links, ["ux", "uy"])
-        told = told.withColumn("d2", vec.length2(vec.sub(vec.point("", 2), vec.point("p", 2))))
-        best = told.groupBy("x", "y").agg(F.min(F.struct("d2", "label", "px", "py")).alias("o"))
-        held = state.select("x", "y", F.struct("d2", "label", "px", "py").alias("own"))
-        better = best.join(held, ["x", "y"], "left").filter("own is null or o < own")
-        front = write_and_reread(better.select("x", "y", "o.px", "o.py", "o.label", "o.d2"), "wave-front")
+    state = front = write_and_reread(start.join(vertices.select(*axes), list(axes), "left_semi"), "wave-state")
+    turn = 0
+    while max_rounds is None or turn < max_rounds:
+        turn += 1
+        told = front.select(*[F.col(a).alias(f"u{a}") for a in axes], *own, "label").join(links, [f"u{a}" for a in axes])
+        told = told.withColumn("d2", vec.length2(vec.sub(vec.point("", dim), vec.point("p", dim))))
+        best = told.groupBy(*axes).agg(F.min(F.struct("d2", "label", *own)).alias("o"))
+        held = state.select(*axes, F.struct("d2", "label", *own).alias("own"))
+        better = best.join(held, list(axes), "left").filter("own is null or o < own")
+        front = write_and_reread(better.select(*axes, *[f"o.{c}" for c in own], "o.label", "o.d2"), "wave-front")
         if front.isEmpty():
             return state
-        state = write_and_reread(state.join(front.select("x", "y"), ["x", "y"], "left_anti").unionByName(front), "wave-state")
-    raise RuntimeError("the wave did not settle")
+        state = write_and_reread(state.join(front.select(*axes), list(axes), "left_anti").unionByName(front), "wave-state")
+    raise RuntimeError(f"the wave did not settle in {max_rounds} rounds")
 
 
+@scratched
 def ambiguous_cells(leaves: DataFrame, incident: DataFrame, labels: DataFrame, edges: DataFrame, o: OctreeOptions) -> DataFrame:
-    """Leaves (level, cx, cy) whose incident vertices don't fall into one part per label, all parts adjacent.
+    """Leaves (level, cx, cy[, cz]) whose incident vertices don't fall into one part per label, all parts adjacent.
 
     Parts are the components of equal labels along the cell's own edges; two labels are
     adjacent if an edge of the cell joins them.
     """
-    cell = ["level", "cx", "cy"]
-    named = incident.join(labels.select("x", "y", "label"), ["x", "y"])
-    node = F.concat_ws(":", *[F.col(c).cast("string") for c in (*cell, "x", "y")])
-    step = lambda i, name: F.col(name) + F.when(F.col("axis") == i, F.col("len")).otherwise(0)
-    ends = edges.select("x", "y", step(0, "x").alias("x2"), step(1, "y").alias("y2"))
-    one = named.select(*cell, "x", "y", "label", node.alias("u"))
-    two = one.select(*cell, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("label").alias("label2"), F.col("u").alias("v"))
-    inner = write_and_reread(one.join(ends, ["x", "y"]).join(two, [*cell, "x2", "y2"]), "ambiguous-edges")
+    axes = list("xyz"[: o.dim])
+    cell = ["level", *[f"c{a}" for a in axes]]
+    named = incident.join(labels.select(*axes, "label"), axes)
+    node = F.concat_ws(":", *[F.col(c).cast("string") for c in (*cell, *axes)])
+    ends = edges.select(*axes, *_far_end("xyz"[: o.dim], "far_"))
+    one = named.select(*cell, *axes, "label", node.alias("u"))
+    two = one.select(*cell, *[F.col(a).alias(f"far_{a}") for a in axes], F.col("label").alias("label2"), F.col("u").alias("v"))
+    inner = write_and_reread(one.join(ends, axes).join(two, [*cell, *[f"far_{a}" for a in axes]]), "ambiguous-edges")
     parts = connected_components(inner.filter("label = label2").select("u", "v"))
     placed = one.join(parts.withColumnRenamed("node", "u"), "u", "left").withColumn("part", F.coalesce("component", "u"))
     counts = placed.groupBy(*cell).agg(F.count_distinct("part").alias("n_parts"), F.count_distinct("label").alias("n_labels"))
     joined = inner.filter("label <> label2").groupBy(*cell).agg(F.count_distinct(F.least("label", "label2"), F.greatest("label", "label2")).alias("n_pairs"))
     both = counts.join(joined, cell, "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
     return both.filter("n_parts > n_labels or n_pairs < n_labels * (n_labels - 1) div 2").select(*cell, "n_parts", "n_labels", "n_pairs")
+
+
+def relaxed_labels(leaves: DataFrame, bridge: DataFrame, o: OctreeOptions) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vertices, edges, labels) of a tree: its lattice, and the closest points after relaxation."""
+    vertices = write_and_reread(leaf_vertices(leaves, o), "vertices")
+    edges = write_and_reread(leaf_edges(vertices, leaves, o), "edges")
+    return vertices, edges, relax(seeds(bridge, o), vertices, edges, o.dim)
+
+
+def subdivide_ambiguous(leaves: DataFrame, bridge: DataFrame, o: OctreeOptions) -> tuple[DataFrame, DataFrame]:
+    """(leaves, bridge) after ambiguous leaves above the last level are split, until none is left.
+
+    Each round relaxes the whole lattice again, so a split's new vertices get their labels
+    from their neighbours; a round splits every ambiguous leaf at once, and a leaf can be
+    split ``max_level`` times at most, which bounds the rounds.
+    """
+    key = ["level", *[f"c{a}" for a in "xyz"[: o.dim]]]
+    while True:
+        vertices, edges, labels = relaxed_labels(leaves, bridge, o)
+        found = ambiguous_cells(leaves, incident_cells(vertices, leaves, o), labels, edges, o)
+        flagged = write_and_reread(found.filter(F.col("level") < o.max_level).select(*key), "ambiguous-flagged")
+        if flagged.isEmpty():
+            return leaves, bridge
+        leaves, bridge = split_leaves(leaves, bridge, flagged, o)

@@ -194,7 +194,7 @@ def buffered_octree_leaves(spark, sf_dir):
     return octree.buffered_leaves(*_tree(spark, sf_dir), TREE)[0]
 
 
-@query()
+@query(oracle.balanced())
 def balanced_octree_leaves(spark, sf_dir):
     return octree.balanced_leaves(*_tree(spark, sf_dir), TREE)[0]
 
@@ -220,7 +220,8 @@ def _nearest_segment(positions: DataFrame, segs: DataFrame) -> DataFrame:
     p, a, b = vec.point("", 2), vec.point("a", 2), vec.point("b", 2)
     near = geom.closest_on_segment(p, a, b)
     extra = {f"p{c}": vec.round_half_up(v).cast("long") for c, v in zip("xy", near, strict=True)}
-    return spatial.nearest(positions.select("x", "y"), segs, geom.point_segment_distance2(p, a, b), ["x", "y"], p, (vec.least(a, b), vec.greatest(a, b)), "label", [], SIDE, extra)
+    place = lambda rows: spatial.segment_cells(rows, SIDE, COUNT).withColumnsRenamed({"cx": "_gx", "cy": "_gy"})
+    return spatial.nearest(positions.select("x", "y"), segs.select("label", "ax", "ay", "bx", "by"), geom.point_segment_distance2(p, a, b), ["x", "y"], p, (vec.least(a, b), vec.greatest(a, b)), "label", [], SIDE, extra, place=place)
 
 
 @query(f"WITH {oracle.tree()}, {oracle.VERTICES}, {oracle.nearest('vert')} SELECT x, y, label, round(d2, 4) AS d2 FROM near")
@@ -230,9 +231,9 @@ def nearest_label_2d(spark, sf_dir):
     return found.select("x", "y", "label", F.round("d2", 4).alias("d2"))
 
 
-@query()
+@query(f"WITH {oracle.TRIS}, {oracle.nearest3('p3', 'near', 'back', 'label')} SELECT x, y, z, label, -back AS prim_id, round(d2, 4) AS d2 FROM near".replace("SELECT x, y, z, label, prim_id, CASE", "SELECT x, y, z, label, prim_id, -prim_id AS back, CASE").replace("b.prim_id AS prim_id", "b.back AS back"))
 def nearest_triangle_3d(spark, sf_dir):
-    """For every point, the nearest triangle of another label; held against brute force in the tests."""
+    """For every point, the nearest triangle; of equally near ones the one with the largest number."""
     p, corners = vec.point("", 3), tuple(vec.point(c, 3) for c in "abt")
     tris = views.triangles(spark, sf_dir).select("prim_id", F.col("label").alias("t_label"), *[f"{c}{a}" for c in "abt" for a in "xyz"])
     pts = views.points3(spark, sf_dir).select("x", "y", "z").distinct()
@@ -372,7 +373,7 @@ def mesh_iso_cuts(spark, sf_dir):
     return mesh.cut_points(_valued(spark, sf_dir), 110.0).withColumn("t", F.round("t", 6))
 
 
-@query()
+@query(f"WITH {oracle.TRIS}, {oracle.NORMALS}, h AS (SELECT *, (nx * ax + ny * ay + nz * az) / nullif(CAST(nx + ny + nz AS DOUBLE), 0.0) AS h FROM norm), s AS (SELECT prim_id, label, h, " + ", ".join(f"(({q}y - {p}y) * (h - {p}z) - ({q}z - {p}z) * (h - {p}y)) * nx + (({q}z - {p}z) * (h - {p}x) - ({q}x - {p}x) * (h - {p}z)) * ny + (({q}x - {p}x) * (h - {p}y) - ({q}y - {p}y) * (h - {p}x)) * nz AS side_{p}" for p, q in (("a", "b"), ("b", "t"), ("t", "a"))) + " FROM h WHERE h IS NOT NULL) SELECT prim_id, label, round(h, 6) AS t FROM s WHERE side_a >= 0 AND side_b >= 0 AND side_t >= 0 ORDER BY h, prim_id LIMIT 1")
 def ray_pick(spark, sf_dir):
     """The triangle that a diagonal ray from outside meets first."""
     return spatial.ray_pick(views.triangles(spark, sf_dir), (F.lit(0), F.lit(0), F.lit(0)), (F.lit(1), F.lit(1), F.lit(1))).withColumn("t", F.round("t", 6))
@@ -394,7 +395,7 @@ def angle_bins_2d(spark, sf_dir):
     return rows.select(geom.angle_bin_2d(vec.normalize(d)[0], d[1], 16).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {oracle.TRIS}, {oracle.NORMALS}, u AS (SELECT nx / l AS x, ny / l AS y, nz / l AS z FROM (SELECT nx, ny, nz, sqrt(CAST(nx * nx + ny * ny + nz * nz AS DOUBLE)) AS l FROM norm) WHERE l > 0) SELECT CAST(least(floor(acos(greatest(-1.0, least(1.0, z))) / pi() * 4), 3) * 4 + ((CAST(floor(atan2(y, x) / (2 * pi()) * 4) AS BIGINT) % 4) + 4) % 4 AS INTEGER) AS bin, count(*) AS n FROM u GROUP BY 1")
+@query(f"WITH {oracle.TRIS}, {oracle.NORMALS}, u AS (SELECT nx / l AS x, ny / l AS y, nz / l AS z FROM (SELECT nx, ny, nz, sqrt(CAST(nx * nx + ny * ny + nz * nz AS DOUBLE)) AS l FROM norm) WHERE l > 0) SELECT CAST((((CAST(floor(atan2(z, sqrt(x * x + y * y)) / (2 * pi()) * 4) AS BIGINT) % 4) + 4) % 4) * 4 + ((CAST(floor(atan2(y, x) / (2 * pi()) * 4) AS BIGINT) % 4) + 4) % 4 AS INTEGER) AS bin, count(*) AS n FROM u GROUP BY 1")
 def angle_bins_3d(spark, sf_dir):
     n = geom.triangle_normal(*(vec.point(p, 3) for p in "abt"))
     rows = views.triangles(spark, sf_dir).select(*[c.alias(f"n{a}") for c, a in zip(n, "xyz", strict=True)]).filter("nx <> 0 or ny <> 0 or nz <> 0")
@@ -416,9 +417,9 @@ def fit_boxes(spark, sf_dir):
     return fitting.fit_boxes(fitting.neighbour_pairs(views.segments(spark, sf_dir)), 16.0)
 
 
-@query()
+@query(f"WITH RECURSIVE {oracle.LINKS}, walk AS (SELECT DISTINCT u AS node, u AS low, 0 AS hops FROM links UNION ALL SELECT v, min(low), hops + 1 FROM (SELECT links.v, walk.low, walk.hops FROM walk JOIN links ON links.u = walk.node UNION ALL SELECT node, low, hops FROM walk) WHERE hops < 40 GROUP BY v, hops) SELECT node, min(low) AS component FROM walk GROUP BY node")
 def connected_components(spark, sf_dir):
-    """Components of the whole supplier-part graph; held against union-find in the tests."""
+    """Components of the whole supplier-part graph."""
     return graph.connected_components(views.trade_graph(spark, sf_dir))
 
 
@@ -435,6 +436,6 @@ def shortest_path_cost(spark, sf_dir):
     return graph.shortest_paths(views.trade_graph(spark, sf_dir), 2).select("node", "cost")
 
 
-@query()
+@query(f"WITH RECURSIVE {oracle.LINKS}, walk AS (SELECT CAST(2 AS BIGINT) AS node, CAST(0 AS BIGINT) AS cost, 0 AS hops UNION SELECT v, min(cost + w), hops + 1 FROM walk JOIN links ON u = node WHERE hops < 12 GROUP BY v, hops), best AS (SELECT node, min(cost) AS cost FROM walk GROUP BY node) SELECT b.node, b.cost, (SELECT min(p.node) FROM best p JOIN links l ON l.u = p.node WHERE l.v = b.node AND p.cost + l.w = b.cost) AS parent FROM best b")
 def shortest_path_tree(spark, sf_dir):
     return graph.shortest_paths(views.trade_graph(spark, sf_dir), 2)

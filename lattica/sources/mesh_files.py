@@ -6,11 +6,13 @@ file, so a line's number is its position in its own file.
 
 from __future__ import annotations
 
+import re
+import urllib.parse
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, line_no, tokens): non-empty lines without comments, split at white space."""
     whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line_no", "line"))
@@ -40,10 +42,22 @@ def read_mtl(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_polylines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(label, ord, fx, fy): one file per polyline; labels follow the order of ``paths``."""
-    rows = lines(spark, paths).filter(F.size("tokens") >= 2)
-    label = F.coalesce(*[F.when(F.col("path").endswith(p.rsplit("/", 1)[-1]), F.lit(i)) for i, p in enumerate(paths)])
-    return rows.select(label.alias("label"), F.col("line_no").alias("ord"), F.get("tokens", 0).cast("double").alias("fx"), F.get("tokens", 1).cast("double").alias("fy"))
+    """(label, ord, fx, fy): one file per polyline; labels follow the order of ``paths``, by their full names."""
+    resolve = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    full = []
+    for i, p in enumerate(paths):
+        path = resolve(p)
+        system = path.getFileSystem(conf)
+        full.append((_plain(path.makeQualified(system.getUri(), system.getWorkingDirectory()).toUri().toString()), i))
+    labels = spark.createDataFrame(full, "name string, label int")  # a row per file given
+    rows = lines(spark, paths).filter(F.size("tokens") >= 2).withColumn("name", F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/"))
+    return rows.join(F.broadcast(labels), "name").select("label", F.col("line_no").alias("ord"), F.get("tokens", 0).cast("double").alias("fx"), F.get("tokens", 1).cast("double").alias("fy"))
+
+
+def _plain(uri: str) -> str:
+    """A URI without escapes, and with one slash after ``file:``."""
+    return re.sub("^file:/+", "file:/", urllib.parse.unquote(uri))
 
 
 def read_path_list(spark: SparkSession, path: str) -> list[str]:
@@ -116,6 +130,21 @@ def write_polylines(points: DataFrame, path: str) -> None:
     rows.repartition("label").sortWithinPartitions("label", "ord").select("label", "line").write.mode("overwrite").partitionBy("label").text(path)
 
 
+def write_label_meshes(triangles: DataFrame, path: str) -> None:
+    """A folder ``label=<label>`` with the OBJ lines of each label's triangles (ax.. bx.. tx..); equal points are one vertex.
+
+    A mesh file is one ordered stream by its format, so a label is a task.
+    """
+    corners = triangles.select("label", F.explode(F.array(*[F.struct(*[F.col(p + a).alias(a) for a in "xyz"]) for p in "abt"])).alias("v")).select("label", "v.*").distinct()
+    numbered = corners.withColumn("vid", F.row_number().over(Window.partitionBy("label").orderBy("x", "y", "z")))
+    faces = triangles
+    for p in "abt":
+        faces = faces.join(numbered.select("label", F.col("vid").alias(f"v{p}"), *[F.col(a).alias(p + a) for a in "xyz"]), ["label", *[p + a for a in "xyz"]])
+    v = numbered.select("label", F.lit(0).alias("kind"), "vid", F.format_string("v %.12g %.12g %.12g", *[F.col(a).cast("double") for a in "xyz"]).alias("line"))
+    f = faces.filter("va <> vb and vb <> vt and va <> vt").select("label", F.lit(1).alias("kind"), F.col("va").alias("vid"), F.format_string("f %d %d %d", "va", "vb", "vt").alias("line"))
+    v.unionAll(f).repartition("label").sortWithinPartitions("label", "kind", "vid", "line").select("label", "line").write.mode("overwrite").partitionBy("label").text(path)
+
+
 def write_edges(edges: DataFrame, path: str) -> None:
     """ax ay bx by lines, each undirected edge in both directions."""
     both = edges.select("ax", "ay", "bx", "by").unionAll(edges.select("bx", "by", "ax", "ay"))

@@ -188,7 +188,12 @@ def test_components_paths_and_rings(spark, sf):
     got = {r.node: r.component for r in graph.connected_components(edges).collect()}
     assert got == {n: root(n) for n in parent}
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
-    assert {r.component for r in graph.connected_components(chain).collect()} == {0}
+    for few in (0, graph.FEW):
+        assert {r.component for r in graph.connected_components(chain, few=few).collect()} == {0}
+        assert {r.node: r.component for r in graph.connected_components(edges, few=few).collect()} == got
+        assert graph.connected_components(chain.limit(0), few=few).count() == 0
+        named = chain.select(F.concat(F.lit("n"), "u").alias("u"), F.concat(F.lit("n"), "v").alias("v"))
+        assert {r.component for r in graph.connected_components(named, few=few).collect()} == {"n0"}
     assert graph.connected_components(chain.limit(0)).count() == 0
     paths = graph.shortest_paths(spark.createDataFrame([(0, 1, 5), (0, 2, 1), (2, 1, 1), (3, 4, 1)], "u long, v long, w long"), 0)
     assert {r.node: (r.cost, r.parent) for r in paths.collect()} == {0: (0, None), 2: (1, 0), 1: (2, 2)}
