@@ -24,6 +24,8 @@ from lattica.llm.text import U64, bound_batches, crc_mod, filter_rows, in_batche
 
 DIM = 1024
 CACHE = 16_384
+#: Languages whose prototypes are sent to the workers, at most.
+MOST_LANGUAGES = 10_000
 UNKNOWN = "und"
 
 _BMP: list[np.ndarray] = []
@@ -120,7 +122,9 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langua
     bound_batches(docs)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull())
     known = known.filter(F.coalesce(crc_mod("id", 3), F.lit(0)) != 1)
-    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # languages
+    names = sorted(r["lang"] for r in known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: is {lang_col} the language?")
     if not names:
         return [], np.zeros((0, dim), np.float32)
     sample = hash_sample(known, F.xxhash64("id"), per_language, "lang").select("lang", "text")
@@ -155,7 +159,12 @@ def predict(text: str, names: list[str], prototypes: np.ndarray, dim: int) -> tu
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, dim: int = DIM) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language: not null, and with a letter, also when no language can be learnt."""
+    """The rows of ``docs``, all columns, whose text has a language: not null, and with a letter, also when no language can be learnt.
+
+    Empty texts go. Rows that repeat an id, and equal texts, are judged alike, each on its
+    own, so ties don't arise; null ids are judged too. An empty table gives no rows, and
+    columns of any name are kept as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, per_language, dim))
     if not shared.value[0]:
         return filter_rows(docs, text_col, lambda: lambda texts: np.array([len(letters(t)) > 0 for t in texts], bool), "space")

@@ -110,8 +110,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: list[Column], i
     """(order, text, y0, y1, ...): at most ``most`` labelled documents whose crc32(id) mod 3 is not 1.
 
     Documents are taken by the hash of their id, in whole hash buckets, so the bound holds
-    and the choice is the same in every run. Labels of repeated ids count once (largest);
-    rows with a null label or id are left out.
+    and the choice is the same in every run. Labels of repeated ids count once (largest),
+    and of documents that repeat an id the text with the smallest hash is taken; rows with
+    a null label or id are left out.
     """
     names = [f"y{i}" for i in range(len(targets))]
     known = labels.select(F.col(id_col).alias("id"), *[t.cast("int").alias(n) for t, n in zip(targets, names, strict=True)]).dropna()
@@ -119,7 +120,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: list[Column], i
     some = hash_sample(known, F.col("h"), most)
     bound_batches(docs)
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    return texts.join(F.broadcast(some), "id").select(F.col("h").alias("order"), "text", *names)
+    held = texts.join(F.broadcast(some), "id")  # at most ``most`` ids
+    one = held.groupBy("h", *names).agg(F.min(F.struct(F.xxhash64("text").alias("t"), "text")).alias("s"))  # a text for each id, however often it is repeated
+    return one.select(F.col("h").alias("order"), F.col("s.text").alias("text"), *names)
 
 
 def fit_chain(sample: DataFrame, links: int, folds: int = 3, epochs: int = 5, stems: tuple[int, ...] = ()) -> np.ndarray:

@@ -23,7 +23,13 @@ def _categories(given: dict[str, Column] | None) -> dict[str, Column]:
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = 8192, folds: int = 3, epochs: int = 5, stems: tuple[int, ...] = (4, 5), threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose last category's probability is below ``threshold``."""
+    """The rows of ``docs``, all columns, whose last category's probability is below ``threshold``.
+
+    Null and empty texts get the models' biases; without usable labels every row stays.
+    Rows that repeat an id, and equal texts, are judged alike, each on its own; a
+    probability that equals the threshold rejects. Null ids are judged too, an empty table
+    gives no rows, and columns of any name are kept as they are.
+    """
     chain = _categories(categories)
     fitted = fit_chain(labelled_sample(docs, labels, list(chain.values()), id_col, text_col, sample), len(chain), folds, epochs, stems)
     shared = docs.sparkSession.sparkContext.broadcast(fitted.astype(np.float32))

@@ -147,6 +147,110 @@ def test_classifiers_of_odd_rows(odd, labels, no_labels):
     assert toxicity.keep_harmless(odd, no_labels).count() == len(ODD)
 
 
+def plain_ftrl(docs, extra, labels, epochs, slots, alpha=0.5, beta=1.0, l1=10.0, l2=1.0):
+    """Follow the regularised leader with dictionaries, one coordinate after the other."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for own, more, y in zip(docs, extra, labels):
+            x = {int(i): 1.0 for i in own} | {slots + k: v for k, v in enumerate(more)} | {slots + len(more): 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    return weight
+
+
+def test_ftrl_and_chain_equal_plain_versions():
+    rng = np.random.default_rng(1)
+    docs = [np.unique(rng.integers(0, 40, 12)) for _ in range(90)]
+    labels = np.array([[int(3 in d or 5 in d), int(7 in d and 3 not in d)] for d in docs], float)
+    none = np.zeros((90, 0))
+    made, want = linear.train(docs, none, labels[:, 0], 4), plain_ftrl(docs, none, labels[:, 0], 4, linear.SLOTS)
+    assert np.allclose(made[:40], [want(i) for i in range(40)]) and made[-1] == pytest.approx(want(linear.SLOTS)) and np.abs(made[:40]).max() > 0
+    chain = linear.train_chain(docs, labels, folds=3, epochs=4)
+    held = np.zeros((90, 1))  # the first link's probabilities from models that didn't see the document
+    for f in range(3):
+        rest = [i for i in range(90) if i % 3 != f]
+        w = plain_ftrl([docs[i] for i in rest], none[rest], labels[rest, 0], 4, linear.SLOTS)
+        for i in range(f, 90, 3):
+            held[i] = 1 / (1 + np.exp(-(sum(w(j) for j in docs[i].tolist()) + w(linear.SLOTS))))
+    second = plain_ftrl(docs, held, labels[:, 1], 4, linear.SLOTS)
+    assert np.allclose(chain[1][:40], [second(i) for i in range(40)]) and chain[1][linear.SLOTS] == pytest.approx(second(linear.SLOTS)) and chain[1][-1] == pytest.approx(second(linear.SLOTS + 1))
+    body = ["a bad text of words", "fine words"]
+    out = linear.probabilities(*text.joined(body), chain, ())
+    for i, own in enumerate(linear.features(*text.joined(body))):
+        first = 1 / (1 + np.exp(-(chain[0][own].sum() + chain[0][-1])))
+        assert out[i, 0] == pytest.approx(first) and out[i, 1] == pytest.approx(1 / (1 + np.exp(-(chain[1][own].sum() + chain[1][linear.SLOTS] * first + chain[1][-1]))))
+
+
+def test_repeated_documents_are_learnt_once(spark):
+    docs = spark.range(4000).select((F.col("id") % 4).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 8).alias("text"))
+    labels = spark.range(4).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    kept = [i for i in range(4) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert linear.labelled_sample(docs, labels, [F.col("quality")], "doc_id", "text", 100).count() == len(kept) > 0
+
+
+def test_language_prediction_equals_a_plain_version(spark):
+    said = {"en": "the cat sat on the mat and the dog", "de": "der hund und die katze sind nicht da", "fr": "le chat est sur la table et le chien"}
+    rows = [(i, " ".join(rnd.sample(words.split(), 6)), lang) for rnd in [random.Random(3)] for i, (lang, words) in enumerate(list(said.items()) * 8)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dim=256).collect()}
+
+    def letter(c):
+        noise = text.mix(np.arange(4, dtype=np.uint64) + np.uint64(c * 1000003), 41)
+        return np.unpackbits(noise.view(np.uint8)).astype(int) * 2 - 1
+
+    def profile(body):
+        codes = [0, *[ord(c) if c.isalpha() else 0 for c in body.lower()], 0]
+        return sum(np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c) for a, b, c in zip(codes, codes[1:], codes[2:]))
+
+    sums = defaultdict(int)
+    for i, body, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            sums[lang] = sums[lang] + profile(body)
+    for i, body, _ in rows:
+        own = profile(body)
+        near = {lang: own @ s / np.linalg.norm(own) / np.linalg.norm(s) for lang, s in sums.items()}
+        best = max(sorted(near), key=near.get)
+        assert got[i][0] == best and got[i][1] == pytest.approx(max(near[best], 0), abs=1e-5)
+
+
+def test_propagation_cuts_few_links(spark):
+    """Cut links of three group sizes against dealing by hash; quotas keep every shard within its capacity."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, F.floor(F.col("id") / 20)).when(F.col("id") < 4500, F.floor(F.col("id") / 300)).otherwise(F.col("id")).cast("string").alias("text"))
+    rows = sharding.assign_shards(docs, sharding.equal_texts(), 24).collect()
+    groups = defaultdict(Counter)
+    for r in rows:
+        groups[r.doc_id // 20 if r.doc_id < 3000 else -(r.doc_id // 300) if r.doc_id < 4500 else r.doc_id][r.shard] += 1
+    pairs = lambda n: n * (n - 1) // 2
+    every = sum(pairs(sum(c.values())) for c in groups.values())
+    cut = every - sum(pairs(n) for c in groups.values() for n in c.values())
+    least = sum(pairs(300) - pairs(250) - pairs(50) for _ in range(5))  # a shard holds 250
+    print(f"op1 cut {cut} of {every} links, {least} at least")
+    assert least <= cut < 0.7 * every  # by hash 23 of 24 links would be cut
+    rng = np.random.default_rng(2)
+    demand, size = rng.integers(0, 90, (6, 6)).astype(float), np.full(6, 100.0)
+    np.fill_diagonal(demand, 0)
+    flow = demand * sharding.quotas(demand, size, np.zeros(6), np.full(6, 110.0))
+    assert (size - flow.sum(1) + flow.sum(0) < 110.5).all() and (flow <= demand + 1e-9).all()
+
+
+def test_phrases_are_counted_in_one_pass():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES, 4, 8, 0.6)
+    words = [b"cc", b"by", b"x"] * 30_000
+    starts, labels = scanner.base(words)
+    assert starts == list(range(0, 90_000, 3)) and labels == {"cc-by"}
+    for label, body in licenses.TEMPLATES.items():
+        assert label in {s[0] for s in scanner.spans(licenses.words_of(f"some words {body} and more".encode()))}
+
+
 # 4: Jaccard
 
 
@@ -532,6 +636,29 @@ def test_pipeline_stages_equal_their_operators(spark, sf, docs, labels):
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == ids[5]
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, sf, odd):
+    clash = odd.withColumnsRenamed({"_link": "other"}).withColumn("turn", F.lit("t"))
+    for given in (clash, clash.limit(0)):
+        docs = given
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs
+            docs = stage(spark, docs, sf).cache()
+            if name != "packing":
+                assert docs.columns == given.columns
+                assert not set(map(str, docs.collect())) - set(map(str, before.collect()))
+        check_pieces(docs.collect(), before)
+    assert before.count() == 0
+
+
+def test_a_text_longer_than_a_chunk(spark):
+    body = " ".join(f"word{i % 5003} {i % 89}" for i in range(90_000))
+    assert len(body) > 1.5 * text.CHUNK_BYTES
+    rows = spark.createDataFrame([(1, "short text"), (2, body), (3, body + " end"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(rows).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4}
+    check_pieces(packing.pack_documents(rows, public_tokenizers.path("word_bpe_49k.json"), 2).collect(), rows)
+
+
 def test_words_of_one_polynomial_hash_stay_apart(spark):
     rows = []
     for n in (512, 1024, 2048, 8192):
