@@ -171,6 +171,73 @@ def test_relaxation_is_bounded_by_the_exact_distance(spark):
     assert cells.filter("n_parts <= n_labels and n_pairs >= n_labels * (n_labels - 1) / 2").count() == 0
 
 
+def box_triangles(label, low, high):
+    """The twelve triangles of a box."""
+    at = lambda i: [high[j] if i >> j & 1 else low[j] for j in range(3)]
+    quads = [(0, 1, 3, 2), (4, 5, 7, 6), (0, 1, 5, 4), (2, 3, 7, 6), (0, 2, 6, 4), (1, 3, 7, 5)]
+    return [(label, *at(a), *at(b), *at(c)) for q in quads for a, b, c in ((q[0], q[1], q[2]), (q[0], q[2], q[3]))]
+
+
+def test_surfaces_part_the_labels_in_space(spark):
+    """Two boxes: the surface between them is closed but for the domain's sides, and lies half way."""
+    o = OctreeOptions(max_level=3, width=64, dim=3)
+    rows = [(i, *r) for i, r in enumerate(box_triangles(0, (6, 6, 6), (14, 58, 58)) + box_triangles(1, (46, 6, 6), (58, 58, 58)))]
+    tris = spark.createDataFrame(rows, "prim_id long, label long, ax long, ay long, az long, bx long, by long, bz long, tx long, ty long, tz long")
+    leaves, bridge = octree.adaptive_leaves(tris, o)
+    full, held = octree.adaptive_leaves(tris, OctreeOptions(max_level=3, width=64, dim=3, full=True))
+    for cells, prims in ((leaves, bridge), (full, held)):
+        vertices, edges, labels = wave.relaxed_labels(cells, prims, o)
+        found = {(r.x, r.y, r.z): r for r in labels.collect()}
+        assert len(found) == vertices.count()
+        if cells is full:
+            points = gvd.edge_points(edges, labels, 3)
+            assert {r.la for r in points.collect()} | {r.lb for r in points.collect()} == {0, 1} and all(24 <= r.qx <= 36 for r in points.collect())
+            lines = gvd.face_fragments(points, cells, o)
+            made = gvd.cell_triangles(lines).collect()
+            sides = {}
+            for r in made:
+                if r.label == 0:
+                    corners = [tuple(round(v, 6) for v in p) for p in ((r.ax, r.ay, r.az), (r.bx, r.by, r.bz), (r.tx, r.ty, r.tz))]
+                    for p, q in zip(corners, corners[1:] + corners[:1]):
+                        sides[p, q] = sides.get((p, q), 0) + 1
+            loose = [s for s in sides if sides.get((s[1], s[0]), 0) != sides[s]]
+            outer = lambda p: any(c <= 8 or c >= 56 for c in p[1:])
+            assert made and all(outer(p) or outer(q) for p, q in loose)  # closed, and wound alike, inside
+            up = [r for r in made if r.label == 0]
+            assert all((r.by - r.ay) * (r.tz - r.az) - (r.bz - r.az) * (r.ty - r.ay) >= -1e-6 for r in up)  # away from label 0, toward larger x
+
+
+def test_ambiguous_cells_are_split(spark):
+    o = OctreeOptions(max_level=4, width=128)
+    _, segs = random_segments(spark, 14, 128, 8, labels=7)
+    leaves, bridge = octree.adaptive_leaves(segs, OctreeOptions(max_level=3, width=128))
+    leaves, bridge = wave.subdivide_ambiguous(leaves, bridge, o)
+    vertices, edges, labels = wave.relaxed_labels(leaves, bridge, o)
+    left = wave.ambiguous_cells(leaves, octree.incident_cells(vertices, leaves, o), labels, edges, o)
+    assert left.filter("level < 4").count() == 0
+    assert sum(4 ** (4 - c.level) for c in leaves.collect()) == 4**4
+
+
+def test_sheets_have_no_broken_edges(spark):
+    fan = spark.createDataFrame([(0, 0, 1, 2), (1, 1, 2, 9), (2, 0, 1, 3), (3, 0, 1, 4), (4, 4, 1, 8)], "prim_id long, a long, b long, c long")
+    made, copies = mesh.split_sheets(fan, 4)
+    assert mesh.nonmanifold_edges(made).count() == 0
+    rows = {r.prim_id: r for r in made.collect()}
+    assert rows[0].sheet == rows[1].sheet == 0 and rows[2].sheet == 2 and rows[3].sheet == rows[4].sheet == 3
+    back = {(r.sheet, r.to): r.vid for r in copies.collect()}
+    assert len(back) == 4 and {back.get((rows[2].sheet, v), v) for v in (rows[2].a, rows[2].b, rows[2].c)} == {0, 1, 3}
+    new, mapping = mesh.compact(made, 2)
+    assert sorted(r.to for r in mapping.collect()) == list(range(mapping.count())) and new.filter("prim_id = 0 and a = 0 and b = 1 and c = 2").count() == 1
+
+
+def test_v_segments_and_networks(spark):
+    tip, end, near, far = geom.v_segments(lits(0.0, 1.2), lits(1.0, 10.0), lits(0.0, 0.0), lits(10.0, 10.0))
+    got = one(spark, tip=F.array(*tip), end=F.array(*end), near=F.array(*near), far=F.array(*far))
+    assert got.tip == [0.0, 1.2] and got.end == [1.0, 10.0] and got.near == pytest.approx([0.6, 0.6]) and got.far == [10.0, 10.0]
+    a = spark.createDataFrame([(1, 2), (1, 2), (3, 4)], "x long, y long")
+    assert graph.network_differences(a, a).count() == 0 and graph.network_differences(a, a.distinct()).count() == 1
+
+
 def test_components_paths_and_rings(spark, sf):
     edges = views.trade_graph(spark, sf)
     rows = edges.collect()

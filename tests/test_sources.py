@@ -30,6 +30,11 @@ def test_materials_polylines_and_options(spark, tmp_path):
         (tmp_path / name).write_text(text)
     lines = files.read_polylines(spark, [str(tmp_path / "p.dat"), str(tmp_path / "q.dat")])
     assert sorted((r.label, r.ord, r.fx) for r in lines.collect()) == [(0, 0, 0.0), (0, 1, 1.0), (1, 0, 2.0), (1, 1, 3.0), (1, 2, 4.0)]
+    for folder, text in (("one", "5 5\n"), ("two", "6 6\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "p.dat").write_text(text)
+    same = files.read_polylines(spark, [str(tmp_path / "two" / "p.dat"), str(tmp_path / "one" / "p.dat"), str(tmp_path / "p.dat")])
+    assert sorted((r.label, r.fx) for r in same.collect()) == [(0, 6.0), (1, 5.0), (2, 0.0), (2, 1.0)]
     files.write_polylines(lines, str(tmp_path / "lines"))
     assert spark.read.text(str(tmp_path / "lines")).count() == 5
     (tmp_path / "o.config").write_text("# c\nGPU false\nLEVEL 7x\nGPU 0\nNAME a b \n")
@@ -40,3 +45,11 @@ def test_materials_polylines_and_options(spark, tmp_path):
     edges = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0)], "ax double, ay double, bx double, by double")
     files.write_edges(edges, str(tmp_path / "edges"))
     assert spark.read.text(str(tmp_path / "edges")).count() == 2
+
+
+def test_label_meshes(spark, tmp_path):
+    tris = spark.createDataFrame([(3, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0), (3, 1.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0, 0.0), (5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0)], "label long, ax double, ay double, az double, bx double, by double, bz double, tx double, ty double, tz double")
+    files.write_label_meshes(tris, str(tmp_path / "meshes"))
+    vertices, faces = files.read_obj(spark, str(tmp_path / "meshes" / "label=3"))
+    assert vertices.count() == 4 and sorted(tuple(r)[2:] for r in faces.collect()) == [(0, 2, 1), (2, 3, 1)]
+    assert files.read_obj(spark, str(tmp_path / "meshes" / "label=5"))[1].count() == 0
