@@ -67,7 +67,7 @@ def nearest_label_3d(spark, sf_dir):
 _ENDS = ", ".join(f"round({p}{a}, 3) AS {p}{a}" for p in "a" for a in "xyz") + ", round(bx, 3) AS bx, round(by_, 3) AS b_y, round(bz, 3) AS bz"
 
 
-@query(f"WITH {oracle.GVD3} SELECT normal, fx, fy, fz, w, p_level, q_level, la, lb, {_ENDS} FROM fragment")
+@query(f"WITH {oracle.GVD3} SELECT normal, fx, fy, fz, CAST(w AS BIGINT) AS w, p_level, q_level, la, lb, {_ENDS} FROM fragment")
 def gvd_face_lines_3d(spark, sf_dir):
     """The lines in which the surfaces between labels cut the faces that leaves share."""
     leaves, points = _surface_parts(spark, sf_dir)
