@@ -24,16 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import U64, Words, bound_batches, chunks, filter_rows, in_batches, joined, mix, utf8
+from lattica.llm.text import U64, Words, bound_batches, chunks, filter_rows, in_batches, joined, mix, new_key, utf8
 
 # The usual BM25 constants.
 K1, B = 1.2, 0.75
 BLOCK = 16
 
 
-def _hashes(text: str) -> list[int]:
+def _hashes(text: str, key: bytes | None = None) -> list[int]:
     data = np.frombuffer(text.encode(), np.uint8)
-    return Words(data, np.array([0, len(data)]), words="alnum").hash.tolist()
+    return Words(data, np.array([0, len(data)]), words="alnum", key=key).hash.tolist()
 
 
 def _pairs(hashes: np.ndarray) -> np.ndarray:
@@ -68,12 +68,17 @@ def segments(n: int, window: int, threshold: float) -> list[tuple[int, int]]:
 
 
 class ItemIndex:
-    """Postings of the items' segments' terms with normalised BM25 weights, and their maxima by term and by block."""
+    """Postings of the items' segments' terms with normalised BM25 weights, and their maxima by term and by block.
+
+    Words are known by hashes with a secret key of the index, so no text can be made to
+    look like an item.
+    """
 
     def __init__(self, items: list[tuple[int, str]], grams: int, window: int = 64, threshold: float = 0.4):
         self.ids = [i for i, _ in items]
         self.grams = grams
-        self.words = [_hashes(t) for _, t in items]
+        self.key = new_key()
+        self.words = [_hashes(t, self.key) for _, t in items]
         #: (n-gram size, distinct n-grams) of each item's question and of its answer
         self.parts: list[tuple[tuple[int, np.ndarray], ...]] = []
         for own in self.words:
@@ -215,7 +220,7 @@ def passages(words: Words, index: ItemIndex, window: int, threshold: float) -> I
 def find(data: np.ndarray, offsets: np.ndarray, index: ItemIndex, window: int, threshold: float, overlap: float) -> dict[tuple[int, int], tuple]:
     """(document, item) -> (score, question overlap, answer overlap, first word) of the best verified passage, the earliest of equal ones."""
     best: dict[tuple[int, int], tuple] = {}
-    words = Words(data, offsets, words="alnum")
+    words = Words(data, offsets, words="alnum", key=index.key)
     seen: dict[tuple[int, int], list[tuple[float, int]]] = {}
     for d, start, terms in passages(words, index, window, threshold):
         scores: dict[int, float] = {}

@@ -2,7 +2,7 @@
 
 Every text is encoded once and written with its ids. Documents are then dealt into shards
 of about ``shard_tokens`` ids in the order of a minimum hash of their id pairs, so that
-alike documents mostly share a shard, and a hash of the document id splits groups of
+alike documents mostly share a shard, and a hash of id and text splits groups of
 copies of any size. A shard builds its own inverted index. The document that opens a
 window, or the one that the last window cut, is the seed: its strongest terms query the
 index, and the best unused neighbours fill the window. What does not fit is cut and goes
@@ -16,14 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lattica.llm.text import U64, bound_batches, chunks, in_batches, mix, utf8
 from lattica.llm.tokenstore import encoder, with_end
-from lattica.session import write_and_reread
+from lattica.operators.stats import prefix_sum
+from lattica.session import scratched, write_and_reread
 
 # The usual BM25 constants.
 K1, B = 1.2, 0.75
@@ -119,35 +119,88 @@ def retrieval_order(docs: list[np.ndarray], window: int, terms: int, most: int)
     return order
 
 
+class Cuts:
+    """Where shards begin in the order of keys: within a key's documents, at a share of their hashes."""
+
+    def __init__(self, key: np.ndarray, share: np.ndarray):
+        self.key, self.share = key, share
+
+    def shard(self, key: np.ndarray, deal: np.ndarray) -> np.ndarray:
+        half, share = (key.view(U64) >> U64(1)).view(np.int64), (deal.view(U64) >> U64(11)) / 2.0**53
+        low, high = np.searchsorted(self.key, half), np.searchsorted(self.key, half, "right")
+        out = low.copy()
+        for i in np.flatnonzero(low < high).tolist():  # of a key that a cut splits
+            out[i] += np.searchsorted(self.share[low[i] : high[i]], share[i], "right")
+        return out
+
+
+def shard_cuts(encoded: DataFrame, shard_tokens: int) -> Cuts:
+    """Cuts that give each shard about ``shard_tokens`` ids; they follow from the rows alone, not from their order.
+
+    Keys' sums are added up bucket by bucket; a cut falls into the key that holds the
+    shard's first id. The driver sees a row a shard.
+    """
+    half = F.shiftrightunsigned("key", 1)
+    sums = encoded.groupBy(half.alias("half")).agg(F.sum("n").alias("n"))
+    run = prefix_sum(sums, "n", F.floor(F.log2(F.col("half") + 1.0) * 256), ["half"], "before")
+    first, last = F.floor(F.col("before") / shard_tokens) + 1, F.floor((F.col("before") + F.col("n")) / shard_tokens)
+    held = run.filter(first <= last).select("half", "before", "n", F.explode(F.sequence(first, last)).alias("s"))
+    rows = sorted((r.half, r.s, (r.s * shard_tokens - r.before) / r.n) for r in held.collect())
+    return Cuts(np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64))
+
+
+def _deal(cuts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, deal = (batch.column(i).to_numpy() for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(cuts.value.shard(key, deal)), *batch.columns], ["shard", *batch.schema.names])
+
+    return run
+
+
 def _pack(window: int, terms: int, most: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = -1
         names: list = []
         docs: list[np.ndarray] = []
         for batch in batches:
-            names += batch.column(0).to_pylist()
-            docs += [np.frombuffer(x.as_py(), kind) for x in batch.column(1)]
-        if not docs:
-            return
-        shard = TaskContext.get().partitionId()
-        rows: list[tuple] = []
-        at = 0
-        for i in retrieval_order(docs, window, terms, most):
-            ids, done = docs[i].astype("<u4"), 0
-            while done < len(ids):
-                take = min(len(ids) - done, window - at % window)
-                rows.append((names[i], done, take, zlib.crc32(ids[done : done + take].tobytes()), len(ids), (shard << 32) + at // window, at % window))
-                done, at = done + take, at + take
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            shards = batch.column(0).to_numpy()
+            for part in np.split(np.arange(len(shards)), np.flatnonzero(np.diff(shards)) + 1):
+                if not len(part):
+                    continue
+                if shards[part[0]] != shard:
+                    if docs:
+                        yield packed_shard(shard, names, docs, window, terms, most)
+                    shard, names, docs = int(shards[part[0]]), [], []
+                names += batch.column(1).slice(part[0], len(part)).to_pylist()
+                docs += [np.frombuffer(x.as_py(), kind) for x in batch.column(2).slice(part[0], len(part))]
+        if docs:
+            yield packed_shard(shard, names, docs, window, terms, most)
 
     return run
 
 
+def packed_shard(shard: int, names: list, docs: list[np.ndarray], window: int, terms: int, most: int) -> pa.RecordBatch:
+    """The pieces of one shard's documents."""
+    rows: list[tuple] = []
+    at = 0
+    for i in retrieval_order(docs, window, terms, most):
+        ids, done = docs[i].astype("<u4"), 0
+        while done < len(ids):
+            take = min(len(ids) - done, window - at % window)
+            rows.append((names[i], done, take, zlib.crc32(ids[done : done + take].tobytes()), len(ids), (shard << 32) + at // window, at % window))
+            done, at = done + take, at + take
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+
+@scratched
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, shard_tokens: int = 1 << 21, terms: int = 32, most: int = 64) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long).
 
     Each id of each document lies in exactly one piece. A null or empty text is the end id
     alone; rows that repeat an id are documents of their own; null ids are kept. Ties of a
-    score go to the document that comes first in its shard. An empty table gives no rows,
+    score go to the document that comes first in its shard, and shards and their order
+    follow from ids and texts alone, so the order of rows does not change the result. An empty table gives no rows,
     and only the id and text columns are read. A shard holds ``shard_tokens`` ids on
     average, and has to hold its longest document whole.
     """
@@ -155,9 +208,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: st
     kind = "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     encoded = write_and_reread(in_batches(narrow, _encode(tokenizer_path, end_id, kind), "doc_id long, n long, key long, ids binary", "ids"), "packing-ids")
-    total = encoded.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // shard_tokens))
-    # copies share a key, so the hash of the id deals them out, and the position rows that repeat an id too
-    placed = encoded.withColumn("deal", F.xxhash64("doc_id")).withColumn("place", F.monotonically_increasing_id())
-    dealt = placed.repartitionByRange(shards, "key", "deal", "place").sortWithinPartitions("key", "deal", "ids", "place")
-    return in_batches(dealt.select("doc_id", "ids"), _pack(window, terms, most, kind), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    cuts = shard_cuts(encoded, shard_tokens)
+    # copies share a key, so the hash of their ids deals them out; rows equal in all may stand for each other
+    placed = encoded.select("doc_id", "key", F.xxhash64("doc_id", "ids").alias("deal"), "ids")
+    sharded = in_batches(placed, _deal(docs.sparkSession.sparkContext.broadcast(cuts)), "shard long, doc_id long, key long, deal long, ids binary")
+    dealt = sharded.repartitionById(len(cuts.key) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "key", "deal", "ids", "doc_id")
+    return in_batches(dealt.select("shard", "doc_id", "ids"), _pack(window, terms, most, kind), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

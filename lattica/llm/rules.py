@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.text import crc_mod
-from lattica.session import write_and_reread
+from lattica.session import scratched, write_and_reread
 
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -111,6 +111,11 @@ def log_ratios(docs: DataFrame, target_docs: DataFrame, slots: int) -> Column:
     return F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<bigint>")
 
 
+#: Labelled ids up to which they are broadcast (16 MB).
+FEW_IDS = 1 << 20
+
+
+@scratched
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", slots: int = 16_384, sigmas: float = 6.0, care: float = 4.0) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
 
@@ -123,8 +128,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     too, an empty table gives no rows, and other columns are ignored.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # written once, as the target's counts and then the cut read it; the same join at any number of labels
-    known = write_and_reread(plain.join(labelled_ids(labels, id_col, label_col).hint("merge"), "doc_id").select("side", "text"), "rules-labelled")
+    sides_of = labelled_ids(labels, id_col, label_col)
+    # few ids are broadcast, so that no text is moved to find the labelled ones; written once, as the target's counts and then the cut read it
+    sides_of = F.broadcast(sides_of) if sides_of.count() <= FEW_IDS else sides_of.hint("merge")
+    known = write_and_reread(plain.join(sides_of, "doc_id").select("side", "text"), "rules-labelled")
     model = log_ratios(plain, known.filter("side = 2"), slots)
 
     def scored(rows: DataFrame) -> DataFrame:

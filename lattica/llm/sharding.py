@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.session import write_and_reread
+from lattica.session import scratched, write_and_reread
 
 #: Rows of a group that one task ranks at most, about.
 CHUNK = 20_000
@@ -92,6 +92,7 @@ def _propagate(state: DataFrame, shards: int, targets: np.ndarray, sizes: np.nda
     return state
 
 
+@scratched
 def assign_shards(docs: DataFrame, link: Column, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", rounds: int = 6, slack: float = 0.0) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 

@@ -7,7 +7,9 @@ for a word. Memory follows ``CHUNK_BYTES``, or the longest single text if that i
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,18 +65,26 @@ def byte_tables(lower: bool, words: str) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[key]
 
 
+def new_key() -> bytes:
+    """A secret of 128 bits for the hashes of one run; tasks that are run again get the same."""
+    return secrets.token_bytes(16)
+
+
 class Words:
     """Words of consecutive documents in one byte buffer.
 
     ``start`` and ``end`` are byte positions, ``hash`` identifies the word, and the
     words of document i are ``ptr[i]:ptr[i + 1]``. A word is hashed eight bytes at a time,
     each step a finaliser over the last, so that no word of up to eight bytes shares its
-    hash with another of its length and longer ones do by chance alone (64 bits); words
-    above SHORT bytes go through XXH3 one by one. ``folded`` is the text as it is hashed, with
-    zeros after it. About ten bytes are held for each byte of text.
+    hash with another of its length; words above SHORT bytes are hashed one by one. Without
+    a ``key`` the hash is the same in every run, good for features, but words that collide
+    can be worked out. Where a hash stands for the word, a secret ``key`` of the run
+    (``new_key``) goes into every step, and longer words collide by chance alone (64
+    bits). ``folded`` is the text as it is hashed, with zeros after it. About ten bytes are
+    held for each byte of text.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, words: str = "space"):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, words: str = "space", key: bytes | None = None):
         value, kinds = byte_tables(lower, words)
         n = len(data)
         kind = np.take(kinds, data, mode="clip")
@@ -90,15 +100,23 @@ class Words:
         self.folded = np.zeros(n + 16, np.uint8)
         self.folded[:n] = np.take(value, data, mode="clip")
         self.size = self.end - self.start
-        self.hash = mix(self.lane(0) ^ (self.size.astype(U64) * _MUL))
+        one, two = np.frombuffer(key, U64) if key else (U64(0), U64(0))
+        self.hash = mix(self.lane(0) ^ (self.size.astype(U64) * _MUL) ^ one)
+        if key:
+            self.hash = mix(self.hash + two, 8)
         longer = np.flatnonzero(self.size > 8)
         for k in range(1, SHORT // 8):
             if not len(longer):
                 break
-            self.hash[longer] = mix(self.hash[longer] * _MUL + self.lane(k, longer), k)
+            lane = self.lane(k, longer)
+            self.hash[longer] = mix((self.hash[longer] ^ two) * _MUL + (mix(lane ^ one, 9) if key else lane), k)
             longer = longer[self.size[longer] > 8 * (k + 1)]
         for i in longer.tolist():  # above SHORT bytes
-            self.hash[i] = xxhash.xxh3_64_intdigest(self.folded[self.start[i] : self.end[i]].data, int(self.hash[i]))
+            word = self.folded[self.start[i] : self.end[i]].data
+            if key:
+                self.hash[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=key).digest(), "little")
+            else:
+                self.hash[i] = xxhash.xxh3_64_intdigest(word, int(self.hash[i]))
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> None:
         """Place for another way to cut the runs, given the class of each."""
@@ -109,6 +127,11 @@ class Words:
         held = np.clip(self.size[at] - 8 * k, 0, 8)
         return every[np.minimum(self.start[at] + 8 * k, len(every) - 1)] & _LANE[held]
 
+    def opening(self, doc: int, width: int) -> bytes:
+        """The first ``width`` words of a document as they are hashed, with blanks between."""
+        low, high = self.ptr[doc], min(self.ptr[doc] + width, self.ptr[doc + 1])
+        return b" ".join(self.folded[a:b].tobytes() for a, b in zip(self.start[low:high], self.end[low:high], strict=True))
+
     def head(self, size: int) -> np.ndarray:
         """Hash of the first ``size`` bytes of each word, 8 at most."""
         held = np.minimum(self.size, size)
