@@ -177,8 +177,7 @@ class SuffixArrays:
             size, two = self.levels.pop()
             _, one = self.levels.pop()
             self.levels.append((size + 1, write_and_reread(one.unionAll(two).distinct().orderBy("head"), "suffix-level")))
-            for old in (one, two):
-                remove_path(old.sparkSession, old.scratch_path)
+            _drop(one, two)
         counted = write_and_reread(heads.groupBy("head").agg((F.count(F.lit(1)) > 1).alias("twice")).orderBy("head"), "suffix-batch")
         shared = counted.filter("twice").select("head")
         array = counted.select("head")
@@ -204,27 +203,39 @@ def repeated_starts(texts: DataFrame, match: int, window: int, batches: int) ->
 
     Ranges of texts that occur several times may be missing in part.
     """
+    spark = texts.sparkSession
     heads = write_and_reread(in_batches(texts, _heads(match, window, batches), "batch int, head long"), "suffix-heads")
-    family, shared = SuffixArrays(), None
+    family, found = SuffixArrays(), []
     for turn in range(batches):
-        found = family.add(heads.filter(F.col("batch") == turn).select("head"))
-        shared = found if shared is None else shared.unionAll(found)
+        found.append(family.add(heads.filter(F.col("batch") == turn).select("head")))
+    shared = found[0]
+    for more in found[1:]:
+        shared = shared.unionAll(more)
     bits = keyfilter.bits_for(shared.count())
-    wanted = texts.sparkSession.sparkContext.broadcast(keyfilter.build(shared, "head", bits)) if bits else None
+    wanted = spark.sparkContext.broadcast(keyfilter.build(shared, "head", bits)) if bits else None
+    _drop(heads, *[level for _, level in family.levels])
     held = in_batches(texts, _contexts(match, window, wanted), "head long, full binary, key binary, lo int, hi int")
     held = write_and_reread(held if bits else held.join(shared.distinct(), "head", "left_semi"), "suffix-contexts")
     each = write_and_reread(held.groupBy("head", "full").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "hi")).alias("at")), "suffix-each")
-    whole = held.join(each.filter("n > 1").select("full"), "full", "left_semi").select("key", "lo", "hi")
+    whole = write_and_reread(held.join(each.filter("n > 1").select("full"), "full", "left_semi").select("key", "lo", "hi"), "suffix-whole")
     # where a repeat ends, contexts of one head differ
     open_ = each.groupBy("head").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
     ends = each.join(open_.select("head"), "head").select("at.*", F.least("n", F.lit(2)).cast("int").alias("weight"))
     lists = write_and_reread(ends.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "weight")).alias("ranges")), "suffix-ends")
+    _drop(*found, held, each)
     single = write_and_reread(in_batches(_texts_with(texts, lists).select("key", "text", "ranges"), _single_starts(match), "full binary, key binary, lo int, weight int"), "suffix-starts")
     twice = single.groupBy("full").agg(F.sum("weight").alias("n")).filter("n > 1").select("full")
-    alone = single.filter("weight = 1").join(twice, "full", "left_semi").select("key", "lo", F.col("lo").alias("hi"))
+    alone = write_and_reread(single.filter("weight = 1").join(twice, "full", "left_semi").select("key", "lo", F.col("lo").alias("hi")), "suffix-alone")
+    _drop(single)
     return whole.unionAll(alone)
 
 
+def _drop(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        remove_path(table.sparkSession, table.scratch_path)
+
+
 def without(text: memoryview, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bytes]:
     """(removed bytes, maximal removed runs, kept bytes) of a text, given the removed ranges [start, end)."""
     change = np.zeros(len(text) + 1, np.int64)
