@@ -1,13 +1,21 @@
-"""Boxes fitted between pairs of segments by marching along their bisector."""
+"""Boxes fitted between pairs of segments by marching along their middle, and the sample points beside them."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions import geom, vec
+from lattica.functions.vec import Point
+
+ENDS = ["ax", "ay", "bx", "by", "cx", "cy", "dx", "dy"]
+#: Pairs that march together.
+TOGETHER = 1 << 14
+
 
 def neighbour_pairs(segments: DataFrame) -> DataFrame:
     """Each segment with the next but one of its polyline: label, ord, ax.. by, cx, cy, dx, dy."""
@@ -16,42 +24,91 @@ def neighbour_pairs(segments: DataFrame) -> DataFrame:
     return segments.select("label", "ord", "ax", "ay", "bx", "by", *ends).filter("cx is not null")
 
 
-def _closest(p, a, b):
-    dx, dy = b[0] - a[0], b[1] - a[1]
-    n = dx * dx + dy * dy
-    t = max(0.0, min(1.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / n)) if n else 0.0
-    return a[0] + t * dx, a[1] + t * dy
+def _arm(x: Point, to: Point, least: float) -> tuple[Point, Column]:
+    """Where the arm from a crossing leaves the box around it, and whether it does."""
+    d = vec.sub(to, x)
+    reach = F.greatest(*[F.abs(c) for c in d])
+    t = F.lit(least / 2) / F.nullif(reach, F.lit(0.0))
+    return tuple(c + v * t for c, v in zip(x, d, strict=True)), F.coalesce(t < 1, F.lit(False))
 
 
-def march(a, b, c, d, least: float) -> list[tuple[float, float, float]]:
-    """(x, y, size) of squares along the middle line of two segments, each as wide as the gap there.
+def wedges(pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs (ax, ay, .. dx, dy) as pairs that don't cross, with ``part``, opening from a and c toward b and d.
 
-    Squares start at the closest ends, step by their own size and are at least ``least``
-    wide, which has to be positive, so the march ends; where the segments touch or cross, they have that least width.
+    A pair that doesn't cross is part 0, turned so that a and c are its nearer ends. One
+    that crosses becomes its crossing (part 0, all four ends there) and up to two wedges
+    (parts 1 and 2) of the arms on one side each, which begin where they leave the box of
+    width ``least`` around the crossing; an arm that ends in it has no wedge.
     """
-    if least <= 0:
-        raise ValueError("least has to be positive")
-    if math.dist(a, c) + math.dist(b, d) > math.dist(a, d) + math.dist(b, c):
-        c, d = d, c
-    length = max(math.dist(a, b), math.dist(c, d))
-    out: list[tuple[float, float, float]] = []
-    at = 0.0
-    while at <= length:
-        t = at / length if length else 0.0
-        p = (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
-        q = _closest(p, c, d)
-        size = max(math.dist(p, q), least)
-        out.append(((p[0] + q[0]) / 2, (p[1] + q[1]) / 2, size))
-        at += size
-    return out
+    a, b, c, d = (tuple(F.col(p + x).cast("double") for x in "xy") for p in "abcd")
+    far = lambda p, q: vec.length(vec.sub(p, q))
+    across = far(a, c) + far(b, d) > far(a, d) + far(b, c)
+    one, two = (tuple(F.when(across, q).otherwise(p) for p, q in zip(x, y, strict=True)) for x, y in ((c, d), (d, c)))
+    turned = far(b, two) < far(a, one)
+    pick = lambda x, y: tuple(F.when(turned, q).otherwise(p) for p, q in zip(x, y, strict=True))
+    row = lambda part, ends: F.struct(F.lit(part).alias("part"), *[v.alias(n) for n, v in zip(ENDS, [v for e in ends for v in e], strict=True)])
+    plain = row(0, (pick(a, b), pick(b, a), pick(one, two), pick(two, one)))
+    x = geom.line_intersection(a, b, c, d)
+    apart = vec.dot(vec.sub(a, x), vec.sub(c, x)) < 0
+    mates = [tuple(F.when(apart, q).otherwise(p) for p, q in zip(u, v, strict=True)) for u, v in ((c, d), (d, c))]
+    parts = [F.when(F.lit(True), row(0, (x, x, x, x)))]
+    for k, (own, mate) in enumerate(zip((a, b), mates, strict=True)):
+        (start, goes), (other, goes_too) = _arm(x, own, least), _arm(x, mate, least)
+        parts.append(F.when(goes & goes_too, row(k + 1, (start, own, other, mate))))
+    made = F.when(geom.segments_cross(a, b, c, d), F.filter(F.array(*parts), lambda p: p.isNotNull())).otherwise(F.array(plain))
+    return pairs.select(*[n for n in pairs.columns if n not in ENDS], F.explode(made).alias("_w")).select("*", "_w.*").drop("_w")
+
+
+def march(ends: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Step by step, (rows, values): the boxes of all wedges (rows of ax .. dy) that still march.
+
+    values: x and y of the centre, size, and two samples. From a place on the first segment
+    the box spans to the nearest point of the second, is that wide, ``least`` at least, and
+    the place moves on by its size, until the longer segment's length is used up. The samples lie a quarter of
+    the way in from both points.
+    """
+    at = np.zeros(len(ends))
+    a, b, c, d = (ends[:, 2 * k : 2 * k + 2] for k in range(4))
+    far = lambda p, q: np.sqrt((p[:, 0] - q[:, 0]) * (p[:, 0] - q[:, 0]) + (p[:, 1] - q[:, 1]) * (p[:, 1] - q[:, 1]))
+    length = np.maximum(far(a, b), far(c, d))
+    rows = np.arange(len(ends))
+    while len(rows):
+        a, b, c, d = (ends[rows, 2 * k : 2 * k + 2] for k in range(4))
+        t = np.divide(at[rows], length[rows], out=np.zeros(len(rows)), where=length[rows] > 0)
+        p = a + t[:, None] * (b - a)
+        v = d - c
+        n = v[:, 0] * v[:, 0] + v[:, 1] * v[:, 1]
+        s = np.divide((p[:, 0] - c[:, 0]) * v[:, 0] + (p[:, 1] - c[:, 1]) * v[:, 1], n, out=np.zeros(len(rows)), where=n > 0)
+        q = c + np.clip(s, 0.0, 1.0)[:, None] * v
+        size = np.maximum(far(p, q), least)
+        yield rows, np.column_stack([(p + q) / 2, size, p + (q - p) / 4, q + (p - q) / 4])
+        at[rows] += size
+        rows = rows[at[rows] <= length[rows]]
 
 
 def fit_boxes(pairs: DataFrame, least: float) -> DataFrame:
-    """(label, ord, step, x, y, size): the boxes of each pair of segments; the march is sequential within a pair only."""
+    """The pairs' other columns with part, step, x, y, size, and the samples px, py, qx, qy of each box.
+
+    Pairs that cross are split at their crossing (``wedges``). ``least`` has to be positive,
+    so every march ends. A pair with a null or not finite end has no boxes, a segment without length
+    is a point, and an empty table gives no rows.
+    """
+    if least <= 0:
+        raise ValueError("least has to be positive")
+    own = [c for c in pairs.columns if c not in ENDS]
+    finite = geom.all_of(*[F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False)) for c in ENDS])
+    rows = wedges(pairs.filter(finite), least).select(*own, "part", *ENDS)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in own], "part int", "step int", *[f"{c} double" for c in ("x", "y", "size", "px", "py", "qx", "qy")]])
 
-    def run(batches):
-        for rows in batches:
-            out = [(r.label, r.ord, i, *box) for r in rows.itertuples() for i, box in enumerate(march((r.ax, r.ay), (r.bx, r.by), (r.cx, r.cy), (r.dx, r.dy), least))]
-            yield pd.DataFrame(out, columns=["label", "ord", "step", "x", "y", "size"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(own) + 1
+        for batch in batches:
+            for first in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(first, TOGETHER)
+                ends = np.column_stack([part.column(n + k).to_numpy(zero_copy_only=False) for k in range(8)])
+                for step, (at, values) in enumerate(march(ends, least)):
+                    kept = [part.column(k).take(pa.array(at)) for k in range(n)]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(len(at), step, np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in values.T]], [*own, "part", "step", "x", "y", "size", "px", "py", "qx", "qy"])
 
-    return pairs.mapInPandas(run, "label long, ord int, step int, x double, y double, size double")
+    return rows.mapInArrow(run, schema)

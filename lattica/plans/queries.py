@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import geom, morton, vec
 from lattica.functions.morton import Resolution
-from lattica.operators import fitting, graph, gvd, mesh, octree, quantise, spatial, stats, wave
+from lattica.operators import crossing, graph, gvd, mesh, octree, quantise, spatial, stats, wave
 from lattica.plans import oracle, views
 from lattica.plans.views import TREE, WIDTH
 from lattica.session import write_and_reread
@@ -299,7 +299,7 @@ def distance_field_raster(spark, sf_dir):
 
 @query(f"WITH {oracle.SEGMENTS}, s AS (SELECT label, ord, ax, ay, bx, by_ FROM seg) SELECT p.label AS p_label, p.ord AS p_ord, q.label AS q_label, q.ord AS q_ord FROM s p, s q WHERE p.label < q.label AND least(p.ax, p.bx) <= greatest(q.ax, q.bx) AND least(q.ax, q.bx) <= greatest(p.ax, p.bx) AND sign((p.bx - p.ax) * (q.ay - p.ay) - (p.by_ - p.ay) * (q.ax - p.ax)) * sign((p.bx - p.ax) * (q.by_ - p.ay) - (p.by_ - p.ay) * (q.bx - p.ax)) < 0 AND sign((q.bx - q.ax) * (p.ay - q.ay) - (q.by_ - q.ay) * (p.ax - q.ax)) * sign((q.bx - q.ax) * (p.by_ - q.ay) - (q.by_ - q.ay) * (p.bx - q.ax)) < 0")
 def segment_intersections(spark, sf_dir):
-    return spatial.crossings(views.segments(spark, sf_dir), WIDTH // 16, 16, ["label", "ord"]).select("p_label", "p_ord", "q_label", "q_ord")
+    return crossing.crossings(views.segments(spark, sf_dir), ["label", "ord"]).select("p_label", "p_ord", "q_label", "q_ord")
 
 
 @query(f"WITH {oracle.TRIS}, {oracle.MESH_EDGES} SELECT prim_id, side, u, v, lo, hi FROM mkey")
@@ -411,12 +411,6 @@ def region_merge(spark, sf_dir):
     return mesh.region_merge(unit, "ring").select("ring", "region", "n", *[F.round(f"n{a}", 6).alias(f"n{a}") for a in "xyz"])
 
 
-@query()
-def fit_boxes(spark, sf_dir):
-    """Boxes between each segment and the next but one of its polyline."""
-    return fitting.fit_boxes(fitting.neighbour_pairs(views.segments(spark, sf_dir)), 16.0)
-
-
 @query(f"WITH RECURSIVE {oracle.LINKS}, walk AS (SELECT DISTINCT u AS node, u AS low, 0 AS hops FROM links UNION ALL SELECT v, min(low), hops + 1 FROM (SELECT links.v, walk.low, walk.hops FROM walk JOIN links ON links.u = walk.node UNION ALL SELECT node, low, hops FROM walk) WHERE hops < 40 GROUP BY v, hops) SELECT node, min(low) AS component FROM walk GROUP BY node")
 def connected_components(spark, sf_dir):
     """Components of the whole supplier-part graph."""

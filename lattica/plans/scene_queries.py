@@ -1,0 +1,103 @@
+"""Registered queries of planar graphs, fitted boxes, branches on faces, and exploded views, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lattica.operators import crossing, fitting
+from lattica.plans import oracle, views
+from lattica.plans.queries import query
+
+#: Polylines of so many labels make a scene.
+SCENE = 8
+LEAST = 16.0
+
+
+def _scenes(spark, sf_dir) -> DataFrame:
+    return views.segments(spark, sf_dir).withColumn("scene", F.floor(F.col("label") / SCENE))
+
+
+_ON = "(bx - ax) * ({y} - ay) - (by_ - ay) * ({x} - ax)"
+_SIGNS = "sign((p.bx - p.ax) * (q.ay - p.ay) - (p.by_ - p.ay) * (q.ax - p.ax)) * sign((p.bx - p.ax) * (q.by_ - p.ay) - (p.by_ - p.ay) * (q.bx - p.ax)) < 0 AND sign((q.bx - q.ax) * (p.ay - q.ay) - (q.by_ - q.ay) * (p.ax - q.ax)) * sign((q.bx - q.ax) * (p.by_ - q.ay) - (q.by_ - q.ay) * (p.bx - q.ax)) < 0"
+_UP = "((q.bx - q.ax) * (p.ay - q.ay) - (q.by_ - q.ay) * (p.ax - q.ax))"
+_DOWN = f"({_UP} - ((q.bx - q.ax) * (p.by_ - q.ay) - (q.by_ - q.ay) * (p.bx - q.ax)))"
+
+
+def _touch(c: str) -> str:
+    return f"SELECT p.scene, p.label, p.ord, q.{c}x AS x, 0 AS xp, q.{c}y{'_' * (c == 'b')} AS y, 0 AS yp FROM s p JOIN s q ON p.scene = q.scene WHERE " + _ON.replace("ax", "p.ax").replace("bx", "p.bx").replace("ay", "p.ay").replace("by_", "p.by_").format(x=f"q.{c}x", y=f"q.{c}y{'_' * (c == 'b')}") + f" = 0 AND q.{c}x BETWEEN least(p.ax, p.bx) AND greatest(p.ax, p.bx) AND q.{c}y{'_' * (c == 'b')} BETWEEN least(p.ay, p.by_) AND greatest(p.ay, p.by_)"
+
+
+_PLANAR = f"""{oracle.SEGMENTS}, s AS (SELECT DISTINCT label // {SCENE} AS scene, label, ord, ax, ay, bx, by_ FROM seg WHERE ax <> bx OR ay <> by_),
+  c AS (SELECT p.scene, p.label, p.ord, p.ax, p.ay, CAST((p.bx - p.ax) * {_UP} * sign({_DOWN}) AS HUGEINT) AS ox, CAST((p.by_ - p.ay) * {_UP} * sign({_DOWN}) AS HUGEINT) AS oy, CAST(abs({_DOWN}) AS HUGEINT) AS d FROM s p JOIN s q ON p.scene = q.scene WHERE {_SIGNS}),
+  m AS (SELECT *, ((ox % d) + d) % d AS mx, ((oy % d) + d) % d AS my FROM c),
+  cut AS (SELECT scene, label, ord, CAST(ax + (ox - mx) // d AS BIGINT) AS x, CAST(mx * 1000000000000000000 // d AS BIGINT) AS xp, CAST(ay + (oy - my) // d AS BIGINT) AS y, CAST(my * 1000000000000000000 // d AS BIGINT) AS yp FROM m UNION {_touch('a')} UNION {_touch('b')}),
+  step AS (SELECT scene, x AS ux, xp AS uxp, y AS uy, yp AS uyp, lead(x) OVER w AS vx, lead(xp) OVER w AS vxp, lead(y) OVER w AS vy, lead(yp) OVER w AS vyp FROM cut WINDOW w AS (PARTITION BY label, ord ORDER BY x, xp, y, yp))"""
+
+
+@query(f"WITH {_PLANAR} SELECT DISTINCT * FROM step WHERE vx IS NOT NULL")
+def planar_graph(spark, sf_dir):
+    """The polylines of each scene as a planar graph over their ends and crossings."""
+    return crossing.planar_graph(_scenes(spark, sf_dir), ["label", "ord"], "scene", views.WIDTH)
+
+
+_P = [f"{p}{i}" for p in "abcd" for i in (1, 2)]
+
+
+def _far(p: str, q: str) -> str:
+    return f"sqrt(({p}1 - {q}1) * ({p}1 - {q}1) + ({p}2 - {q}2) * ({p}2 - {q}2))"
+
+
+def _turned(p: str, q: str, when: str) -> str:
+    return ", ".join(f"CASE WHEN {when} THEN {q}{i} ELSE {p}{i} END AS {p}{i}" for i in (1, 2))
+
+
+def fit_sql(pairs: str, key: str) -> str:
+    """CTEs up to ``box``: the wedges of ``pair`` (key, a1 .. d2 as doubles, crosses) and their march."""
+    arm = lambda e: f"{LEAST / 2} / nullif(greatest(abs({e}1 - x1), abs({e}2 - x2)), 0.0)"
+    wedge = lambda k, e, m, m2: f"SELECT {key}, {k} AS part, x1 + ({e}1 - x1) * t{e} AS a1, x2 + ({e}2 - x2) * t{e} AS a2, {e}1 AS b1, {e}2 AS b2, x1 + (m{k}1 - x1) * tm{k} AS c1, x2 + (m{k}2 - x2) * tm{k} AS c2, m{k}1 AS d1, m{k}2 AS d2 FROM mate WHERE t{e} < 1 AND tm{k} < 1"
+    return f"""{pairs},
+  plain0 AS (SELECT *, {_far('a', 'c')} + {_far('b', 'd')} > {_far('a', 'd')} + {_far('b', 'c')} AS across FROM pair WHERE NOT crosses),
+  plain1 AS (SELECT {key}, a1, a2, b1, b2, {_turned('c', 'd', 'across')}, {_turned('d', 'c', 'across')} FROM plain0),
+  plain2 AS (SELECT *, {_far('b', 'd')} < {_far('a', 'c')} AS turned FROM plain1),
+  met AS (SELECT *, a1 + k * (b1 - a1) AS x1, a2 + k * (b2 - a2) AS x2 FROM (SELECT *, ((c1 - a1) * (d2 - c2) - (c2 - a2) * (d1 - c1)) / ((b1 - a1) * (d2 - c2) - (b2 - a2) * (d1 - c1)) AS k FROM pair WHERE crosses)),
+  side AS (SELECT *, (a1 - x1) * (c1 - x1) + (a2 - x2) * (c2 - x2) < 0 AS apart FROM met),
+  mate0 AS (SELECT *, {', '.join(f'CASE WHEN apart THEN d{i} ELSE c{i} END AS m1{i}, CASE WHEN apart THEN c{i} ELSE d{i} END AS m2{i}' for i in (1, 2))} FROM side),
+  mate AS (SELECT *, {arm('a')} AS ta, {arm('b')} AS tb, {arm('m1')} AS tm1, {arm('m2')} AS tm2 FROM mate0),
+  wedge AS (SELECT {key}, 0 AS part, {_turned('a', 'b', 'turned')}, {_turned('b', 'a', 'turned')}, {_turned('c', 'd', 'turned')}, {_turned('d', 'c', 'turned')} FROM plain2
+    UNION ALL SELECT {key}, 0, x1, x2, x1, x2, x1, x2, x1, x2 FROM met UNION ALL {wedge(1, 'a', 'm1', 'm2')} UNION ALL {wedge(2, 'b', 'm2', 'm1')}),
+  sized AS (SELECT *, greatest({_far('a', 'b')}, {_far('c', 'd')}) AS len FROM wedge),
+  walk AS (SELECT *, CAST(0 AS INTEGER) AS step, 0.0::DOUBLE AS pos, {_step('0.0::DOUBLE')} FROM sized
+    UNION ALL SELECT {key}, part, {', '.join(_P)}, len, step + 1, pos + size, {_step('(pos + size)')} FROM walk WHERE pos + size <= len),
+  box AS (SELECT {key}, part, step, round((p1 + q1) / 2, 3) AS x, round((p2 + q2) / 2, 3) AS y, round(size, 3) AS size, round(p1 + (q1 - p1) / 4, 3) AS px, round(p2 + (q2 - p2) / 4, 3) AS py, round(q1 + (p1 - q1) / 4, 3) AS qx, round(q2 + (p2 - q2) / 4, 3) AS qy FROM walk)"""
+
+
+def _step(at: str) -> str:
+    t = f"coalesce({at} / nullif(len, 0.0), 0.0)"
+    p = [f"(a{i} + {t} * (b{i} - a{i}))" for i in (1, 2)]
+    s = f"greatest(0.0, least(1.0, coalesce((({p[0]} - c1) * (d1 - c1) + ({p[1]} - c2) * (d2 - c2)) / nullif((d1 - c1) * (d1 - c1) + (d2 - c2) * (d2 - c2), 0.0), 0.0)))"
+    q = [f"(c{i} + {s} * (d{i} - c{i}))" for i in (1, 2)]
+    gap = f"sqrt(({p[0]} - {q[0]}) * ({p[0]} - {q[0]}) + ({p[1]} - {q[1]}) * ({p[1]} - {q[1]}))"
+    return f"{p[0]} AS p1, {p[1]} AS p2, {q[0]} AS q1, {q[1]} AS q2, greatest({gap}, {LEAST}) AS size"
+
+
+_CROSSED = f"{oracle.SEGMENTS}, s AS (SELECT label // {SCENE} AS scene, * FROM seg), pair AS (SELECT p.label, p.ord, q.label AS q_label, q.ord AS q_ord, " + ", ".join(f"CAST({t}.{c} AS DOUBLE) AS {n}" for n, (t, c) in zip(_P, [(t, c) for t in "pq" for c in ("ax", "ay", "bx", "by_")], strict=True)) + f", true AS crosses FROM s p JOIN s q ON p.scene = q.scene AND p.label < q.label WHERE {_SIGNS})"
+_NEXT = f"{oracle.SEGMENTS}, nxt AS (SELECT *, lead(ax, 2) OVER w AS cx, lead(ay, 2) OVER w AS cy, lead(bx, 2) OVER w AS dx, lead(by_, 2) OVER w AS dy FROM seg WINDOW w AS (PARTITION BY label ORDER BY ord)), pair AS (SELECT label, ord, " + ", ".join(f"CAST({c} AS DOUBLE) AS {n}" for n, c in zip(_P, ("ax", "ay", "bx", "by_", "cx", "cy", "dx", "dy"), strict=True)) + ", " + _SIGNS.replace("q.ax", "cx").replace("q.ay", "cy").replace("q.bx", "dx").replace("q.by_", "dy").replace("p.", "") + " AS crosses FROM nxt WHERE cx IS NOT NULL)"
+
+
+def _rounded(boxes: DataFrame) -> DataFrame:
+    return boxes.select(*[F.round(c, 3).alias(c) if c in ("x", "y", "size", "px", "py", "qx", "qy") else F.col(c) for c in boxes.columns])
+
+
+@query(f"WITH RECURSIVE {fit_sql(_NEXT, 'label, ord')} SELECT * FROM box")
+def fit_boxes(spark, sf_dir):
+    """Boxes between each segment and the next but one of its polyline."""
+    return _rounded(fitting.fit_boxes(fitting.neighbour_pairs(views.segments(spark, sf_dir)), LEAST))
+
+
+@query(f"WITH RECURSIVE {fit_sql(_CROSSED, 'label, ord, q_label, q_ord')} SELECT * FROM box")
+def fit_boxes_crossing(spark, sf_dir):
+    """Boxes in the wedges of segments that cross within their scene."""
+    pairs = crossing.meeting_pairs(_scenes(spark, sf_dir), ["label", "ord"], "label", "scene", proper=True)
+    names = {"p_label": "label", "p_ord": "ord", "q_label": "q_label", "q_ord": "q_ord"} | {f"{s}_{e}{a}": to + a for s, e, to in (("p", "a", "a"), ("p", "b", "b"), ("q", "a", "c"), ("q", "b", "d")) for a in "xy"}
+    return _rounded(fitting.fit_boxes(pairs.select(*[F.col(k).alias(v) for k, v in names.items()]), LEAST))

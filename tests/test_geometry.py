@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import geom, morton, vec
 from lattica.functions.morton import Resolution
-from lattica.operators import fitting, graph, gvd, mesh, octree, quantise, spatial, stats, wave
+from lattica.operators import graph, gvd, mesh, octree, quantise, spatial, stats, wave
 from lattica.operators.octree import OctreeOptions
 from lattica.plans import queries as plans
 from lattica.plans import views
@@ -280,11 +280,6 @@ def test_mesh(spark):
     assert sorted((r.region, r.n) for r in mesh.region_merge(ring, "ring").collect()) == [(0, 2), (1, 1)]
 
 
-def test_boxes_fit_between_segments():
-    boxes = fitting.march((160, 65), (155, 65), (160, 67), (156, 67), 1)
-    assert len(boxes) == 3 and all(size == pytest.approx(2, abs=0.3) for _, _, size in boxes)
-
-
 def test_quantise_and_scans(spark):
     pts = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "fx double, fy double")
     assert {(r.x, r.y) for r in quantise.quantise(pts, {"fx": "x", "fy": "y"}, 16).collect()} == {(0, 0)}
@@ -293,10 +288,3 @@ def test_quantise_and_scans(spark):
     assert got == [sum(j % 7 for j in range(i)) for i in range(200)]
     nxt = {r.i: r.n for r in stats.next_in_order(rows.select("i"), "i", F.floor(F.col("i") / 13), "n").collect()}
     assert nxt == {i: i + 1 if i < 199 else None for i in range(200)}
-
-
-def test_long_march_is_whole():
-    boxes = fitting.march((0, 0), (30_000, 0), (0, 1), (30_000, 1), 1)
-    assert len(boxes) == 30_001 and boxes[-1][0] == 30_000
-    with pytest.raises(ValueError):
-        fitting.march((0, 0), (1, 0), (0, 0), (1, 0), 0)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lattica.plans import kernel_queries, space_queries  # noqa: F401  (register more queries)
+from lattica.plans import kernel_queries, scene_queries, space_queries  # noqa: F401  (register more queries)
 from lattica.plans import queries as plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -1,0 +1,132 @@
+"""Planar graphs and fitted boxes on small inputs, against plain versions."""
+
+import math
+import random
+from fractions import Fraction
+
+import pytest
+
+from lattica.operators import crossing, fitting
+
+SEGMENTS = "scene int, label int, ord int, ax long, ay long, bx long, by long, other string"
+
+
+def segments(spark, rows):
+    return spark.createDataFrame([(s, i % 3, i, *map(int, e), "x") for i, (s, *e) in enumerate(rows)], SEGMENTS).repartition(3)
+
+
+def side(p, q, r):
+    return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+
+def plain_cuts(rows, i):
+    """Places on segment i at which it is cut, as fractions."""
+    s, ax, ay, bx, by = rows[i]
+    a, b, found = (ax, ay), (bx, by), {(Fraction(ax), Fraction(ay)), (Fraction(bx), Fraction(by))}
+    for j, (t, cx, cy, dx, dy) in enumerate(rows):
+        c, d = (cx, cy), (dx, dy)
+        if j == i or t != s:
+            continue
+        one, two = side(a, b, c) * side(a, b, d), side(c, d, a) * side(c, d, b)
+        if one < 0 and two < 0:
+            k = Fraction(side(c, d, a), side(c, d, a) - side(c, d, b))
+            found.add((ax + k * (bx - ax), ay + k * (by - ay)))
+        for e in (c, d):
+            if side(a, b, e) == 0 and min(ax, bx) <= e[0] <= max(ax, bx) and min(ay, by) <= e[1] <= max(ay, by):
+                found.add((Fraction(e[0]), Fraction(e[1])))
+    return sorted(found)
+
+
+def place(p):
+    return tuple(v for c in p for v in (math.floor(c), math.floor((c - math.floor(c)) * crossing.PARTS)))
+
+
+@pytest.mark.parametrize("sides", [(4, 4), (64, 2), None])
+def test_planar_graph_equals_plain_cuts(spark, sides, monkeypatch):
+    monkeypatch.setattr(crossing, "BLOCK", 5)
+    rnd = random.Random(3)
+    rows = list(dict.fromkeys([(rnd.randrange(2), *(rnd.randrange(24) for _ in range(4))) for _ in range(60)] + [(0, 0, 5, 20, 5), (0, 3, 5, 9, 5), (0, 9, 5, 30, 5), (0, 7, 0, 7, 20), (0, 7, 3, 7, 9), (0, 4, 4, 4, 4)]))
+    rows = [r for r in rows if r[1:3] != r[3:5]]
+    want = {(r[0], place(u), place(v)) for i, r in enumerate(rows) for u, v in zip(plain_cuts(rows, i), plain_cuts(rows, i)[1:], strict=False)}
+    made = crossing.planar_graph(segments(spark, rows), ["label", "ord"], "scene", 64, sides)
+    got = [(r.scene, (r.ux, r.uxp, r.uy, r.uyp), (r.vx, r.vxp, r.vy, r.vyp)) for r in made.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_meeting_pairs_once_and_crossings_by_label(spark, monkeypatch):
+    monkeypatch.setattr(crossing, "BLOCK", 4)
+    rnd = random.Random(8)
+    rows = [(0, *(rnd.randrange(40) for _ in range(4))) for _ in range(70)]
+    ends = lambda i: (rows[i][1:3], rows[i][3:5])
+    want = set()
+    for i in range(70):
+        for j in range(70):
+            (a, b), (c, d) = ends(i), ends(j)
+            if i % 3 < j % 3 and side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
+                want.add((i, j))
+    got = [(r.p_ord, r.q_ord) for r in crossing.crossings(segments(spark, rows), ["ord"], (8, 16)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_odd_segments(spark):
+    none = segments(spark, [(0, 0, 0, 1, 1)]).limit(0)
+    assert crossing.planar_graph(none, ["ord"], "scene", 64).count() == 0 and crossing.crossings(none, ["ord"]).count() == 0
+    same = segments(spark, [(0, 0, 0, 8, 8), (1, 0, 8, 8, 0)]).drop("ord").withColumnRenamed("label", "k")
+    twice = same.unionAll(same)
+    assert crossing.planar_graph(twice, ["k"], "scene", 64).count() == 2
+    lost = spark.createDataFrame([(0, 0, 1, None, 0, 8, 8, "x"), (0, 1, 2, 0, 8, 8, 0, "x")], SEGMENTS)
+    assert crossing.crossings(lost, ["ord"]).count() == 0
+    with pytest.raises(ValueError):
+        crossing.planar_graph(same, ["k"], "scene", 1 << 15)
+
+
+def plain_march(a, b, c, d, least):
+    far = math.dist
+    length, at, out = max(far(a, b), far(c, d)), 0.0, []
+    while at <= length:
+        t = at / length if length else 0.0
+        p = [u + t * (v - u) for u, v in zip(a, b, strict=True)]
+        v = [y - x for x, y in zip(c, d, strict=True)]
+        n = v[0] ** 2 + v[1] ** 2
+        s = min(1.0, max(0.0, ((p[0] - c[0]) * v[0] + (p[1] - c[1]) * v[1]) / n)) if n else 0.0
+        q = [x + s * y for x, y in zip(c, v, strict=True)]
+        size = max(far(p, q), least)
+        out.append(((p[0] + q[0]) / 2, (p[1] + q[1]) / 2, size))
+        at += size
+    return out
+
+
+def fitted(spark, pairs, least):
+    rows = spark.createDataFrame([(i, *[None if x is None else float(x) for x in p]) for i, p in enumerate(pairs)], "k int, " + ", ".join(f"{c} double" for c in fitting.ENDS))
+    out = {}
+    for r in fitting.fit_boxes(rows, least).orderBy("k", "part", "step").collect():
+        out.setdefault((r.k, r.part), []).append(((r.x, r.y, r.size), (r.px, r.py), (r.qx, r.qy)))
+    return out
+
+
+def flat(boxes):
+    return [x for b in boxes for x in b]
+
+
+def test_boxes_of_near_segments(spark):
+    got = fitted(spark, [(160, 65, 155, 65, 160, 67, 156, 67), (17136, 12798, 17133, 12800, 17136, 12799, 17135, 12800), (5, 5, 5, 5, 9, 5, 9, 5)], 1.0)
+    assert flat(b for b, *_ in got[0, 0]) == pytest.approx(flat(plain_march((160, 65), (155, 65), (160, 67), (156, 67), 1.0)))
+    assert len(got[0, 0]) == 3 and got[0, 0][0][1:] == ((160, 65.5), (160, 66.5))
+    assert got[2, 0] == [((7, 5, 4), (6, 5), (8, 5))] and set(got) == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_crossing_segments_have_two_wedges(spark):
+    got = fitted(spark, [(0, 0, 40, 40, 0, 40, 40, 0), (0, 0, 40, 0, 39, -20, 39, 30), (19, 0, 21, 0, 20, -30, 20, 30)], 4.0)
+    assert got[0, 0] == [((20, 20, 4), (20, 20), (20, 20))]
+    assert flat(b for b, *_ in got[0, 1]) == pytest.approx(flat(plain_march((18, 18), (0, 0), (18, 22), (0, 40), 4.0)))
+    assert flat(b for b, *_ in got[0, 2]) == pytest.approx(flat(plain_march((22, 22), (40, 40), (22, 18), (40, 0), 4.0)))
+    assert {k for k in got if k[0] == 1} == {(1, 0), (1, 1)} and {k for k in got if k[0] == 2} == {(2, 0)}  # arms that end in the box
+
+
+def test_marches_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(fitting, "TOGETHER", 2)
+    got = fitted(spark, [(0, 0, 30_000, 0, 0, 1, 30_000, 1), (0, 0, 10, 0, 0, 3, 10, 3), (0, 0, 1, None, 0, 0, 1, 1), (0, 0, float("inf"), 0, 0, 0, 1, 1), (9, 9, 1, 1, 1, 9, 9, 30)], 1.0)
+    assert len(got[0, 0]) == 30_001 and got[0, 0][-1][0][0] == 30_000 and {k for k, _ in got} == {0, 1, 4}
+    with pytest.raises(ValueError):
+        fitted(spark, [], 0)
+    assert fitted(spark, [], 1.0) == {}
