@@ -254,7 +254,7 @@ def distance_relaxation(spark, sf_dir):
     return wave.relax(wave.seeds(bridge, TREE), vertices, octree.leaf_edges(vertices, leaves, TREE))
 
 
-def _gvd_points(spark, sf_dir):
+def gvd_points(spark, sf_dir):
     leaves = _tree(spark, sf_dir)[0]
     vertices = write_and_reread(octree.leaf_vertices(leaves, TREE), "vertices")
     near = write_and_reread(_nearest_segment(vertices, views.segments(spark, sf_dir)), "nearest")
@@ -263,20 +263,20 @@ def _gvd_points(spark, sf_dir):
 
 @query(f"WITH {oracle.GVD} SELECT x, y, axis, len, la, lb, round(qx, 4) AS qx, round(qy, 4) AS qy FROM gvd")
 def gvd_edge_points_2d(spark, sf_dir):
-    pts = _gvd_points(spark, sf_dir)[1]
+    pts = gvd_points(spark, sf_dir)[1]
     return pts.select("x", "y", "axis", "len", "la", "lb", F.round("qx", 4).alias("qx"), F.round("qy", 4).alias("qy"))
 
 
 @query(f"WITH {oracle.GVD}, held AS (SELECT l.level, l.cx, l.cy, least(la, lb) AS la, greatest(la, lb) AS lb, qx, qy FROM gvd g, leafbox l WHERE g.len <= l.w AND CASE WHEN axis = 0 THEN floor(g.x / l.w) = l.cx AND (g.y = l.cy * l.w OR g.y = (l.cy + 1) * l.w) ELSE floor(g.y / l.w) = l.cy AND (g.x = l.cx * l.w OR g.x = (l.cx + 1) * l.w) END) SELECT level, cx, cy, la, lb, round(qx, 4) AS qx, round(qy, 4) AS qy, round(avg(qx) OVER (PARTITION BY level, cx, cy), 3) AS mx, round(avg(qy) OVER (PARTITION BY level, cx, cy), 3) AS my FROM held")
 def gvd_graph_2d(spark, sf_dir):
-    leaves, pts = _gvd_points(spark, sf_dir)
+    leaves, pts = gvd_points(spark, sf_dir)
     lines = gvd.cell_lines(write_and_reread(pts, "gvd-points"), leaves, TREE)
     return lines.select("level", "cx", "cy", "la", "lb", F.round("qx", 4).alias("qx"), F.round("qy", 4).alias("qy"), F.round("mx", 3).alias("mx"), F.round("my", 3).alias("my"))
 
 
 @query(f"WITH {oracle.GVD} SELECT least(la, lb) AS a, greatest(la, lb) AS b, count(*) AS n FROM gvd GROUP BY 1, 2")
 def label_adjacency(spark, sf_dir):
-    return gvd.label_adjacency(_gvd_points(spark, sf_dir)[1])
+    return gvd.label_adjacency(gvd_points(spark, sf_dir)[1])
 
 
 @query()

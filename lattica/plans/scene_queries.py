@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators import crossing, fitting
+from lattica.operators import crossing, explode, fitting, gvd, refine
 from lattica.plans import oracle, views
-from lattica.plans.queries import query
+from lattica.plans.queries import SMALL, gvd_points, query
+from lattica.session import write_and_reread
 
 #: Polylines of so many labels make a scene.
 SCENE = 8
@@ -101,3 +102,58 @@ def fit_boxes_crossing(spark, sf_dir):
     pairs = crossing.meeting_pairs(_scenes(spark, sf_dir), ["label", "ord"], "label", "scene", proper=True)
     names = {"p_label": "label", "p_ord": "ord", "q_label": "q_label", "q_ord": "q_ord"} | {f"{s}_{e}{a}": to + a for s, e, to in (("p", "a", "a"), ("p", "b", "b"), ("q", "a", "c"), ("q", "b", "d")) for a in "xy"}
     return _rounded(fitting.fit_boxes(pairs.select(*[F.col(k).alias(v) for k, v in names.items()]), LEAST))
+
+
+@query()
+def refined_radix_cells(spark, sf_dir):
+    """Leaf cells that polylines meet in the radix tree over their points, refined until only unit cells hold several labels; held against that in the tests."""
+    segs = write_and_reread(views.segments(spark, sf_dir, SMALL.width), "segments")
+    ends = segs.select(F.explode(F.array(*[F.struct(F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y")) for e in "ab"])).alias("p"))
+    return refine.refine(ends.select("p.*"), segs, SMALL)[1]
+
+
+_PAIRS = f"""{oracle.GVD}, face AS (SELECT least(la, lb) AS a, greatest(la, lb) AS b, CASE WHEN la < lb THEN len ELSE -len END AS n, axis, len FROM gvd),
+  ranged AS (SELECT *, min(len) OVER w AS low, max(len) OVER w AS high FROM face WINDOW w AS (PARTITION BY a, b)),
+  rated AS (SELECT *, coalesce(pow(1 - (len - low) / nullif(CAST(high - low AS DOUBLE), 0.0), 2), 1.0) AS w FROM ranged),
+  att AS (SELECT a, b, sum(CASE WHEN axis = 0 THEN w * n ELSE 0.0 END) AS nx, sum(CASE WHEN axis = 1 THEN w * n ELSE 0.0 END) AS ny, CAST(sum(len) AS DOUBLE) AS area FROM rated GROUP BY a, b),
+  dir AS (SELECT a AS u, b AS v, nx, ny, area FROM att UNION ALL SELECT b, a, -nx, -ny, area FROM att)"""
+_OFFSETS = f"""{_PAIRS}, walk AS (SELECT min(u) AS node, 0 AS hops FROM dir UNION SELECT v, hops + 1 FROM walk JOIN dir ON u = node WHERE hops < 8),
+  ring AS (SELECT node AS label, min(hops) AS ring FROM walk GROUP BY node),
+  off_ AS (SELECT 0 AS ring, label, 0.0::DOUBLE AS ox, 0.0::DOUBLE AS oy FROM ring WHERE ring = 0
+    UNION ALL SELECT ring, label, coalesce(32.0 * ring * sx / nullif(sqrt(sx * sx + sy * sy), 0.0), 0.0), coalesce(32.0 * ring * sy / nullif(sqrt(sx * sx + sy * sy), 0.0), 0.0)
+      FROM (SELECT o.ring + 1 AS ring, d.v AS label, sum(CASE WHEN o.ring = 0 THEN d.nx ELSE o.ox * d.area END) AS sx, sum(CASE WHEN o.ring = 0 THEN d.ny ELSE o.oy * d.area END) AS sy FROM off_ o JOIN dir d ON d.u = o.label JOIN ring r ON r.label = d.v AND r.ring = o.ring + 1 GROUP BY o.ring, d.v))"""
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    """Directions and areas of the labels that meet in the plane's diagram, from its points on the lattice's edges."""
+    points = write_and_reread(gvd_points(spark, sf_dir)[1], "gvd-points")
+    way = F.when(F.col("la") < F.col("lb"), F.col("len")).otherwise(-F.col("len"))
+    n = [F.when(F.col("axis") == k, way).otherwise(0).alias(f"n{a}") for k, a in enumerate("xyz")]
+    return gvd.pair_attributes(points.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), *n, F.col("len").alias("dist"), F.col("len").alias("area")), 2)
+
+
+def _offsets(pairs: DataFrame) -> DataFrame:
+    return explode.explode_offsets(pairs, pairs.agg(F.min("a")).first()[0], 32.0)
+
+
+@query(f"WITH RECURSIVE {_PAIRS} SELECT a, b, round(nx, 4) AS nx, round(ny, 4) AS ny, round(area, 4) AS area FROM att")
+def label_pair_attributes(spark, sf_dir):
+    """Direction and extent of the border of each pair of labels."""
+    return _pairs(spark, sf_dir).select("a", "b", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("nx", "ny", "area")])
+
+
+@query(f"WITH RECURSIVE {_OFFSETS} SELECT label, ring, round(ox, 3) + 0.0 AS ox, round(oy, 3) + 0.0 AS oy FROM off_")
+def explode_offsets(spark, sf_dir):
+    """Each label's offset away from the first one, ring by ring."""
+    found = _offsets(write_and_reread(_pairs(spark, sf_dir), "pairs"))
+    return found.select("label", "ring", *[(F.round(c, 3) + 0.0).alias(c) for c in ("ox", "oy")])
+
+
+@query(f"WITH RECURSIVE {_OFFSETS}, far AS (SELECT least(200, CAST(min(area) AS BIGINT) * 7 // 10) AS step FROM att), way AS (SELECT label, coalesce(ox / nullif(sqrt(ox * ox + oy * oy), 0.0) * step, 0.0) AS mx, coalesce(oy / nullif(sqrt(ox * ox + oy * oy), 0.0) * step, 0.0) AS my FROM off_, far), v AS (SELECT label, ax AS x, ay AS y FROM seg UNION ALL SELECT label, bx, by_ FROM seg) SELECT v.label, round(min(x + coalesce(mx, 0.0)), 3) AS min_x, round(max(x + coalesce(mx, 0.0)), 3) AS max_x, round(min(y + coalesce(my, 0.0)), 3) AS min_y, round(max(y + coalesce(my, 0.0)), 3) AS max_y FROM v LEFT JOIN way USING (label) GROUP BY v.label")
+def exploded_boxes(spark, sf_dir):
+    """Boxes of the polylines after one step of the exploded view, as far as the shortest border allows."""
+    pairs = write_and_reread(_pairs(spark, sf_dir), "pairs")
+    ends = views.segments(spark, sf_dir).select("label", F.explode(F.array(*[F.struct(F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y"), F.lit(0).alias("z")) for e in "ab"])).alias("p")).select("label", "p.*")
+    out = explode.moved(ends, _offsets(pairs), explode.explode_step(pairs, "area", 200))
+    box = out.groupBy("label").agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))])
+    return box.select("label", *[F.round(c, 3).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")])
