@@ -46,13 +46,8 @@ def shared_faces(leaves: DataFrame, o: OctreeOptions) -> DataFrame:
     return look.join(leaves.select(*CELL), CELL).select(*FACE, "p", F.struct(*CELL).alias("q"))
 
 
-def face_fragments(points: DataFrame, leaves: DataFrame, o: OctreeOptions) -> DataFrame:
-    """(face, p, q, la, lb, ax.. bx.., rx, ry, rz): the lines in which surfaces between labels cut the shared faces.
-
-    The points on a face's rim, found by the keys of the faces that an edge can bound, give
-    one line if they are two and else a star around their mean. la is the label at the
-    lattice vertex r beside the line's first point.
-    """
+def face_rims(points: DataFrame, leaves: DataFrame, o: OctreeOptions) -> DataFrame:
+    """FACE, p, q and the point's columns: the points on the rim of each face that two leaves share, found by the keys of the faces that an edge can bound."""
     widths = F.explode(F.array(*[F.lit(o.width >> k).cast("long") for k in range(o.max_level + 1)]))
     near = points.withColumn("w", widths).filter("len <= w")
     parts = None
@@ -63,7 +58,16 @@ def face_fragments(points: DataFrame, leaves: DataFrame, o: OctreeOptions) -> Da
             at = {a: F.col(a) - F.pmod(a, "w"), "xyz"[n]: F.col("xyz"[n]), b: F.explode(F.array(F.col(b), F.col(b) - F.col("w")))}
             part = rows.select("x", "y", "z", "axis", "la", "lb", "qx", "qy", "qz", F.lit(n).alias("normal"), "w", *[at[c].alias(f"f{c}") for c in "xyz"])
             parts = part if parts is None else parts.unionByName(part)
-    held = parts.join(shared_faces(leaves, o), FACE)
+    return parts.join(shared_faces(leaves, o), FACE)
+
+
+def face_fragments(points: DataFrame, leaves: DataFrame, o: OctreeOptions) -> DataFrame:
+    """(face, p, q, la, lb, ax.. bx.., rx, ry, rz): the lines in which surfaces between labels cut the shared faces.
+
+    The points on a face's rim give one line if they are two and else a star around their
+    mean. la is the label at the lattice vertex r beside the line's first point.
+    """
+    held = face_rims(points, leaves, o)
     face = Window.partitionBy(*FACE)
     order = face.orderBy("x", "y", "z", "axis")
     held = held.withColumn("n", F.count(F.lit(1)).over(face)).withColumn("turn", F.row_number().over(order))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators import crossing, explode, fitting, gvd, refine
+from lattica.operators import branches, crossing, explode, fitting, gvd, refine, spatial
 from lattica.plans import oracle, views
-from lattica.plans.queries import SMALL, gvd_points, query
+from lattica.plans.queries import COUNT, SIDE, SMALL, gvd_points, query
+from lattica.plans.space_queries import TREE3, surface_parts
 from lattica.session import write_and_reread
 
 #: Polylines of so many labels make a scene.
@@ -157,3 +158,58 @@ def exploded_boxes(spark, sf_dir):
     out = explode.moved(ends, _offsets(pairs), explode.explode_step(pairs, "area", 200))
     box = out.groupBy("label").agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))])
     return box.select("label", *[F.round(c, 3).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")])
+
+
+_RING_KEY = "normal, fx, fy, fz, w"
+
+
+def _branch_sql(rounds: int) -> str:
+    """Rings of points around faces, joined round by round with window functions."""
+    place = lambda a, b: f"CASE WHEN q{b} - f{b} = 0 THEN q{a} - f{a} WHEN q{a} - f{a} = w THEN w + (q{b} - f{b}) WHEN q{b} - f{b} = w THEN 3 * w - (q{a} - f{a}) ELSE 4 * w - (q{b} - f{b}) END"
+    size2 = lambda p, q: " + ".join(f"({p[i]} - {q[i]}) * ({p[i]} - {q[i]})" for i in range(3))
+    own, nxt, mid = ["px", "py_", "pz"], ["nx", "ny", "nz"], ["mx", "my", "mz"]
+    ctes = [f"ring0 AS MATERIALIZED (SELECT {_RING_KEY}, row_number() OVER (PARTITION BY {_RING_KEY} ORDER BY CASE normal WHEN 0 THEN {place('y', 'z')} WHEN 1 THEN {place('x', 'z')} ELSE {place('x', 'y')} END, qx, qy, qz, la, lb) - 1 AS i, count(*) OVER (PARTITION BY {_RING_KEY}) AS n, qx AS px, qy AS py_, qz AS pz, la, lb FROM rim)"]
+    lines = [f"SELECT {_RING_KEY}, la, lb, px AS ax, py_ AS ay, pz AS az, nx AS bx, ny AS by_, nz AS bz FROM (SELECT *, lead(px) OVER k AS nx, lead(py_) OVER k AS ny, lead(pz) OVER k AS nz FROM ring0 WHERE n = 2 WINDOW k AS (PARTITION BY {_RING_KEY} ORDER BY i)) WHERE i = 0"]
+    for r in range(rounds):
+        key = " AND ".join(f"a.{c} = b.{c}" for c in _RING_KEY.split(", "))
+        ctes += [
+            f"next{r} AS (SELECT *, " + ", ".join(f"coalesce(lead({c}) OVER k, first_value({c}) OVER k) AS {d}" for c, d in zip((*own, "la", "lb"), (*nxt, "na", "nb"), strict=True)) + f" FROM ring{r} WHERE n > 2 WINDOW k AS (PARTITION BY {_RING_KEY} ORDER BY i))",
+            f"near{r} AS MATERIALIZED (SELECT * FROM next{r} QUALIFY row_number() OVER (PARTITION BY {_RING_KEY} ORDER BY {size2(own, nxt)}, i) = 1)",
+            f"far{r} AS MATERIALIZED (SELECT a.*, b.i AS o, b.px AS ox, b.py_ AS oy, b.pz AS oz, b.nx, b.ny, b.nz, b.la AS pa, b.lb AS pb, b.na, b.nb FROM ring{r} a JOIN near{r} b ON {key} QUALIFY row_number() OVER (PARTITION BY {', '.join('a.' + c for c in _RING_KEY.split(', '))} ORDER BY {size2(['a.px', 'a.py_', 'a.pz'], ['b.px', 'b.py_', 'b.pz'])} DESC, a.i) = 1)",
+            f"mid{r} AS MATERIALIZED (SELECT *, (ox + nx + px) / 3 AS mx, (oy + ny + py_) / 3 AS my, (oz + nz + pz) / 3 AS mz FROM far{r})",
+            f"ring{r + 1} AS MATERIALIZED (SELECT {_RING_KEY}, row_number() OVER (PARTITION BY {_RING_KEY} ORDER BY i) - 1 AS i, n - 1 AS n, px, py_, pz, la, lb FROM (SELECT a.{', a.'.join(_RING_KEY.split(', '))}, a.i, a.n, " + ", ".join(f"CASE WHEN a.i = b.o THEN b.{m} ELSE a.{c} END AS {c}" for m, c in zip(mid, own, strict=True)) + f", a.la, a.lb FROM ring{r} a JOIN mid{r} b ON {key} WHERE a.n > 3 AND a.i <> (b.o + 1) % a.n))",
+        ]
+        lines += [f"SELECT {_RING_KEY}, pa, pb, ox, oy, oz, mx, my, mz FROM mid{r}", f"SELECT {_RING_KEY}, na, nb, nx, ny, nz, mx, my, mz FROM mid{r}"]
+        lines.append(f"SELECT {', '.join('a.' + c for c in _RING_KEY.split(', '))}, a.la, a.lb, a.px, a.py_, a.pz, b.mx, b.my, b.mz FROM ring{r} a JOIN mid{r} b ON {key} WHERE a.n = 3 AND a.i <> b.o AND a.i <> (b.o + 1) % 3")
+    return ", ".join(ctes) + ", line_ AS (" + " UNION ALL ".join(lines) + ")"
+
+
+_ROUND6 = ", ".join(f"round({e}, 3) AS {n}" for e, n in (("ax", "ax"), ("ay", "ay"), ("az", "az"), ("bx", "bx"), ("by_", "b_y"), ("bz", "bz")))
+
+
+@query(f"WITH {oracle.GVD3}, {_branch_sql(10)} SELECT normal, fx, fy, fz, CAST(w AS BIGINT) AS w, la, lb, {_ROUND6} FROM line_")
+def gvd_face_branches_3d(spark, sf_dir):
+    """The points where surfaces cut the rims of shared faces, joined by branching at closest pairs."""
+    leaves, points = surface_parts(spark, sf_dir)
+    made = branches.face_branches(gvd.face_rims(points, leaves, TREE3))
+    return made.select("normal", "fx", "fy", "fz", "w", "la", "lb", *[F.round(c, 3).alias("b_y" if c == "by" else c) for c in ("ax", "ay", "az", "bx", "by", "bz")])
+
+
+def _ends_sql() -> str:
+    parts = []
+    for k, (c, o) in enumerate((("x", "y"), ("y", "x"))):
+        col = lambda e, a: f"{e}{a}" + "_" * (e + a == "by")
+        d = f"nullif(CAST({col('b', c)} - {col('a', c)} AS DOUBLE), 0.0)"
+        for step in (0, 1):
+            bound = f"(c{c} + {step}) * {SIDE}"
+            other = f"({col('a', o)} + (({col('b', o)} - {col('a', o)}) * ({bound} - {col('a', c)})) / {d})"
+            p = (f"CAST({bound} AS DOUBLE)", other)
+            parts.append(f"SELECT label, ord, cx, cy, ax, ay, bx, by_, {p[k]} AS x, {p[1 - k]} AS y FROM cell WHERE ({bound} - {col('a', c)}) / {d} BETWEEN 0 AND 1 AND {other} BETWEEN c{o} * {SIDE} AND (c{o} + 1) * {SIDE}")
+    return " UNION ".join(parts)
+
+
+@query(f"WITH {oracle.SEGMENTS}, {oracle.cells(SIDE, COUNT)}, place AS ({_ends_sql()}), turn AS (SELECT *, CASE WHEN bx > ax OR (bx = ax AND by_ > ay) THEN 1 ELSE -1 END AS f FROM place), seq AS (SELECT *, row_number() OVER (PARTITION BY label, ord, cx, cy ORDER BY f * x, f * y) AS i, count(*) OVER (PARTITION BY label, ord, cx, cy) AS n FROM turn), two AS (SELECT p.label, p.ord, p.cx, p.cy, p.n, p.x AS x0, p.y AS y0, q.x AS x1, q.y AS y1 FROM seq p JOIN seq q ON p.label = q.label AND p.ord = q.ord AND p.cx = q.cx AND p.cy = q.cy AND p.i < q.i QUALIFY row_number() OVER (PARTITION BY p.label, p.ord, p.cx, p.cy ORDER BY round(abs((q.x - p.x) * (p.bx - p.ax) + (q.y - p.y) * (p.by_ - p.ay)) / nullif(sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) * sqrt(CAST((p.bx - p.ax) * (p.bx - p.ax) + (p.by_ - p.ay) * (p.by_ - p.ay) AS DOUBLE)), 0.0), 9) DESC NULLS LAST, p.i, q.i) = 1) SELECT c.label, c.ord, c.cx, c.cy, CAST(coalesce(two.n, s.n, 0) AS INTEGER) AS n, round(coalesce(x0, s.x), 4) AS x0, round(coalesce(y0, s.y), 4) AS y0, round(x1, 4) AS x1, round(y1, 4) AS y1 FROM cell c LEFT JOIN two USING (label, ord, cx, cy) LEFT JOIN (SELECT * FROM seq WHERE n = 1) s USING (label, ord, cx, cy)")
+def cell_ends_2d(spark, sf_dir):
+    """Where each segment meets the sides of each cell that it is in; of several places the two that agree best with its direction."""
+    found = branches.cell_ends(spatial.segment_cells(views.segments(spark, sf_dir), SIDE, COUNT), SIDE)
+    return found.select("label", "ord", "cx", "cy", "n", *[F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")])

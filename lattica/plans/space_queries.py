@@ -38,7 +38,7 @@ def _nearest(positions: DataFrame, prims: DataFrame) -> DataFrame:
     return near.select("x", "y", "z", "label", "d2", *[vec.round_half_up(F.col(f"foot{a}")).cast("long").alias(f"p{a}") for a in "xyz"])
 
 
-def _surface_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def surface_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(leaves, points of the diagram on the lattice's edges)."""
     leaves = _tree3(spark, sf_dir)
     vertices = write_and_reread(octree.leaf_vertices(leaves, TREE3), "vertices")
@@ -70,7 +70,7 @@ _ENDS = ", ".join(f"round({p}{a}, 3) AS {p}{a}" for p in "a" for a in "xyz") + "
 @query(f"WITH {oracle.GVD3} SELECT normal, fx, fy, fz, CAST(w AS BIGINT) AS w, p_level, q_level, la, lb, {_ENDS} FROM fragment")
 def gvd_face_lines_3d(spark, sf_dir):
     """The lines in which the surfaces between labels cut the faces that leaves share."""
-    leaves, points = _surface_parts(spark, sf_dir)
+    leaves, points = surface_parts(spark, sf_dir)
     lines = gvd.face_fragments(points, leaves, TREE3)
     return lines.select("normal", "fx", "fy", "fz", "w", F.col("p.level").alias("p_level"), F.col("q.level").alias("q_level"), "la", "lb", *[F.round(f"a{a}", 3).alias(f"a{a}") for a in "xyz"], F.round("bx", 3).alias("bx"), F.round("by", 3).alias("b_y"), F.round("bz", 3).alias("bz"))
 
@@ -78,7 +78,7 @@ def gvd_face_lines_3d(spark, sf_dir):
 @query(f"WITH {oracle.GVD3}, {oracle.SURFACE3} SELECT label, other, level, cx, cy, cz, round(CASE WHEN swap THEN bx ELSE ax END, 3) AS ax, round(CASE WHEN swap THEN by_ ELSE ay END, 3) AS ay, round(CASE WHEN swap THEN bz ELSE az END, 3) AS az, round(tx, 3) AS tx, round(ty, 3) AS ty, round(tz, 3) AS tz FROM surface")
 def gvd_triangles_3d(spark, sf_dir):
     """The surfaces between labels as triangles, each label's wound outward; the second corner follows from the line."""
-    leaves, points = _surface_parts(spark, sf_dir)
+    leaves, points = surface_parts(spark, sf_dir)
     made = gvd.cell_triangles(write_and_reread(gvd.face_fragments(points, leaves, TREE3), "gvd-lines"))
     return made.select("label", "other", "level", "cx", "cy", "cz", *[F.round(c, 3).alias(c) for c in ("ax", "ay", "az", "tx", "ty", "tz")])
 
@@ -86,7 +86,7 @@ def gvd_triangles_3d(spark, sf_dir):
 @query(f"WITH {oracle.GVD3}, {oracle.SURFACE3} SELECT least(label, other) AS a, greatest(label, other) AS b, count(*) AS n FROM surface GROUP BY 1, 2")
 def label_adjacency_3d(spark, sf_dir):
     """Pairs of labels whose regions meet, and the triangles between them (both labels' count)."""
-    leaves, points = _surface_parts(spark, sf_dir)
+    leaves, points = surface_parts(spark, sf_dir)
     made = gvd.cell_triangles(write_and_reread(gvd.face_fragments(points, leaves, TREE3), "gvd-lines"))
     return made.groupBy(F.least("label", "other").alias("a"), F.greatest("label", "other").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
