@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import geom, vec
 from lattica.operators.graph import connected_components
-from lattica.operators.octree import OctreeOptions, incident_cells, leaf_edges, leaf_vertices, split_leaves
+from lattica.operators.octree import OctreeOptions, children, incident_cells, leaf_edges, leaf_vertices, split_leaves
 from lattica.session import scratched, write_and_reread
 
 
@@ -40,13 +40,16 @@ def _far_end(axes: str, name: str) -> list[Column]:
 
 
 @scratched
-def relax(start: DataFrame, vertices: DataFrame, edges: DataFrame, dim: int = 2, max_rounds: int | None = None) -> DataFrame:
+def relax(start: DataFrame, vertices: DataFrame, edges: DataFrame, dim: int = 2, max_rounds: int | None = None, changed: DataFrame | None = None, touched: list[int] | None = None) -> DataFrame:
     """Closest points spread along edges until nothing improves: (x, y[, z], px.., label, d2) of every reached vertex.
 
     All vertices take the best offer of their neighbours at once; the order (d2, label,
     px, ..) decides, so the fixpoint does not depend on scheduling. Only vertices that
     changed make offers in the next round. A round passes every point on by an edge, and
     distances only fall, so it ends; ``max_rounds`` is a bound for callers that want one.
+    ``changed``: the only vertices that may have something new to offer at first, where the
+    others are known to have settled; all by default. Every round adds the number of
+    vertices that make offers to ``touched``.
     """
     axes = "xyz"[:dim]
     own = [f"p{a}" for a in axes]
@@ -54,9 +57,13 @@ def relax(start: DataFrame, vertices: DataFrame, edges: DataFrame, dim: int = 2,
     links = one.unionAll(one.select(*[F.col(a).alias(f"u{a}") for a in axes], *[F.col(f"u{a}").alias(a) for a in axes]))
     links = write_and_reread(links.distinct(), "wave-links")
     state = front = write_and_reread(start.join(vertices.select(*axes), list(axes), "left_semi"), "wave-state")
+    if changed is not None:
+        front = write_and_reread(state.join(changed.select(*axes).distinct(), list(axes), "left_semi"), "wave-front")
     turn = 0
     while max_rounds is None or turn < max_rounds:
         turn += 1
+        if touched is not None:
+            touched.append(front.count())
         told = front.select(*[F.col(a).alias(f"u{a}") for a in axes], *own, "label").join(links, [f"u{a}" for a in axes])
         told = told.withColumn("d2", vec.length2(vec.sub(vec.point("", dim), vec.point("p", dim))))
         best = told.groupBy(*axes).agg(F.min(F.struct("d2", "label", *own)).alias("o"))
@@ -99,18 +106,46 @@ def relaxed_labels(leaves: DataFrame, bridge: DataFrame, o: OctreeOptions) -> tu
     return vertices, edges, relax(seeds(bridge, o), vertices, edges, o.dim)
 
 
-def subdivide_ambiguous(leaves: DataFrame, bridge: DataFrame, o: OctreeOptions) -> tuple[DataFrame, DataFrame]:
-    """(leaves, bridge) after ambiguous leaves above the last level are split, until none is left.
+def split_labels(old: tuple[DataFrame, DataFrame, DataFrame], leaves: DataFrame, bridge: DataFrame, flagged: DataFrame, o: OctreeOptions, touched: list[int] | None = None, local: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vertices, edges, labels) after the flagged leaves were split, from those before.
 
-    Each round relaxes the whole lattice again, so a split's new vertices get their labels
-    from their neighbours; a round splits every ambiguous leaf at once, and a leaf can be
+    leaves, bridge: the tree after the split. Labels known so far stay where nothing better
+    comes; the new leaves' seeds join them, and a local front spreads from both ends of every
+    new edge and from the vertices that a seed has changed. All other vertices had settled
+    over edges that are still there, so a front over the whole lattice (not ``local``) ends the same.
+    """
+    axes = list("xyz"[: o.dim])
+    own = [f"p{a}" for a in axes]
+    vertices = write_and_reread(leaf_vertices(leaves, o), "vertices")
+    edges = write_and_reread(leaf_edges(vertices, leaves, o), "edges")
+    kids = children(flagged.select("level", *[f"c{a}" for a in axes]), o.dim)
+    fresh = seeds(bridge.join(kids, kids.columns, "left_semi"), o)
+    known = F.struct("d2", "label", *own)
+    best = old[2].select(*axes, known.alias("s"), F.lit(False).alias("new")).unionAll(fresh.select(*axes, known.alias("s"), F.lit(True).alias("new")))
+    # an old label wins a tie, as it has been offered already
+    best = write_and_reread(best.groupBy(*axes).agg(F.min(F.struct("s", "new")).alias("b")).select(*axes, *[F.col(f"b.s.{c}").alias(c) for c in (*own, "label", "d2")], "b.new"), "wave-start")
+    changed = None
+    if local:
+        added = edges.join(old[1], [*axes, "axis", "len"], "left_anti")
+        ends = added.select(*axes).unionAll(added.select(*_far_end("".join(axes), "")))
+        changed = write_and_reread(ends.unionAll(best.filter("new").select(*axes)).distinct(), "wave-changed")
+    return vertices, edges, relax(best.drop("new"), vertices, edges, o.dim, changed=changed, touched=touched)
+
+
+def subdivide_ambiguous(leaves: DataFrame, bridge: DataFrame, o: OctreeOptions, touched: list[int] | None = None, local: bool = True) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
+    """(leaves, bridge, (vertices, edges, labels)) after ambiguous leaves above the last level are split, until none is left.
+
+    The lattice is relaxed once as a whole; after each round's splits a front spreads from
+    the new edges only (``split_labels``). A round splits every ambiguous leaf at once, and a leaf can be
     split ``max_level`` times at most, which bounds the rounds.
     """
     key = ["level", *[f"c{a}" for a in "xyz"[: o.dim]]]
+    lattice = relaxed_labels(leaves, bridge, o)
     while True:
-        vertices, edges, labels = relaxed_labels(leaves, bridge, o)
+        vertices, edges, labels = lattice
         found = ambiguous_cells(leaves, incident_cells(vertices, leaves, o), labels, edges, o)
         flagged = write_and_reread(found.filter(F.col("level") < o.max_level).select(*key), "ambiguous-flagged")
         if flagged.isEmpty():
-            return leaves, bridge
+            return leaves, bridge, lattice
         leaves, bridge = split_leaves(leaves, bridge, flagged, o)
+        lattice = split_labels(lattice, leaves, bridge, flagged, o, touched, local)

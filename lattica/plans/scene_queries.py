@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators import branches, crossing, explode, fitting, gvd, refine, spatial
+from lattica.operators import branches, crossing, explode, fitting, gvd, octree, refine, spatial, wave
 from lattica.plans import oracle, views
 from lattica.plans.queries import COUNT, SIDE, SMALL, gvd_points, query
-from lattica.plans.space_queries import TREE3, surface_parts
+from lattica.plans.space_queries import COARSE3, TREE3, surface_parts, triangle_prims
 from lattica.session import write_and_reread
 
 #: Polylines of so many labels make a scene.
@@ -213,3 +213,29 @@ def cell_ends_2d(spark, sf_dir):
     """Where each segment meets the sides of each cell that it is in; of several places the two that agree best with its direction."""
     found = branches.cell_ends(spatial.segment_cells(views.segments(spark, sf_dir), SIDE, COUNT), SIDE)
     return found.select("label", "ord", "cx", "cy", "n", *[F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query()
+def subdivided_labels(spark, sf_dir):
+    """Closest points on the lattice after ambiguous leaves were split, spread from the new edges only; held against a whole relaxation in the tests."""
+    leaves, bridge = octree.adaptive_leaves(views.segments(spark, sf_dir).drop("ord"), views.TREE)
+    return wave.subdivide_ambiguous(leaves, bridge, views.TREE)[2][2]
+
+
+@query()
+def gvd_pipeline_2d(spark, sf_dir):
+    """The plane's diagram from end to end: tree, relaxation, subdivision, points and lines; lines of each pair of labels."""
+    leaves, bridge = octree.adaptive_leaves(views.segments(spark, sf_dir).drop("ord"), views.TREE)
+    leaves, _, (_, edges, labels) = wave.subdivide_ambiguous(leaves, bridge, views.TREE)
+    points = write_and_reread(gvd.edge_points(edges, labels), "gvd-points")
+    return gvd.cell_lines(points, leaves, views.TREE).groupBy("la", "lb").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.hypot(F.col("qx") - F.col("mx"), F.col("qy") - F.col("my"))), 2).alias("length"))
+
+
+@query()
+def gvd_pipeline_3d(spark, sf_dir):
+    """The diagram in space from end to end: tree, relaxation, subdivision, face lines and triangles; triangles of each pair of labels."""
+    leaves, bridge = octree.adaptive_leaves(triangle_prims(spark, sf_dir), COARSE3)
+    leaves, _, (_, edges, labels) = wave.subdivide_ambiguous(leaves, bridge, COARSE3)
+    points = write_and_reread(gvd.edge_points(edges, labels, 3), "gvd-points")
+    made = gvd.cell_triangles(write_and_reread(gvd.face_fragments(points, leaves, COARSE3), "gvd-lines"))
+    return made.groupBy("label", "other").agg(F.count(F.lit(1)).alias("n"))

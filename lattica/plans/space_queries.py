@@ -16,12 +16,12 @@ TREE3 = OctreeOptions(max_level=oracle.LEVELS3, width=oracle.WIDTH3, dim=3)
 COARSE3 = OctreeOptions(max_level=2, width=oracle.WIDTH3, dim=3)
 
 
-def _prims(spark, sf_dir) -> DataFrame:
+def triangle_prims(spark, sf_dir) -> DataFrame:
     return views.triangles(spark, sf_dir).select("prim_id", "label", *[p + a for p in "abt" for a in "xyz"])
 
 
 def _tree3(spark, sf_dir) -> DataFrame:
-    return octree.adaptive_leaves(_prims(spark, sf_dir), TREE3)[0]
+    return octree.adaptive_leaves(triangle_prims(spark, sf_dir), TREE3)[0]
 
 
 def _nearest(positions: DataFrame, prims: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def surface_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(leaves, points of the diagram on the lattice's edges)."""
     leaves = _tree3(spark, sf_dir)
     vertices = write_and_reread(octree.leaf_vertices(leaves, TREE3), "vertices")
-    near = write_and_reread(_nearest(vertices, _prims(spark, sf_dir)), "nearest")
+    near = write_and_reread(_nearest(vertices, triangle_prims(spark, sf_dir)), "nearest")
     return leaves, write_and_reread(gvd.edge_points(octree.leaf_edges(vertices, leaves, TREE3), near, 3), "gvd-points")
 
 
@@ -60,7 +60,7 @@ def leaf_edges_3d(spark, sf_dir):
 @query(f"WITH {oracle.tree3()}, {oracle.VERTICES3}, {oracle.nearest3('vert')} SELECT x, y, z, label, round(d2, 4) AS d2, px, py, pz FROM near")
 def nearest_label_3d(spark, sf_dir):
     """The label, distance and nearest point of every lattice vertex in space."""
-    found = _nearest(octree.leaf_vertices(_tree3(spark, sf_dir), TREE3), _prims(spark, sf_dir))
+    found = _nearest(octree.leaf_vertices(_tree3(spark, sf_dir), TREE3), triangle_prims(spark, sf_dir))
     return found.select("x", "y", "z", "label", F.round("d2", 4).alias("d2"), "px", "py", "pz")
 
 
@@ -94,5 +94,5 @@ def label_adjacency_3d(spark, sf_dir):
 @query()
 def distance_relaxation_3d(spark, sf_dir):
     """Closest points spread over the lattice in space; held against the exact distances in the tests."""
-    leaves, bridge = octree.adaptive_leaves(_prims(spark, sf_dir), COARSE3)
+    leaves, bridge = octree.adaptive_leaves(triangle_prims(spark, sf_dir), COARSE3)
     return wave.relaxed_labels(leaves, bridge, COARSE3)[2]

@@ -211,8 +211,12 @@ def test_ambiguous_cells_are_split(spark):
     o = OctreeOptions(max_level=4, width=128)
     _, segs = random_segments(spark, 14, 128, 8, labels=7)
     leaves, bridge = octree.adaptive_leaves(segs, OctreeOptions(max_level=3, width=128))
-    leaves, bridge = wave.subdivide_ambiguous(leaves, bridge, o)
-    vertices, edges, labels = wave.relaxed_labels(leaves, bridge, o)
+    whole, local = [], []
+    every = wave.subdivide_ambiguous(leaves, bridge, o, whole, local=False)
+    leaves, bridge, (vertices, edges, labels) = wave.subdivide_ambiguous(leaves, bridge, o, local)
+    # a front from the new edges ends as one over the whole lattice, and touches less of it
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, every[2][2].collect())) and len(vertices.collect()) == labels.count()
+    assert sorted(map(tuple, leaves.collect())) == sorted(map(tuple, every[0].collect())) and 0 < sum(local) < sum(whole)
     left = wave.ambiguous_cells(leaves, octree.incident_cells(vertices, leaves, o), labels, edges, o)
     assert left.filter("level < 4").count() == 0
     assert sum(4 ** (4 - c.level) for c in leaves.collect()) == 4**4

@@ -1,12 +1,15 @@
-"""Planar graphs and fitted boxes on small inputs, against plain versions."""
+"""Planar graphs, fitted boxes, refined trees, exploded views and branches on small inputs, against plain versions."""
 
 import math
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lattica.operators import crossing, fitting
+from lattica.functions.morton import Resolution
+from lattica.operators import branches, crossing, explode, fitting, refine
 
 SEGMENTS = "scene int, label int, ord int, ax long, ay long, bx long, by long, other string"
 
@@ -130,3 +133,93 @@ def test_marches_are_whole(spark, monkeypatch):
     with pytest.raises(ValueError):
         fitted(spark, [], 0)
     assert fitted(spark, [], 1.0) == {}
+
+
+def test_refined_tree_has_conflicts_in_unit_cells_alone(spark):
+    r = Resolution(32)
+    rnd = random.Random(6)
+    rows = [(0, *(rnd.randrange(32) for _ in range(4))) for _ in range(6)] + [(0, 3, 3, 3, 3), (0, 0, 0, 31, 1)]
+    segs = segments(spark, rows)
+    given = {(x, y) for _, ax, ay, bx, by in rows for x, y in ((ax, ay), (bx, by))}
+    points = spark.createDataFrame([*given, (None, 4)], "x int, y int")
+    state, cells = refine.refine(points, segs, r)
+    state, cells = [tuple(p) for p in state.collect()], [tuple(c) for c in cells.collect()]
+    every = {(x, y) for x, y, _ in state}
+    assert len(every) == len(state) and {(x, y) for x, y, level in state if level is None} == given
+    assert all(n == 1 for level, _, _, n in cells if level < r.bits) and any(n > 1 for *_, n in cells)
+    held = lambda level, cx, cy: sum((x >> r.bits - level, y >> r.bits - level) == (cx, cy) for x, y in every)
+    assert all(held(level, cx, cy) < 2 for level, cx, cy, _ in cells)  # these are leaves of the tree over the points
+    for x, y, level in state:  # a point was added for a cell that is split since
+        assert level is None or held(level, x >> r.bits - level, y >> r.bits - level) > 1
+    # without conflicts nothing is added, and empty tables are no harm
+    assert refine.refine(points, segs.withColumn("label", F.lit(1)), r)[0].count() == len(given)
+    none, no_cells = refine.refine(points.limit(0), segs.limit(0), r)
+    assert none.count() == 0 and no_cells.count() == 0
+
+
+PAIRS = "a int, b int, nx double, ny double, nz double, area double"
+
+
+def test_explode_offsets_spread_from_the_anchor(spark):
+    pairs = spark.createDataFrame([(0, 1, 3.0, 4.0, 0.0, 2.0), (0, 2, 0.0, 0.0, -5.0, 1.0), (1, 3, 9.0, 9.0, 9.0, 3.0), (2, 3, 1.0, 0.0, 0.0, 4.0), (3, 4, 1.0, 1.0, 1.0, 1.0), (5, 6, 1.0, 0.0, 0.0, 1.0), (0, 7, 0.0, 0.0, 0.0, 1.0), (None, 0, 1.0, 1.0, 1.0, 1.0)], PAIRS)
+    got = {r.label: (r.ring, (r.ox, r.oy, r.oz)) for r in explode.explode_offsets(pairs, 0, 10.0).collect()}
+    three = (3 * 6.0, 3 * 8.0, 4 * -10.0)
+    size = math.hypot(*three)
+    assert set(got) == {0, 1, 2, 3, 4, 7} and got[0] == (0, (0, 0, 0)) and got[7] == (1, (0, 0, 0))
+    assert got[1][1] == pytest.approx((6, 8, 0)) and got[2][1] == pytest.approx((0, 0, -10))
+    assert got[3] == (2, pytest.approx(tuple(20 * c / size for c in three))) and got[4] == (3, pytest.approx(tuple(30 * c / size for c in three)))
+    assert explode.explode_offsets(pairs.limit(0), 0, 10.0).count() == 1
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0, "p"), (6, 1.0, 2.0, 3.0, "q")], "label int, x double, y double, z double, other string")
+    offsets = explode.explode_offsets(pairs, 0, 10.0, 1)
+    out = {r.other: (r.x, r.y, r.z) for r in explode.moved(points, offsets, explode.explode_step(pairs.select(F.col("area").cast("long").alias("d")), "d", 9)).collect()}
+    assert out == {"p": pytest.approx((0, 0, 0)), "q": (1, 2, 3)}
+    far = explode.explode_step(spark.createDataFrame([(15,), (20,)], "d long"), "d", 9)
+    assert explode.moved(points, offsets, far).filter("label = 1").first()[1:4] == pytest.approx((5.4, 7.2, 0))
+
+
+def plain_branch(points):
+    lines = []
+    points = [(p, i) for i, p in enumerate(points)]
+    while True:
+        n = len(points)
+        gap = lambda p, q: sum((a - b) ** 2 for a, b in zip(p, q, strict=True))
+        one = min(range(n), key=lambda i: gap(points[i][0], points[(i + 1) % n][0]))
+        two = (one + 1) % n
+        far = max(range(n), key=lambda i: (gap(points[one][0], points[i][0]), -i))
+        centre = tuple(sum(x) / 3 for x in zip(points[one][0], points[two][0], points[far][0], strict=True))
+        lines += [(points[k][1], points[k][0], centre) for k in ((one, two) if n > 3 else range(3))]
+        if n == 3:
+            return lines
+        points[one] = (centre, points[one][1])
+        del points[two]
+
+
+@pytest.mark.parametrize("n", [3, 4, 7])
+def test_branches_equal_plain_ones(n):
+    rng = np.random.default_rng(n)
+    rings = rng.normal(size=(20, n, 3))
+    rings[0] = [[0, 0, 0], [1, 0, 0], [1, 1, 0], [0, 1, 0], [2, 2, 2], [3, 3, 3], [4, 4, 4]][:n]
+    got = {i: [] for i in range(20)}
+    for rows, point, ends in branches.branch(rings):
+        for i, p, e in zip(rows.tolist(), point.tolist(), ends.tolist(), strict=True):
+            got[i].append((p, tuple(e[:3]), tuple(e[3:])))
+    for i in range(20):
+        want = plain_branch([tuple(p) for p in rings[i].tolist()])
+        assert [p for p, *_ in sorted(got[i])] == [p for p, *_ in sorted(want)]
+        assert flat(flat(x[1:]) for x in sorted(got[i])) == pytest.approx(flat(flat(x[1:]) for x in sorted(want)))
+
+
+def test_face_rings_begin_at_the_low_corner(spark):
+    rim = [(2, 0, 0, 0, 8, 1, 2, 8.0, 3.0, 0.0), (2, 0, 0, 0, 8, 3, 4, 5.0, 0.0, 0.0), (2, 8, 0, 0, 8, 1, 2, 9.0, 0.0, 0.0), (0, 0, 0, 0, 8, 5, 6, 0.0, 0.0, 1.0), (0, 0, 0, 0, 8, 7, 8, 0.0, 8.0, 1.0), (0, 0, 0, 0, 8, 9, 9, 0.0, 3.0, 0.0)]
+    rims = spark.createDataFrame(rim, "normal int, fx long, fy long, fz long, w long, la int, lb int, qx double, qy double, qz double")
+    got = branches.face_branches(rims).collect()
+    assert [(r.la, r.lb, r.ax, r.ay, r.bx, r.by) for r in got if r.normal == 2] == [(3, 4, 5, 0, 8, 3)]
+    assert sorted(r.la for r in got if r.normal == 0) == [5, 7, 9] and len({(r.bx, r.by, r.bz) for r in got if r.normal == 0}) == 1
+    assert branches.face_branches(rims.limit(0)).count() == 0
+
+
+def test_cell_ends(spark):
+    rows = spark.createDataFrame([(0, 0, 16, 16, 0, 0), (4, 4, 20, 4, 0, 0), (2, 2, 3, 3, 0, 0), (0, 3, 0, 5, 0, 0), (5, 5, 5, 5, 0, 0), (12, 0, 0, 12, 0, 0)], "ax long, ay long, bx long, by long, cx long, cy long")
+    got = {(r.ax, r.ay, r.bx, r.by): (r.n, r.x0, r.y0, r.x1, r.y1) for r in branches.cell_ends(rows, 8).collect()}
+    assert got[0, 0, 16, 16] == (2, 0, 0, 8, 8) and got[4, 4, 20, 4] == (1, 8, 4, None, None) and got[2, 2, 3, 3] == got[5, 5, 5, 5] == (0, None, None, None, None)
+    assert got[12, 0, 0, 12] == (2, 8, 4, 4, 8) and got[0, 3, 0, 5][0] == 0  # along a side it meets no other
