@@ -44,6 +44,8 @@ SEEN = 100_000
 #: Keys up to which a table of them is broadcast (16 MB).
 FEW = 1 << 20
 ROWS = 1 << 14
+#: Rows of a partition in which single starts are compared, about.
+PART_ROWS = 1 << 18
 
 
 def sparse_suffixes(data: np.ndarray, offsets: np.ndarray, match: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +150,7 @@ def _contexts(match: int, window: int, wanted):
 
 
 def _single_starts(match: int):
-    """(full, key, lo, weight) of every start of the listed ranges; weight 2 stands for a string known to repeat."""
+    """(full, key, lo, weight) of every start of the listed ranges; weight 2, without a key, stands for a string known to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows(full=pa.binary(), key=pa.binary(), lo=pa.int32(), weight=pa.int32())
@@ -158,7 +160,8 @@ def _single_starts(match: int):
                 for r in ranges:
                     lo, hi, weight = (r[f].as_py() for f in ("lo", "hi", "weight"))
                     every = list(range(lo, hi + 1))
-                    rows.add([_digest(raw[i : i + match]) for i in every], [name] * len(every), every, [weight] * len(every))
+                    owner = name if weight == 1 else None  # what is known to repeat is there to be met only
+                    rows.add([_digest(raw[i : i + match]) for i in every], [owner] * len(every), every, [weight] * len(every))
                     yield from rows.ready()
         yield from rows.ready(1)
 
@@ -224,8 +227,9 @@ def repeated_starts(texts: DataFrame, match: int, window: int, batches: int) ->
     lists = write_and_reread(ends.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "weight")).alias("ranges")), "suffix-ends")
     _drop(*found, held, each)
     single = write_and_reread(in_batches(_texts_with(texts, lists).select("key", "text", "ranges"), _single_starts(match), "full binary, key binary, lo int, weight int"), "suffix-starts")
-    twice = single.groupBy("full").agg(F.sum("weight").alias("n")).filter("n > 1").select("full")
-    alone = write_and_reread(single.filter("weight = 1").join(twice, "full", "left_semi").select("key", "lo", F.col("lo").alias("hi")), "suffix-alone")
+    dealt = single.repartition(max(8, single.count() // PART_ROWS), "full")  # small parts, for the sum and for the join
+    twice = dealt.groupBy("full").agg(F.sum("weight").alias("n")).filter("n > 1").select("full")
+    alone = write_and_reread(dealt.filter("weight = 1").join(twice.hint("merge"), "full", "left_semi").select("key", "lo", F.col("lo").alias("hi")), "suffix-alone")
     _drop(single)
     return whole.unionAll(alone)
 
