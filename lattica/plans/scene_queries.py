@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators import branches, crossing, explode, fitting, gvd, octree, refine, spatial, wave
+from lattica.operators import bases, branches, crossing, explode, fitting, gvd, octree, refine, spatial, wave
 from lattica.plans import oracle, views
 from lattica.plans.queries import COUNT, SIDE, SMALL, gvd_points, query
 from lattica.plans.space_queries import COARSE3, TREE3, surface_parts, triangle_prims
@@ -239,3 +239,48 @@ def gvd_pipeline_3d(spark, sf_dir):
     points = write_and_reread(gvd.edge_points(edges, labels, 3), "gvd-points")
     made = gvd.cell_triangles(write_and_reread(gvd.face_fragments(points, leaves, COARSE3), "gvd-lines"))
     return made.groupBy("label", "other").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _bases_sql() -> str:
+    inside = " AND ".join(f"v.{a} BETWEEN l.c{a} * l.w AND (l.c{a} + 1) * l.w" for a in "xyz")
+    mask = " + ".join(f"CASE WHEN v.{a} > l.c{a} * l.w THEN {1 << i} ELSE 0 END" for i, a in enumerate("xyz"))
+    return f"held AS MATERIALIZED (SELECT v.x, v.y, v.z, {mask} AS d, {' + '.join(f'(v.{a} - l.c{a} * l.w)' for a in 'xyz')} AS dist, l.w, l.level, l.cx, l.cy, l.cz FROM vert v JOIN leafbox l ON {inside})"
+
+
+def _lookup_sql() -> str:
+    parts = []
+    for n in range(3):
+        others = [(n + 1) % 3, (n + 2) % 3]
+        sides = {a: [(1 << (a + 1) % 3, 1), (1 << (a + 2) % 3, 1), (1 << (a + 1) % 3 | 1 << (a + 2) % 3, 2)] for a in others}
+        within = {a: f"EXISTS (SELECT 1 FROM held h WHERE h.x = v.x AND h.y = v.y AND h.z = v.z AND ({' OR '.join(f'(h.d = {d} AND h.dist < h.w * {f})' for d, f in sides[a])}))" for a in others}
+        tries = f"CASE k.d WHEN {1 << n} THEN 0 WHEN {1 << n | 1 << others[0]} THEN CASE WHEN s{others[0]} THEN NULL ELSE 1 END WHEN {1 << n | 1 << others[1]} THEN CASE WHEN s{others[1]} THEN NULL ELSE 2 END WHEN 7 THEN 3 END"
+        parts.append(f"SELECT x, y, z, {n} AS normal, far, min(o) AS o, arg_min(level, o) AS level, arg_min(cx, o) AS cx, arg_min(cy, o) AS cy, arg_min(cz, o) AS cz, count(*) AS n_bases FROM (SELECT v.*, k.level, k.cx, k.cy, k.cz, {tries} AS o FROM (SELECT v.x, v.y, v.z, {', '.join(f'{within[a]} AS s{a}' for a in others)}, EXISTS (SELECT 1 FROM held h WHERE h.x = v.x AND h.y = v.y AND h.z = v.z AND h.d = {1 << n} AND h.dist = h.w) AS far FROM vert v) v JOIN held k ON k.x = v.x AND k.y = v.y AND k.z = v.z) GROUP BY x, y, z, far")
+    return " UNION ALL ".join(parts)
+
+
+@query(f"WITH {oracle.tree3()}, {oracle.VERTICES3}, {_bases_sql()}, found AS ({_lookup_sql()}) SELECT x, y, z, normal, far, level, cx, cy, cz, n_bases FROM found")
+def vertex_bases_3d(spark, sf_dir):
+    """The leaf that every lattice vertex falls to along each axis, by the order of its fallbacks, and whether it is on that leaf's far side."""
+    leaves = octree.adaptive_leaves(triangle_prims(spark, sf_dir), TREE3)[0]
+    wide = write_and_reread(bases.by_direction(bases.bases(octree.leaf_vertices(leaves, TREE3), leaves, TREE3), TREE3), "vertex-bases")
+    count = sum((F.when(bases.has_base(d), 1).otherwise(0) for d in range(8)), F.lit(0)).cast("long").alias("n_bases")
+    rows = [F.struct(F.lit(n).alias("normal"), bases.on_boundary(n).alias("far"), bases.base_with_fallbacks(n).alias("b")) for n in range(3)]
+    return wide.select("x", "y", "z", count, F.explode(F.array(*rows)).alias("r")).select("x", "y", "z", "r.normal", "r.far", "r.b.level", "r.b.cx", "r.b.cy", "r.b.cz", "n_bases")
+
+
+def _next_sql() -> str:
+    parts = []
+    for i, (a, b) in enumerate((("x", "y"), ("y", "x"))):
+        gap = f"coalesce(sum(CASE WHEN e.len IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY v.{b} ORDER BY v.{a} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        runs = f"(SELECT v.x, v.y, {gap} AS run, EXISTS (SELECT 1 FROM leafbox l WHERE l.cx * l.w = v.x AND l.cy * l.w = v.y) AS base FROM vert v LEFT JOIN edge e ON e.x = v.x AND e.y = v.y AND e.axis = {i})"
+        parts.append(f"SELECT x, y, {i} AS axis, {a} - max(CASE WHEN base THEN {a} END) OVER (PARTITION BY {b}, run ORDER BY {a} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS back, min(CASE WHEN base THEN {a} END) OVER (PARTITION BY {b}, run ORDER BY {a} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - {a} AS ahead FROM {runs}")
+    return " UNION ALL ".join(parts)
+
+
+@query(f"WITH {oracle.tree()}, {oracle.VERTICES}, {oracle.EDGES} {_next_sql()}")
+def next_base_2d(spark, sf_dir):
+    """How far each lattice vertex can walk along the leaves' sides to the next corner where a leaf begins."""
+    leaves = octree.adaptive_leaves(views.segments(spark, sf_dir).drop("ord"), views.TREE)[0]
+    vertices = write_and_reread(octree.leaf_vertices(leaves, views.TREE), "vertices")
+    edges = write_and_reread(octree.leaf_edges(vertices, leaves, views.TREE), "edges")
+    return bases.next_base(vertices, edges, leaves, views.TREE)

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions.morton import Resolution
-from lattica.operators import branches, crossing, explode, fitting, refine
+from lattica.operators import bases, branches, crossing, explode, fitting, octree, refine
+from lattica.operators.octree import OctreeOptions
 
 SEGMENTS = "scene int, label int, ord int, ax long, ay long, bx long, by long, other string"
 
@@ -223,3 +224,29 @@ def test_cell_ends(spark):
     got = {(r.ax, r.ay, r.bx, r.by): (r.n, r.x0, r.y0, r.x1, r.y1) for r in branches.cell_ends(rows, 8).collect()}
     assert got[0, 0, 16, 16] == (2, 0, 0, 8, 8) and got[4, 4, 20, 4] == (1, 8, 4, None, None) and got[2, 2, 3, 3] == got[5, 5, 5, 5] == (0, None, None, None, None)
     assert got[12, 0, 0, 12] == (2, 8, 4, 4, 8) and got[0, 3, 0, 5][0] == 0  # along a side it meets no other
+
+
+def test_bases_of_a_small_tree(spark):
+    o = OctreeOptions(max_level=2, width=8, dim=3)
+    cells = [(1, x, y, z) for x in (0, 1) for y in (0, 1) for z in (0, 1) if (x, y, z) != (0, 0, 0)] + [(2, x, y, z) for x in (0, 1) for y in (0, 1) for z in (0, 1)]
+    leaves = spark.createDataFrame(cells, "level int, cx long, cy long, cz long")
+    vertices = octree.leaf_vertices(leaves, o)
+    found = bases.bases(vertices, leaves, o)
+    rows = {(r.x, r.y, r.z): r for r in bases.by_direction(found, o).select("*", bases.within_sides(0).alias("s0"), bases.on_boundary(0).alias("far0"), bases.base_with_fallbacks(2).alias("up")).collect()}
+    assert len(rows) == vertices.count() and found.groupBy("x", "y", "z", "direction").count().filter("count > 1").count() == 0
+    middle = rows[2, 2, 2]
+    assert middle.b0.level == middle.b7.level == 2 and (middle.b7.cx, middle.b7.dist) == (0, 6) and middle.up.dist == 2 and not middle.s0
+    edge = rows[8, 8, 8]  # the far corner has the last leaf behind it alone
+    assert [edge[f"b{d}"] is not None for d in range(8)] == [False] * 7 + [True] and edge.up == edge.b7 and not edge.far0
+    hanging = rows[4, 2, 2]  # on the side of a coarse leaf
+    assert hanging.b0 is None and hanging.b1.level == 2 and hanging.far0 and hanging.b6.level == 1 and hanging.b6.dist == 4 and hanging.s0
+    assert bases.by_direction(bases.bases(vertices.limit(0), leaves, o), o).count() == 0
+
+
+def test_walks_end_at_gaps(spark):
+    o = OctreeOptions(max_level=2, width=8, dim=2)
+    leaves = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (1, 1, 1), *[(2, x, y) for x in (0, 1) for y in (0, 1)]], "level int, cx long, cy long")
+    vertices = octree.leaf_vertices(leaves, o)
+    got = {(r.x, r.y, r.axis): (r.back, r.ahead) for r in bases.next_base(vertices, octree.leaf_edges(vertices, leaves, o), leaves, o).collect()}
+    assert got[2, 2, 0] == (2, None) and got[4, 2, 0] == (2, None)  # no edge goes on into the coarse leaf
+    assert got[0, 0, 0] == (None, 2) and got[8, 0, 0] == (4, None) and got[4, 4, 1] == (4, None) and got[0, 0, 1] == (None, 2)
