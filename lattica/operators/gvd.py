@@ -159,3 +159,29 @@ def raster(spark, width: int, pixels: int) -> DataFrame:
 def normalised(distance2: Column, most: Column) -> Column:
     """Distance relative to the largest, from squared distances."""
     return F.sqrt(distance2) / F.nullif(F.sqrt(most), F.lit(0.0))
+
+
+def leaf_field(pixels: DataFrame, leaves: DataFrame, values: DataFrame, o: OctreeOptions) -> DataFrame:
+    """(x, y[, z], level, field): values of lattice vertices (x, y[, z], value), interpolated inside the leaf of each pixel from its corners.
+
+    A pixel looks up the cell that holds it at every level, an equi-join that finds its one
+    leaf; the far sides of the lattice belong to the last cells. A corner's weight is the product over axes of the
+    pixel's nearness to it. A pixel outside the lattice, or in a leaf of which a corner has no value, has
+    no row; pixels that repeat a place count once.
+    """
+    axes = list("xyz"[: o.dim])
+    cell = ["level", *[f"c{a}" for a in axes]]
+    side = F.call_function("shiftright", F.lit(o.width).cast("long"), F.col("level").cast("int"))
+    inside = geom.in_closed(vec.point("", o.dim), (F.lit(0),) * o.dim, (F.lit(o.width),) * o.dim)
+    near = pixels.select(*axes).distinct().filter(inside).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(o.max_level))))
+    last = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level")) - 1
+    near = near.select("*", *[F.least(F.floor(F.col(a) / side), last).cast("long").alias(f"c{a}") for a in axes])
+    held = near.join(leaves.select(*cell), cell).withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit((1 << o.dim) - 1))))
+    bit = lambda i: F.shiftright("corner", i).bitwiseAND(F.lit(1))
+    weight = F.lit(1.0)
+    for i, a in enumerate(axes):
+        share = (F.col(a) - F.col(f"c{a}") * side) / side
+        weight = weight * F.when(bit(i) == 1, share).otherwise(1 - share)
+    spots = held.select(*axes, "level", weight.alias("_w"), *[((F.col(f"c{a}") + bit(i)) * side).alias(f"_{a}") for i, a in enumerate(axes)])
+    valued = spots.join(values.select(*[F.col(a).alias(f"_{a}") for a in axes], "value"), [f"_{a}" for a in axes])
+    return valued.groupBy(*axes, "level").agg(F.sum(F.col("_w") * F.col("value")).alias("field"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == 1 << o.dim).drop("_n")

@@ -216,7 +216,7 @@ def vertex_incident_cells(spark, sf_dir):
     return octree.incident_cells(octree.leaf_vertices(leaves, TREE), leaves, TREE)
 
 
-def _nearest_segment(positions: DataFrame, segs: DataFrame) -> DataFrame:
+def nearest_segment(positions: DataFrame, segs: DataFrame) -> DataFrame:
     p, a, b = vec.point("", 2), vec.point("a", 2), vec.point("b", 2)
     near = geom.closest_on_segment(p, a, b)
     extra = {f"p{c}": vec.round_half_up(v).cast("long") for c, v in zip("xy", near, strict=True)}
@@ -227,7 +227,7 @@ def _nearest_segment(positions: DataFrame, segs: DataFrame) -> DataFrame:
 @query(f"WITH {oracle.tree()}, {oracle.VERTICES}, {oracle.nearest('vert')} SELECT x, y, label, round(d2, 4) AS d2 FROM near")
 def nearest_label_2d(spark, sf_dir):
     leaves = _tree(spark, sf_dir)[0]
-    found = _nearest_segment(octree.leaf_vertices(leaves, TREE), views.segments(spark, sf_dir))
+    found = nearest_segment(octree.leaf_vertices(leaves, TREE), views.segments(spark, sf_dir))
     return found.select("x", "y", "label", F.round("d2", 4).alias("d2"))
 
 
@@ -257,7 +257,7 @@ def distance_relaxation(spark, sf_dir):
 def gvd_points(spark, sf_dir):
     leaves = _tree(spark, sf_dir)[0]
     vertices = write_and_reread(octree.leaf_vertices(leaves, TREE), "vertices")
-    near = write_and_reread(_nearest_segment(vertices, views.segments(spark, sf_dir)), "nearest")
+    near = write_and_reread(nearest_segment(vertices, views.segments(spark, sf_dir)), "nearest")
     return leaves, gvd.edge_points(octree.leaf_edges(vertices, leaves, TREE), near)
 
 
@@ -283,7 +283,7 @@ def label_adjacency(spark, sf_dir):
 def ambiguous_cells(spark, sf_dir):
     leaves = _tree(spark, sf_dir)[0]
     vertices = write_and_reread(octree.leaf_vertices(leaves, TREE), "vertices")
-    near = write_and_reread(_nearest_segment(vertices, views.segments(spark, sf_dir)), "nearest")
+    near = write_and_reread(nearest_segment(vertices, views.segments(spark, sf_dir)), "nearest")
     return wave.ambiguous_cells(leaves, octree.incident_cells(vertices, leaves, TREE), near, octree.leaf_edges(vertices, leaves, TREE), TREE)
 
 
@@ -292,7 +292,7 @@ _RASTER = f"pix AS (SELECT a.v * {WIDTH // 32} AS x, b.v * {WIDTH // 32} AS y FR
 
 @query(f"WITH {oracle.SEGMENTS}, {_RASTER}, {oracle.nearest('pix')} SELECT x, y, label, round(sqrt(d2) / nullif(sqrt(max(d2) OVER ()), 0), 6) AS field FROM near")
 def distance_field_raster(spark, sf_dir):
-    found = write_and_reread(_nearest_segment(gvd.raster(spark, WIDTH, 32), views.segments(spark, sf_dir)), "raster")
+    found = write_and_reread(nearest_segment(gvd.raster(spark, WIDTH, 32), views.segments(spark, sf_dir)), "raster")
     most = found.agg(F.max("d2").alias("most"))
     return found.crossJoin(F.broadcast(most)).select("x", "y", "label", F.round(gvd.normalised(F.col("d2"), F.col("most")), 6).alias("field"))  # one row
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lattica.operators import bases, branches, crossing, explode, fitting, gvd, octree, refine, spatial, wave
 from lattica.plans import oracle, views
-from lattica.plans.queries import COUNT, SIDE, SMALL, gvd_points, query
+from lattica.plans.queries import COUNT, SIDE, SMALL, gvd_points, nearest_segment, query
 from lattica.plans.space_queries import COARSE3, TREE3, surface_parts, triangle_prims
-from lattica.session import write_and_reread
+from lattica.session import scratch_path, write_and_reread
+from lattica.sources import tree_files
 
 #: Polylines of so many labels make a scene.
 SCENE = 8
@@ -284,3 +285,24 @@ def next_base_2d(spark, sf_dir):
     vertices = write_and_reread(octree.leaf_vertices(leaves, views.TREE), "vertices")
     edges = write_and_reread(octree.leaf_edges(vertices, leaves, views.TREE), "edges")
     return bases.next_base(vertices, edges, leaves, views.TREE)
+
+
+_FIELD = f"pix AS (SELECT a.v * {views.WIDTH // 64} AS x, b.v * {views.WIDTH // 64} AS y FROM (SELECT unnest(range(0, 65)) AS v) a, (SELECT unnest(range(0, 65)) AS v) b), spot AS (SELECT p.x, p.y, l.level, l.w, (l.cx + i) * l.w AS vx, (l.cy + j) * l.w AS vy, (CASE i WHEN 1 THEN (p.x - l.cx * l.w) / CAST(l.w AS DOUBLE) ELSE 1 - (p.x - l.cx * l.w) / CAST(l.w AS DOUBLE) END) * (CASE j WHEN 1 THEN (p.y - l.cy * l.w) / CAST(l.w AS DOUBLE) ELSE 1 - (p.y - l.cy * l.w) / CAST(l.w AS DOUBLE) END) AS k FROM pix p JOIN leafbox l ON least(p.x, {views.WIDTH - 1}) // l.w = l.cx AND least(p.y, {views.WIDTH - 1}) // l.w = l.cy, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))"
+
+
+@query(f"WITH {oracle.tree()}, {oracle.VERTICES}, {oracle.nearest('vert')}, {_FIELD} SELECT s.x, s.y, s.level, round(sum(k * sqrt(d2)), 4) AS field FROM spot s JOIN near n ON n.x = s.vx AND n.y = s.vy GROUP BY s.x, s.y, s.level")
+def distance_field_leaves(spark, sf_dir):
+    """A raster of distances, interpolated inside the tree's leaves from their corners."""
+    leaves = octree.adaptive_leaves(views.segments(spark, sf_dir).drop("ord"), views.TREE)[0]
+    near = nearest_segment(octree.leaf_vertices(leaves, views.TREE), views.segments(spark, sf_dir))
+    values = write_and_reread(near.select("x", "y", F.sqrt("d2").alias("value")), "field-values")
+    return gvd.leaf_field(gvd.raster(spark, views.WIDTH, 64), leaves, values, views.TREE).withColumn("field", F.round("field", 4))
+
+
+@query(f"WITH {oracle.tree()} SELECT level, cx, cy, CAST(n_labels AS INTEGER) AS n_labels FROM leaf")
+def leaf_files(spark, sf_dir):
+    """The tree's leaves, written as lines of octants and read back."""
+    leaves = octree.adaptive_leaves(views.segments(spark, sf_dir).drop("ord"), views.TREE)[0]
+    path = scratch_path(spark, "leaf-lines")
+    tree_files.write_leaves(leaves, path, 2, "n_labels")
+    return tree_files.read_leaves(spark, path, 2, "n_labels")

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions.morton import Resolution
-from lattica.operators import bases, branches, crossing, explode, fitting, octree, refine
+from lattica.operators import bases, branches, crossing, explode, fitting, gvd, octree, refine
 from lattica.operators.octree import OctreeOptions
+from lattica.sources import tree_files
 
 SEGMENTS = "scene int, label int, ord int, ax long, ay long, bx long, by long, other string"
 
@@ -250,3 +251,24 @@ def test_walks_end_at_gaps(spark):
     got = {(r.x, r.y, r.axis): (r.back, r.ahead) for r in bases.next_base(vertices, octree.leaf_edges(vertices, leaves, o), leaves, o).collect()}
     assert got[2, 2, 0] == (2, None) and got[4, 2, 0] == (2, None)  # no edge goes on into the coarse leaf
     assert got[0, 0, 0] == (None, 2) and got[8, 0, 0] == (4, None) and got[4, 4, 1] == (4, None) and got[0, 0, 1] == (None, 2)
+
+
+def test_leaf_lines_round_trip_and_odd_lines(spark, tmp_path):
+    cells = [(0, 0, 0, 0, 1), (3, 5, 0, 7, None), (1, 1, 1, 0, 2)]
+    leaves = spark.createDataFrame(cells, "level int, cx long, cy long, cz long, n int")
+    assert {r.value for r in tree_files.leaf_lines(leaves, 3, "n").collect()} == {"- 1", "545 -", "3 2"}
+    tree_files.write_leaves(leaves, f"{tmp_path}/leaves", 3, "n")
+    assert {tuple(r) for r in tree_files.read_leaves(spark, f"{tmp_path}/leaves", 3, "n").collect()} == set(cells)
+    (tmp_path / "odd.txt").write_text("31 7\n\n4 1\nx 2\n- many\n" + "0" * 63 + " 5\n2")
+    got = [tuple(r) for r in tree_files.read_leaves(spark, f"{tmp_path}/odd.txt", 2, "n").collect()]
+    assert got == [(2, 3, 2, 7), (None, None, None, 1), (None, None, None, 2), (0, 0, 0, None), (None, None, None, 5), (1, 0, 1, None)]
+
+
+def test_fields_inside_leaves(spark):
+    o = OctreeOptions(max_level=1, width=8, dim=2)
+    leaves = spark.createDataFrame([(1, x, y) for x in (0, 1) for y in (0, 1)], "level int, cx long, cy long")
+    values = spark.createDataFrame([(x, y, float(3 * x + y)) for x in (0, 4, 8) for y in (0, 4, 8) if (x, y) != (8, 8)], "x long, y long, value double")
+    pixels = spark.createDataFrame([(1, 3), (4, 4), (8, 0), (8, 3), (7, 7), (9, 1), (1, 3), (None, 1)], "x long, y long")
+    got = {(r.x, r.y): r.field for r in gvd.leaf_field(pixels, leaves, values, o).collect()}
+    assert got == {(1, 3): pytest.approx(6), (8, 0): pytest.approx(24), (8, 3): pytest.approx(27)}  # (4, 4) and (7, 7) lie in the leaf that lacks a corner
+    assert gvd.leaf_field(pixels, leaves.limit(0), values, o).count() == 0
