@@ -71,57 +71,77 @@ def label_conflicts(cells: DataFrame) -> DataFrame:
     return look.join(other, ["qx", "qy"]).filter("low <> high or q_low <> q_high or low <> q_low").select("cx", "cy", "qx", "qy")
 
 
-def nearest(queries: DataFrame, features: DataFrame, distance2, query_key: list[str], position: vec.Point, feature_box: tuple[vec.Point, vec.Point], label: str, tie: list[str], side: int, extra: dict | None = None, rounds: int = 24, place: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+#: Features that every query is held against for its first bound, and pairs that are tested for it at most.
+FIRST, PAIRS = 1 << 13, 1 << 25
+#: How many times more features each pass holds against the last one's bounds.
+MORE = 8
+#: Features that one task places in cells.
+TOGETHER = 1 << 15
+#: Rows of looked-up cells up to which they are broadcast to the features.
+FEW = 1 << 20
+
+
+def _place_boxes(features: DataFrame, box: tuple[vec.Point, vec.Point], side: int) -> DataFrame:
+    for a, low, high in zip("xyz", *box, strict=False):
+        features = features.withColumn(f"_g{a}", F.explode(F.sequence(F.floor(low / side).cast("long"), F.floor(high / side).cast("long"))))
+    return features
+
+
+def _within(bounded: DataFrame, features: DataFrame, distance2: Column, position: vec.Point, box: tuple[vec.Point, vec.Point], side: int, place: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame:
+    """Pairs of queries with a bound _most and features that are no farther; a pair can repeat."""
+    axes = "xyz"[: len(position)]
+    cell = [f"_g{a}" for a in axes]
+    # all features within the bound lie in cells that the ball around the query meets; a little more, for rounding
+    reach = F.sqrt("_most") * (1 + 1e-9) + 1e-6
+    look = bounded
+    for g, c in zip(cell, position, strict=True):
+        look = look.withColumn(g, F.explode(F.sequence((F.ceil((c - reach) / side) - 1).cast("long"), F.floor((c + reach) / side).cast("long"))))
+    gaps = [F.greatest(F.col(g) * side - c, c - (F.col(g) + 1) * side, F.lit(0)).cast("double") for g, c in zip(cell, position, strict=True)]
+    look = write_and_reread(look.filter(vec.length2(tuple(gaps)) <= reach * reach), "nearest-look")
+    near = F.broadcast(look) if look.count() <= FEW else look
+    apart = [F.greatest(a - c, c - b, F.lit(0)).cast("double") for a, b, c in zip(*box, position, strict=True)]
+    # coalescing to as many partitions moves nothing; it parts the step into two that are small enough to be compiled
+    return place(features.repartition(parts)).coalesce(parts).join(near, cell).filter(vec.length2(tuple(apart)) <= reach * reach).filter(distance2 <= F.col("_most"))
+
+
+def nearest(queries: DataFrame, features: DataFrame, distance2, query_key: list[str], position: vec.Point, feature_box: tuple[vec.Point, vec.Point], label: str, tie: list[str], side: int, extra: dict | None = None, place: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query key, label, d2, extra...): the nearest feature's label by squared distance; ties by ``tie``, then label.
 
     ``extra``: name -> expression over query and feature, of the nearest one. ``place``: adds
     the cells (_gx, _gy[, _gz]) that a feature meets; by default those that its box meets.
 
-    Grid search in rings: in a round, a query looks up the cells that are within r of its
-    own and weren't before, keeps the best so far, and is settled once its best distance is
-    within r cells; r doubles. Each round's open queries are written.
+    Every query is held against a few features, picked by hash, for a bound on its distance; then,
+    pass by pass, against MORE times as many: those with a cell that the ball of the bound
+    around it meets. The last pass holds all features, and the pairs within the bound, a few for
+    each query, are compared in full. Features alone are written; their cells are made anew
+    in each pass.
     """
-    dim = len(position)
-    axes = "xyz"[:dim]
-    low, high = feature_box
-    if place is None:
-        placed = features
-        for i, a in enumerate(axes):
-            placed = placed.withColumn(f"_g{a}", F.explode(F.sequence(F.floor(low[i] / side).cast("long"), F.floor(high[i] / side).cast("long"))))
-    else:
-        placed = place(features)
-    placed = write_and_reread(placed, "nearest-grid")
-    spread = {f"_m{n}{a}": f(f"_g{a}") for a in axes for n, f in (("low", F.min), ("high", F.max))}
-    extent = placed.agg(*[v.alias(k) for k, v in spread.items()]).first()
-    open_ = queries.select(*query_key, *[F.floor(c / side).cast("long").alias(f"_q{a}") for a, c in zip(axes, position, strict=True)])
-    if extent[0] is None:
-        return queries.select(*query_key).limit(0).crossJoin(features.select(F.col(label).alias("label"), F.lit(0.0).alias("d2")).limit(0))
-    more = [e.alias(n) for n, e in (extra or {}).items()]
-    done = held = None
-    seen, radius = -1, 1
-    for _ in range(rounds):
-        look = open_
-        for a in axes:
-            lo, hi = extent[f"_mlow{a}"], extent[f"_mhigh{a}"]
-            start, stop = F.greatest(F.col(f"_q{a}") - radius, F.lit(lo)), F.least(F.col(f"_q{a}") + radius, F.lit(hi))
-            look = look.withColumn(f"_g{a}", F.explode(F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<bigint>"))))
-        if seen >= 0:
-            steps = [F.abs(F.col(f"_g{a}") - F.col(f"_q{a}")) for a in axes]
-            look = look.filter(F.greatest(*steps) > seen)
-        met = look.drop(*[f"_q{a}" for a in axes], "_b").join(placed, [f"_g{a}" for a in axes]).withColumn("_d2", distance2)
-        best = met.groupBy(*query_key).agg(F.min(F.struct("_d2", *tie, F.col(label).alias("_label"), *more)).alias("_b"))
-        if held is not None:
-            best = best.unionByName(held).groupBy(*query_key).agg(F.min("_b").alias("_b"))
-        # all within r cells of the query's own cell has been seen, whatever its place in the cell
-        best = write_and_reread(best.withColumn("_settled", F.col("_b._d2") <= float(radius * side) ** 2), "nearest-best")
-        settled = best.filter("_settled").select(*query_key, F.col("_b._label").alias("label"), F.col("_b._d2").alias("d2"), *[F.col(f"_b.{n}").alias(n) for n in extra or {}])
-        done = settled if done is None else done.unionByName(settled)
-        held = best.filter("not _settled").select(*query_key, "_b")
-        open_ = write_and_reread(open_.join(settled.select(*query_key), query_key, "left_anti"), "nearest-open")
-        if open_.isEmpty():
-            return done
-        seen, radius = radius, radius * 2
-    raise RuntimeError("nearest: search did not end")
+    place = place or (lambda rows: _place_boxes(rows, feature_box, side))
+    features = write_and_reread(features, "nearest-features")
+    queries = write_and_reread(queries, "nearest-queries")
+    n, wanted = features.count(), queries.count()
+    if not n or not wanted:
+        return queries.select(*query_key).limit(0).crossJoin(features.select(F.col(label).alias("label"), F.lit(0.0).alias("d2"), *[F.lit(None).cast("long").alias(c) for c in extra or {}]).limit(0))
+    turn = F.xxhash64(*features.columns)
+    share = lambda size: features if size >= n else features.filter(F.pmod(turn, F.lit(-(-n // size))) == 0)
+    within = lambda size: _within(bounded, share(size), distance2, position, feature_box, side, place, 1 + min(size, n) // TOGETHER)  # noqa: E731  (a feature can be in many cells)
+    size = min(FIRST, max(16, PAIRS // wanted))
+    chosen = lambda rows: write_and_reread(place(rows).select(*features.columns).distinct().limit(2 * size), "nearest-first")  # noqa: E731  (those in some cell)
+    few = chosen(share(size))
+    if few.isEmpty():  # copies are picked together
+        few = chosen(features)
+    own = list(queries.columns)
+    first = queries.repartition(1 + wanted * size // (1 << 21)).crossJoin(F.broadcast(few))
+    # a minimum of numbers is kept in a hash table; one of structs would be sorted
+    bounded = write_and_reread(first.groupBy(*own).agg(F.min(distance2).alias("_most")), "nearest-bound")
+    while size * MORE < n:
+        size *= MORE
+        found = within(size).groupBy(*own).agg(F.min(distance2).alias("_found"))
+        bounded = write_and_reread(bounded.join(found, own, "left").select(*own, F.least("_most", "_found").alias("_most")), "nearest-bound")
+    # each pair once; more is worked out for the few that are left
+    met = within(n).groupBy(*own, *features.columns).agg(F.min(distance2).alias("_d2"))
+    best = met.groupBy(*query_key).agg(F.min(F.struct("_d2", *tie, F.col(label).alias("_label"), *[e.alias(c) for c, e in (extra or {}).items()])).alias("_b"))
+    return best.select(*query_key, F.col("_b._label").alias("label"), F.col("_b._d2").alias("d2"), *[F.col(f"_b.{c}").alias(c) for c in extra or {}])
 
 
 def pick(vertices: DataFrame, at: vec.Point, position: vec.Point, tie: list[str]) -> DataFrame:

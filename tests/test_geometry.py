@@ -292,3 +292,22 @@ def test_quantise_and_scans(spark):
     assert got == [sum(j % 7 for j in range(i)) for i in range(200)]
     nxt = {r.i: r.n for r in stats.next_in_order(rows.select("i"), "i", F.floor(F.col("i") / 13), "n").collect()}
     assert nxt == {i: i + 1 if i < 199 else None for i in range(200)}
+
+
+def test_nearest_by_bounds_is_exact_with_many_features_and_copies(spark, monkeypatch):
+    """Several passes, copies of one feature, ties, and features far from the queries; nothing is aggregated as sorted pairs of all."""
+    rng = random.Random(8)
+    rows = [(k % 5, *(rng.randrange(256) for _ in range(4))) for k in range(400)] + [(7, 3, 3, 9, 3)] * 300
+    segs = spark.createDataFrame(rows, "label long, ax long, ay long, bx long, by long")
+    queries = spark.createDataFrame([(x, y) for x in range(0, 257, 32) for y in range(0, 257, 32)] + [(1000, 1000)], "x long, y long")
+    for name, value in (("FIRST", 8), ("PAIRS", 600), ("MORE", 2), ("TOGETHER", 50)):
+        monkeypatch.setattr(spatial, name, value)
+    p, a, b = vec.point("", 2), vec.point("a", 2), vec.point("b", 2)
+    d2 = geom.point_segment_distance2(p, a, b)
+    found = spatial.nearest(queries, segs, d2, ["x", "y"], p, (vec.least(a, b), vec.greatest(a, b)), "label", [], 16)
+    best = queries.crossJoin(segs).groupBy("x", "y").agg(F.min(F.struct(d2.alias("d2"), "label")).alias("b")).select("x", "y", "b.label", "b.d2")
+    assert sorted(found.collect()) == sorted(best.collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(k for k, line in enumerate(plan) if "Join Inner" in line)
+    folds = [line for line in plan[:join] if "Aggregate" in line]
+    assert "struct" not in folds[-1] and "struct" in folds[0]  # all pairs are folded as numbers; structs, which are sorted, only for the few left
