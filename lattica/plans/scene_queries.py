@@ -262,7 +262,7 @@ def _lookup_sql() -> str:
 @query(f"WITH {oracle.tree3()}, {oracle.VERTICES3}, {_bases_sql()}, found AS ({_lookup_sql()}) SELECT x, y, z, normal, far, level, cx, cy, cz, n_bases FROM found")
 def vertex_bases_3d(spark, sf_dir):
     """The leaf that every lattice vertex falls to along each axis, by the order of its fallbacks, and whether it is on that leaf's far side."""
-    leaves = octree.adaptive_leaves(triangle_prims(spark, sf_dir), TREE3)[0]
+    leaves = octree.adaptive_cells(triangle_prims(spark, sf_dir), TREE3)
     wide = write_and_reread(bases.by_direction(bases.bases(octree.leaf_vertices(leaves, TREE3), leaves, TREE3), TREE3), "vertex-bases")
     count = sum((F.when(bases.has_base(d), 1).otherwise(0) for d in range(8)), F.lit(0)).cast("long").alias("n_bases")
     rows = [F.struct(F.lit(n).alias("normal"), bases.on_boundary(n).alias("far"), bases.base_with_fallbacks(n).alias("b")) for n in range(3)]
@@ -281,7 +281,7 @@ def _next_sql() -> str:
 @query(f"WITH {oracle.tree()}, {oracle.VERTICES}, {oracle.EDGES} {_next_sql()}")
 def next_base_2d(spark, sf_dir):
     """How far each lattice vertex can walk along the leaves' sides to the next corner where a leaf begins."""
-    leaves = octree.adaptive_leaves(views.segments(spark, sf_dir).drop("ord"), views.TREE)[0]
+    leaves = octree.adaptive_cells(views.segments(spark, sf_dir).drop("ord"), views.TREE)
     vertices = write_and_reread(octree.leaf_vertices(leaves, views.TREE), "vertices")
     edges = write_and_reread(octree.leaf_edges(vertices, leaves, views.TREE), "edges")
     return bases.next_base(vertices, edges, leaves, views.TREE)
@@ -293,7 +293,7 @@ _FIELD = f"pix AS (SELECT a.v * {views.WIDTH // 64} AS x, b.v * {views.WIDTH //
 @query(f"WITH {oracle.tree()}, {oracle.VERTICES}, {oracle.nearest('vert')}, {_FIELD} SELECT s.x, s.y, s.level, round(sum(k * sqrt(d2)), 4) AS field FROM spot s JOIN near n ON n.x = s.vx AND n.y = s.vy GROUP BY s.x, s.y, s.level")
 def distance_field_leaves(spark, sf_dir):
     """A raster of distances, interpolated inside the tree's leaves from their corners."""
-    leaves = octree.adaptive_leaves(views.segments(spark, sf_dir).drop("ord"), views.TREE)[0]
+    leaves = octree.adaptive_cells(views.segments(spark, sf_dir).drop("ord"), views.TREE)
     near = nearest_segment(octree.leaf_vertices(leaves, views.TREE), views.segments(spark, sf_dir))
     values = write_and_reread(near.select("x", "y", F.sqrt("d2").alias("value")), "field-values")
     return gvd.leaf_field(gvd.raster(spark, views.WIDTH, 64), leaves, values, views.TREE).withColumn("field", F.round("field", 4))
@@ -302,7 +302,7 @@ def distance_field_leaves(spark, sf_dir):
 @query(f"WITH {oracle.tree()} SELECT level, cx, cy, CAST(n_labels AS INTEGER) AS n_labels FROM leaf")
 def leaf_files(spark, sf_dir):
     """The tree's leaves, written as lines of octants and read back."""
-    leaves = octree.adaptive_leaves(views.segments(spark, sf_dir).drop("ord"), views.TREE)[0]
+    leaves = octree.adaptive_cells(views.segments(spark, sf_dir).drop("ord"), views.TREE)
     path = scratch_path(spark, "leaf-lines")
     tree_files.write_leaves(leaves, path, 2, "n_labels")
     return tree_files.read_leaves(spark, path, 2, "n_labels")
