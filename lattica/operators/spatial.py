@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions import geom, vec
+from lattica.functions import geom, solids, vec
 from lattica.session import write_and_reread
 
 
@@ -28,14 +28,7 @@ def segment_cells(segments: DataFrame, side: int, count: int) -> DataFrame:
 
 def triangle_cells(triangles: DataFrame, side: int, count: int) -> DataFrame:
     """Adds cx, cy, cz: each closed cell that a triangle (ax.., bx.., tx..) meets."""
-    spread = triangles
-    for axis in "xyz":
-        own = [F.col(p + axis) for p in "abt"]
-        low, high = F.greatest(F.ceil(F.least(*own) / side) - 1, F.lit(0)), F.least(F.floor(F.greatest(*own) / side), F.lit(count - 1))
-        spread = spread.withColumn(f"c{axis}", F.explode(F.sequence(low, high)))
-    corner = tuple(F.col(f"c{a}") * side for a in "xyz")
-    corners = tuple(vec.point(p, 3) for p in "abt")
-    return spread.filter(geom.triangle_box_overlap(corners, corner, corner, side))
+    return solids.cells_of(triangles, side, count)
 
 
 def cell_walk(segments: DataFrame, side: int, count: int, key: list[str]) -> DataFrame:

@@ -6,9 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.functions import geom, morton, vec
+from lattica.functions import geom, morton, solids, vec
 from lattica.functions.morton import Resolution
-from lattica.operators import graph, gvd, mesh, octree, quantise, spatial, stats, wave
+from lattica.operators import graph, gvd, mesh, octree, quantise, solid, spatial, stats, wave
 from lattica.operators.octree import OctreeOptions
 from lattica.plans import queries as plans
 from lattica.plans import views
@@ -311,3 +311,41 @@ def test_nearest_by_bounds_is_exact_with_many_features_and_copies(spark, monkeyp
     join = next(k for k, line in enumerate(plan) if "Join Inner" in line)
     folds = [line for line in plan[:join] if "Aggregate" in line]
     assert "struct" not in folds[-1] and "struct" in folds[0]  # all pairs are folded as numbers; structs, which are sorted, only for the few left
+
+
+def random_triangles(spark, n, width, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        at = [rng.randrange(width) for _ in range(3)]
+        rows.append((i, i % 5, *at, *[c + rng.randrange(-9, 10) for _ in range(2) for c in at]))
+    rows += [(n, 1, *[7] * 9), (n + 1, 2, 0, 0, 0, 4, 4, 4, 8, 8, 8), (n + 2, 3, *rows[0][2:]), (n + 3, 3, None, *rows[0][3:])]
+    return spark.createDataFrame(rows, "prim_id long, label long, " + ", ".join(f"{c} long" for c in solids.CORNERS))
+
+
+def test_triangles_as_arrays_equal_the_columns(spark):
+    tris = random_triangles(spark, 60, 64, 7)
+    corners = tuple(vec.point(c, 3) for c in "abt")
+    cells = spark.createDataFrame([(3, x, y, z) for x in range(8) for y in range(8) for z in range(8)], "level int, cx long, cy long, cz long")
+    low = tuple(F.col(f"c{a}") * 8 for a in "xyz")
+    key = ["prim_id", "cx", "cy", "cz"]
+    want = sorted(map(tuple, tris.crossJoin(cells).filter(geom.triangle_box_overlap(corners, low, tuple(c + 8 for c in low))).select(*key).collect()))
+    assert sorted(map(tuple, solids.in_cells(cells.crossJoin(tris), 64).select(*key).collect())) == want
+    assert sorted(map(tuple, spatial.triangle_cells(tris, 8, 8).select(*key).collect())) == want
+
+
+@pytest.mark.parametrize("span", [1 << 20, 10])
+def test_nearest_triangles_by_blocks_equal_brute_force(spark, monkeypatch, span):
+    for name, value in (("FIRST", 4), ("BLOCK", 16), ("POINTS", 8)):
+        monkeypatch.setattr(solid, name, value)
+    monkeypatch.setattr(solids, "SPAN", min(span, solids.SPAN))
+    tris = random_triangles(spark, 90, 64, 8)
+    rng = random.Random(9)
+    points = [tuple(rng.randrange(-20, 90) for _ in range(3)) for _ in range(60)] + [(7, 7, 7), (4, 4, 4), (4, 4, 4), (None, 1, 1), (900, -900, 5)]
+    points = spark.createDataFrame(points + [tuple(r) for r in tris.select("ax", "ay", "az").limit(20).collect()], "x long, y long, z long")
+    found = solid.nearest_triangle(points, tris, "label", [-F.col("prim_id")], {"prim_id": F.col("prim_id")})
+    d2 = geom.point_triangle_distance2(vec.point("", 3), *(vec.point(c, 3) for c in "abt"))
+    every = points.dropna().distinct().crossJoin(tris.dropna()).withColumn("d2", d2)
+    want = every.groupBy("x", "y", "z").agg(F.min(F.struct("d2", -F.col("prim_id"), "label", "prim_id")).alias("b")).select("x", "y", "z", "b.label", "b.d2", "b.prim_id")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert solid.nearest_triangle(points, tris.limit(0), "label", [], {}).columns == ["x", "y", "z", "label", "d2"]
