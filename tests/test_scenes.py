@@ -272,3 +272,13 @@ def test_fields_inside_leaves(spark):
     got = {(r.x, r.y): r.field for r in gvd.leaf_field(pixels, leaves, values, o).collect()}
     assert got == {(1, 3): pytest.approx(6), (8, 0): pytest.approx(24), (8, 3): pytest.approx(27)}  # (4, 4) and (7, 7) lie in the leaf that lacks a corner
     assert gvd.leaf_field(pixels, leaves.limit(0), values, o).count() == 0
+
+
+def test_cells_of_small_scenes_hold_many_segments(spark):
+    rows = [(k % 40, k, x, y, x + k % 9, y + k % 7) for k in range(1600) for x, y in [(k * 37 % 4000, k * 53 % 4000)]]
+    segs = spark.createDataFrame(rows, "scene long, k long, ax long, ay long, bx long, by long")
+    assert crossing.crossing_sides(segs) == (4, 4)
+    wide = crossing.crossing_sides(segs, "scene")
+    assert min(wide) >= 2048  # 40 segments a scene fill no more cells
+    pairs = [sorted(map(tuple, crossing.meeting_pairs(segs, ["k"], scene="scene", sides=s).select(F.least("p_k", "q_k"), F.greatest("p_k", "q_k")).collect())) for s in (wide, (64, 64))]
+    assert pairs[0] == pairs[1]
