@@ -18,6 +18,8 @@ from lattica.session import write_and_reread
 FIRST = 256
 #: Triangles of a cell that are one block, and points.
 BLOCK, POINTS = 4096, 1024
+#: Pairs of blocks in one Arrow batch.
+ROWS = 128
 #: Cells of the grid along the longest axis, about.
 GRID = 16
 #: Pairs that are tested at once.
@@ -149,10 +151,12 @@ def nearest_triangle(queries: DataFrame, triangles: DataFrame, label: str, tie:
                 i, j, d2 = _nearest(p, at.field("_most").to_numpy(zero_copy_only=False), solids.corners(held))
                 yield pa.RecordBatch.from_arrays([*[pa.array(c[i]) for c in p], pa.array(d2), held.field("_own").take(pa.array(j))], [*AXES, "d2", "_own"])
 
-    spark = points.sparkSession
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > 256 or int(spark.conf.get(name)) <= 0:
-        spark.conf.set(name, "256")
     near = met.mapInArrow(run, f"x long, y long, z long, d2 double, _own {kind}")
-    best = near.groupBy(*AXES).agg(F.min(F.struct("d2", "_own")).alias("_b"))
+    conf, name = points.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(ROWS))  # for this step alone: its rows hold whole blocks
+    try:
+        best = write_and_reread(near.groupBy(*AXES).agg(F.min(F.struct("d2", "_own")).alias("_b")), "solid-nearest")
+    finally:
+        conf.set(name, before)
     return told(best.select(*AXES, "_b.d2", "_b._own"))
