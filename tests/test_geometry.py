@@ -124,6 +124,23 @@ def test_adaptive_tree_properties(spark):
                     assert p[0] == q[0] == o.max_level
 
 
+def test_tree_looked_up_at_once_equals_descent(spark, monkeypatch):
+    """Long, upright and level segments, ends on cell sides and outside the lattice, and a cell that a nameless segment has alone."""
+    rng = random.Random(8)
+    rows = [(i % 5, *[rng.choice((rng.randrange(128), 8 * rng.randrange(17), rng.randrange(-40, 170))) for _ in range(4)]) for i in range(30)]
+    rows += [(1, 16, 8, 16, 120), (2, 24, 32, 90, 32), (3, 40, 40, 40, 40), (None, 1, 1, 2, 2)]
+    lone = [(None, 100, 100, 101, 101), (1, 0, 0, 30, 30), (2, 0, 30, 30, 0)]
+    for some, labels, full in ((rows, 2, True), (rows, 1024, False), (lone, 1024, False)):
+        segs = spark.createDataFrame(some, "label long, ax long, ay long, bx long, by long")
+        monkeypatch.setattr(octree, "LABELS", labels)
+        o = OctreeOptions(max_level=3, width=128, full=full)
+        got, want = octree._adaptive_flat(segs, o), octree._adaptive(segs, o)
+        assert sum(4 ** (3 - c.level) for c in got[0].collect()) == 4**3
+        for mine, theirs in zip(got, want, strict=True):
+            assert mine.columns == theirs.columns
+            assert sorted(map(repr, mine.collect())) == sorted(map(repr, theirs.collect()))
+
+
 def test_tree_in_space(spark):
     o = OctreeOptions(max_level=3, width=64, dim=3)
     rng = random.Random(3)
