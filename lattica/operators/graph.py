@@ -15,6 +15,8 @@ from lattica.session import scratched, write_and_reread
 
 #: Edges that one task handles alone, about 16 MB of them.
 FEW = 1 << 20
+#: Edges of which one task finds the lightest.
+LIGHT = 1 << 19
 
 
 def smallest_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -140,9 +142,12 @@ def shortest_paths(edges: DataFrame, source, max_rounds: int | None = None) -> D
     callers that want one.
     """
     spark = edges.sparkSession
-    one = edges.select("u", "v", "w").filter("u <> v")
-    links = one.unionAll(one.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).groupBy("u", "v").agg(F.min("w").alias("w"))
-    links = write_and_reread(links, "path-links")
+    # each edge once, dealt to as many tasks as the edges need, and turned both ways when the lightest is known
+    one = edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w")
+    one = write_and_reread(one, "path-edges")
+    one = one.repartition(1 + one.count() // LIGHT, "u", "v").groupBy("u", "v").agg(F.min("w").alias("w"))
+    ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    links = write_and_reread(one.select(ways.alias("e"), "w").select("e.u", "e.v", "w"), "path-links")
     kind, cost = links.schema["u"].dataType.simpleString(), links.schema["w"].dataType.simpleString()
     state = spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.lit(0).cast(cost).alias("cost"), F.lit(None).cast(kind).alias("parent"))
     frontier = state = write_and_reread(state, "path-state")

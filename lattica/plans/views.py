@@ -10,6 +10,8 @@ from lattica.operators.quantise import quantise
 
 WIDTH = 4096
 TREE = OctreeOptions(max_level=6, width=WIDTH, dim=2)
+#: Line items of which one task folds the pairs.
+LINES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,4 +62,6 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """u, v, w: suppliers (even numbers) and parts (odd) that share a line item, with the least quantity as weight."""
     rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy((F.col("l_suppkey") * 2).alias("u"), (F.col("l_partkey") * 2 + 1).alias("v")).agg(F.min("l_quantity").cast("long").alias("w"))
+    ends = rows.select((F.col("l_suppkey") * 2).alias("u"), (F.col("l_partkey") * 2 + 1).alias("v"), "l_quantity")
+    # nearly all pairs differ, so folding them before they move would hold a whole split of them
+    return ends.repartition(1 + rows.count() // LINES, "u", "v").groupBy("u", "v").agg(F.min("l_quantity").cast("long").alias("w"))

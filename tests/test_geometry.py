@@ -366,3 +366,10 @@ def test_nearest_triangles_by_blocks_equal_brute_force(spark, monkeypatch, span)
     want = every.groupBy("x", "y", "z").agg(F.min(F.struct("d2", -F.col("prim_id"), "label", "prim_id")).alias("b")).select("x", "y", "z", "b.label", "b.d2", "b.prim_id")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     assert solid.nearest_triangle(points, tris.limit(0), "label", [], {}).columns == ["x", "y", "z", "label", "d2"]
+
+
+def test_links_of_paths_are_dealt_by_their_number(spark, monkeypatch):
+    """More tasks than shuffle partitions; repeated edges either way count once, with the least weight."""
+    monkeypatch.setattr(graph, "LIGHT", 2)
+    edges = spark.createDataFrame([(1, 2, 5), (2, 1, 3), (2, 3, 4), (3, 2, 9), (3, 3, 0), (1, 3, 9), (4, 5, 1), (None, 1, 1)], "u long, v long, w long")
+    assert sorted(map(tuple, graph.shortest_paths(edges, 1).collect())) == [(1, 0, None), (2, 3, 1), (3, 7, 2)]
