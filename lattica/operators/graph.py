@@ -8,15 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from lattica.functions import pairs
 from lattica.operators.stats import prefix_sum
 from lattica.session import scratched, write_and_reread
 
 
 #: Edges that one task handles alone, about 16 MB of them.
 FEW = 1 << 20
-#: Edges of which one task finds the lightest.
-LIGHT = 1 << 19
+#: Edges of which one task finds the lightest, and rows of packed pairs that one task unpacks.
+LIGHT, ROWS = 1 << 19, 1 << 17
 
 
 def smallest_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -110,18 +112,38 @@ def network_differences(one: DataFrame, two: DataFrame) -> DataFrame:
     return one.exceptAll(two).unionAll(two.exceptAll(one))
 
 
+def _by_first(rows: DataFrame, name: str) -> DataFrame:
+    """(one, first, width, steps): the second numbers of each first one, packed; a very long list in several rows."""
+    one = rows.columns[0]
+    dealt = rows.repartition(1 + rows.count() // FEW, one).sortWithinPartitions(one)
+    return write_and_reread(dealt.mapInArrow(pairs.pack(False), pairs.SCHEMA).drop("known"), name)
+
+
 def k_rings(edges: DataFrame, sources: DataFrame, max_ring: int, node: str = "node") -> DataFrame:
     """(center, node, ring): nodes at graph distance 0..max_ring from each source.
 
-    A ring is what its last ring's neighbours add, less the last two rings.
+    A ring is what its last ring's neighbours add, less the last two rings. Paths to a ring outnumber its nodes by far;
+    where nodes are whole numbers, lists of centres and of neighbours meet node by node, and the paths move packed by
+    their centre, where they meet the last two rings.
     """
     links = write_and_reread(undirected(edges), "rings-links")
     last = sources.select(F.col(node).alias("center"), F.col(node).alias("node")).distinct()
     rings = [last.withColumn("ring", F.lit(0))]
     before = last.limit(0)
+    whole = all(isinstance(f.dataType, IntegralType) for f in (last.schema["node"], links.schema["v"]))
+    lists = ["first", "width", "steps"]
+    near = _by_first(links, "rings-near") if whole else None
     for k in range(1, max_ring + 1):
-        grown = last.join(links.withColumnRenamed("u", "node"), "node").select("center", F.col("v").alias("node")).distinct()
-        fresh = grown.join(last, ["center", "node"], "left_anti").join(before, ["center", "node"], "left_anti")
+        paths = last.join(links.withColumnRenamed("u", "node"), "node").select("center", F.col("v").alias("node"))
+        if whole:
+            both = _by_first(last.select("node", "center").dropna(), "rings-centres").join(near.withColumnsRenamed({c: f"{c}_2" for c in lists}), "one")
+            rows = both.select(*lists, *[f"{c}_2" for c in lists]).mapInArrow(pairs.paths, pairs.SCHEMA).unionAll(last.unionAll(before).select("center", "node").dropna().mapInArrow(pairs.pack(True), pairs.SCHEMA))
+            rows = write_and_reread(rows, "rings-paths")
+            dealt = rows.repartition(1 + rows.count() // ROWS, "one").sortWithinPartitions("one")
+            found = dealt.mapInArrow(pairs.fresh(["center", "node"]), "center long, node long")
+            fresh = found.select(F.col("center").cast(last.schema["center"].dataType).alias("center"), F.col("node").cast(links.schema["v"].dataType).alias("node"))
+        else:
+            fresh = paths.distinct().join(last, ["center", "node"], "left_anti").join(before, ["center", "node"], "left_anti")
         before, last = last, write_and_reread(fresh, "rings")
         if last.isEmpty():
             break

@@ -3,10 +3,11 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.functions import geom, morton, solids, vec
+from lattica.functions import geom, morton, pairs, solids, vec
 from lattica.functions.morton import Resolution
 from lattica.operators import graph, gvd, mesh, octree, quantise, solid, spatial, stats, wave
 from lattica.operators.octree import OctreeOptions
@@ -368,6 +369,43 @@ def test_nearest_triangles_by_blocks_equal_brute_force(spark, monkeypatch, span)
     assert solid.nearest_triangle(points, tris.limit(0), "label", [], {}).columns == ["x", "y", "z", "label", "d2"]
 
 
+def test_rings_of_packed_paths_equal_brute_force(spark, monkeypatch):
+    """Few pairs at a time, far apart and negative numbers, a hub, a null source; strings keep the plain joins."""
+    monkeypatch.setattr(graph, "ROWS", 4)
+    rng = random.Random(4)
+    names = [-(1 << 62), -5, 1 << 62, 300, *range(60), 70_000, 1 << 33]
+    edges = [(rng.choice(names), rng.choice(names)) for _ in range(70)] + [(7, n) for n in names[::3]]
+    near = {n: set() for n in names}
+    for u, v in edges:
+        if u != v:
+            near[u].add(v)
+            near[v].add(u)
+    want = set()
+    for c in names:
+        ring, seen = {c}, {c}
+        for k in range(4):
+            want |= {(c, n, k) for n in ring}
+            ring = {v for n in ring for v in near[n]} - seen
+            seen |= ring
+    for kind in ("long", "string"):
+        told = (lambda n: n) if kind == "long" else str
+        rows = spark.createDataFrame([(told(u), told(v)) for u, v in edges], f"u {kind}, v {kind}")
+        sources = spark.createDataFrame([(told(n),) for n in names] + ([(None,)] if kind == "long" else []), f"node {kind}")
+        got = [tuple(r) for r in graph.k_rings(rows, sources, 3).collect() if r.center is not None]
+        assert len(got) == len(want) and set(got) == {(told(c), told(n), k) for c, n, k in want}
+
+
+def test_packed_pairs_survive_small_chunks(monkeypatch):
+    monkeypatch.setattr(pairs, "TOGETHER", 8)
+    rng = random.Random(6)
+    made = sorted((rng.choice((1, 2, -(1 << 63))), rng.choice((rng.randrange(9), rng.randrange(1 << 40), (1 << 63) - 1, -(1 << 63)))) for _ in range(60))
+    batch = pa.RecordBatch.from_arrays([pa.array([p[i] for p in made], pa.int64()) for i in (0, 1)], ["one", "two"])
+    packed = sorted((b for part in pairs.pack(False)(iter([batch])) for b in [part.slice(i, 1) for i in range(part.num_rows)]), key=lambda b: b.column(0)[0].as_py())
+    known = list(pairs.pack(True)(iter([batch.slice(0, 5)])))
+    got = [tuple(r.values()) for part in pairs.fresh(["one", "two"])(iter(sorted([*packed, *[k.slice(i, 1) for k in known for i in range(k.num_rows)]], key=lambda b: b.column(0)[0].as_py()))) for r in part.to_pylist()]
+    assert got == sorted(set(made) - set(made[:5]))
+
+
 def test_links_of_paths_are_dealt_by_their_number(spark, monkeypatch):
     """More tasks than shuffle partitions; repeated edges either way count once, with the least weight."""
     monkeypatch.setattr(graph, "LIGHT", 2)
