@@ -11,32 +11,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from lattica.functions.solids import numbers
+from lattica.functions.solids import numbers, spread
 
 ENDS = ["ax", "ay", "bx", "by"]
 #: Coordinates up to which the products stay within 64 bits.
 WIDEST = 1 << 29
-#: Cells of segments that are made at once.
-TOGETHER = 1 << 17
 
 
 def ends(rows: pa.RecordBatch) -> list[np.ndarray]:
     return numbers(rows, ENDS)
 
 
-def _spread(wide: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, turn): every turn below each row's count, whole rows together, about TOGETHER at once."""
-    until = np.cumsum(wide)
-    begin = 0
-    while begin < len(wide):
-        before = int(until[begin - 1]) if begin else 0
-        end = max(begin + 1, int(np.searchsorted(until, before + TOGETHER, "right")))
-        row = np.repeat(np.arange(begin, end), wide[begin:end])
-        if len(row):
-            yield row, before + np.arange(len(row)) - (until[row] - wide[row])
-        begin = end
-
-
 def cells_of(segments: list[np.ndarray], side: int, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, cx, cy): each closed cell of a grid of ``count`` by ``count`` that a segment meets; a row's cells come together."""
     if any(len(c) and max(-int(c.min()), int(c.max())) > WIDEST for c in segments):
@@ -45,7 +30,7 @@ def cells_of(segments: list[np.ndarray], side: int, count: int) -> Iterator[tupl
     back = bx < ax
     ax, ay, bx, by = (np.where(back, q, p) for p, q in ((ax, bx), (ay, by), (bx, ax), (by, ay)))
     first, last = np.maximum(-(-ax // side) - 1, 0), np.minimum(bx // side, count - 1)
-    for row, turn in _spread(np.maximum(last - first + 1, 0)):
+    for row, turn in spread(np.maximum(last - first + 1, 0)):
         cx = first[row] + turn
         # where the segment enters and leaves the column; y is (ay * dx + dy * (x - ax)) / dx
         dx, dy = bx[row] - ax[row], by[row] - ay[row]
@@ -61,3 +46,9 @@ def cells_of(segments: list[np.ndarray], side: int, count: int) -> Iterator[tupl
         if len(at):
             until = np.cumsum(tall)
             yield row[at], cx[at], bottom[at] + np.arange(len(at)) - (until[at] - tall[at])
+
+
+def cells_met(segments: list[np.ndarray], side: int, count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, cell): the cells of ``cells_of``, numbered in the order of cx, cy."""
+    for row, cx, cy in cells_of(segments, side, count):
+        yield row, cx * count + cy

@@ -68,9 +68,12 @@ def meets_cube(t: Solid, low: list[np.ndarray], size: np.ndarray) -> np.ndarray:
     t, low, size = taken(t, left), [c[left] for c in low], size[left]
     if len(left) and any(max(-int(c.min()), int(c.max())) > WIDEST for p in t for c in p):
         raise ValueError(f"coordinates of triangles that meet a cell may be {WIDEST} at most")
-    moved = [[p[i] * 2 - (low[i] * 2 + size) for i in range(3)] for p in t]
     n = normal(t)
-    keep = np.abs(_dot(n, moved[0])) <= (np.abs(n[0]) + np.abs(n[1]) + np.abs(n[2])) * size
+    keep = np.abs(_dot(n, [t[0][i] * 2 - (low[i] * 2 + size) for i in range(3)])) <= (np.abs(n[0]) + np.abs(n[1]) + np.abs(n[2])) * size
+    ok[left[~keep]] = False
+    left, t, low, size = left[keep], taken(t, keep), [c[keep] for c in low], size[keep]
+    moved = [[p[i] * 2 - (low[i] * 2 + size) for i in range(3)] for p in t]
+    keep = np.ones(len(size), bool)
     for k in range(3):
         edge = _sub(t[(k + 1) % 3], t[k])
         for i in range(3):
@@ -82,6 +85,40 @@ def meets_cube(t: Solid, low: list[np.ndarray], size: np.ndarray) -> np.ndarray:
     return ok
 
 
+def spread(wide: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, turn): every turn below each row's count, whole rows together, about TOGETHER at once."""
+    until = np.cumsum(wide)
+    begin = 0
+    while begin < len(wide):
+        before = int(until[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(until, before + TOGETHER, "right")))
+        row = np.repeat(np.arange(begin, end), wide[begin:end])
+        if len(row):
+            yield row, before + np.arange(len(row)) - (until[row] - wide[row])
+        begin = end
+
+
+def cells_met(t: Solid, side: int, count: int, known: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, cell): each closed cell of a grid of ``count`` along each axis, numbered in the order of cx, cy, cz, that a triangle meets.
+
+    A row's cells come together. Pairs that are ``known`` are left out before they are tested.
+    """
+    low, high = extent(t)
+    first = [np.maximum(-(-c // side) - 1, 0) for c in low]
+    wide = [np.maximum(np.minimum(c // side, count - 1) - a + 1, 0) for a, c in zip(first, high, strict=True)]
+    for row, turn in spread(wide[0] * wide[1] * wide[2]):
+        turn, z = np.divmod(turn, wide[2][row])
+        x, y = np.divmod(turn, wide[1][row])
+        at = [c[row] + k for c, k in zip(first, (x, y, z), strict=True)]
+        cell = (at[0] * count + at[1]) * count + at[2]
+        if known:
+            fresh = np.flatnonzero(~known(row, cell))
+            row, cell, at = row[fresh], cell[fresh], [c[fresh] for c in at]
+        meets = np.flatnonzero(meets_cube(taken(t, row), [c * side for c in at], np.full(len(row), side, np.int64)))
+        if len(meets):
+            yield row[meets], cell[meets]
+
+
 def _segment_distance2(p: list[np.ndarray], a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     d = _sub(b, a)
     n = _dot(d, d).astype(np.float64)

@@ -13,6 +13,7 @@ from lattica.operators import graph, gvd, mesh, octree, quantise, solid, spatial
 from lattica.operators.octree import OctreeOptions
 from lattica.plans import queries as plans
 from lattica.plans import views
+from lattica.session import write_and_reread
 
 
 def one(spark, **columns):
@@ -152,6 +153,30 @@ def test_tree_in_space(spark):
     assert octree.leaf_vertices(leaves, o).count() > 8
 
 
+def test_tree_in_space_looked_up_at_once_equals_fronts(spark, monkeypatch):
+    """Triangles of each size, flat ones and points, on cell sides and outside the lattice; no (cell, primitive) rows are written, and many tasks share them."""
+    rng = random.Random(6)
+    rows = [(i % 4, *[rng.choice((rng.randrange(64), 8 * rng.randrange(9), rng.randrange(-30, 90))) for _ in range(9)]) for i in range(30)]
+    rows += [(1, *[16, 8, 40] * 3), (2, 0, 0, 0, 20, 0, 0, 40, 0, 0), (None, 1, 1, 1, 2, 2, 2, 1, 2, 2), (3, None, *[5] * 8)]
+    lone = [(None, *[50, 50, 50] * 3), (1, *[1, 1, 1, 20, 1, 1, 1, 20, 1])]
+    for some, labels, full in ((rows, 2, True), (rows, 1024, False), (lone, 1024, False)):
+        tris = spark.createDataFrame(some, "label long, " + ", ".join(f"{c} long" for c in solids.CORNERS))
+        monkeypatch.setattr(octree, "LABELS", labels)
+        o = OctreeOptions(max_level=3, width=64, dim=3, full=full)
+        want = octree._adaptive_by_fronts(tris, o)
+        written = []
+        monkeypatch.setattr(octree, "TOGETHER", 32)
+        monkeypatch.setattr(octree, "write_and_reread", lambda df, name: written.append(name) or write_and_reread(df, name))
+        leaves = octree.adaptive_cells(tris, o)
+        assert "octree-front" not in written and "octree-bridge" not in written
+        got = octree.adaptive_leaves(tris, o)
+        monkeypatch.undo()
+        assert sorted(map(repr, leaves.collect())) == sorted(map(repr, want[0].collect()))
+        for mine, theirs in zip(got, want, strict=True):
+            assert mine.columns == theirs.columns
+            assert sorted(map(repr, mine.collect())) == sorted(map(repr, theirs.collect()))
+
+
 def test_nearest_equals_brute_force(spark):
     rows, segs = random_segments(spark, 60, 512, 2)
     queries = spark.createDataFrame([(x, y) for x in range(0, 512, 37) for y in range(0, 512, 41)], "x long, y long")
