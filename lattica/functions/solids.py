@@ -129,6 +129,15 @@ def _segment_distance2(p: list[np.ndarray], a: list[np.ndarray], b: list[np.ndar
     return _dot(off, off)
 
 
+def foot_on_segment(p: list[np.ndarray], a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """The point of each segment nearest to p, as ``geom.closest_on_segment``, in the plane or in space."""
+    d = _sub(b, a)
+    n = sum(c * c for c in d).astype(np.float64)
+    along = sum(c * q for c, q in zip(_sub(p, a), d, strict=True)).astype(np.float64)
+    t = np.maximum(0.0, np.minimum(1.0, np.divide(along, n, out=np.zeros(n.shape), where=n > 0)))
+    return [x.astype(np.float64) + t * c.astype(np.float64) for x, c in zip(a, d, strict=True)]
+
+
 def distance2(p: list[np.ndarray], t: Solid) -> np.ndarray:
     """Squared distances of points and triangles, as ``geom.point_triangle_distance2``."""
     n = normal(t)
@@ -141,6 +150,24 @@ def distance2(p: list[np.ndarray], t: Solid) -> np.ndarray:
     return np.where(inside, np.divide(height * height, n2, out=np.zeros(height.shape), where=n2 > 0), edges)
 
 
+def foot(p: list[np.ndarray], t: Solid) -> list[np.ndarray]:
+    """The point of each triangle nearest to p, as ``geom.closest_on_triangle``; beyond SPAN in whole numbers of any size."""
+    if len(p[0]) and max(int(np.abs(a - c).max()) for q in t for a, c in zip(q, p, strict=True)) > SPAN:
+        p, t = [c.astype(object) for c in p], [[c.astype(object) for c in q] for q in t]
+    n = normal(t)
+    n2 = _dot(n, n).astype(np.float64)
+    inside, feet, far = n2 > 0, [], []
+    for k in range(3):
+        a, b = t[k], t[(k + 1) % 3]
+        inside = inside & (_dot(_cross(_sub(b, a), _sub(p, a)), n) >= 0).astype(bool)
+        feet.append(foot_on_segment(p, a, b))
+        off = [c - x for c, x in zip(p, feet[-1], strict=True)]
+        far.append(_dot(off, off).astype(np.float64))
+    lift = np.divide(_dot(_sub(p, t[0]), n).astype(np.float64), n2, out=np.zeros(n2.shape), where=n2 > 0)
+    first, second = (far[0] <= far[1]) & (far[0] <= far[2]), far[1] <= far[2]
+    return [np.where(inside, p[i] - lift * n[i].astype(np.float64), np.where(first, feet[0][i], np.where(second, feet[1][i], feet[2][i]))).astype(np.float64) for i in range(3)]
+
+
 def _mapped(rows: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], more: str = "") -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,21 +2,93 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
-from lattica.functions import geom, vec
+from lattica.functions import geom, planes, solids, vec
 from lattica.operators.graph import connected_components
 from lattica.operators.octree import OctreeOptions, children, incident_cells, leaf_edges, leaf_vertices, split_leaves
 from lattica.session import scratched, write_and_reread
 
 
+#: Rows of (leaf, primitive) whose seeds are folded together within a task, and the widest lattice for that.
+ROWS, WIDEST = 1 << 16, 1 << 20
+
+
+def _nearer(rows: pa.RecordBatch, o: OctreeOptions) -> pa.RecordBatch:
+    """(x, y[, z], label, px, py[, pz], d2): the least of the rows' seeds for each corner."""
+    axes, many = "xyz"[: o.dim], 1 << o.dim
+    row, corner = np.repeat(np.arange(rows.num_rows), many), np.tile(np.arange(many), rows.num_rows)
+    level, *cell = solids.numbers(rows, ["level", *[f"c{a}" for a in axes]])
+    side = np.int64(o.width) >> level[row]
+    at = [(c[row] + (corner >> j & 1)) * side for j, c in enumerate(cell)]
+    if o.dim == 2:
+        ends = [c[row] for c in planes.ends(rows)]
+        near = solids.foot_on_segment(at, ends[:2], ends[2:])
+    else:
+        near = solids.foot(at, solids.taken(solids.corners(rows), row))
+    near = [np.floor(c + 0.5).astype(np.int64) for c in near]
+    d2 = sum((c - q) * (c - q) for c, q in zip(at, near, strict=True))
+    spot = at[0]
+    for c in at[1:]:
+        spot = spot * (o.width + 1) + c
+    _, spot = np.unique(spot, return_inverse=True)
+    best = np.full(spot.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(best, spot, d2)
+    keep = np.flatnonzero(d2 == best[spot])
+    held = rows.column("label").dictionary_encode(null_encoding="encode")
+    rank = np.empty(len(held.dictionary), np.int64)
+    rank[pc.array_sort_indices(held.dictionary, null_placement="at_start").to_numpy()] = np.arange(len(rank))
+    label = rank[held.indices.to_numpy(zero_copy_only=False)[row[keep]]]
+    order = keep[np.lexsort([*[c[keep] for c in near[::-1]], label, spot[keep]])]
+    order = order[np.unique(spot[order], return_index=True)[1]]
+    return pa.RecordBatch.from_arrays([*[pa.array(c[order]) for c in at], rows.column("label").take(pa.array(row[order])), *[pa.array(c[order]) for c in near], pa.array(d2[order])], [*axes, "label", *[f"p{a}" for a in axes], "d2"])
+
+
+def _seeds_at_once(bridge: DataFrame, o: OctreeOptions) -> DataFrame:
+    """(x, y[, z], label, px, py[, pz], d2): seeds worked out as arrays, the least of each corner among ROWS rows of a task."""
+    axes, most = "xyz"[: o.dim], ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= most:
+                yield _nearer(pa.Table.from_batches(held).combine_chunks().to_batches()[0], o)
+                held, n = [], 0
+        if n:
+            yield _nearer(pa.Table.from_batches(held).combine_chunks().to_batches()[0], o)
+
+    long = lambda names: [StructField(c, LongType()) for c in names]
+    schema = StructType([*long(axes), bridge.schema["label"], *long(f"p{a}" for a in axes), *long(["d2"])])
+    ends = planes.ENDS if o.dim == 2 else solids.CORNERS
+    return bridge.select("level", *[f"c{a}" for a in axes], "label", *ends).mapInArrow(run, schema)
+
+
 def seeds(bridge: DataFrame, o: OctreeOptions) -> DataFrame:
     """(x, y[, z], px, py[, pz], label, d2): for each corner of a leaf with primitives, the nearest point of the leaf's own ones.
 
     A vertex of several leaves takes the least distance; ties go to the smaller label, then point.
-    Points are rounded half up to the lattice and d2 is the exact squared distance to them.
+    Points are rounded half up to the lattice and d2 is the exact squared distance to them. Primitives of whole
+    coordinates are worked out as arrays and folded before they move; of fractions, as columns.
     """
+    axes = "xyz"[: o.dim]
+    ends = planes.ENDS if o.dim == 2 else solids.CORNERS
+    if o.width <= WIDEST and all(isinstance(bridge.schema[c].dataType, IntegralType) for c in ends):
+        found = _seeds_at_once(bridge, o)
+    else:
+        found = _seeds(bridge, o)
+    best = found.groupBy(*axes).agg(F.min(F.struct("d2", "label", *[f"p{a}" for a in axes])).alias("s"))
+    return best.select(*axes, *[f"s.p{a}" for a in axes], "s.label", "s.d2")
+
+
+def _seeds(bridge: DataFrame, o: OctreeOptions) -> DataFrame:
     axes = "xyz"[: o.dim]
     side = F.call_function("shiftright", F.lit(o.width).cast("long"), F.col("level").cast("int"))
     corners = bridge.withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit((1 << o.dim) - 1))))
@@ -29,9 +101,7 @@ def seeds(bridge: DataFrame, o: OctreeOptions) -> DataFrame:
         corners = geom.closest_on_triangle(corners, at, *(vec.point(p, 3) for p in "abt"), "foot")
         near = vec.point("foot", 3)
     found = corners.select(*axes, "label", *[vec.round_half_up(c).cast("long").alias(f"p{a}") for a, c in zip(axes, near, strict=True)])
-    found = found.withColumn("d2", vec.length2(vec.sub(at, vec.point("p", o.dim))))
-    best = found.groupBy(*axes).agg(F.min(F.struct("d2", "label", *[f"p{a}" for a in axes])).alias("s"))
-    return best.select(*axes, *[f"s.p{a}" for a in axes], "s.label", "s.d2")
+    return found.withColumn("d2", vec.length2(vec.sub(at, vec.point("p", o.dim))))
 
 
 def _far_end(axes: str, name: str) -> list[Column]:

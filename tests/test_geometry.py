@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.functions import geom, morton, pairs, solids, vec
+from lattica.functions import geom, morton, pairs, planes, solids, vec
 from lattica.functions.morton import Resolution
 from lattica.operators import graph, gvd, mesh, octree, quantise, solid, spatial, stats, wave
 from lattica.operators.octree import OctreeOptions
@@ -214,6 +214,42 @@ def test_relaxation_is_bounded_by_the_exact_distance(spark):
     assert cells.filter("n_parts <= n_labels and n_pairs >= n_labels * (n_labels - 1) / 2").count() == 0
 
 
+@pytest.mark.parametrize("dim", [2, 3])
+def test_seeds_as_arrays_equal_the_columns(spark, dim, monkeypatch):
+    """Flat and far primitives, equal ones of other labels, nameless ones; few of them move."""
+    monkeypatch.setattr(wave, "ROWS", 40)
+    rng = random.Random(5 + dim)
+    corners = 2 if dim == 2 else 3
+    rows = [(i % 4 or None, *[rng.choice((rng.randrange(64), 8 * rng.randrange(9), rng.randrange(-200, 300))) for _ in range(corners * dim)]) for i in range(60)]
+    rows += [(7, *r[1:]) for r in rows[:20]] + [(2, *[9] * corners * dim), (3, *[40] * dim, *[16] * (corners - 1) * dim)]
+    rows += [(1, *[30_000 * k for k in range(corners * dim)])]
+    ends = planes.ENDS if dim == 2 else solids.CORNERS
+    prims = spark.createDataFrame(rows, "label long, " + ", ".join(f"{c} long" for c in ends))
+    o = OctreeOptions(max_level=2, width=64, dim=dim)
+    bridge = octree.adaptive_leaves(prims, o)[1]
+    found = wave._seeds(bridge, o)
+    assert wave._seeds_at_once(bridge.coalesce(1), o).count() < found.count() / 3
+    axes = "xyz"[:dim]
+    want = found.groupBy(*axes).agg(F.min(F.struct("d2", "label", *[f"p{a}" for a in axes])).alias("s")).select(*axes, *[f"s.p{a}" for a in axes], "s.label", "s.d2")
+    assert sorted(map(repr, wave.seeds(bridge, o).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_a_split_writes_the_flagged_leaves_rows_alone(spark, monkeypatch):
+    o = OctreeOptions(max_level=3, width=128)
+    _, segs = random_segments(spark, 40, 128, 4)
+    leaves, bridge = octree.adaptive_leaves(segs, OctreeOptions(max_level=2, width=128))
+    flagged = leaves.orderBy("level", "cx", "cy").limit(1).select("level", "cx", "cy")
+    flagged = spark.createDataFrame(flagged.collect(), flagged.schema)
+    written = []
+    monkeypatch.setattr(octree, "write_and_reread", lambda df, name: written.append((name, df.count())) or write_and_reread(df, name))
+    now, held = octree.split_leaves(leaves, bridge, flagged, o)
+    one = bridge.join(flagged, ["level", "cx", "cy"], "left_semi").count()
+    assert {n for n, _ in written} == {"octree-moved", "octree-leaves"} and dict(written)["octree-moved"] <= 4 * one
+    assert now.count() == leaves.count() + 3
+    labels = {(r.level, r.cx, r.cy): r.n for r in held.groupBy("level", "cx", "cy").agg(F.count_distinct("label").alias("n")).collect()}
+    assert all(labels.get((r.level, r.cx, r.cy), 0) == r.n_labels for r in now.collect() if r.level >= 2)
+
+
 def box_triangles(label, low, high):
     """The twelve triangles of a box."""
     at = lambda i: [high[j] if i >> j & 1 else low[j] for j in range(3)]
