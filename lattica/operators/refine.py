@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, IntegralType, LongType, StructField, StructType
 
-from lattica.functions import geom, vec
+from lattica.functions import geom, planes, vec
 from lattica.functions.morton import Resolution
+from lattica.operators import octree
 from lattica.operators.fitting import ENDS, fit_boxes
 from lattica.operators.octree import FEW, OctreeOptions, children, overlap
 from lattica.session import write_and_reread
@@ -16,6 +22,8 @@ CELL = ["level", "cx", "cy"]
 OWN = ["level", "gx", "gy"]
 #: A box is at least the cell's side over this, so a cell gets a bounded number of samples a round.
 FINENESS = 8
+#: Unit cells up to which each level's cells are looked up at once.
+MOST = 1 << 16
 
 
 def inner_cells(points: DataFrame, level: int, r: Resolution) -> DataFrame:
@@ -69,10 +77,78 @@ def refine(points: DataFrame, segments: DataFrame, r: Resolution) -> tuple[DataF
     """
     o = OctreeOptions(max_level=r.bits, width=r.width)
     segs = segments.select("label", "ax", "ay", "bx", "by").dropna().distinct()
+    if 4**r.bits <= MOST and all(isinstance(segs.schema[c].dataType, IntegralType) for c in planes.ENDS):
+        return _refine_at_once(points, segs, r)
+    return _refine_by_fronts(points, segs, r)
+
+
+def _given(points: DataFrame) -> DataFrame:
+    state = points.select(*[F.col(a).cast("long").alias(a) for a in "xy"]).dropna().distinct().withColumn("level", F.lit(None).cast("int"))
+    return write_and_reread(state, "refine-points")
+
+
+def _rows_in(segs: DataFrame, wanted: np.ndarray, level: int, r: Resolution) -> DataFrame:
+    """(level, cx, cy, segment): the wanted cells of a level that each segment meets."""
+    count, side = 1 << level, r.width >> level
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, cell in planes.cells_met(planes.ends(batch), side, count):
+                keep = np.flatnonzero(wanted[cell])
+                cx, cy = np.divmod(cell[keep], count)
+                held = batch.take(pa.array(row[keep]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), level, np.int32)), pa.array(cx), pa.array(cy), *held.columns], [*CELL, *batch.schema.names])
+
+    return segs.mapInArrow(run, StructType([StructField("level", IntegerType()), StructField("cx", LongType()), StructField("cy", LongType()), *segs.schema.fields]))
+
+
+def _refine_at_once(points: DataFrame, segs: DataFrame, r: Resolution) -> tuple[DataFrame, DataFrame]:
+    """``refine`` where a level's MOST cells fit the driver: which of them are open is sent to the tasks, so only rows of leaves are made, and of unit cells only their labels."""
+    o = OctreeOptions(max_level=r.bits, width=r.width)
+    segs, state, done = write_and_reread(segs, "refine-segments"), _given(points), []
+    parts = 1 + segs.count() // octree.TOGETHER
+    many = segs.agg(F.approx_count_distinct("label")).first()[0] > octree.LABELS
+    dealt = segs.repartition(parts, "label") if many else segs.repartition(parts)
+    labels = F.count_distinct("label").cast("int").alias("n_labels")
+
+    def inner(level: int) -> np.ndarray:
+        found = np.zeros((1 << level,) * 2, bool)
+        for _, cx, cy in inner_cells(state, level, r).collect():  # MOST at most
+            if 0 <= cx < 1 << level and 0 <= cy < 1 << level:
+                found[cx, cy] = True
+        return found.ravel()
+
+    front = np.ones(1, bool)
+    for level in range(r.bits):
+        leaves = front & ~inner(level)
+        if leaves.any():
+            found = write_and_reread(conflicts(_rows_in(dealt, leaves, level, r)), "refine-found")
+            if not found.isEmpty():
+                new = extra_points(found, r).distinct().join(state.select("x", "y"), ["x", "y"], "left_anti")
+                state = write_and_reread(state.unionByName(new.withColumn("level", F.lit(level))), "refine-points")
+        opened = inner(level)
+        leaves = front & ~opened
+        if leaves.any():
+            done.append(_rows_in(dealt, leaves, level, r).groupBy(*CELL).agg(labels))
+        front = (front & opened).reshape((1 << level,) * 2).repeat(2, 0).repeat(2, 1).ravel()
+    if front.any():
+        pairs = octree._label_pairs(dealt, o)
+        units = (pairs if many else pairs.distinct()).groupBy("cx", "cy").agg(F.count(F.lit(1)).cast("int").alias("n_labels"))
+        cx, cy = np.divmod(np.flatnonzero(front), 1 << r.bits)
+        held = segs.sparkSession.createDataFrame(pa.table({"cx": cx, "cy": cy}))
+        done.append(units.join(F.broadcast(held), ["cx", "cy"], "left_semi").select(F.lit(r.bits).alias("level"), "cx", "cy", "n_labels"))
+    cells = done[0]
+    for part in done[1:]:
+        cells = cells.unionByName(part)
+    return state, write_and_reread(cells, "refine-cells")
+
+
+def _refine_by_fronts(points: DataFrame, segs: DataFrame, r: Resolution) -> tuple[DataFrame, DataFrame]:
+    """``refine`` with each level's (cell, segment) rows written: of fractions, or where a level's cells are too many for the driver."""
+    o = OctreeOptions(max_level=r.bits, width=r.width)
     zero = F.lit(0).cast("long")
     front = write_and_reread(segs.select(F.lit(0).alias("level"), zero.alias("cx"), zero.alias("cy"), "*").filter(overlap(o)), "refine-front")
-    state = points.select(*[F.col(a).cast("long").alias(a) for a in "xy"]).dropna().distinct().withColumn("level", F.lit(None).cast("int"))
-    state, done = write_and_reread(state, "refine-points"), []
+    state, done = _given(points), []
     labels = F.count_distinct("label").cast("int").alias("n_labels")
     for level in range(r.bits + 1):
         if level == r.bits:

@@ -162,6 +162,22 @@ def test_refined_tree_has_conflicts_in_unit_cells_alone(spark):
 PAIRS = "a int, b int, nx double, ny double, nz double, area double"
 
 
+def test_refinement_looked_up_at_once_equals_fronts(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(0, *(rnd.randrange(32) for _ in range(4))) for _ in range(14)] + [(0, 3, 3, 3, 3), (0, 8, 0, 8, 31), (0, 0, 16, 31, 16)]
+    segs = segments(spark, rows).select("label", "ax", "ay", "bx", "by")
+    points = spark.createDataFrame([(1, 1), (1, 1), (30, 2), (17, 29), (40, 5), (None, 3)], "x int, y int")
+    r = Resolution(32)
+    want = refine._refine_by_fronts(points, segs.distinct(), r)
+    written = []
+    real = refine.write_and_reread
+    monkeypatch.setattr(refine, "write_and_reread", lambda df, name: written.append(name) or real(df, name))
+    got = refine.refine(points, segs, r)
+    assert "refine-front" not in written
+    for mine, theirs in zip(got, want, strict=True):
+        assert sorted(map(repr, mine.select(theirs.columns).collect())) == sorted(map(repr, theirs.collect()))
+
+
 def test_explode_offsets_spread_from_the_anchor(spark):
     pairs = spark.createDataFrame([(0, 1, 3.0, 4.0, 0.0, 2.0), (0, 2, 0.0, 0.0, -5.0, 1.0), (1, 3, 9.0, 9.0, 9.0, 3.0), (2, 3, 1.0, 0.0, 0.0, 4.0), (3, 4, 1.0, 1.0, 1.0, 1.0), (5, 6, 1.0, 0.0, 0.0, 1.0), (0, 7, 0.0, 0.0, 0.0, 1.0), (None, 0, 1.0, 1.0, 1.0, 1.0)], PAIRS)
     got = {r.label: (r.ring, (r.ox, r.oy, r.oz)) for r in explode.explode_offsets(pairs, 0, 10.0).collect()}
