@@ -1,5 +1,7 @@
 """The text operators against brute force, exact round trips and held-out accuracy."""
 
+import gc
+import os
 import random
 import re
 import zlib
@@ -713,3 +715,34 @@ def test_hot_ids_do_not_end_a_sample(spark):
     docs = spark.range(5).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
     sample = linear.labelled_sample(docs, ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")), [F.col("quality")], "doc_id", "text", 20_000)
     assert sample.count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(5))
+
+
+def test_jaccard_frees_what_it_is_done_with(spark, monkeypatch):
+    for name, value in (("BLOCK_MASS", 800), ("LONG", 8), ("FREQUENT", 1), ("SENT", 1 << 10), ("SENT_SHARE", 1 << 10)):
+        monkeypatch.setattr(jaccard, name, value)
+    written, real = [], jaccard.write_and_reread
+
+    def counted(df, name, *args):
+        out = real(df, name, *args)
+        written.append((name, out))
+        return out
+
+    monkeypatch.setattr(jaccard, "write_and_reread", counted)
+    rows = near_copies(7, 2, 120, 80)
+    rows += [(i + 1000, text) for i, text in rows]  # copies, in other tasks
+    gone = []
+    monkeypatch.setattr(jaccard, "discard", lambda *tables: gone.extend(tables))
+    before = shuffle_files(spark)
+    gc.disable()  # Spark frees a shuffle when it notices that nothing refers to it
+    parts = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id"))
+    gc.enable()
+    assert len(shuffle_files(spark) - before) < 30  # of counts and first rows alone
+    assert {r.doc_id: r.component_id for r in parts.collect()} == brute_components(rows)
+    names = [n for n, _ in written]
+    assert names.count("jaccard-block-links") > 1  # in turns
+    assert {"jaccard-sets", "jaccard-chosen", "jaccard-chains", "jaccard-open", "jaccard-own"} <= {n for n, t in written if any(t is g for g in gone)}
+
+
+def shuffle_files(spark) -> set[str]:
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {os.path.join(d, f) for top in dirs for d, _, names in os.walk(top) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
