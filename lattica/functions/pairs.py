@@ -56,15 +56,26 @@ def _packed(one: np.ndarray, two: np.ndarray, known: bool) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(one[start[rows]]), pa.array(np.full(len(rows), known)), pa.array(two[start[rows]]), pa.array(np.full(len(rows), w, np.int32)), steps], PACKED)
 
 
-def pack(known: bool):
-    """For ``mapInArrow``: two columns of whole numbers to rows of SCHEMA; pairs of a task are made distinct as far as they come together."""
+def in_turn(one: np.ndarray, turns: int, turn: int) -> np.ndarray:
+    """Which first numbers belong to one of several turns, dealt by a hash."""
+    return (one.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(turns) == turn
+
+
+def pack(known: bool, turns: int = 1, turn: int = 0):
+    """For ``mapInArrow``: two columns of whole numbers to rows of SCHEMA; pairs of a task are made distinct as far as they come together.
+
+    Only pairs whose first number belongs to the turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         flush = lambda: _packed(*[np.concatenate([h[i] for h in held]) for i in (0, 1)], known)
         for batch in batches:
-            held.append([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for i in (0, 1)])
-            n += batch.num_rows
+            both = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for i in (0, 1)]
+            if turns > 1:
+                keep = in_turn(both[0], turns, turn)
+                both = [c[keep] for c in both]
+            held.append(both)
+            n += len(both[0])
             if n >= TOGETHER:
                 yield from flush()
                 held, n = [], 0
@@ -96,34 +107,48 @@ def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return batch.column(0).to_numpy()[row], two, batch.column(1).to_numpy(zero_copy_only=False)[row].astype(bool)
 
 
-def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For ``mapInArrow``: rows of two packed lists (first, width, steps of each) to the pairs of one's and the other's numbers, as rows of SCHEMA."""
-    held, n = [], 0
-    flush = lambda: _packed(*[np.concatenate([h[i] for h in held]) for i in (0, 1)], False)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        (_, one, many), (_, two, more) = (_numbers(*batch.columns[k : k + 3]) for k in (0, 3))
-        until, begin_one, begin_two = np.cumsum(many * more), np.cumsum(many) - many, np.cumsum(more) - more
-        total = int(until[-1])
-        for begin in range(0, total, TOGETHER):
-            turn = np.arange(begin, min(begin + TOGETHER, total))
-            row = np.searchsorted(until, turn, "right")
-            place = turn - (until[row] - (many * more)[row])
-            far, near = np.divmod(place, more[row])
-            held.append((one[begin_one[row] + far], two[begin_two[row] + near]))
-            n += len(turn)
-            if n >= TOGETHER:
-                yield from flush()
-                held, n = [], 0
-    if n:
-        yield from flush()
+def paths(turns: int = 1, turn: int = 0):
+    """For ``mapInArrow``: rows of two packed lists (first, width, steps of each) to the pairs of one's and the other's numbers, as rows of SCHEMA; of the turn's first numbers alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        flush = lambda: _packed(*[np.concatenate([h[i] for h in held]) for i in (0, 1)], False)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (of, one, many), (_, two, more) = (_numbers(*batch.columns[k : k + 3]) for k in (0, 3))
+            if turns > 1:
+                keep = in_turn(one, turns, turn)
+                one, many = one[keep], np.bincount(of[keep], minlength=len(many))
+            until, begin_one, begin_two = np.cumsum(many * more), np.cumsum(many) - many, np.cumsum(more) - more
+            total = int(until[-1])
+            for begin in range(0, total, TOGETHER):
+                at = np.arange(begin, min(begin + TOGETHER, total))
+                row = np.searchsorted(until, at, "right")
+                place = at - (until[row] - (many * more)[row])
+                far, near = np.divmod(place, more[row])
+                held.append((one[begin_one[row] + far], two[begin_two[row] + near]))
+                n += len(at)
+                if n >= TOGETHER:
+                    yield from flush()
+                    held, n = [], 0
+        if n:
+            yield from flush()
+
+    return run
+
 
+def fresh(names: list[str], sizes: bool = False):
+    """For ``mapInArrow``: of rows of SCHEMA, partitioned and sorted by ``one``, the pairs that none of the known rows has, each once.
 
-def fresh(names: list[str]):
-    """For ``mapInArrow``: of rows of SCHEMA, partitioned and sorted by ``one``, the pairs that none of the known rows has, each once."""
+    sizes: first numbers with the number of those pairs instead."""
 
     def told(one: np.ndarray, two: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if sizes:
+            if len(one):
+                n = np.add.reduceat((~known).astype(np.int64), _starts(one))
+                yield pa.RecordBatch.from_arrays([pa.array(one[_starts(one)][n > 0]), pa.array(n[n > 0])], names)
+            return
         for begin in range(0, len(one), 1 << 16):
             part = slice(begin, begin + (1 << 16))
             keep = ~known[part]

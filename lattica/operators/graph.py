@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,13 +13,15 @@ from pyspark.sql.types import IntegralType
 
 from lattica.functions import pairs
 from lattica.operators.stats import prefix_sum
-from lattica.session import scratched, write_and_reread
+from lattica.session import discard, scratched, shuffles_freed, write_and_reread
 
 
 #: Edges that one task handles alone, about 16 MB of them.
 FEW = 1 << 20
-#: Edges of which one task finds the lightest, and rows of packed pairs that one task unpacks.
-LIGHT, ROWS = 1 << 19, 1 << 17
+#: Edges of which one task finds the lightest, and paths of which one task finds a ring's new nodes.
+LIGHT, ROWS = 1 << 19, 1 << 22
+#: Paths to a ring that are made at once, at least.
+PATHS = 1 << 27
 
 
 def smallest_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -119,39 +122,78 @@ def _by_first(rows: DataFrame, name: str) -> DataFrame:
     return write_and_reread(dealt.mapInArrow(pairs.pack(False), pairs.SCHEMA).drop("known"), name)
 
 
-def k_rings(edges: DataFrame, sources: DataFrame, max_ring: int, node: str = "node") -> DataFrame:
-    """(center, node, ring): nodes at graph distance 0..max_ring from each source.
+def _next_ring(last: DataFrame, near: DataFrame, known: list[DataFrame], sizes: bool) -> DataFrame:
+    """(center, node), or with sizes (center, n), written: what the last ring's neighbours add to each centre.
 
-    A ring is what its last ring's neighbours add, less the last two rings. Paths to a ring outnumber its nodes by far;
-    where nodes are whole numbers, lists of centres and of neighbours meet node by node, and the paths move packed by
-    their centre, where they meet the last two rings.
+    The paths may outnumber the links by far, so centres take turns, each of about PATHS paths, or twice the links if that is more; what
+    a turn shuffles is gone before the next.
     """
-    links = write_and_reread(undirected(edges), "rings-links")
-    last = sources.select(F.col(node).alias("center"), F.col(node).alias("node")).distinct()
-    rings = [last.withColumn("ring", F.lit(0))]
-    before = last.limit(0)
-    whole = all(isinstance(f.dataType, IntegralType) for f in (last.schema["node"], links.schema["v"]))
     lists = ["first", "width", "steps"]
-    near = _by_first(links, "rings-near") if whole else None
+    centres = _by_first(last.select("node", "center").dropna(), "rings-centres")
+    both = centres.join(near.withColumnsRenamed({c: f"{c}_2" for c in lists}), "one")
+    many = [F.expr(f"length(steps{s}) div width{s}") for s in ("", "_2")]
+    links = near.agg(F.sum(F.expr("length(steps) div width"))).first()[0] or 0
+    with shuffles_freed(near.sparkSession):
+        number = both.agg(F.sum(many[0] * many[1])).first()[0] or 0
+    turns = 1 + number // max(PATHS, 2 * links)
+    schema = "center long, n long" if sizes else "center long, node long"
+    parts = []
+    for turn in range(turns):
+        rows = both.select(*lists, *[f"{c}_2" for c in lists]).mapInArrow(pairs.paths(turns, turn), pairs.SCHEMA)
+        for held in known:
+            rows = rows.unionAll(held.select("center", "node").dropna().mapInArrow(pairs.pack(True, turns, turn), pairs.SCHEMA))
+        dealt = rows.repartition(1 + number // turns // ROWS, "one").sortWithinPartitions("one")
+        parts.append(write_and_reread(dealt.mapInArrow(pairs.fresh(schema.replace(" long", "").split(", "), sizes), schema), "rings"))
+    discard(centres)
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+def _rings(edges: DataFrame, sources: DataFrame, max_ring: int, node: str, sizes: bool) -> Iterator[tuple[DataFrame, int]]:
+    """Each ring with its number, as rows (center, node); with sizes the last one as rows (center, n)."""
+    last = sources.select(F.col(node).alias("center"), F.col(node).alias("node")).distinct()
+    kinds = [last.schema["node"].dataType, edges.schema["v"].dataType]
+    whole = all(isinstance(kind, IntegralType) for kind in [*kinds, edges.schema["u"].dataType])
+    last = write_and_reread(last, "rings-sources")
+    yield last, 0
+    before, near = last.limit(0), None
+    if whole:
+        ways = [edges.select(a, b).filter("u <> v") for a, b in ("uv", "vu")]
+        near = functools.reduce(DataFrame.unionAll, [_by_first(way, "rings-near") for way in ways])
+    else:
+        links = write_and_reread(undirected(edges), "rings-links")
     for k in range(1, max_ring + 1):
-        paths = last.join(links.withColumnRenamed("u", "node"), "node").select("center", F.col("v").alias("node"))
         if whole:
-            both = _by_first(last.select("node", "center").dropna(), "rings-centres").join(near.withColumnsRenamed({c: f"{c}_2" for c in lists}), "one")
-            rows = both.select(*lists, *[f"{c}_2" for c in lists]).mapInArrow(pairs.paths, pairs.SCHEMA).unionAll(last.unionAll(before).select("center", "node").dropna().mapInArrow(pairs.pack(True), pairs.SCHEMA))
-            rows = write_and_reread(rows, "rings-paths")
-            dealt = rows.repartition(1 + rows.count() // ROWS, "one").sortWithinPartitions("one")
-            found = dealt.mapInArrow(pairs.fresh(["center", "node"]), "center long, node long")
-            fresh = found.select(F.col("center").cast(last.schema["center"].dataType).alias("center"), F.col("node").cast(links.schema["v"].dataType).alias("node"))
+            found = _next_ring(last, near, [last, before] if k > 1 else [last], sizes and k == max_ring)
+            fresh = found.withColumn("center", F.col("center").cast(kinds[0]))
+            if "node" in fresh.columns:
+                fresh = fresh.withColumn("node", F.col("node").cast(kinds[1]))
         else:
-            fresh = paths.distinct().join(last, ["center", "node"], "left_anti").join(before, ["center", "node"], "left_anti")
-        before, last = last, write_and_reread(fresh, "rings")
+            paths = last.join(links.withColumnRenamed("u", "node"), "node").select("center", F.col("v").alias("node"))
+            fresh = write_and_reread(paths.distinct().join(last, ["center", "node"], "left_anti").join(before, ["center", "node"], "left_anti"), "rings")
+        before, last = last, fresh
         if last.isEmpty():
             break
-        rings.append(last.withColumn("ring", F.lit(k)))
-    out = rings[0]
-    for ring in rings[1:]:
-        out = out.unionByName(ring)
-    return out
+        yield last, k
+
+
+def k_rings(edges: DataFrame, sources: DataFrame, max_ring: int, node: str = "node") -> DataFrame:
+    """(center, node, ring): nodes at graph distance 0..max_ring from each source.
+
+    A ring is what its last ring's neighbours add, less the last two rings. Paths to a ring outnumber its nodes by far;
+    where nodes are whole numbers, lists of centres and of neighbours meet node by node, and the paths move packed by
+    their centre, where they meet the last two rings. ``edges`` are read several times.
+    """
+    rings = [rows.withColumn("ring", F.lit(k)) for rows, k in _rings(edges, sources, max_ring, node, False)]
+    return functools.reduce(DataFrame.unionByName, rings)
+
+
+def ring_sizes(edges: DataFrame, sources: DataFrame, max_ring: int, node: str = "node") -> DataFrame:
+    """(center, ring, n): how many nodes ``k_rings`` has of each ring. Those of the last and largest ring are counted where they are made, and not written."""
+    parts = []
+    for rows, k in _rings(edges, sources, max_ring, node, True):
+        told = rows if "n" in rows.columns else rows.groupBy("center").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(told.select("center", F.lit(k).alias("ring"), "n"))
+    return functools.reduce(DataFrame.unionAll, parts)
 
 
 @scratched

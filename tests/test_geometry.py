@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -456,6 +457,22 @@ def test_rings_of_packed_paths_equal_brute_force(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == {(told(c), told(n), k) for c, n, k in want}
 
 
+def test_rings_are_the_same_in_turns(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = spark.createDataFrame([(2 * rng.randrange(30), 2 * rng.randrange(40) + 1) for _ in range(160)], "u long, v long")
+    sources = edges.select(F.col("u").alias("node"))
+    whole = sorted(map(tuple, graph.k_rings(edges, sources, 3).collect()))
+    written, real = [], graph.write_and_reread
+    monkeypatch.setattr(graph, "PATHS", 1)
+    monkeypatch.setattr(graph, "write_and_reread", lambda df, name, *a: written.append((name, df.columns)) or real(df, name, *a))
+    assert sorted(map(tuple, graph.k_rings(edges, sources, 3).collect())) == whole
+    assert sum(name == "rings" for name, _ in written) > 3  # a ring's centres came in turns
+    written.clear()
+    sizes = sorted(map(tuple, graph.ring_sizes(edges, sources, 3).collect()))
+    assert sizes == sorted((c, k, n) for (c, k), n in Counter((c, k) for c, _, k in whole).items())
+    assert [columns for name, columns in written if name == "rings"][-1] == ["center", "n"]  # the last ring's nodes are not written
+
+
 def test_packed_pairs_survive_small_chunks(monkeypatch):
     monkeypatch.setattr(pairs, "TOGETHER", 8)
     rng = random.Random(6)
