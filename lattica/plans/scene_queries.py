@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lattica.operators import bases, branches, crossing, explode, fitting, gvd, octree, refine, spatial, wave
 from lattica.plans import oracle, views
 from lattica.plans.queries import COUNT, SIDE, SMALL, gvd_points, nearest_segment, query
-from lattica.plans.space_queries import COARSE3, TREE3, surface_parts, triangle_prims
+from lattica.plans.space_queries import TREE3, surface_parts, triangle_prims
 from lattica.session import scratch_path, write_and_reread
 from lattica.sources import tree_files
 
@@ -235,10 +235,10 @@ def gvd_pipeline_2d(spark, sf_dir):
 @query()
 def gvd_pipeline_3d(spark, sf_dir):
     """The diagram in space from end to end: tree, relaxation, subdivision, face lines and triangles; triangles of each pair of labels."""
-    leaves, bridge = octree.adaptive_leaves(triangle_prims(spark, sf_dir), COARSE3)
-    leaves, _, (_, edges, labels) = wave.subdivide_ambiguous(leaves, bridge, COARSE3)
+    leaves, bridge = octree.adaptive_leaves(triangle_prims(spark, sf_dir), TREE3)
+    leaves, _, (_, edges, labels) = wave.subdivide_ambiguous(leaves, bridge, TREE3)
     points = write_and_reread(gvd.edge_points(edges, labels, 3), "gvd-points")
-    made = gvd.cell_triangles(write_and_reread(gvd.face_fragments(points, leaves, COARSE3), "gvd-lines"))
+    made = gvd.cell_triangles(write_and_reread(gvd.face_fragments(points, leaves, TREE3), "gvd-lines"))
     return made.groupBy("label", "other").agg(F.count(F.lit(1)).alias("n"))
 
 

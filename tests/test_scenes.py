@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lattica.functions.morton import Resolution
 from lattica.operators import bases, branches, crossing, explode, fitting, gvd, octree, refine
 from lattica.operators.octree import OctreeOptions
+from lattica.plans import scene_queries, space_queries
 from lattica.sources import tree_files
 
 SEGMENTS = "scene int, label int, ord int, ax long, ay long, bx long, by long, other string"
@@ -298,3 +299,20 @@ def test_cells_of_small_scenes_hold_many_segments(spark):
     assert min(wide) >= 2048  # 40 segments a scene fill no more cells
     pairs = [sorted(map(tuple, crossing.meeting_pairs(segs, ["k"], scene="scene", sides=s).select(F.least("p_k", "q_k"), F.greatest("p_k", "q_k")).collect())) for s in (wide, (64, 64))]
     assert pairs[0] == pairs[1]
+
+
+def test_the_pipeline_in_space_has_leaves_to_split(spark, sf, monkeypatch):
+    """Its tree is that of the other queries in space."""
+    seen = []
+
+    class Done(Exception):
+        pass
+
+    def told(leaves, bridge, o):
+        seen.append((o, leaves.filter(F.col("level") < o.max_level).count()))
+        raise Done
+
+    monkeypatch.setattr(scene_queries.wave, "subdivide_ambiguous", told)
+    with pytest.raises(Done):
+        scene_queries.gvd_pipeline_3d(spark, sf)
+    assert seen[0][0] == space_queries.TREE3 and seen[0][1] > 0
