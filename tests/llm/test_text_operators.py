@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -746,3 +747,11 @@ def test_jaccard_frees_what_it_is_done_with(spark, monkeypatch):
 def shuffle_files(spark) -> set[str]:
     dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
     return {os.path.join(d, f) for top in dirs for d, _, names in os.walk(top) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+
+def test_only_ids_of_a_filter_move():
+    held = np.zeros(1 << 12, bool)
+    ids = [5, -9, 1 << 40]
+    held[jaccard._filter_bits(np.array(ids), len(held))] = True
+    found = jaccard._maybe(pa.array([*ids, None, *range(100, 200)], pa.int64()), np.packbits(held, bitorder="little"))
+    assert found[:3].all() and not found[3] and found[4:].sum() < 10
